@@ -17,6 +17,7 @@ rows; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 
 from voxelake.llm.common import Memo, materialize, slices
 
+#: Letters below this one are lower-cased and normalised one by one, into one letter.
+PLAIN = "\u0130"
+#: Letters with ASCII marks after them (no apostrophe: the vocabulary has rules for it).
+STEM_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 #: One piece as it travels: ids are gone by then, only their checksum stays.
 MEMBER = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("piece", "<i8"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("offset", "<i4")])
 BIN = pa.schema([("fill", pa.int32()), ("members", pa.binary())])
@@ -35,10 +40,12 @@ BIN_DDL = "fill int, members binary"
 
 
 class Encoder:
-    """Token ids of texts as little-endian uint32 bytes, through a bounded memo of words.
+    """Token ids of texts as little-endian uint32 bytes, through bounded memos of words.
 
     The vocabulary drops white space and never joins over it, so a text's ids are
-    its words' ids in a row.
+    its words' ids in a row. Nor does it join letters with an ASCII mark after them,
+    so most words are a stem of letters and a mark. New stems are encoded as one long
+    text, whose ids are cut where a token ends a word.
     """
 
     def __init__(self, path: str):
@@ -47,17 +54,52 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo = Memo(250_000)
+        self.words, self.stems = Memo(300_000), Memo(300_000)
+        ends = self.tok.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(self.tok.get_vocab_size(), dtype=bool)
+        self.ends_word[[i for t, i in ends.items() if t.endswith("</w>")]] = True
+
+    def single(self, word: str) -> bytes:
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn_stems(self, stems: list[str]) -> None:
+        for i in range(0, len(stems), 5000):
+            part = stems[i : i + 5000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):
+                data, at = ids.tobytes(), 0
+                for w, e in zip(part, (4 * ends).tolist(), strict=True):
+                    self.stems[w] = data[at:e]
+                    at = e
+            else:  # lower-casing took a stem apart
+                self.stems.update((w, self.single(w)) for w in part)
+
+    def learn(self, words: list[str]) -> None:
+        split = []
+        for w in words:
+            if w.isalpha():
+                split.append((folded(w), ""))
+            elif (m := STEM_MARKS.fullmatch(w)) and max(w) < PLAIN:
+                split.append((m[1].lower(), m[2]))
+            else:
+                split.append(("", w))
+        self.learn_stems(list({s for s, _ in split if s and s not in self.stems}))
+        self.stems.update((m, self.single(m)) for m in {m for s, m in split if s and m} if m not in self.stems)
+        for w, (s, m) in zip(words, split, strict=True):
+            self.words[w] = (self.stems[s] + self.stems[m] if m else self.stems[s]) if s else self.single(m) if m else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.memo.room()
+        self.words.room()
+        self.stems.room()
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in words for w in ws if w not in self.memo})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.memo.__getitem__, ws)) for ws in words]
+        self.learn(list({w for ws in words for w in ws if w not in self.words}))
+        return [b"".join(map(self.words.__getitem__, ws)) for ws in words]
+
+
+def folded(stem: str) -> str:
+    """Lower case where it is letter by letter; the vocabulary's own rule decides elsewhere."""
+    return stem.lower() if max(stem) < PLAIN else stem
 
 
 @lru_cache(maxsize=2)
