@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voxelake.llm import decontam, packing, simhash, tokencount
+from voxelake.llm import ann, chat, decontam, html_extract, langid, ngram_lm, packing, quality, simhash, tokencount
 from voxelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +17,33 @@ PACK_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 COUNT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACK_VOCABULARY)
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_lm.scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(quality.graded(docs, table(spark, sf_dir, "labels")))
+    return quality.judge(docs, model).select("doc_id", "quality.*")
+
+
+def op5_language_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents"))
 
@@ -28,14 +52,29 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(table(spark, sf_dir, "conversations"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), COUNT_VOCABULARY)
 
 
 def queries() -> dict[str, Query]:
-    own = (op2_best_fit_packing, op7_simhash_classes, op8_decontamination, op10_token_counts)
+    own = (
+        op1_permutation_search,
+        op2_best_fit_packing,
+        op3_stupid_backoff,
+        op4_ordinal_quality,
+        op5_language_kneser_ney,
+        op6_html_main_text,
+        op7_simhash_classes,
+        op8_decontamination,
+        op9_quotation_links,
+        op10_token_counts,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontam.ORACLE}
+    return {"op3_stupid_backoff": ngram_lm.ORACLE, "op8_decontamination": decontam.ORACLE, "op9_quotation_links": chat.ORACLE}
