@@ -1,9 +1,10 @@
 """Stupid-backoff scores over n-gram count tables partitioned by hash.
 
-Blocks of documents explode their texts into n-grams of all orders (64-bit
+Blocks of documents explode their texts into n-grams of all orders (56-bit
 hashes) and send each distinct one with its count in the block to the table
 partition its hash falls in; the partitions add up the counts of all blocks and
-answer each block; the join of a block's n-grams with the answers gives every
+answer each block, in the order asked; the block joins its n-grams with the answers,
+which gives every
 document the corpus count of each of its n-grams, and a document's scores are
 summed. Rows that travel hold sorted hash arrays, one row for each block and
 partition, so a frequent n-gram costs one entry a block, whatever its count.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,10 @@ from voxelake.llm.common import Memo, mix64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: The n-gram of no words; its count is the corpus's words.
-EMPTY = np.uint64(0x5851F42D4C957F2D)
+EMPTY = np.uint64(0x51F42D4C957F2D)
+#: Bits of an n-gram's hash. What travels is mostly hashes: at 56 bits, one n-gram in ten million of a
+#: corpus of ten thousand million distinct ones shares its count with another.
+BITS = 56
 
 _words = Memo(400_000)
 
@@ -59,25 +64,55 @@ def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
         for n in range(2, order + 1):
             longer = out[-1][:-1] * _STEP + h[n - 1 :] if len(h) >= n else np.empty(0, np.uint64)
             out.append(mix64(longer + np.uint64(n)))
-    return out
+    return [x >> np.uint64(64 - BITS) for x in out]
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Integers as byte planes, the low bytes first: the high planes of small numbers compress to nothing."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+def pack(x: np.ndarray) -> bytes:
+    """Integers as compressed byte planes: the high planes of small numbers take next to nothing."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
 
 
-def unplanes(b: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+def unpack(b: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def pack_sorted(x: np.ndarray) -> bytes:
-    return planes(np.diff(x, prepend=np.uint64(0)))
+    return pack(np.diff(x, prepend=np.uint64(0)))
 
 
 def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(b, np.uint64), dtype=np.uint64)
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+
+
+def merge(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and their summed counts."""
+    if len(found) == 1:
+        return found[0]
+    u, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+    return u, np.bincount(at, weights=np.concatenate([f[1] for f in found]), minlength=len(u)).astype(np.int64)
+
+
+def block_counts(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of a block of texts, with their counts; EMPTY counts the words."""
+    found, held, size, n_words = [], [], 0, 0
+
+    def fold() -> None:
+        found.append(np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True))
+        held.clear()
+        while len(found) > 1 and len(found[-2][0]) < 2 * len(found[-1][0]):
+            found[-2:] = [merge(found[-2:])]
+
+    for t in texts:
+        h = word_hashes(t.as_py())
+        n_words += len(h)
+        held += grams(h, order)
+        size += order * len(h)
+        if size > 2_000_000:
+            fold()
+            size = 0
+    fold()
+    return merge([*found, (np.array([EMPTY]), np.array([n_words]))])
 
 
 def score(h: np.ndarray, order: int, alpha: float, known: np.ndarray, total: np.ndarray) -> float:
@@ -105,53 +140,27 @@ def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, doc_id: str =
 
     The session's shuffle partitions set how many blocks and table partitions there are.
     """
-    n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = 2 * n
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * n
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
 
     def request(table: pa.Table) -> pa.Table:
-        found, held, size = [], [], 0
-        n_words = 0
-
-        def fold() -> None:
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            found.append((u, c))
-            held.clear()
-
-        for t in table["text"]:
-            h = word_hashes(t.as_py())
-            n_words += len(h)
-            held += grams(h, order)
-            size += order * len(h)
-            if size > 4_000_000:
-                fold()
-                size = 0
-        held.append(np.empty(0, np.uint64))
-        fold()
-        found.append((np.array([EMPTY]), np.array([n_words])))
-        g, c = merge(found)
-        at = np.searchsorted(g >> np.uint64(32), np.arange(parts + 1, dtype=np.float64) * (2.0**32 / parts))
-        out = [(p, pack_sorted(g[a:b]), planes(c[a:b].astype(np.int32))) for p, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        g, c = block_counts(table["text"], order)
+        at = np.searchsorted(g, (np.arange(1, parts, dtype=np.float64) * (2.0**BITS / parts)).astype(np.uint64))
+        out = [(p, pack_sorted(x), pack(y.astype(np.int32))) for p, (x, y) in enumerate(zip(np.split(g, at), np.split(c, at), strict=True)) if len(x)]
         block = table["block"][0].as_py()
         return pa.table({"part": pa.array([r[0] for r in out], pa.int32()), "block": pa.array([block] * len(out), pa.int32()), "grams": pa.array([r[1] for r in out], pa.binary()), "counts": pa.array([r[2] for r in out], pa.binary())})
 
-    def merge(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        if len(found) == 1:
-            return found[0]
-        u, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        return u, np.bincount(at, weights=np.concatenate([f[1] for f in found]), minlength=len(u)).astype(np.int64)
-
     def answer(table: pa.Table) -> pa.Table:
         asked = [unpack_sorted(x.as_py()) for x in table["grams"]]
-        u, total = merge([*zip(asked, (unplanes(x.as_py(), np.int32).astype(np.int64) for x in table["counts"]), strict=True), (np.empty(0, np.uint64), np.empty(0, np.int64))])
-        told = [planes(total[np.searchsorted(u, g)]) for g in asked]
-        return pa.table({"block": table["block"], "part": table["part"], "grams": table["grams"], "totals": pa.array(told, pa.binary())})
+        u, total = merge([*zip(asked, (unpack(x.as_py(), np.int32).astype(np.int64) for x in table["counts"]), strict=True), (np.empty(0, np.uint64), np.empty(0, np.int64))])
+        told = [pack(total[np.searchsorted(u, g)]) for g in asked]
+        return pa.table({"block": table["block"], "part": table["part"], "totals": pa.array(told, pa.binary())})
 
     def judge(texts: pa.Table, told: pa.Table) -> pa.Table:
-        order_of = np.argsort(told["part"].to_numpy(), kind="stable").tolist()
-        known = np.concatenate([unpack_sorted(told["grams"][i].as_py()) for i in order_of])
-        total = np.concatenate([unplanes(told["totals"][i].as_py(), np.int64) for i in order_of])
+        known, _ = block_counts(texts["text"], order)
+        total = np.concatenate([unpack(told["totals"][i].as_py(), np.int64) for i in np.argsort(told["part"].to_numpy(), kind="stable").tolist()])
         n_words, sums = [], []
         for t in texts["text"]:
             h = word_hashes(t.as_py())
@@ -160,7 +169,7 @@ def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, doc_id: str =
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
     asked = rows.groupBy("block").applyInArrow(request, "part int, block int, grams binary, counts binary")
-    told = asked.groupBy("part").applyInArrow(answer, "block int, part int, grams binary, totals binary")
+    told = asked.groupBy("part").applyInArrow(answer, "block int, part int, totals binary")
     out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, "doc_id long, n_words long, log_score double")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
