@@ -154,12 +154,17 @@ class Models:
         return total[:, :-1], total[:, -1]
 
 
-def _spread(docs: DataFrame, sample: int) -> DataFrame:
-    """Labelled documents of the fit (part 0) and of the calibration (part 1), by a hash of the id."""
-    per = docs.groupBy("lang").agg(F.count("*").alias("n"))
+def _spread(docs: DataFrame, sample: int, languages: int) -> DataFrame:
+    """Labelled documents of the fit (part 0) and of the calibration (part 1), by a hash of the id.
+
+    The shares of the languages, at most ``languages`` numbers, go into the filter itself,
+    so that no text is shuffled to draw the sample.
+    """
+    per = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    shares = F.create_map(*(F.lit(x) for r in per for x in (r.lang, min(0.5, sample / r.n)))) if per else F.create_map().cast("map<string,double>")
     u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.least(F.lit(0.5), F.lit(float(sample)) / F.col("n"))
-    return docs.join(per, "lang").withColumn("part", F.when(u < share, 0).when(u < 2 * share, 1)).filter("part is not null").select("lang", "text", "part")
+    share = shares[F.col("lang")]
+    return docs.withColumn("part", F.when(u < share, 0).when(u < 2 * share, 1)).filter("part is not null").select("lang", "text", "part")
 
 
 @dataclass
@@ -184,10 +189,13 @@ class Identifier:
         return out
 
 
-def train(docs: DataFrame, *, sample: int = 3000, order: int = 4, quantile: float = 0.999, margin: float = 1.1, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Identifier:
-    """Fit and calibrate on documents with a language; what comes to the driver is bounded by ``sample``."""
+def train(docs: DataFrame, *, sample: int = 3000, languages: int = 512, order: int = 4, quantile: float = 0.999, margin: float = 1.1, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Identifier:
+    """Fit and calibrate on documents with a language, of the ``languages`` most frequent ones.
+
+    What comes to the driver is bounded by ``sample`` and ``languages``.
+    """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    chosen = _spread(rows, sample)
+    chosen = _spread(rows, sample, languages)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, str], int] = {}
