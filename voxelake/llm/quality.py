@@ -28,7 +28,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelake.llm.common import Memo, slices
@@ -154,7 +154,6 @@ def train(rated: DataFrame, *, sample: int = 12_000, width: int = 1 << 18, doc_i
     n, top = rows.agg(F.count("*"), F.max("grade")).first()
     if not n or not top:
         return Ordinal(np.zeros(width), np.empty(0), 1, width)
-    u = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
     grades = top + 1
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +170,7 @@ def train(rated: DataFrame, *, sample: int = 12_000, width: int = 1 << 18, doc_i
             w, t = fit(own, np.array(g), grades, width)
             yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([t.tobytes()])], ["w", "t"])
 
-    chosen = rows.filter(u < min(1.0, sample / n)).select("grade", "text")
+    chosen = rows.filter(drawn() < min(1.0, sample / n)).select("grade", "text")
     made = chosen.mapInArrow(extract, "grade int, slots binary").coalesce(1) if n < 100 else chosen.mapInArrow(extract, "grade int, slots binary").repartition(1)
     solved = made.mapInArrow(solve, "w binary, t binary").collect()
     if not solved:
@@ -205,11 +204,20 @@ def judge(docs: DataFrame, model: Ordinal, *, tail: int | None = None, least: fl
 VERDICT = pa.struct([("expected_grade", pa.float64()), ("tail_prob", pa.float64()), ("keep", pa.bool_())])
 
 
-def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text, grade of rated documents: 0 poor, 1 good but toxic, 2 good; unrated quality is no rating.
+def graded(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
+    """doc_id, text, grade of about ``sample`` rated documents: 0 poor, 1 good but toxic, 2 good.
 
-    Several ratings of a document count as the poorest one.
+    Unrated quality is no rating; several ratings of a document count as the poorest
+    one. The sample is drawn from the ratings by a hash of the id, which bounds it, so
+    that it goes to the texts and no text is shuffled.
     """
     grade = F.when(F.col("quality") <= 0, 0).when(F.coalesce("toxic", F.lit(0)) > 0, 1).otherwise(2)
-    rated = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
-    return docs.select("doc_id", "text").join(rated, "doc_id")
+    known = labels.filter("quality is not null and doc_id is not null")
+    n = known.count()
+    chosen = known.filter(drawn() < min(1.0, sample / max(1, n))).groupBy("doc_id").agg(F.min(grade).alias("grade"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def drawn() -> Column:
+    """A number from 0 to 1 by the id."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) / float(1 << 30)
