@@ -71,12 +71,14 @@ def hits(elements: DataFrame, forbidden: DataFrame, most: int = 2000, prefix: in
     e = elements.select("entity", "tag", F.lower("value").alias("low"))
     if f.limit(most + 1).count() <= most:
         return e.join(F.broadcast(f), F.col("low").contains(F.col("term"))).select("entity", "tag", "term").distinct()
-    grams = e.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - prefix + 1)), lambda i: F.substring(F.col("low"), i, F.lit(prefix))))))
-    found = grams.join(f.filter(F.length("term") >= prefix).withColumn("g", F.substring("term", 1, prefix)), "g").filter(F.col("low").contains(F.col("term")))
-    # the few shorter terms: each of their lengths cuts the texts its own way
-    for n in range(1, prefix):
-        cut = e.withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - n + 1)), lambda i, n=n: F.substring(F.col("low"), i, F.lit(n))))))
-        found = found.unionByName(cut.join(f.filter(F.length("term") == n).withColumn("g", F.col("term")), "g"))
+
+    def cut(n: int) -> DataFrame:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - n + 1))
+        return e.withColumn("g", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("low"), i, F.lit(n))))))
+
+    found = cut(prefix).join(f.filter(F.length("term") >= prefix).withColumn("g", F.substring("term", 1, prefix)), "g").filter(F.col("low").contains(F.col("term")))
+    for n in range(1, prefix):  # the few shorter terms: each length cuts the texts its own way
+        found = found.unionByName(cut(n).join(f.filter(F.length("term") == n).withColumn("g", F.col("term")), "g"))
     return found.select("entity", "tag", "term").distinct()
 
 

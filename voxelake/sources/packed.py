@@ -63,6 +63,6 @@ def slab_blobs(voxels: DataFrame, slab: int = 32) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         v = t["stored"].to_numpy()[np.argsort(t["idx"].to_numpy(), kind="stable")].astype("<u2")
-        return pa.table({"volume_id": [t["volume_id"][0].as_py()], "slab": [t["slab"][0].as_py()], "content": [v.tobytes()]})
+        return pa.table({"volume_id": [t["volume_id"][0].as_py()], "slab": pa.array([t["slab"][0].as_py()], pa.int32()), "content": [v.tobytes()]})
 
     return voxels.withColumn("slab", F.floor(F.col("k") / slab).cast("int")).groupBy("volume_id", "slab").applyInArrow(run, "volume_id string, slab int, content binary")
