@@ -273,8 +273,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     edges = materialize(links(nodes.filter("node is not null").select("node", "fp", "sketch"), radius=radius, agree=agree), "proposed")
     wanted = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
     texts = materialize(rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
-    pairs = edges.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    comp = components(pairs.mapInArrow(verify, EDGES))
+
+    def verified(some: DataFrame) -> DataFrame:
+        left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
+        return some.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, EDGES)
+
+    # A round tests each node's first and last partner; links that classes already imply need no
+    # test. Every other proposed link is tested in the end, so none is lost.
+    sure, comp, pending = None, None, edges
+    while pending.limit(1).count():
+        some = pending.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y")).select("b", F.explode(F.array_distinct(F.array("x", "y"))).alias("a")).select("a", "b")
+        new = verified(some)
+        sure = materialize(new if sure is None else sure.union(new), "links")
+        comp = components(sure)
+        of = [comp.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
+        rest = pending.join(some, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
+        pending = materialize(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pending")
+    if comp is None:
+        comp = components(edges)
     of_text = nodes.join(comp, "node", "left").select("same", F.coalesce("component", "node").alias("class_id"))
     return seen.join(of_text, "same").select("doc_id", "class_id")
 
