@@ -11,8 +11,8 @@ chosen by a hash of their id (a documented bound): tasks make features, one task
 runs the bounded gradient descent. All documents are scored, in one pass.
 
 Defined results: null and empty texts have no features and get the grades' prior;
-rows without a rating are not learned; with fewer than two grades every text gets
-the one grade (grade 0 and tail 0 without any); repeated rows count each; very long
+rows without a rating are not learned; with no grade above 0 known, every text
+gets grade 0 and tail 1, and is kept; repeated rows count each; very long
 texts are read whole; ties at the limit are kept; an empty table gives an empty
 result; other columns are not read.
 """
@@ -114,15 +114,22 @@ class Ordinal:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, width: int, *, steps: int = 150, rate: float = 0.1, ridge: float = 1e-4, rare: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, width: int, *, steps: int = 400, rate: float = 0.1, ridge: float = 1e-5, sure: float = 5.0, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the cumulative-link likelihood.
 
-    Slots seen in fewer than ``rare`` documents keep weight 0: they would only be learned by heart.
+    Only slots whose documents' share of some grade is ``sure`` standard deviations off
+    the sample's take part: the weights of others would only learn texts by heart.
     """
     slot = np.concatenate(rows)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    often = np.bincount(slot, minlength=width)[slot] >= rare
-    slot, doc = slot[often], doc[often]
+    seen = np.bincount(slot, minlength=width)
+    told = np.zeros(width, dtype=bool)
+    for k in range(grades):
+        p = (grade == k).mean()
+        if 0 < p < 1:
+            here = np.bincount(slot, weights=(grade == k)[doc], minlength=width)
+            told |= (seen >= least) & (np.abs(here - p * seen) >= sure * np.sqrt(np.maximum(1, seen) * p * (1 - p)))
+    slot, doc = slot[told[slot]], doc[told[slot]]
     share = np.array([(grade > k).mean() for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
     cut = np.log((1 - share) / share)
     cut = np.maximum.accumulate(cut + 1e-3 * np.arange(grades - 1))
@@ -148,7 +155,7 @@ def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, width: int, *, s
     return w, np.cumsum(np.r_[gap[0], np.exp(gap[1:])])
 
 
-def train(rated: DataFrame, *, sample: int = 12_000, width: int = 1 << 18, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> Ordinal:
+def train(rated: DataFrame, *, sample: int = 16_000, width: int = 1 << 18, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> Ordinal:
     """Fit on about ``sample`` of the rows with a grade (0, 1, ...)."""
     rows = rated.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(grade).cast("int").alias("grade")).filter("grade is not null and grade >= 0")
     n, top = rows.agg(F.count("*"), F.max("grade")).first()
@@ -204,7 +211,7 @@ def judge(docs: DataFrame, model: Ordinal, *, tail: int | None = None, least: fl
 VERDICT = pa.struct([("expected_grade", pa.float64()), ("tail_prob", pa.float64()), ("keep", pa.bool_())])
 
 
-def graded(docs: DataFrame, labels: DataFrame, sample: int = 12_000) -> DataFrame:
+def graded(docs: DataFrame, labels: DataFrame, sample: int = 16_000) -> DataFrame:
     """doc_id, text, grade of about ``sample`` rated documents: 0 poor, 1 good but toxic, 2 good.
 
     Unrated quality is no rating; several ratings of a document count as the poorest
