@@ -1,54 +1,23 @@
-"""Shared helpers: durable intermediates, Arrow batch slicing and integer mixing."""
+"""Shared helpers: Arrow batch slicing, integer mixing, bounded memos."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-_local: dict[str, str] = {}
+from voxelake.sources.shared import materialize, shared_dir
+
+__all__ = ["Memo", "materialize", "mix64", "shared_dir", "slices", "table"]
 
 #: Text is handled in slices of about this many characters, so that one Arrow
 #: batch never unfolds into more than a few tens of MB of Python objects.
 SLICE_CHARS = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, local mode) a temporary folder of
-    this driver is used and removed at exit.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        _local[app] = tempfile.mkdtemp(prefix="voxelake-")
-        atexit.register(shutil.rmtree, _local[app], ignore_errors=True)
-    return "file://" + _local[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet into the shared folder and read it back.
-
-    This cuts the lineage durably: a lost executor costs only the tasks that
-    read these files, never the work that made them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxelake-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,8 +39,6 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
 
 
 def _lengths(col: pa.Array) -> bytes:
-    import pyarrow.compute as pc
-
     return pc.fill_null(pc.cast(pc.binary_length(col), pa.int64()), 0).to_numpy(zero_copy_only=False).tobytes()
 
 
