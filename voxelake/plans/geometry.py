@@ -12,7 +12,16 @@ from voxelake.plans.registry import query, table
 
 # d: a direction (x, y, z), p: a point in mm (px, py, pz)
 V_SQL = "v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, CAST(embedding[4] AS DOUBLE) * 100 AS px, CAST(embedding[5] AS DOUBLE) * 100 AS py, CAST(embedding[6] AS DOUBLE) * 100 AS pz FROM embeddings), u AS (SELECT *, x / sqrt(x * x + y * y + z * z) AS ux, y / sqrt(x * x + y * y + z * z) AS uy, z / sqrt(x * x + y * y + z * z) AS uz FROM v)"
-D, P = tuple(map(F.col, "xyz")), tuple(F.col("p" + c) for c in "xyz")
+
+
+def D() -> g.Vec:
+    """The direction of a row."""
+    return tuple(map(F.col, "xyz"))
+
+
+def P() -> g.Vec:
+    """The point of a row, in mm."""
+    return tuple(F.col("p" + c) for c in "xyz")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +35,8 @@ def r6(c, name: str):
 
 @query("geo1_vectors", f"WITH {V_SQL} SELECT vec_id, round(x * px + y * py + z * pz, 6) + 0.0 AS dot, round(y * pz - z * py, 6) + 0.0 AS cx, round(z * px - x * pz, 6) + 0.0 AS cy, round(x * py - y * px, 6) + 0.0 AS cz, round(sqrt((x - px) ** 2 + (y - py) ** 2 + (z - pz) ** 2), 6) AS dist, round(ux, 6) + 0.0 AS ux FROM u")
 def geo1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = g.cross(D, P)
-    return vectors(spark, sf_dir).select("vec_id", r6(g.dot(D, P), "dot"), *(r6(v, n) for v, n in zip(c, ("cx", "cy", "cz"), strict=True)), r6(g.distance(D, P), "dist"), r6(g.normalize(D)[0], "ux"))
+    c = g.cross(D(), P())
+    return vectors(spark, sf_dir).select("vec_id", r6(g.dot(D(), P()), "dot"), *(r6(v, n) for v, n in zip(c, ("cx", "cy", "cz"), strict=True)), r6(g.distance(D(), P()), "dist"), r6(g.normalize(D())[0], "ux"))
 
 
 # an affine of each row: axes along the direction's permutations, origin at the point
@@ -51,7 +60,7 @@ BEST = "greatest(abs(ux), abs(uy), abs(uz))"
 
 @query("geo3_nearest_axis", f"WITH {V_SQL} SELECT vec_id, CASE WHEN -ux = {BEST} THEN 'R' WHEN ux = {BEST} THEN 'L' WHEN -uy = {BEST} THEN 'A' WHEN uy = {BEST} THEN 'P' WHEN -uz = {BEST} THEN 'I' ELSE 'S' END AS code FROM u")
 def geo3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", g.nearest_axis(D).alias("code"))
+    return vectors(spark, sf_dir).select("vec_id", g.nearest_axis(D()).alias("code"))
 
 
 def direction_sql(x: str, y: str, z: str) -> str:
@@ -62,7 +71,7 @@ def direction_sql(x: str, y: str, z: str) -> str:
 
 @query("geo4_direction_label", f"WITH {V_SQL} SELECT vec_id, {direction_sql('ux', 'uy', 'uz')} AS label FROM u")
 def geo4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", g.describe_direction(D).alias("label"))
+    return vectors(spark, sf_dir).select("vec_id", g.describe_direction(D()).alias("label"))
 
 
 PLANE = "CASE WHEN abs(uz) >= 0.7 THEN 'axial' WHEN abs(uy) >= 0.7 THEN 'coronal' WHEN abs(ux) >= 0.7 THEN 'sagittal' ELSE 'oblique' END"
@@ -70,12 +79,12 @@ PLANE = "CASE WHEN abs(uz) >= 0.7 THEN 'axial' WHEN abs(uy) >= 0.7 THEN 'coronal
 
 @query("geo5_plane_name", f"WITH {V_SQL} SELECT vec_id, {PLANE} AS plane FROM u")
 def geo5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", g.describe_plane(D, 0.7).alias("plane"))
+    return vectors(spark, sf_dir).select("vec_id", g.describe_plane(D(), 0.7).alias("plane"))
 
 
 @query("geo6_edge_labels", f"WITH {V_SQL}, n AS (SELECT vec_id, ux, uy, uz, py * uz - pz * uy AS cx, pz * ux - px * uz AS cy, px * uy - py * ux AS cz FROM u) SELECT vec_id, {direction_sql('-cx', '-cy', '-cz')} AS top, {direction_sql('cx', 'cy', 'cz')} AS bottom, {direction_sql('-ux', '-uy', '-uz')} AS left, {direction_sql('ux', 'uy', 'uz')} AS right FROM n".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"'))
 def geo6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = g.edge_labels(D, g.cross(P, g.normalize(D)))
+    e = g.edge_labels(D(), g.cross(P(), g.normalize(D())))
     return vectors(spark, sf_dir).select("vec_id", *(c.alias(n) for n, c in e.items()))
 
 
@@ -95,44 +104,44 @@ def geo7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def geo9(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = ((-10.0, 10.0), (-10.0, 10.0), (-5.0, 5.0))
     out = F.lit(False)
-    for p, (a, b) in zip(P, box, strict=True):
+    for p, (a, b) in zip(P(), box, strict=True):
         out = out | ~p.between(a, b)
-    return vectors(spark, sf_dir).select("vec_id", *(F.round(scalar.clamp(p, a, b), 6).alias(n) for p, (a, b), n in zip(P, box, "xyz", strict=True)), out.alias("outside"))
+    return vectors(spark, sf_dir).select("vec_id", *(F.round(scalar.clamp(p, a, b), 6).alias(n) for p, (a, b), n in zip(P(), box, "xyz", strict=True)), out.alias("outside"))
 
 
 @query("geo12_frame_roundtrip", f"WITH {V_SQL}, f AS (SELECT vec_id, 64 + px / 0.5 - 0.5 AS fx, 48 + py / 0.5 - 0.5 AS fy FROM v) SELECT vec_id, round(fx, 6) AS fx, round(fy, 6) AS fy, true AS back FROM f")
 def geo12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A patient point on a 128 x 96 frame of 0.5 mm pixels around the origin, and back."""
-    fx, fy = 64 + P[0] / 0.5 - 0.5, 48 + P[1] / 0.5 - 0.5
+    fx, fy = 64 + P()[0] / 0.5 - 0.5, 48 + P()[1] / 0.5 - 0.5
     bx, by = (F.col("fx") + 0.5 - 64) * 0.5, (F.col("fy") + 0.5 - 48) * 0.5
     f = vectors(spark, sf_dir).withColumn("fx", fx).withColumn("fy", fy)
-    return f.select("vec_id", F.round("fx", 6).alias("fx"), F.round("fy", 6).alias("fy"), ((F.abs(bx - P[0]) < 1e-6) & (F.abs(by - P[1]) < 1e-6)).alias("back"))
+    return f.select("vec_id", F.round("fx", 6).alias("fx"), F.round("fy", 6).alias("fy"), ((F.abs(bx - P()[0]) < 1e-6) & (F.abs(by - P()[1]) < 1e-6)).alias("back"))
 
 
 @query("geo13_voxel_extent", f"WITH {V_SQL} SELECT vec_id, round(abs(ux) * 0.5 + abs(uy) * 0.5 + abs(uz) * 3.3, 6) AS extent FROM u")
 def geo13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = g.normalize(D)
+    u = g.normalize(D())
     return vectors(spark, sf_dir).select("vec_id", F.round(F.abs(u[0]) * 0.5 + F.abs(u[1]) * 0.5 + F.abs(u[2]) * 3.3, 6).alias("extent"))
 
 
 @query("geo14_cut_depth", f"WITH {V_SQL} SELECT vec_id, round(px * ux + py * uy + pz * uz, 6) + 0.0 AS depth, CAST(floor((px * ux + py * uy + pz * uz) / 3.3 + 0.5) AS BIGINT) AS cut FROM u")
 def geo14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = g.dot(P, g.normalize(D))
+    d = g.dot(P(), g.normalize(D()))
     return vectors(spark, sf_dir).select("vec_id", r6(d, "depth"), scalar.half_up(d / 3.3).alias("cut"))
 
 
 @query("geo22_cube_region", "WITH " + V_SQL + ", r AS (SELECT vec_id, x / m AS x, y / m AS y, z / m AS z FROM (SELECT *, greatest(abs(x), abs(y), abs(z)) AS m FROM v)) SELECT rx * 9 + ry * 3 + rz + 13 AS region, count(*) AS n FROM (SELECT " + ", ".join(f"CAST(CASE WHEN {c} > 0.34 THEN 1 WHEN {c} < -0.34 THEN -1 ELSE 0 END AS INTEGER) AS r{c}" for c in "xyz") + " FROM r) GROUP BY 1")
 def geo22(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many directions face each of the view cube's 26 regions."""
-    m = F.greatest(*(F.abs(c) for c in D))
+    m = F.greatest(*(F.abs(c) for c in D()))
     step = lambda c: F.when(c / m > 0.34, 1).when(c / m < -0.34, -1).otherwise(0)
-    return vectors(spark, sf_dir).select((step(D[0]) * 9 + step(D[1]) * 3 + step(D[2]) + 13).alias("region")).groupBy("region").agg(F.count("*").alias("n"))
+    return vectors(spark, sf_dir).select((step(D()[0]) * 9 + step(D()[1]) * 3 + step(D()[2]) + 13).alias("region")).groupBy("region").agg(F.count("*").alias("n"))
 
 
 @query("geo15_cube_facing", f"WITH {V_SQL}, c AS (SELECT a, b, c, abs(a) + abs(b) + abs(c) AS n FROM range(-1, 2) ra(a), range(-1, 2) rb(b), range(-1, 2) rc(c) WHERE NOT (a = 0 AND b = 0 AND c = 0)), s AS (SELECT vec_id, a, b, c, round((ux * a + uy * b + uz * c) / sqrt(n) + CASE n WHEN 1 THEN 0.06 WHEN 2 THEN 0.03 ELSE 0 END, 9) AS score FROM u, c) SELECT vec_id, a * 9 + b * 3 + c + 13 AS region FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, a, b, c) = 1")
 def geo15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The region that faces each direction most, faces and edges a little preferred."""
-    u = g.normalize(D)
+    u = g.normalize(D())
     cells = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
     bias = {1: 0.06, 2: 0.03, 3: 0.0}
     scores = F.array(*(F.struct((-F.round(g.dot(u, v) / (sum(map(abs, v)) ** 0.5) + bias[sum(map(abs, v))], 9)).alias("s"), F.lit(n).alias("n"), F.lit(v[0] * 9 + v[1] * 3 + v[2] + 13).cast("long").alias("region")) for n, v in enumerate(cells)))
@@ -145,7 +154,7 @@ PANES = [(0, 0, 0, 400, 300), (1, 400, 0, 400, 300), (2, 0, 300, 400, 300), (3,
 @query("geo19_pane_at", f"WITH {V_SQL}, q AS (SELECT vec_id, 400 + px * 20 AS sx, 300 + py * 20 AS sy FROM v), p(pane, x0, y0, w, h) AS (VALUES {', '.join(map(str, PANES))}) SELECT q.vec_id, p.pane FROM q LEFT JOIN p ON sx >= x0 AND sx < x0 + w AND sy >= y0 AND sy < y0 + h")
 def geo19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of four panes that holds a screen point; none outside. Four cases, no join."""
-    sx, sy = 400 + P[0] * 20, 300 + P[1] * 20
+    sx, sy = 400 + P()[0] * 20, 300 + P()[1] * 20
     pane = F.lit(None).cast("int")
     for n, x, y, w, h in reversed(PANES):
         pane = F.when((sx >= x) & (sx < x + w) & (sy >= y) & (sy < y + h), n).otherwise(pane)
@@ -154,8 +163,8 @@ def geo19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("geo21_wheel_step", f"WITH {V_SQL} SELECT vec_id, round(least(8.0, greatest(-8.0, px + uz * sign(x) * 0.5)), 6) AS x, round(least(6.0, greatest(0.6, 1 + y * 4)), 6) AS zoom FROM u")
 def geo21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = g.normalize(D)
-    return vectors(spark, sf_dir).select("vec_id", F.round(scalar.clamp(P[0] + u[2] * F.signum(D[0]) * 0.5, -8.0, 8.0), 6).alias("x"), F.round(scalar.clamp(1 + D[1] * 4, 0.6, 6.0), 6).alias("zoom"))
+    u = g.normalize(D())
+    return vectors(spark, sf_dir).select("vec_id", F.round(scalar.clamp(P()[0] + u[2] * F.signum(D()[0]) * 0.5, -8.0, 8.0), 6).alias("x"), F.round(scalar.clamp(1 + D()[1] * 4, 0.6, 6.0), 6).alias("zoom"))
 
 
 @query("geo16_compositing", "WITH s AS (SELECT vec_id, p, greatest(0.0, CAST(embedding[p] AS DOUBLE)) AS a FROM embeddings, range(1, 65) r(p)), t AS (SELECT vec_id, p, a, coalesce(exp(sum(ln(1 - a)) OVER (PARTITION BY vec_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS clear FROM s) SELECT vec_id, round(sum(a * clear) FILTER (WHERE 1 - clear <= 0.995), 5) AS alpha FROM t GROUP BY vec_id")
@@ -170,12 +179,12 @@ def geo16(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flt3(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     n = v.select((F.col("vec_id") - 1).alias("vec_id"), *(F.col(c).alias("o" + c) for c in "xyz"))
-    return v.join(n, "vec_id").select("vec_id", (F.abs(g.dot(g.normalize(D), g.normalize(tuple(F.col("o" + c) for c in "xyz")))) < 0.9).alias("apart"))
+    return v.join(n, "vec_id").select("vec_id", (F.abs(g.dot(g.normalize(D()), g.normalize(tuple(F.col("o" + c) for c in "xyz")))) < 0.9).alias("apart"))
 
 
 @query("flt7_inside_grid", f"WITH {V_SQL} SELECT vec_id, px + 4 >= -0.5 AND px + 4 <= 7.5 AND py + 4 >= -0.5 AND py + 4 <= 7.5 AND pz >= -0.5 AND pz <= 3.5 AS inside, px + 4 >= 0 AND px + 4 <= 7 AND py + 4 >= 0 AND py + 4 <= 7 AND pz >= -0.5 AND pz <= 3.5 AS fusable FROM v")
 def flt7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at, n = (P[0] + 4, P[1] + 4, P[2]), (8, 8, 4)
+    at, n = (P()[0] + 4, P()[1] + 4, P()[2]), (8, 8, 4)
     return vectors(spark, sf_dir).select("vec_id", g.inside(at, n).alias("inside"), g.inside_for_fusion(at, n).alias("fusable"))
 
 
@@ -184,20 +193,20 @@ CUTS = [(1.0, 0.0, 0.0, -2.0), (0.0, 0.6, 0.8, -4.0)]
 
 @query("flt8_clipped", f"WITH {V_SQL} SELECT vec_id FROM v WHERE px - 2 > 0 OR 0.6 * py + 0.8 * pz - 4 > 0")
 def flt8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).filter(g.clipped(P, CUTS)).select("vec_id")
+    return vectors(spark, sf_dir).filter(g.clipped(P(), CUTS)).select("vec_id")
 
 
 @query("flt9_overlaps", f"WITH {V_SQL}, l AS (SELECT (i + 0.5) / 512 * 7 AS x, ((i * 7) % 512) / 512.0 * 7 AS y, ((i * 13) % 512) / 512.0 * 3 AS z FROM range(512) r(i)), h AS (SELECT vec_id, count(*) FILTER (WHERE l.x + px >= -0.5 AND l.x + px <= 7.5 AND l.y + py >= -0.5 AND l.y + py <= 7.5 AND l.z + pz >= -0.5 AND l.z + pz <= 3.5) AS hits FROM v, l GROUP BY vec_id) SELECT vec_id, hits, hits > 512 / 20.0 AS overlaps FROM h")
 def flt9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a grid moved by each point still covers part of the unmoved one, on 512 fixed lattice points."""
-    covered = F.filter(F.sequence(F.lit(0), F.lit(511)), lambda i: g.inside(((i + 0.5) / 512 * 7 + P[0], (i * 7 % 512) / 512.0 * 7 + P[1], (i * 13 % 512) / 512.0 * 3 + P[2]), (8, 8, 4)))
+    covered = F.filter(F.sequence(F.lit(0), F.lit(511)), lambda i: g.inside(((i + 0.5) / 512 * 7 + P()[0], (i * 7 % 512) / 512.0 * 7 + P()[1], (i * 13 % 512) / 512.0 * 3 + P()[2]), (8, 8, 4)))
     hits = F.size(covered).cast("long")
     return vectors(spark, sf_dir).select("vec_id", hits.alias("hits")).withColumn("overlaps", F.col("hits") > 512 / 20)
 
 
 @query("rul15_prompt_opacity", f"WITH {V_SQL} SELECT vec_id, round(CASE WHEN abs(px) <= 1.65 THEN 1.0 WHEN abs(px) >= 20 THEN 0.0 ELSE 1 - (abs(px) - 1.65) / (20 - 1.65) END, 6) AS opacity FROM v")
 def rul15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors(spark, sf_dir).select("vec_id", F.round(rules.prompt_opacity(P[0], 3.3), 6).alias("opacity"))
+    return vectors(spark, sf_dir).select("vec_id", F.round(rules.prompt_opacity(P()[0], 3.3), 6).alias("opacity"))
 
 
 @query("win1_depths", f"WITH {V_SQL}, d AS (SELECT vec_id, unnest(range(1, 33)) AS n FROM v) SELECT vec_id, 1.5 + n * 3.3 AS depth FROM d WHERE 1.5 + n * 3.3 <= 60 AND 1.5 + n * 3.3 >= -60".replace("1.5 + n * 3.3 AS depth", "round(1.5 + n * 3.3, 6) AS depth"))
