@@ -202,7 +202,7 @@ def links(points: DataFrame, *, radius: int, agree: int = 0) -> DataFrame:
     keep = F.array(*(F.lit(signed(m)) for m in masks))
     rows = points.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"), "fp", "node", "sketch")
     rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.get(keep, F.col("t"))))
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "fp", "node", "sketch")
+    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "node").select("t", "fp", "node", "sketch")
     return bucket_edges(rows, masks, radius, agree).distinct()
 
 
@@ -278,19 +278,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
         left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
         return some.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, EDGES)
 
-    # A round tests each node's first and last partner; links that classes already imply need no
-    # test. Every other proposed link is tested in the end, so none is lost.
+    # Links that classes already imply need no test: the first round tests two partners of each
+    # document, the second sixteen, the last all that are left, so none is lost. A document
+    # has no more partners than there are masks.
     sure, comp, pending = None, None, edges
-    while pending.limit(1).count():
-        some = pending.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y")).select("b", F.explode(F.array_distinct(F.array("x", "y"))).alias("a")).select("a", "b")
+    for most in (2, 16, None):
+        some = pending
+        if most:
+            listed = pending.groupBy("b").agg(F.array_sort(F.collect_list("a")).alias("as"))
+            some = materialize(listed.select(F.explode(F.slice("as", 1, most)).alias("a"), "b"), "tested")
         new = verified(some)
         sure = materialize(new if sure is None else sure.union(new), "links")
         comp = components(sure)
-        of = [comp.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
-        rest = pending.join(some, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
-        pending = materialize(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pending")
-    if comp is None:
-        comp = components(edges)
+        if most:
+            of = [comp.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
+            rest = pending.join(some, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
+            pending = materialize(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pending")
+            if not pending.limit(1).count():
+                break
     of_text = nodes.join(comp, "node", "left").select("same", F.coalesce("component", "node").alias("class_id"))
     return seen.join(of_text, "same").select("doc_id", "class_id")
 
