@@ -85,7 +85,7 @@ def element_numbers(raw: Column) -> Column:
 
 def format_bytes(n: Column) -> Column:
     """Decimal sizes as shown to people."""
-    return F.when(n >= 1_000_000_000, F.format_string("%.1f GB", n / 1e9)).when(n >= 1_000_000, F.format_string("%.0f MB", n / 1e6)).otherwise(F.format_string("%.0f kB", n / 1e3))
+    return F.when(n >= 1_000_000_000, F.format_string("%.2f GB", n / 1e9)).when(n >= 1_000_000, F.format_string("%.0f MB", n / 1e6)).otherwise(F.format_string("%.0f kB", n / 1e3))
 
 
 def linear_channel(c: Column) -> Column:

@@ -84,8 +84,12 @@ def geo5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("geo6_edge_labels", f"WITH {V_SQL}, n AS (SELECT vec_id, ux, uy, uz, py * uz - pz * uy AS cx, pz * ux - px * uz AS cy, px * uy - py * ux AS cz FROM u) SELECT vec_id, {direction_sql('-cx', '-cy', '-cz')} AS top, {direction_sql('cx', 'cy', 'cz')} AS bottom, {direction_sql('-ux', '-uy', '-uz')} AS left, {direction_sql('ux', 'uy', 'uz')} AS right FROM n".replace(" AS left", ' AS "left"').replace(" AS right", ' AS "right"'))
 def geo6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = g.edge_labels(D(), g.cross(P(), g.normalize(D())))
-    return vectors(spark, sf_dir).select("vec_id", *(c.alias(n) for n, c in e.items()))
+    # staged, so that the labels share the cross product instead of repeating it
+    n = vectors(spark, sf_dir).select("vec_id", *P(), *(c.alias("u" + x) for c, x in zip(g.normalize(D()), "xyz", strict=True)))
+    u = tuple(F.col("u" + x) for x in "xyz")
+    n = n.select("vec_id", *u, *(c.alias("c" + x) for c, x in zip(g.cross(P(), u), "xyz", strict=True)))
+    e = g.edge_labels(u, tuple(F.col("c" + x) for x in "xyz"))
+    return n.select("vec_id", *(c.alias(k) for k, c in e.items()))
 
 
 CORNERS = "(SELECT a, b, c FROM (VALUES (-0.5), (7.5)) ra(a), (VALUES (-0.5), (7.5)) rb(b), (VALUES (-0.5), (3.5)) rc(c))"

@@ -136,7 +136,7 @@ def prj3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.get(s, F.lit(0)).alias("first"), F.size(s).cast("long").alias("n"))
 
 
-@query("fn_format_bytes", "WITH b AS (SELECT o_orderkey, CAST(floor(o_totalprice * 10000) AS BIGINT) + 1 AS n FROM orders) SELECT o_orderkey, CASE WHEN n >= 1000000000 THEN format('{:.1f} GB', n / 1e9) WHEN n >= 1000000 THEN format('{:.0f} MB', n / 1e6) ELSE format('{:.0f} kB', n / 1e3) END AS size FROM b")
+@query("fn_format_bytes", "WITH b AS (SELECT o_orderkey, CAST(floor(o_totalprice * 10000) AS BIGINT) + 1 AS n FROM orders) SELECT o_orderkey, CASE WHEN n >= 1000000000 THEN format('{:.2f} GB', n / 1e9) WHEN n >= 1000000 THEN format('{:.0f} MB', n / 1e6) ELSE format('{:.0f} kB', n / 1e3) END AS size FROM b")
 def fn_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.floor(F.col("o_totalprice") * 10000) + 1
     return table(spark, sf_dir, "orders").select("o_orderkey", scalar.format_bytes(n).alias("size"))
