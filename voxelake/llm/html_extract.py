@@ -65,8 +65,12 @@ def marked(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool)
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", value).lower())):
-            return True
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
+            if inside_article:  # an article's own header holds its headline
+                words.discard("header")
+            if not MARKS.isdisjoint(words):
+                return True
     return False
 
 
