@@ -89,8 +89,8 @@ def fuse(volumes: DataFrame, voxels: DataFrame, scales: DataFrame, grid: dict) -
     cells = spark.range(nx * ny * nz).select(F.col("id").alias("out"), (F.lit(ox) + (F.col("id") % nx) * step).alias("px"), (F.lit(oy) + F.floor(F.col("id") / nx) % ny * step).alias("py"), (F.lit(oz) + F.floor(F.col("id") / (nx * ny)) * step).alias("pz"))
     inverse = g.invert_affine(tuple(F.get("m", F.lit(n)) for n in range(12)))
     sources = volumes.select("volume_id", "nx", "ny", "nz", F.array(*inverse).alias("inv"))
-    # a study's few series: one row each, every cell meets every series
-    meet = cells.join(F.broadcast(sources.limit(64)))
+    # every cell meets every series of the study: one row each, sent out while they are few
+    meet = cells.join(F.broadcast(sources) if sources.count() <= 64 else sources)
     voxel = g.apply_affine(tuple(F.get("inv", F.lit(n)) for n in range(12)), tuple(F.col(c) for c in ("px", "py", "pz")))
     points = meet.select("out", "volume_id", "nx", "ny", "nz", *(v.alias(c) for v, c in zip(voxel, "xyz", strict=True)))
     reads = fusion_reads(points, voxels, ["out", "volume_id"]).join(scales, "volume_id")
