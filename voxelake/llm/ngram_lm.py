@@ -24,6 +24,8 @@ not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -47,14 +49,8 @@ def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the white-space words, A-Z lower-cased."""
     words = (text or "").encode().lower().split()
     _words.room()
-    get, digest = _words.get, xxhash.xxh64_intdigest
-    out = np.empty(len(words), dtype=np.uint64)
-    for i, w in enumerate(words):
-        h = get(w)
-        if h is None:
-            h = _words[w] = digest(w)
-        out[i] = h
-    return out
+    _words.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(_words))
+    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
@@ -93,8 +89,8 @@ def merge(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return u, np.bincount(at, weights=np.concatenate([f[1] for f in found]), minlength=len(u)).astype(np.int64)
 
 
-def block_counts(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams of a block of texts, with their counts; EMPTY counts the words."""
+def block_counts(hashes: Iterable[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of a block of texts (by their words' hashes), with their counts; EMPTY counts the words."""
     found, held, size, n_words = [], [], 0, 0
 
     def fold() -> None:
@@ -103,8 +99,7 @@ def block_counts(texts: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.nda
         while len(found) > 1 and len(found[-2][0]) < 2 * len(found[-1][0]):
             found[-2:] = [merge(found[-2:])]
 
-    for t in texts:
-        h = word_hashes(t.as_py())
+    for h in hashes:
         n_words += len(h)
         held += grams(h, order)
         size += order * len(h)
@@ -146,7 +141,7 @@ def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, doc_id: str =
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
 
     def request(table: pa.Table) -> pa.Table:
-        g, c = block_counts(table["text"], order)
+        g, c = block_counts((word_hashes(t.as_py()) for t in table["text"]), order)
         at = np.searchsorted(g, (np.arange(1, parts, dtype=np.float64) * (2.0**BITS / parts)).astype(np.uint64))
         out = [(p, pack_sorted(x), pack(y.astype(np.int32))) for p, (x, y) in enumerate(zip(np.split(g, at), np.split(c, at), strict=True)) if len(x)]
         block = table["block"][0].as_py()
@@ -159,13 +154,11 @@ def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, doc_id: str =
         return pa.table({"block": table["block"], "part": table["part"], "totals": pa.array(told, pa.binary())})
 
     def judge(texts: pa.Table, told: pa.Table) -> pa.Table:
-        known, _ = block_counts(texts["text"], order)
+        words = [word_hashes(t.as_py()) for t in texts["text"]]
+        known, _ = block_counts(words, order)
         total = np.concatenate([unpack(told["totals"][i].as_py(), np.int64) for i in np.argsort(told["part"].to_numpy(), kind="stable").tolist()])
-        n_words, sums = [], []
-        for t in texts["text"]:
-            h = word_hashes(t.as_py())
-            n_words.append(len(h))
-            sums.append(score(h, order, alpha, known, total) if len(h) else 0.0)
+        n_words = [len(h) for h in words]
+        sums = [score(h, order, alpha, known, total) if len(h) else 0.0 for h in words]
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
     asked = rows.groupBy("block").applyInArrow(request, "part int, block int, grams binary, counts binary")
