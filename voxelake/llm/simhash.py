@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelake.llm import prefix
 from voxelake.llm.common import materialize, mix64, slices
 from voxelake.llm.components import components
 
@@ -217,7 +218,7 @@ def classes(docs: DataFrame, *, shingle: int = 3, radius: int = 2, doc_id: str =
     return fps.join(of_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# --- near-duplicates by word shingles: covering LSH proposes, exact Jaccard decides ---
+# --- near-duplicates by word shingles: covering LSH and a prefix-filtered join propose, exact Jaccard decides ---
 
 
 def bag_fingerprint(words: list[bytes]) -> int:
@@ -245,49 +246,75 @@ def similarity(a: str | None, b: str | None, shingle: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+#: Distinct texts in which common shingles are looked for, and the number of them that makes one common.
+SAMPLE, OFTEN = 16_384, 3
+
+
+def common_shingles(rows: DataFrame, shingle: int) -> list[tuple[int, int]]:
+    """(hash, count) of shingles that several texts of a sample hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            h = [np.unique(hashes(shingles(words_of(t), shingle))) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], ["h"])
+
+    every = max(1, rows.count() // SAMPLE)
+    texts = rows.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    found = texts.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= OFTEN)
+    return [tuple(r) for r in found.orderBy(F.desc("count"), "h").limit(prefix.COMMON).collect()]
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, radius: int = 6, agree: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, class_id: groups of documents linked by Jaccard >= ``threshold`` over word shingles.
 
-    Texts equal in words are one class before anything else. Pairs of classes are
-    proposed by covering LSH on bag-of-words fingerprints within ``radius`` bits with
-    agreeing min-hash bytes, and every proposed link is verified exactly on the texts.
+    Texts equal in words are one class before anything else. Covering LSH on
+    bag-of-words fingerprints (within ``radius`` bits, with agreeing min-hash bytes)
+    proposes a star for each bucket, which finds most classes cheaply but not every
+    link: two members that miss its hub may be close. A prefix-filtered join on the
+    shingles then proposes every pair of different classes that can reach the
+    threshold. Each proposal is verified exactly on the texts.
     """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = prefix.Order(common.value)
         for b in slices(batches):
             out = []
             for t in b.column(1).to_pylist():
                 words = words_of(t)
                 h = hashes(shingles(words, shingle))
-                out.append((xxhash.xxh128_digest(b" ".join(words)), signed(bag_fingerprint(words)), signed(sketch_of(h))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.int64())))], ["doc_id", "same", "fp", "sketch"])
+                out.append((xxhash.xxh128_digest(b" ".join(words)), signed(bag_fingerprint(words)), signed(sketch_of(h)), *order.prefix(h, threshold)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())))], ["doc_id", "same", "fp", "sketch", "keys", "n"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "ta"):
             ok = [similarity(x, y, shingle) >= threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    seen = materialize(rows.mapInArrow(points, "doc_id long, same binary, fp long, sketch long"), "points")
+    seen = materialize(rows.mapInArrow(points, "doc_id long, same binary, fp long, sketch long, keys array<long>, n int"), "points")
     nodes = materialize(seen.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
     edges = materialize(links(nodes.filter("node is not null").select("node", "fp", "sketch"), radius=radius, agree=agree), "proposed")
-    wanted = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    texts = materialize(rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
 
-    def verified(some: DataFrame) -> DataFrame:
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct()
+        return materialize(rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+
+    def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
         return some.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, EDGES)
 
     # Links that classes already imply need no test: the first round tests two partners of each
-    # document, the second sixteen, the last all that are left, so none is lost. A document
+    # document, the second sixteen, the last all proposed ones that are left. A document
     # has no more partners than there are masks.
+    texts = texts_of(edges)
     sure, comp, pending = None, None, edges
     for most in (2, 16, None):
         some = pending
         if most:
             listed = pending.groupBy("b").agg(F.array_sort(F.collect_list("a")).alias("as"))
             some = materialize(listed.select(F.explode(F.slice("as", 1, most)).alias("a"), "b"), "tested")
-        new = verified(some)
+        new = verified(some, texts)
         sure = materialize(new if sure is None else sure.union(new), "links")
         comp = components(sure)
         if most:
@@ -296,6 +323,21 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
             pending = materialize(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pending")
             if not pending.limit(1).count():
                 break
+
+    # The rest, complete: what shares a prefix shingle and is not of one class yet, hubs first.
+    held = seen.join(nodes.select("same", "node"), "same").filter("doc_id = node").select("node", "keys", "n").join(comp, "node", "left")
+    listed = held.select("node", F.coalesce("component", "node").alias("class"), "n", F.posexplode("keys").alias("at", "key"))
+    buckets = materialize(prefix.buckets(listed.select("key", "node", "class", "n", "at")), "buckets")
+    tested, first = None, 0
+    for most in (1, 16, None):
+        now = buckets.drop("class").join(comp, "node", "left").withColumn("class", F.coalesce("component", "node"))
+        some = prefix.pairs(now.select("key", "node", "class", "n", "at", "rank", "m"), threshold, first, most)
+        some = materialize(some if tested is None else some.join(tested, ["a", "b"], "left_anti"), "tested")
+        first += most or 0
+        tested = some if tested is None else tested.union(some)
+        if some.limit(1).count():
+            sure = materialize(sure.union(verified(some, texts_of(some))), "links")
+            comp = components(sure)
     of_text = nodes.join(comp, "node", "left").select("same", F.coalesce("component", "node").alias("class_id"))
     return seen.join(of_text, "same").select("doc_id", "class_id")
 
