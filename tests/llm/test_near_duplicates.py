@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from voxelake.llm import simhash
+from voxelake.llm import prefix, simhash
 
 
 def by_all_pairs(rows: list) -> dict:
@@ -38,3 +39,34 @@ def test_groups_of_mutually_different_copies(spark):
                 copy[at] = f"e{rng.randint(0, 10**6)}"
             rows.append((len(rows), " ".join(copy)))
     assert found(spark, rows) == by_all_pairs(rows)
+
+
+def test_copies_with_an_appended_passage(spark):
+    """Most of them lie beyond the radius of the bags' fingerprints."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        base = words(rng, 240)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + words(rng, rng.randint(20, 52))))]
+    want = by_all_pairs(rows)
+    far = [i for i in range(120) if want[2 * i + 1] == 2 * i and (simhash.bag_fingerprint(simhash.words_of(rows[2 * i][1])) ^ simhash.bag_fingerprint(simhash.words_of(rows[2 * i + 1][1]))).bit_count() > 6]
+    assert len(far) > 20 and found(spark, rows) == want
+
+
+@pytest.mark.parametrize("tile", [4, 1024])
+def test_join_proposes_all_pairs_of_a_common_start(spark, monkeypatch, tile):
+    """Sets that share their hot elements, in large buckets too, with and without an order by count."""
+    monkeypatch.setattr(prefix, "TILE", tile)
+    rng = np.random.default_rng(13)
+    hot = rng.integers(0, 1 << 63, 30).astype(np.uint64)
+    sets = [np.unique(np.r_[hot[: rng.integers(20, 31)], rng.integers(0, 1 << 63, rng.integers(0, 9)).astype(np.uint64)]) for _ in range(60)]
+    own = [set(s.tolist()) for s in sets]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
+    for common in ([], [(int(x), 50) for x in hot.view(np.int64)]):
+        rows = [(int(k), i, i, n, at) for i, s in enumerate(sets) for keys, n in [prefix.Order(common).prefix(s, 0.8)] for at, k in enumerate(keys)]
+        buckets = prefix.buckets(spark.createDataFrame(rows, "key long, node long, class long, n int, at int")).cache()
+        got, first = set(), 0
+        for most in (1, 16, None):
+            got |= {tuple(r) for r in prefix.pairs(buckets, 0.8, first, most).collect()}
+            first += most or 0
+        assert want <= got and len(want) > 100
