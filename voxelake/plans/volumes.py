@@ -285,7 +285,7 @@ def shp2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shp8(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = histogram.signals(t1_voxels(spark, sf_dir)).select("idx", "k", "j", "i", F.col("signal").alias("value"))
     nz = f.agg(F.max("k") + 1).first()[0]
-    return shape.shapes(f, SPACING, NX, NY, nz, scales=(0.7, 1.4))
+    return shape.shapes(f, SPACING, NX, NY, nz)
 
 
 def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,7 +295,7 @@ def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = materialize(graph.mark_marrow(t, NX, NY, nz), "marked")
     field = histogram.signals(t1_voxels(spark, sf_dir)).select("idx", "k", "j", "i", F.col("signal").alias("value"))
     # the driver's grids are noise without real structures: the bars for shapes are lowered
-    seen = shape.shapes(field, SPACING, NX, NY, nz, scales=(0.7, 1.4), least=0.0)
+    seen = shape.shapes(field, SPACING, NX, NY, nz, least=0.0)
     dark = materialize(marked.filter("tissue = 'dark'").join(seen, "idx").select("idx", "k", "j", "i", "kind", "confidence"), "shapes")
     groups = materialize(graph.shape_groups(dark, NX, NY, nz, seed=0.01), "groups")
     ends = materialize(graph.split_ends(groups, *SPACING), "ends")
