@@ -4,15 +4,16 @@ A streaming pass of the standard library's parser turns a page into lines: a blo
 element's text, with the tags met on the way and the chain of elements it stands
 in. Every line has a text-to-tag ratio; the ratios are smoothed by a Gaussian along
 the page, and a threshold (one standard deviation's share of the mean) clusters
-lines into content and the rest. What surrounds content decides regions: the
-element that holds the most content by smoothed ratio is the page's article, and
-all of its lines belong to the text, short ones too, unless an element between
-marks them as something else (navigation, notices, forms, comments, adverts).
+lines into content and the rest. The clusters decide the region: the
+innermost block that holds every content line, and of the blocks that do, an
+article or main element if there is one. All lines of the region belong to the
+text, short ones too, unless an element marks them as something else (navigation,
+notices, forms, comments, adverts); headings right in front of it go with it.
 
 Defined results: null and empty html give an empty text; a page without content
 lines gives an empty text; unclosed and stray tags are tolerated, a page of any
-length is parsed whole, in pieces; repeated rows are each extracted; equal regions
-go to the earlier one; an empty table gives an empty result; other columns are not
+length is parsed whole, in pieces; repeated rows are each extracted; an
+empty table gives an empty result; other columns are not
 read.
 """
 
@@ -49,6 +50,9 @@ MARKS = frozenset(
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks that can be the region of the content.
+HOLDERS = BLOCKS - HEADINGS - {"p", "li", "td", "th"}
 ENDS_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 
 
@@ -168,30 +172,23 @@ def content(lines: list[tuple[str, int, tuple[int, ...], bool]], kinds: dict[int
     even = smooth(ratio, sigma)
     own = np.flatnonzero([not x[3] for x in lines])
     limit = even[own].mean() - 0.5 * even[own].std()
-    weight = {}
-    for i in own.tolist():
-        if even[i] >= limit:
-            size = len(lines[i][0])
-            for n in lines[i][2]:
-                weight[n] = weight.get(n, 0) + size
-    # the page's own word for its article wins; else the innermost element that holds most content
-    total = weight.get(0, 0)
-    for kind in ("article", "main"):
-        named = [n for n in weight if kinds[n] == kind]
-        if named:
-            top = [n for n in named if not any(m in named and m != n for m in chain_of(n, lines))]
-            if sum(weight[n] for n in top) >= 0.3 * total:
-                return [x[0] for x in ours if any(n in x[2] for n in top)]
-    region = max((n for n, w in weight.items() if w >= 0.7 * total and (n == 0 or kinds[n] in BLOCKS - {"p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6"})), default=0)
-    return [x[0] for x in ours if region in x[2]]
-
-
-def chain_of(n: int, lines: list) -> tuple[int, ...]:
-    """The elements around element ``n``."""
-    for x in lines:
-        if n in x[2]:
-            return x[2][: x[2].index(n)]
-    return ()
+    found = [i for i in own.tolist() if even[i] >= limit] or own.tolist()
+    holding = set(lines[found[0]][2]).intersection(*(lines[i][2] for i in found))
+    around = [n for n in lines[found[0]][2] if n in holding]
+    # all of these hold the whole content: the page's own word for its article decides, else the innermost block
+    named = [n for n in around if kinds[n] in ("article", "main")]
+    region = (named or [n for n in around if n == 0 or kinds[n] in HOLDERS])[-1]
+    first = next(n for n, x in enumerate(ours) if region in x[2])
+    title = first
+    if not heads(ours[first], kinds):  # the headline may stand in front of the block
+        while title and heads(ours[title - 1], kinds):
+            title -= 1
+    return [x[0] for n, x in enumerate(ours) if region in x[2] or title <= n < first]
+
+
+def heads(line: tuple[str, int, tuple[int, ...], bool], kinds: dict[int, str]) -> bool:
+    """Whether a line stands in a heading."""
+    return any(kinds[n] in HEADINGS for n in line[2])
 
 
 def main_text(html: str | None) -> str:
