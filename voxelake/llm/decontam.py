@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,21 +125,48 @@ def find(docs: DataFrame, bench: DataFrame, *, window: int = 10, broadcast_bytes
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bench = bench.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # a window repeats its words, so an index takes about `window` times the text
-    if size * window <= broadcast_bytes:
+    if _fits(bench, window, broadcast_bytes):
         return _broadcast(docs, bench, window)
     return _dealt(docs, bench, window)
 
 
-def _broadcast(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
-    spark = docs.sparkSession
+def keep_clean(docs: DataFrame, bench: DataFrame, *, window: int = 10, broadcast_bytes: int = 32 << 20, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window: each row is judged by its own text."""
+    bench = bench.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    at = docs.columns.index(text)
+    if _fits(bench, window, broadcast_bytes):
+        index = _index(texts, bench, window)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Windows(index.value)
+            for b in slices(batches, text):
+                yield b.filter(pa.array([not own.hits(words_of(t))[0] for t in b.column(at).to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(run, docs.schema)
+    leaks = _dealt(texts, bench, window, True).filter("contaminated").select(F.col("doc_id").alias("key__"))
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    return docs.withColumn("key__", key).join(leaks, "key__", "left_anti").select(*docs.columns)
+
+
+def _fits(bench: DataFrame, window: int, broadcast_bytes: int) -> bool:
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    # a window repeats its words, so an index takes about `window` times the text
+    return size * window <= broadcast_bytes
+
+
+def _index(docs: DataFrame, bench: DataFrame, window: int) -> Broadcast:
+    """The windows by rarest word, sent to every task."""
     found = [(tuple(w.encode().split(b" ")), items) for w, items in _windows(bench, window).collect()]
     vocabulary = frozenset(w for ws, _ in found for w in ws)
     n = {w.encode(): k for w, k in _word_counts(docs, None, vocabulary).collect()} if vocabulary else {}
     rows = [(min(ws, key=lambda w: (n.get(w, 0), w)), ws, items) for ws, items in found]
     # windows whose rarest word is nowhere in the corpus can't occur
-    index = spark.sparkContext.broadcast([r for r in rows if n.get(r[0], 0)])
+    return docs.sparkSession.sparkContext.broadcast([r for r in rows if n.get(r[0], 0)])
+
+
+def _broadcast(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
+    index = _index(docs, bench, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Windows(index.value)
@@ -160,8 +188,8 @@ def _rows(ids: pa.Array, rows: list[tuple[int, int, Iterable]]) -> pa.RecordBatc
     )
 
 
-def _dealt(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
-    """The join dealt out by prefix word; a row number keeps repeated doc_ids apart."""
+def _dealt(docs: DataFrame, bench: DataFrame, window: int, by_key: bool = False) -> DataFrame:
+    """The join dealt out by prefix word; with ``by_key`` one row for each text with candidates, doc_id its digest."""
     windows = _windows(bench, window)
     terms = windows.select("window", F.explode(F.array_distinct(F.split("window", " "))).alias("word"))
     counts = _word_counts(docs, terms.select("word").distinct(), None)
@@ -196,6 +224,9 @@ def _dealt(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
                 rows.append((len(ws), covered(spans), items))
             yield _rows(b.column(0), rows)
 
+    if by_key:
+        once = keyed.groupBy("key").agg(F.first("text").alias("text")).join(listed, "key")
+        return once.select("key", "text", "cand").mapInArrow(verify, OUT.replace("doc_id long", "doc_id string"))
     return keyed.join(listed, "key", "left").select("doc_id", "text", "cand").mapInArrow(verify, OUT)
 
 
