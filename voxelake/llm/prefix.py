@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 TILE = 1024
 #: At most so many common elements are put last.
-COMMON = 1 << 18
+COMMON = 1 << 16
 EDGES = "a long, b long"
 _ROWS = "key long, node long, class long, n int, at int"
 
@@ -30,11 +30,12 @@ _ROWS = "key long, node long, class long, n int, at int"
 class Order:
     """The global order: elements not known as common by hash, then the common ones, rarest first."""
 
-    def __init__(self, common: list[tuple[int, int]]):
-        """``common`` has (element as signed long, count)."""
-        h = np.array([x for x, _ in common], dtype=np.int64).view(np.uint64)
+    def __init__(self, common: np.ndarray | list[tuple[int, int]]):
+        """``common`` has rows (element as signed long, count)."""
+        rows = np.array(common, dtype=np.int64).reshape(-1, 2)
+        h = rows[:, 0].copy().view(np.uint64)
         at = np.argsort(h)
-        self.elements, self.counts = h[at], np.array([c for _, c in common], dtype=np.int64)[at]
+        self.elements, self.counts = h[at], rows[at, 1]
 
     def prefix(self, h: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
         """The elements of the set by which it is found (as signed longs), and its size."""

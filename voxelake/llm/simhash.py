@@ -247,11 +247,11 @@ def similarity(a: str | None, b: str | None, shingle: int) -> float:
 
 
 #: Distinct texts in which common shingles are looked for, and the number of them that makes one common.
-SAMPLE, OFTEN = 16_384, 3
+SAMPLE, OFTEN = 4096, 3
 
 
-def common_shingles(rows: DataFrame, shingle: int) -> list[tuple[int, int]]:
-    """(hash, count) of shingles that several texts of a sample hold."""
+def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Rows (hash, count) of shingles that several texts of a sample hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -261,7 +261,7 @@ def common_shingles(rows: DataFrame, shingle: int) -> list[tuple[int, int]]:
     every = max(1, rows.count() // SAMPLE)
     texts = rows.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
     found = texts.mapInArrow(run, "h long").groupBy("h").count().filter(F.col("count") >= OFTEN)
-    return [tuple(r) for r in found.orderBy(F.desc("count"), "h").limit(prefix.COMMON).collect()]
+    return np.array(found.orderBy(F.desc("count"), "h").limit(prefix.COMMON).collect(), dtype=np.int64).reshape(-1, 2)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, radius: int = 6, agree: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
