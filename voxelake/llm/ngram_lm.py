@@ -49,7 +49,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the white-space words, A-Z lower-cased."""
     words = (text or "").encode().lower().split()
     _words.room()
-    _words.update((w, xxhash.xxh64_intdigest(w)) for w in set(words).difference(_words))
+    _words.update((w, xxhash.xxh64_intdigest(w)) for w in _words.missing(set(words)))
     return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -130,15 +130,19 @@ def score(h: np.ndarray, order: int, alpha: float, known: np.ndarray, total: np.
     return float((out + penalty * (drop - level)).sum())
 
 
-def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, block_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score of each document.
 
-    The session's shuffle partitions set how many blocks and table partitions there are.
+    The corpus's bytes, read first, set how many blocks there are, about ``block_bytes``
+    of text each; four table partitions for each block keep those as small. Rows that
+    travel are blocks times partitions: a corpus of many TB wants blocks as large as its
+    executors can hold.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * n
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // block_bytes))
+    parts = 4 * n
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def request(table: pa.Table) -> pa.Table:
         g, c = block_counts((word_hashes(t.as_py()) for t in table["text"]), order)
