@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxelake.sources.shared import materialize, shared_dir
 
-__all__ = ["Memo", "materialize", "mix64", "shared_dir", "slices", "table"]
+__all__ = ["Memo", "free_name", "materialize", "mix64", "shared_dir", "slices", "table"]
 
 #: Text is handled in slices of about this many characters, so that one Arrow
 #: batch never unfolds into more than a few tens of MB of Python objects.
@@ -42,6 +42,14 @@ def _lengths(col: pa.Array) -> bytes:
     return pc.fill_null(pc.cast(pc.binary_length(col), pa.int64()), 0).to_numpy(zero_copy_only=False).tobytes()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores after it as make it none of the table's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (multiply, xor-shift) on uint64 arrays."""
     with np.errstate(over="ignore"):
@@ -51,12 +59,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A dict that a Python worker keeps between batches and that never grows past ``most``."""
+    """A dict that a Python worker keeps between batches, in two generations of about ``most`` entries.
+
+    ``missing`` brings what the older generation knows back into the younger one; what
+    no batch of a whole generation asked for is forgotten.
+    """
 
     def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
+        self.older: dict = {}
 
     def room(self) -> None:
         if len(self) > self.most:
+            self.older = dict(self)
             self.clear()
+
+    def missing(self, keys: Iterable) -> list:
+        """Those of the distinct ``keys`` that nothing is known of."""
+        new = [k for k in keys if k not in self]
+        if self.older:
+            known = [(k, self.older[k]) for k in new if k in self.older]
+            self.update(known)
+            if known:
+                new = [k for k in new if k not in self]
+        return new

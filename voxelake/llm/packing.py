@@ -54,7 +54,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.words, self.stems = Memo(300_000), Memo(300_000)
+        self.words, self.stems = Memo(400_000), Memo(250_000)
         ends = self.tok.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         self.ends_word[[i for t, i in ends.items() if t.endswith("</w>")]] = True
@@ -76,30 +76,52 @@ class Encoder:
                 self.stems.update((w, self.single(w)) for w in part)
 
     def learn(self, words: list[str]) -> None:
-        split = []
+        stems, marks = [], []  # two lists of strings: nothing for the garbage collector to walk
         for w in words:
+            stem, mark = "", w
             if w.isalpha():
-                split.append((folded(w), ""))
-            elif (m := STEM_MARKS.fullmatch(w)) and max(w) < PLAIN:
-                split.append((m[1].lower(), m[2]))
-            else:
-                split.append(("", w))
-        self.learn_stems(list({s for s, _ in split if s and s not in self.stems}))
-        self.stems.update((m, self.single(m)) for m in {m for s, m in split if s and m} if m not in self.stems)
-        for w, (s, m) in zip(words, split, strict=True):
-            self.words[w] = (self.stems[s] + self.stems[m] if m else self.stems[s]) if s else self.single(m) if m else b""
+                stem, mark = folded(w), ""
+            elif (m := STEM_MARKS.fullmatch(w)) and (w.isascii() or max(w) < PLAIN):
+                stem, mark = m[1].lower(), m[2]
+            stems.append(stem)
+            marks.append(mark)
+        self.learn_stems(self.stems.missing(set(filter(None, stems))))
+        parted = {m for s, m in zip(stems, marks, strict=True) if s and m}
+        self.stems.update((m, self.single(m)) for m in self.stems.missing(parted))
+        known = self.stems
+        for w, s, m in zip(words, stems, marks, strict=True):
+            self.words[w] = (known[s] + known[m] if m else known[s]) if s else self.single(m) if m else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.words.room()
         self.stems.room()
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(list({w for ws in words for w in ws if w not in self.words}))
-        return [b"".join(map(self.words.__getitem__, ws)) for ws in words]
+        out: list[bytes] = []
+        parts = [lowered(t).replace("\n", " ").split(" ") for t in texts]
+        words = [w for ws in parts for w in ws]
+        ids = list(map(self.words.get, words))
+        new = [i for i, x in enumerate(ids) if x is None]
+        self.learn(self.words.missing({words[i] for i in new}))
+        for i in new:
+            ids[i] = self.words[words[i]]
+        at = 0
+        for ws in parts:
+            out.append(b"".join(ids[at : at + len(ws)]))
+            at += len(ws)
+        return out
+
+
+def lowered(text: str) -> str:
+    """Lower case where all letters are Latin-1, as the vocabulary's own rule has it there; other texts as they are."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
 def folded(stem: str) -> str:
     """Lower case where it is letter by letter; the vocabulary's own rule decides elsewhere."""
-    return stem.lower() if max(stem) < PLAIN else stem
+    return stem.lower() if stem.isascii() or max(stem) < PLAIN else stem
 
 
 @lru_cache(maxsize=2)
@@ -228,7 +250,7 @@ def pack(
         done = done.unionByName(level.filter(full))
         rest = level.filter(~full)
         now = level.count()
-        if tasks == 1 or now > 0.995 * left:
+        if tasks == 1 or now == left:
             break
         left = rest.count()
     bins = done.unionByName(rest).select(F.monotonically_increasing_id().alias("sequence_id"), "members")
