@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelake.llm.common import slices
+from voxelake.llm.common import free_name, slices
 
 #: Everything in ASCII that is not a digit or a lower-case letter separates words.
 _GAPS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -144,9 +144,10 @@ def keep_clean(docs: DataFrame, bench: DataFrame, *, window: int = 10, broadcast
                 yield b.filter(pa.array([not own.hits(words_of(t))[0] for t in b.column(at).to_pylist()], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
-    leaks = _dealt(texts, bench, window, True).filter("contaminated").select(F.col("doc_id").alias("key__"))
+    name = free_name(docs, "key")
+    leaks = _dealt(texts, bench, window, True).filter("contaminated").select(F.col("doc_id").alias(name))
     key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    return docs.withColumn("key__", key).join(leaks, "key__", "left_anti").select(*docs.columns)
+    return docs.withColumn(name, key).join(leaks, name, "left_anti").select(*docs.columns)
 
 
 def _fits(bench: DataFrame, window: int, broadcast_bytes: int) -> bool:

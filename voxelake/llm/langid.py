@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Each language has a character n-gram model within words (marked begin and end).
-Spark counts the longest n-grams of a sample of labelled documents, of which the
-shorter orders' continuation counts follow by aggregation. A model is a few sorted
+Spark counts the longest n-grams of a sample of labelled documents; a task for each
+language derives the shorter orders' continuation counts and fits its model. A model is a few sorted
 arrays of n-gram hashes with their probabilities and back-off weights. A text's
 language is that of the lowest cross-entropy per predicted character; entropies of
 words are kept in a bounded memo, so a whole text costs one lookup a word.
@@ -19,7 +19,8 @@ Defined results: null and letterless texts are ``und`` with score 0 and rejected
 texts of any length are read whole; ties in entropy go to the smaller language
 name; documents without a language are predicted, not learned; repeated rows count
 each; if nothing can be learned everything is ``und``; an empty table gives an
-empty result; other columns are not read.
+empty result; other columns are handed on as they are, but for one that has the
+verdict's name, which ``identify`` replaces.
 """
 
 from __future__ import annotations
@@ -32,13 +33,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxelake.llm.common import Memo, mix64, slices
+from voxelake.llm.common import Memo, materialize, mix64, slices
 
 UND = "und"
 BEGIN, END = "\x02", "\x03"
 _LETTERS = regex.compile(r"\p{L}+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: So many languages' shares are sent to every task; more are joined.
+SENT = 100_000
 
 
 def context_hashes(chars: np.ndarray) -> list[np.ndarray]:
@@ -154,17 +158,16 @@ class Models:
         return total[:, :-1], total[:, -1]
 
 
-def _spread(docs: DataFrame, sample: int, languages: int) -> DataFrame:
+def _spread(docs: DataFrame, sample: int) -> DataFrame:
     """Labelled documents of the fit (part 0) and of the calibration (part 1), by a hash of the id.
 
-    The shares of the languages, at most ``languages`` numbers, go into the filter itself,
-    so that no text is shuffled to draw the sample.
+    The languages' shares go to the texts, as long as there are no more than ``SENT``
+    languages, so that no text is shuffled to draw the sample.
     """
-    per = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    shares = F.create_map(*(F.lit(x) for r in per for x in (r.lang, min(0.5, sample / r.n)))) if per else F.create_map().cast("map<string,double>")
+    per = materialize(docs.groupBy("lang").agg(F.least(F.lit(0.5), F.lit(float(sample)) / F.count("*")).alias("share")), "languages")
     u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    share = shares[F.col("lang")]
-    return docs.withColumn("part", F.when(u < share, 0).when(u < 2 * share, 1)).filter("part is not null").select("lang", "text", "part")
+    rows = docs.join(F.broadcast(per) if per.count() <= SENT else per, "lang")
+    return rows.withColumn("part", F.when(u < F.col("share"), 0).when(u < 2 * F.col("share"), 1)).filter("part is not null").select("lang", "text", "part")
 
 
 @dataclass
@@ -189,13 +192,30 @@ class Identifier:
         return out
 
 
-def train(docs: DataFrame, *, sample: int = 3000, languages: int = 512, order: int = 4, quantile: float = 0.999, margin: float = 1.1, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Identifier:
-    """Fit and calibrate on documents with a language, of the ``languages`` most frequent ones.
+def fit_language(counts: pa.Table) -> pa.Table:
+    """The orders of one language's model, of rows (lang, gram, n) of its longest n-grams."""
+    grams = dict(zip(counts["gram"].to_pylist(), counts["n"].to_pylist(), strict=True))
+    orders = []
+    while grams:
+        orders.append(fit_order(sorted(grams.items())))
+        shorter: dict[str, int] = {}
+        for g in grams:  # continuation counts: how many different characters a shorter n-gram follows
+            if len(g) > 1:
+                shorter[g[1:]] = shorter.get(g[1:], 0) + 1
+        grams = shorter
+    rows = [(k, *(x.tobytes() for x in (o.grams, o.prob, o.heads, o.back))) for k, o in enumerate(reversed(orders))]
+    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)]
+    return pa.Table.from_arrays([pa.array([counts["lang"][0].as_py()] * len(rows)), *columns], ["lang", "k", "grams", "prob", "heads", "back"])
 
-    What comes to the driver is bounded by ``sample`` and ``languages``.
+
+def train(docs: DataFrame, *, sample: int = 3000, order: int = 4, quantile: float = 0.999, margin: float = 1.1, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Identifier:
+    """Fit and calibrate on documents with a language.
+
+    Each language is fitted in a task of its own; the finished models, whose size
+    ``sample`` bounds, come to the driver.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    chosen = _spread(rows, sample, languages)
+    chosen = _spread(rows, sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, str], int] = {}
@@ -213,23 +233,17 @@ def train(docs: DataFrame, *, sample: int = 3000, languages: int = 512, order: i
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["lang", "gram", "n"])
 
     level = chosen.filter("part = 0").select("lang", "text").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    tables: dict[str, list[list[tuple[str, int]]]] = {}
-    top = level.collect()
-    for r in top:
-        tables.setdefault(r.lang, [[] for _ in range(order)])[order - 1].append((r.gram, r.n))
-    # continuation counts: how many different characters a shorter n-gram follows
-    for own in tables.values():
-        for k in range(order - 1, 0, -1):
-            n: dict[str, int] = {}
-            for g, _ in own[k]:
-                n[g[1:]] = n.get(g[1:], 0) + 1
-            own[k - 1] = list(n.items())
-    if not tables:
+    level = materialize(level, "grams")
+    found = level.groupBy("lang").applyInArrow(fit_language, "lang string, k int, grams binary, prob binary, heads binary, back binary").collect()
+    if not found:
         return Identifier(None, np.empty(0))
-    names = sorted(tables)
-    alphabet = 1 + len({g[-1] for own in tables.values() for g, _ in own[0]})
+    orders: dict[str, list[Order]] = {}
+    for r in sorted(found, key=lambda r: (r.lang, r.k)):
+        orders.setdefault(r.lang, []).append(Order(*(np.frombuffer(x, kind) for x, kind in ((r.grams, np.uint64), (r.prob, float), (r.heads, np.uint64), (r.back, float)))))
+    names = list(orders)
     # a begin mark is never predicted: n-grams ending in one don't occur
-    models = Models(names, [[fit_order(sorted(o)) for o in tables[name]] for name in names], alphabet)
+    alphabet = 1 + level.select(F.substring("gram", -1, 1)).distinct().count()
+    models = Models(names, [orders[name] for name in names], alphabet)
     held = docs.sparkSession.sparkContext.broadcast(models)
 
     def entropy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,22 +259,39 @@ def train(docs: DataFrame, *, sample: int = 3000, languages: int = 512, order: i
     return Identifier(models, np.array([margin * limit.get(name, np.inf) for name in names]))
 
 
-def identify(docs: DataFrame, model: Identifier, *, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred, score, entropy and rejected added (a struct named ``langid``)."""
+def identify(docs: DataFrame, model: Identifier, *, text: str = "text", into: str = "langid") -> DataFrame:
+    """All columns of ``docs`` and a struct ``into``: lang_pred, score, entropy, rejected.
+
+    A column that has the struct's name already is replaced.
+    """
+    docs = docs.drop(into)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.schema
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for b in slices(batches, text):
-            rows = own.predict([t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()])
+            rows = own.predict([t or "" for t in b.column(at).to_pylist()])
             found = pa.array([dict(zip(("lang_pred", "score", "entropy", "rejected"), r, strict=True)) for r in rows], FOUND)
-            yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, "langid"])
+            yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, into])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, OUT)]))
+
+
+def keep_identified(docs: DataFrame, model: Identifier, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with just their own columns, that are not rejected."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for b in slices(batches, text):
+            yield b.filter(pa.array([not r[3] for r in own.predict([t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(run, f"{ddl}, langid struct<lang_pred:string,score:double,entropy:double,rejected:boolean>")
+    return docs.mapInArrow(run, docs.schema)
 
 
+OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 FOUND = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("rejected", pa.bool_())])
 
 

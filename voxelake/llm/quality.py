@@ -14,7 +14,8 @@ Defined results: null and empty texts have no features and get the grades' prior
 rows without a rating are not learned; with no grade above 0 known, every text
 gets grade 0 and tail 1, and is kept; repeated rows count each; very long
 texts are read whole; ties at the limit are kept; an empty table gives an empty
-result; other columns are not read.
+result; other columns are handed on as they are, but for one that has the verdict's
+name, which ``judge`` replaces.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxelake.llm.common import Memo, slices
 
@@ -70,16 +73,14 @@ class Features:
         words = (text or "").split()
         if not words:
             return np.empty(0, dtype=np.int64)
-        slots, shapes, get = set(), {}, self.memo.get
-        distinct = dict.fromkeys(words, 0)
-        for w in words:
-            distinct[w] += 1
+        slots, shapes, get = set(), {}, self.memo.__getitem__
+        distinct = Counter(words)
+        for w in self.memo.missing(distinct):
+            bare, form = bare_and_shape(w)
+            own = [self.slot(f"{len(x)}:{x}") for x in {bare, bare[:4]} if x]
+            self.memo[w] = (form, own if self.used is None else [x for x in own if self.used[x]])
         for w, n in distinct.items():
             known = get(w)
-            if known is None:
-                bare, form = bare_and_shape(w)
-                own = [self.slot(f"{len(x)}:{x}") for x in {bare, bare[:4]} if x]
-                known = self.memo[w] = (form, own if self.used is None else [x for x in own if self.used[x]])
             if known[1]:
                 slots.update(known[1])
             shapes[known[0]] = shapes.get(known[0], 0) + n
@@ -113,6 +114,12 @@ class Ordinal:
         """P(grade >= k) for k = 1.. (columns) of each score."""
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
+    def verdicts(self, texts: list[str | None], tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Expected grade and P(grade >= ``tail``) of each text; the highest grade is meant by None."""
+        tails = self.tails(np.array([self.weights[self.features.of(t)].sum() for t in texts]))
+        column = (self.grades - 1 if tail is None else tail) - 1
+        return tails.sum(axis=1), tails[:, column] if tails.shape[1] else np.full(len(tails), float(self.grades == 1 and column < 0))
+
 
 def fit(rows: list[np.ndarray], grade: np.ndarray, grades: int, width: int, *, steps: int = 400, rate: float = 0.1, ridge: float = 1e-5, sure: float = 5.0, least: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the cumulative-link likelihood.
@@ -185,29 +192,41 @@ def train(rated: DataFrame, *, sample: int = 16_000, width: int = 1 << 18, doc_i
     return Ordinal(np.frombuffer(solved[0].w, dtype=np.float32).astype(np.float64), np.frombuffer(solved[0].t, dtype=np.float64), grades, width)
 
 
-def judge(docs: DataFrame, model: Ordinal, *, tail: int | None = None, least: float = 0.5, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and a struct ``quality``: expected_grade, tail_prob, keep.
+def judge(docs: DataFrame, model: Ordinal, *, tail: int | None = None, least: float = 0.5, text: str = "text", into: str = "quality") -> DataFrame:
+    """All columns of ``docs`` and a struct ``into``: expected_grade, tail_prob, keep.
 
     tail_prob is P(grade >= ``tail``), the highest grade unless told otherwise; ``keep``
-    says that it is at least ``least``.
+    says that it is at least ``least``. A column that has the struct's name already is
+    replaced.
     """
+    docs = docs.drop(into)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for b in slices(batches, text):
+            expected, p = own.verdicts(b.column(at).to_pylist(), tail)
+            rows = [{"expected_grade": float(e), "tail_prob": float(x), "keep": bool(x >= least)} for e, x in zip(expected, p, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, VERDICT)], [*b.schema.names, into])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, OUT)]))
+
+
+def keep_good(docs: DataFrame, model: Ordinal, *, tail: int | None = None, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with just their own columns, whose tail probability is at least ``least``."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    column = (model.grades - 1 if tail is None else tail) - 1
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        make = own.features
         for b in slices(batches, text):
-            s = np.array([own.weights[make.of(t)].sum() for t in b.column(b.schema.get_field_index(text)).to_pylist()])
-            tails = own.tails(s)
-            p = tails[:, column] if tails.shape[1] else np.full(len(s), float(model.grades == 1 and column < 0))
-            rows = [{"expected_grade": float(e), "tail_prob": float(x), "keep": bool(x >= least)} for e, x in zip(tails.sum(axis=1), p, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, VERDICT)], [*b.schema.names, "quality"])
+            yield b.filter(pa.array(own.verdicts(b.column(at).to_pylist(), tail)[1] >= least, pa.bool_()))
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, quality struct<expected_grade:double,tail_prob:double,keep:boolean>")
+    return docs.mapInArrow(run, docs.schema)
 
 
+OUT = T.StructType([T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_prob", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 VERDICT = pa.struct([("expected_grade", pa.float64()), ("tail_prob", pa.float64()), ("keep", pa.bool_())])
 
 

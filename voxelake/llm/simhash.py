@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelake.llm import prefix
-from voxelake.llm.common import materialize, mix64, slices
+from voxelake.llm.common import free_name, materialize, mix64, slices
 from voxelake.llm.components import components
 
 SEED = 42
@@ -351,5 +351,6 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     lost = near_duplicates(docs, **how).filter("class_id is not null and class_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
     kept = docs.join(lost, doc_id, "left_anti")
     # one row of a repeated doc_id
-    marked = kept.withColumn("__copy", F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()).otherwise(-1))
-    return marked.dropDuplicates([doc_id, "__copy"]).select(*docs.columns)
+    copy = free_name(docs, "copy")
+    marked = kept.withColumn(copy, F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()).otherwise(-1))
+    return marked.dropDuplicates([doc_id, copy]).select(*docs.columns)
