@@ -20,27 +20,42 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of the best grade is not under one half."""
-    model = quality.train(quality.graded(docs, table(spark, sf_dir, "labels")))
-    return quality.judge(docs, model).filter("quality.keep").select(*docs.columns)
+    """Documents whose probability of the best grade is not under one half.
+
+    Null and empty texts get the grades' prior; ties at one half stay; with nothing
+    rated everything stays; repeated rows are judged each.
+    """
+    return quality.keep_good(docs, quality.train(quality.graded(docs, table(spark, sf_dir, "labels"))))
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: not rejected by the calibrated models."""
-    return langid.identify(docs, langid.train(docs)).filter("not langid.rejected").select(*docs.columns)
+    """Documents whose language is known: not rejected by the calibrated models.
+
+    Null, empty and letterless texts go; with no language known everything goes;
+    repeated rows are judged each.
+    """
+    return langid.keep_identified(docs, langid.train(docs))
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies."""
+    """One document, of the smallest doc_id, of each group of exact and near copies.
+
+    Texts without words are copies of each other; of repeated doc_ids one row stays;
+    rows without a doc_id stay.
+    """
     return simhash.deduplicate(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window."""
+    """Documents that hold no benchmark window: each row is judged by its own text.
+
+    Null and empty texts stay; an empty benchmark drops nothing.
+    """
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences; null and empty texts are one end token."""
     return packing.pack(docs, PACK_VOCABULARY)
 
 
