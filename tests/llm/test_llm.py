@@ -309,12 +309,48 @@ def test_neighbours_recall_and_order(spark, sf_dir):
 
 def test_neighbours_of_strange_vectors(spark):
     nan = float("nan")
-    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [-1.0, 1.0]), (20, [0.0, 3.0]), (None, [1.0, 1.0]), (9, [])]
-    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect()
-    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 20, 0.0), (0, 4, 8, -1.0), (20, 1, 8, 3.0), (20, 2, 0, 0.0), (20, 3, 1, 0.0), (20, 4, 2, 0.0)]
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [-1.0, 1.0]), (20, [0.0, 3.0]), (None, [1.0, 1.0]), (9, []), (40, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id long, embedding array<float>, rank int, vec string")
+    got = ann.search(df).orderBy("query_id", "rank").collect()
+    own = [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 20, 0.0), (0, 4, 8, -1.0), (20, 1, 8, 3.0), (20, 2, 0, 0.0), (20, 3, 1, 0.0), (20, 4, 2, 0.0)]
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [*own, (40, 1, 7, 1.0)]
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_tie_to_the_smaller_id(spark):
+    """Hundreds of equal vectors at odd places of their shards: the smallest ids win."""
+    rng = np.random.default_rng(4)
+    base, rows = rng.normal(size=64), []
+    for i in range(3000):
+        rows.append((i, (base if i % 7 == 3 else rng.normal(size=64) * 0.5).astype(np.float32).tolist()))
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=700).filter("query_id % 140 = 80").toPandas()
+    alike = [i for i in range(3000) if i % 7 == 3]
+    assert len(got) == 20 * 21
+    for q, g in got.groupby("query_id"):
+        own = [i for i in alike if i != q][:20]
+        if q % 7 == 3:
+            assert g.sort_values("rank").vec_id.tolist() == own and g.score.nunique() == 1
+
+
+def test_neighbours_by_regions(spark):
+    """Clustered vectors: few regions are visited, and the recall holds."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 3
+    x = (centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 16)) * 0.3).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    how = dict(pivots=64, block=128, length=32, share=0.5, at_least=40)
+    known = ann.spaces(ann.usable(df, "vec_id", "embedding"), pivots=64, sample=2048, block=128, is_query="vec_id % 20 = 0")
+    ann.calibrate(ann.usable(df, "vec_id", "embedding"), known, is_query="vec_id % 20 = 0", k=20, within=0.98, tried=256)
+    assert 1 <= known[16].visits < known[16].regions / 2
+    hit = total = 0
+    for q, g in ann.search(df, **how).toPandas().groupby("query_id"):
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:20]) & set(g.vec_id))
+        total += 20
+    assert total == 300 * 20 and hit / total > 0.9
+
+
 def test_pipeline_against_its_operators(spark):
     """run() equals its stages by hand: kept sets by brute force on each stage's own input."""
     import corpus_pipeline as c

@@ -7,29 +7,39 @@ footrule distance of the truncated permutations: a pivot that both hold at place
 i and j brings them 2 * (length - max(i, j)) closer. The nearest by footrule, ties
 included, are reranked on the original vectors in double precision.
 
-The index is sharded: every row is posted, in blocks of bounded size, each with
-its own inverted files. Queries travel in blocks too, so that a task holds one
-block of either side; a query's best of each shard are merged. Work is queries
-times rows, divided by about pivots/length, which is what an exact query set
-against all rows takes; no group, key or bucket grows with the data.
+The index is sharded by region: a vector's region is the nearest of the first
+pivots, about one region for every ``block`` vectors, at most as many as there are
+pivots; a region larger than that is dealt out to several shards, each with its own
+inverted files. A query visits its nearest regions only. How many is measured: a
+bounded sample of queries is compared with all rows, and as many regions are
+visited as hold ``within`` of their true neighbours. Queries travel in blocks too,
+so that a task holds one block of either side; a query's best of each shard are
+merged. How much is left out is up to the data: unstructured vectors leave little.
 
 Largest inner product is nearest neighbour after one more coordinate brings all
 vectors to the norm of the longest; pivots see vectors that way.
 
 Defined results: vectors null, empty, zero, or with null or non-finite components
-take no part, nor do vectors of another dimension than the most common one; ties
-in score go to the smaller id; a repeated id is no candidate of itself; fewer
-candidates than wanted are all returned, down to none; an empty table gives an
-empty result; other columns are not read.
+take no part; vectors of different dimensions are searched apart, each dimension by
+its own pivots; scores are summed in the components' order, wherever a vector lies,
+so that equal vectors tie; ties go to the smaller id; a repeated id is no candidate
+of itself; fewer candidates than wanted are all returned, down to none; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelake.llm.common import materialize
+
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -68,11 +78,42 @@ def permutations(units: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarr
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one dimension as rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
+def directions(q: np.ndarray) -> np.ndarray:
+    """Queries as pivots see them: of unit length, level in the coordinate that was added."""
+    return np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))])
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner product of each row with ``q``, the same for equal rows wherever they lie."""
+    return np.einsum("ij,j->i", x, q)
+
+
+def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores, largest first, ties to the smaller id."""
+    at = np.arange(len(score))
+    if len(score) > k:  # ties at the edge stay until ids decide
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    return at[np.lexsort((ids[at], -score[at]))[:k]]
+
+
+@dataclass
+class Space:
+    """What is known of the vectors of one dimension; its size is bounded by the pivots."""
+
+    n: int
+    longest: float
+    pivots: np.ndarray
+    regions: int = 1
+    queries: int = 0
+    visits: int = 1
+
+
 class InvertedFiles:
     """The pivot inverted files of one block."""
 
@@ -92,6 +133,59 @@ class InvertedFiles:
         return -2.0 * np.bincount(rows, weights=gain, minlength=self.n)
 
 
+def by_dimension(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches of (id, vector) taken apart by the vectors' dimension."""
+    for b in batches:
+        size = pc.list_value_length(b.column(1))
+        for d in pc.unique(size).to_pylist():
+            yield d, b.filter(pc.equal(size, d))
+
+
+def spaces(every: DataFrame, *, pivots: int, sample: int, block: int, is_query: str) -> dict[int, Space]:
+    """The dimensions there are, each with pivots from ``sample`` of its rows, drawn by a hash of the id."""
+    squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    seen = every.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(squares).alias("top"), F.count_if(F.expr(is_query)).alias("queries")).filter("queries > 0").collect()
+    drawn = F.row_number().over(Window.partitionBy(F.size("vec")).orderBy(F.xxhash64("vec_id"), "vec_id"))
+    rows: dict[int, list] = {}
+    for r in every.withColumn("drawn", drawn).filter(F.col("drawn") <= sample).orderBy("drawn").collect():
+        rows.setdefault(len(r.vec), []).append(r.vec)
+    out = {}
+    for r in seen:
+        longest = float(np.sqrt(r.top)) * (1 + 1e-12)
+        own = choose_pivots(lift(np.array(rows[r.dim], dtype=np.float64), longest), pivots)
+        regions = min(len(own), max(1, -(-r.n // block)))
+        out[r.dim] = Space(r.n, longest, own, regions, r.queries, regions)
+    return out
+
+
+def calibrate(every: DataFrame, known: dict[int, Space], *, is_query: str, k: int, within: float, tried: int) -> None:
+    """Sets how many regions a query visits, by the true neighbours of at most ``tried`` queries a dimension."""
+    held = every.sparkSession.sparkContext.broadcast(known)
+    asked: dict[int, list] = {}
+    drawn = F.row_number().over(Window.partitionBy(F.size("vec")).orderBy(F.xxhash64("vec_id", F.lit("tried")), "vec_id"))
+    for r in every.filter(is_query).withColumn("drawn", drawn).filter(F.col("drawn") <= tried).collect():
+        asked.setdefault(len(r.vec), []).append((r.vec_id, r.vec))
+    sent = every.sparkSession.sparkContext.broadcast({d: (np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)) for d, rows in asked.items()})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, b in by_dimension(batches):
+            if d not in sent.value:
+                continue
+            (q_ids, q), space, ids, x = sent.value[d], held.value[d], b.column(0).to_numpy(), matrix(b.column(1))
+            region = permutations(lift(x, space.longest), space.pivots[: space.regions], 1)[:, 0]
+            visit = permutations(directions(q), space.pivots[: space.regions], space.regions).argsort(axis=1)  # region -> when it is visited
+            for i, near in enumerate(q @ x.T):
+                near[ids == q_ids[i]] = -np.inf
+                at = best(near, ids, k)
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(at), pa.int32()), pa.array([int(q_ids[i])] * len(at)), pa.array(ids[at]), pa.array(near[at]), pa.array(visit[i, region[at]].astype(np.int32))], ["dim", "query_id", "vec_id", "score", "visit"])
+
+    found = every.mapInArrow(scan, "dim int, query_id long, vec_id long, score double, visit int").filter("score > double('-inf')")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    true = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    for r in true.groupBy("dim").agg(F.percentile("visit", F.lit(within)).alias("v")).collect():
+        known[r.dim].visits = min(known[r.dim].regions, int(np.ceil(r.v)) + 1)
+
+
 def search(
     rows: DataFrame,
     *,
@@ -102,61 +196,75 @@ def search(
     sample: int = 2048,
     share: float = 0.15,
     at_least: int = 200,
+    within: float = 0.98,
+    tried: int = 256,
     block: int = 8192,
-    query_block: int = 2048,
+    query_block: int = 8192,
     vec_id: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query row.
 
-    ``pivots`` come from ``sample`` rows, the only part fitted on a sample. ``share`` of
-    a block's rows, and no fewer than ``at_least``, are reranked for each query.
+    ``pivots`` come from ``sample`` rows of a dimension, the only part fitted on a sample.
+    ``share`` of a shard's rows, and no fewer than ``at_least``, are reranked for each query.
+    Up to eight regions are all visited; of more, as many as ``calibrate`` finds.
     """
     spark = rows.sparkSession
     every = usable(rows, vec_id, vector)
-    shape = every.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not shape:
+    known = spaces(every, pivots=pivots, sample=sample, block=block, is_query=is_query)
+    if not known:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, longest = shape[0].dim, shape[0].n, float(np.sqrt(shape[0].top)) * (1 + 1e-12)
-    every = every.filter(F.size("vec") == dim)
-    first = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    chosen = choose_pivots(lift(np.array([r.vec for r in first], dtype=np.float64).reshape(-1, dim), longest), pivots)
-    length = min(length, len(chosen))
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-every.filter(is_query).count() // query_block))
-    held = spark.sparkContext.broadcast(chosen)  # at most `pivots` vectors
-
-    def post(batches):
-        for b in batches:
-            if b.num_rows:
-                perm = permutations(lift(matrix(b.column(1)), longest), held.value, length)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([p.tobytes() for p in perm], pa.binary())], ["vec_id", "vec", "perm"])
+    if max(s.regions for s in known.values()) > 8:
+        calibrate(every, known, is_query=is_query, k=k, within=within, tried=tried)
+    held = spark.sparkContext.broadcast(known)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, b in by_dimension(batches):
+            if space := held.value.get(d):
+                units = lift(matrix(b.column(1)), space.longest)
+                perm = permutations(units, space.pivots, min(length, len(space.pivots)))
+                region = permutations(units, space.pivots[: space.regions], 1)[:, 0]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(perm), d, np.int32)), pa.array(region.astype(np.int32)), pa.array([p.tobytes() for p in perm], pa.binary())], ["vec_id", "vec", "dim", "region", "perm"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, b in by_dimension(batches):
+            space = held.value[d]
+            units = directions(matrix(b.column(1)))
+            perm = permutations(units, space.pivots, min(length, len(space.pivots)))
+            visit = permutations(units, space.pivots[: space.regions], space.visits).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(perm), d, np.int32)), pa.array(visit.tolist(), pa.list_(pa.int32())), pa.array([p.tobytes() for p in perm], pa.binary())], ["vec_id", "vec", "dim", "visit", "perm"])
 
     def nearest(queries: pa.Table, data: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
         if len(queries) and len(data):
+            n_pivots = len(held.value[data["dim"][0].as_py()].pivots)
             x, ids = matrix(data["vec"]), data["vec_id"].to_numpy()
-            files = InvertedFiles(np.frombuffer(b"".join(data["perm"].to_pylist()), dtype=np.int16).reshape(-1, length), len(held.value))
+            posted, own = (np.frombuffer(b"".join(t["perm"].to_pylist()), dtype=np.int16).reshape(len(t), -1) for t in (data, queries))
+            files = InvertedFiles(posted, n_pivots)
             q, q_ids = matrix(queries["vec"]), queries["vec_id"].to_numpy()
-            own = permutations(np.hstack([q / np.linalg.norm(q, axis=1)[:, None], np.zeros((len(q), 1))]), held.value, length)
             take = min(len(x), max(at_least, int(share * len(x))))
             for i in range(len(q)):
                 far = files.footrule(own[i])
                 cand = np.flatnonzero(far <= np.partition(far, take - 1)[take - 1])
                 cand = cand[ids[cand] != q_ids[i]]
-                score = x[cand] @ q[i]
-                if len(cand) > k:  # ties at the edge stay until ids decide
-                    keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-                    cand, score = cand[keep], score[keep]
-                best = np.lexsort((ids[cand], -score))[:k]
-                found.append((np.full(len(best), q_ids[i]), ids[cand[best]], score[best]))
+                score = products(x[cand], q[i])
+                at = best(score, ids[cand], k)
+                found.append((np.full(len(at), q_ids[i]), ids[cand[at]], score[at]))
         cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64("vec_id", F.lit(own)), F.lit(n_own))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
-
-    data = spread(every.mapInArrow(post, "vec_id long, vec array<double>, perm binary"), "vb", blocks, "qb", query_blocks)
-    queries = spread(every.filter(is_query), "qb", query_blocks, "vb", blocks)
-    found = queries.groupBy("qb", "vb").cogroup(data.groupBy("qb", "vb")).applyInArrow(nearest, OUT)
+    # shards of each region, and blocks of each dimension's queries
+    posted = materialize(every.mapInArrow(post, "vec_id long, vec array<double>, dim int, region int, perm binary"), "postings")
+    sizes = posted.groupBy("dim", "region").count().collect()  # at most the pivots of each dimension
+    shards = F.create_map(*(F.lit(v) for r in sizes for v in (f"{r.dim} {r.region}", -(-r["count"] // block))))
+    q_blocks = F.create_map(*(F.lit(v) for d, s in known.items() for v in (d, max(1, -(-s.queries // query_block)))))
+    dealt = lambda n, what: F.pmod(F.xxhash64("vec_id", F.lit(what)), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    own = shards[F.concat_ws(" ", "dim", "region")]
+    data = posted.withColumn("shard", dealt(own, "shard")).withColumn("qb", each(q_blocks[F.col("dim")]))
+    asked = every.filter(is_query).mapInArrow(ask, "vec_id long, vec array<double>, dim int, visit array<int>, perm binary").withColumn("region", F.explode("visit")).drop("visit")
+    asked = asked.withColumn("qb", dealt(q_blocks[F.col("dim")], "query")).filter(own.isNotNull()).withColumn("shard", each(own))
+    key = ["dim", "region", "shard", "qb"]
+    found = asked.groupBy(key).cogroup(data.groupBy(key)).applyInArrow(nearest, OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
