@@ -2,7 +2,9 @@
 
 Everything stays distributed: a round is two aggregations (map-side combined, so
 a hub costs one partial row per task) and two joins against a side with unique
-keys, whose hot partitions AQE splits. Each round is written to the shared folder;
+keys. Hubs, nodes with more edges than ``HUB`` and than a millionth of all, are few by
+that very bound: their minima go to the edges, so that no hub's edges meet in one
+task; only the rest is joined by key. Each round is written to the shared folder;
 one aggregation tells whether only stars are left.
 """
 
@@ -13,17 +15,25 @@ from pyspark.sql import functions as F
 
 from voxelake.llm.common import materialize
 
+HUB = 1000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
+    """``rows`` with the column m of ``least`` (u, m, n), joined by u; at most 2^20 hubs are sent, 16 MB."""
+    hubs = F.broadcast(least.filter(F.col("n") > max(HUB, n_rows >> 20)).select("u", "m"))
+    return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(least.select("u", "m"), "u"))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.filter("v > u"), least, 2 * n).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    linked = _with_least(down, least, n).filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return linked.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
@@ -40,9 +50,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges give an empty result.
     """
     a, b = edges.columns
-    now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct()
-    while True:
-        now = materialize(_small_star(_large_star(now)).filter("a <> b").distinct(), "edges")
-        if _stars(now):
-            break
+    ends = [F.col(c).cast("long") for c in (a, b)]
+    now = materialize(edges.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).filter("a <> b").distinct(), "edges")
+    while not _stars(now):
+        n = now.count()
+        large = materialize(_large_star(now, n).filter("a <> b").distinct(), "edges")
+        now = materialize(_small_star(large, large.count()).filter("a <> b").distinct(), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

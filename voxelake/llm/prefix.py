@@ -51,23 +51,37 @@ def _grouped(keys: int, of: Callable[[list[np.ndarray]], list[np.ndarray]], name
     """An Arrow function that hands on whole groups of rows sorted by their first ``keys`` columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = [c.to_numpy() for c in b.columns]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            last = np.flatnonzero(np.any([c != c[-1] for c in held[:keys]], axis=0))
-            if len(last):  # all groups but the last are complete
-                at = last[-1] + 1
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in of([c[:at] for c in held])], names)
-                held = [c[at:] for c in held]
-        if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of(held)], names)
+        for group in whole_groups(batches, keys):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of(group)], names)
 
     return run
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of runs of rows that end where a group does; rows are sorted by their first ``keys`` columns."""
+    held: list[list[np.ndarray]] = []  # batches of the group that has not ended
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [c.to_numpy() for c in b.columns]
+        if held and any(c[0] != h[-1] for c, h in zip(new[:keys], held[-1], strict=False)):
+            yield joined()
+            held = []
+        last = np.flatnonzero(np.any([c != c[-1] for c in new[:keys]], axis=0))
+        if len(last):  # all groups of the batch but the last are complete
+            at = last[-1] + 1
+            held.append([c[:at] for c in new])
+            yield joined()
+            held, new = [], [c[at:] for c in new]
+        held.append(new)
+    if held:
+        yield joined()
+
+
 def _bounds(cols: list[np.ndarray], keys: int) -> tuple[np.ndarray, np.ndarray]:
     change = np.any([c[1:] != c[:-1] for c in cols[:keys]], axis=0)
     starts = np.flatnonzero(np.r_[True, change])

@@ -152,12 +152,10 @@ def forest(fp: np.ndarray, node: np.ndarray, sketch: np.ndarray | None, radius:
     return [np.stack([node[label[linked]], node[linked]], axis=1)] if len(linked) else []
 
 
-def bucket_edges(tables: DataFrame, masks: tuple[int, ...], radius: int, agree: int) -> DataFrame:
-    """Edges between nodes whose rows (t, fp, node, sketch), sorted by (t, masked fp), share a bucket and are close."""
-    keep = np.array(masks, dtype=np.uint64)
+def bucket_edges(tables: DataFrame, radius: int, agree: int) -> DataFrame:
+    """Edges between nodes whose rows (t, key, fp, node, sketch), sorted by (t, key), share a bucket and are close."""
 
-    def edges_of(t: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-        key = fp & keep[t]
+    def edges_of(t: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> np.ndarray:
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t[1:] != t[:-1])])
         sizes = np.diff(np.r_[starts, len(key)])
         own = sketch if agree else None
@@ -172,24 +170,9 @@ def bucket_edges(tables: DataFrame, masks: tuple[int, ...], radius: int, agree:
         return np.unique(np.sort(e, axis=1), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None
-
-        def result(e: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = (b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(), b.column(3).to_numpy().view(np.uint64))
-            held = new if held is None else tuple(map(np.concatenate, zip(held, new, strict=True)))
-            key = held[1] & keep[held[0]]
-            last = np.flatnonzero((key != key[-1]) | (held[0] != held[0][-1]))
-            if len(last):  # all buckets but the last are complete
-                at = last[-1] + 1
-                yield result(edges_of(*(x[:at] for x in held)))
-                held = tuple(x[at:] for x in held)
-        if held is not None:
-            yield result(edges_of(*held))
+        for t, key, fp, node, sketch in prefix.whole_groups(batches, 2):
+            e = edges_of(t, key, fp.view(np.uint64), node, sketch.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
     return tables.mapInArrow(run, EDGES)
 
@@ -203,8 +186,8 @@ def links(points: DataFrame, *, radius: int, agree: int = 0) -> DataFrame:
     keep = F.array(*(F.lit(signed(m)) for m in masks))
     rows = points.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"), "fp", "node", "sketch")
     rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.get(keep, F.col("t"))))
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "node").select("t", "fp", "node", "sketch")
-    return bucket_edges(rows, masks, radius, agree).distinct()
+    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "node").select("t", "key", "fp", "node", "sketch")
+    return bucket_edges(rows, radius, agree).distinct()
 
 
 def classes(docs: DataFrame, *, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
