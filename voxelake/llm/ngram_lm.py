@@ -24,16 +24,15 @@ not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelake.llm.common import Memo, mix64
+from voxelake.llm.common import mix64
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: The n-gram of no words; its count is the corpus's words.
@@ -42,24 +41,41 @@ EMPTY = np.uint64(0x51F42D4C957F2D)
 #: corpus of ten thousand million distinct ones shares its count with another.
 BITS = 56
 
-_words = Memo(400_000)
+#: Which bytes are white space between words.
+_SPACE = np.isin(np.arange(256), list(b"\x20\x09\x0a\x0b\x0c\x0d"))
+#: Texts are read in slices of about this many bytes.
+SLICE = 2 << 20
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all texts' white-space words, A-Z lower-cased, and how many each text has."""
+    parts = [(t or "").encode() for t in texts]
+    flat = np.frombuffer(b" ".join(parts).lower() + b" ", dtype=np.uint8)
+    gap = _SPACE[flat]
+    inside = np.flatnonzero(~gap)
+    if not len(inside):
+        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+    first = np.flatnonzero(np.r_[True, np.diff(inside) > 1])  # of the visible bytes, those that begin a word
+    sizes = np.diff(np.r_[first, len(inside)])
+    place = np.arange(len(inside)) - np.repeat(first, sizes)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(sizes.max()), _STEP))  # a polynomial of the bytes, mixed with the length
+        sums = np.add.reduceat((flat[inside].astype(np.uint64) + np.uint64(1)) * powers[place], first)
+    starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    return mix64(sums ^ sizes.astype(np.uint64)), np.diff(np.searchsorted(inside[first], starts))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the white-space words, A-Z lower-cased."""
-    words = (text or "").encode().lower().split()
-    _words.room()
-    _words.update((w, xxhash.xxh64_intdigest(w)) for w in _words.missing(set(words)))
-    return np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+def places(sizes: np.ndarray) -> np.ndarray:
+    """The place of each word in its text."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def grams(h: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of all n-grams, for n from 1 to ``order``; the n-gram ending at word i is at i-n+1."""
+    """For n from 1 to ``order`` the hash of the n-gram that ends at each word from the n-th on."""
     out = [mix64(h ^ _STEP)]
     with np.errstate(over="ignore"):
         for n in range(2, order + 1):
-            longer = out[-1][:-1] * _STEP + h[n - 1 :] if len(h) >= n else np.empty(0, np.uint64)
-            out.append(mix64(longer + np.uint64(n)))
+            out.append(mix64(out[-1][:-1] * _STEP + h[n - 1 :] + np.uint64(n)) if len(h) >= n else np.empty(0, np.uint64))
     return [x >> np.uint64(64 - BITS) for x in out]
 
 
@@ -89,45 +105,61 @@ def merge(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return u, np.bincount(at, weights=np.concatenate([f[1] for f in found]), minlength=len(u)).astype(np.int64)
 
 
-def block_counts(hashes: Iterable[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct n-grams of a block of texts (by their words' hashes), with their counts; EMPTY counts the words."""
-    found, held, size, n_words = [], [], 0, 0
-
-    def fold() -> None:
-        found.append(np.unique(np.concatenate([*held, np.empty(0, np.uint64)]), return_counts=True))
-        held.clear()
+def sliced(texts: list[str | None]) -> Iterator[list[str | None]]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def block_counts(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams of a block of texts, with their counts; EMPTY counts the words."""
+    found, n_words = [], 0
+    for part in sliced(texts):
+        h, sizes = word_hashes(part)
+        place = places(sizes)
+        n_words += len(h)
+        found.append(np.unique(np.concatenate([g[place[n:] >= n] for n, g in enumerate(grams(h, order))]), return_counts=True))
         while len(found) > 1 and len(found[-2][0]) < 2 * len(found[-1][0]):
             found[-2:] = [merge(found[-2:])]
-
-    for h in hashes:
-        n_words += len(h)
-        held += grams(h, order)
-        size += order * len(h)
-        if size > 2_000_000:
-            fold()
-            size = 0
-    fold()
     return merge([*found, (np.array([EMPTY]), np.array([n_words]))])
 
 
-def score(h: np.ndarray, order: int, alpha: float, known: np.ndarray, total: np.ndarray) -> float:
-    """Sum of the log scores of one document's words, given the counts of all its n-grams."""
-    n_words = len(h)
-    rest = [np.full(n_words + 1, total[np.searchsorted(known, EMPTY)] - n_words, dtype=np.int64)]
-    for g in grams(h, order):
-        u, at, own = np.unique(g, return_inverse=True, return_counts=True)
-        rest.append((total[np.searchsorted(known, u)] - own)[at])
-    out = np.log(0.5 / np.maximum(1, rest[0][:n_words]))
-    drop = np.minimum(np.arange(n_words), order - 1)  # orders there is history for
-    penalty = np.log(alpha)
-    level = np.zeros(n_words, dtype=np.int64)
-    for n in range(1, order + 1):
-        c = rest[n]
-        context = rest[n - 1][: len(c)]
+def left_over(g: np.ndarray, text: np.ndarray, known: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """How often the corpus holds each n-gram outside its own text."""
+    at = np.argsort(g, kind="stable")  # texts come in order, so equal n-grams of one text lie together
+    g, text = g[at], text[at]
+    new = np.r_[True, g[1:] != g[:-1]][: len(g)]
+    run = np.cumsum(new | np.r_[True, text[1:] != text[:-1]][: len(g)]) - 1
+    out = np.empty(len(g), dtype=np.int64)
+    out[at] = total[np.searchsorted(known, g[new])][np.cumsum(new) - 1] - np.bincount(run, minlength=1)[run]
+    return out
+
+
+def log_scores(texts: list[str | None], order: int, alpha: float, known: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and sum of their log scores of each text, given the counts of all n-grams."""
+    h, sizes = word_hashes(texts)
+    if not len(h):
+        return sizes, np.zeros(len(texts))
+    place, text = places(sizes), np.repeat(np.arange(len(texts)), sizes)
+    rest = np.repeat(total[np.searchsorted(known, EMPTY)] - sizes, sizes)  # of the n-gram before the word, none at first
+    out = np.log(0.5 / np.maximum(1, rest))
+    level = np.zeros(len(h), dtype=np.int64)
+    for n, g in enumerate(grams(h, order)):
+        c = np.zeros(len(h), dtype=np.int64)
+        ends = n + np.flatnonzero(place[n:] >= n)
+        c[ends] = left_over(g[ends - n], text[ends], known, total)
         seen = np.flatnonzero(c > 0)
-        out[seen + n - 1] = np.log(c[seen] / context[seen])
-        level[seen + n - 1] = n - 1
-    return float((out + penalty * (drop - level)).sum())
+        out[seen] = np.log(c[seen] / rest[seen])
+        level[seen] = n
+        rest = np.r_[0, c[:-1]]
+    out += np.log(alpha) * (np.minimum(place, order - 1) - level)  # orders there is history for, less the one that decided
+    return sizes, np.bincount(text, weights=out, minlength=len(texts))
 
 
 def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, block_bytes: int = 16 << 20, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,7 +177,7 @@ def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, block_bytes:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
     def request(table: pa.Table) -> pa.Table:
-        g, c = block_counts((word_hashes(t.as_py()) for t in table["text"]), order)
+        g, c = block_counts(table["text"].to_pylist(), order)
         at = np.searchsorted(g, (np.arange(1, parts, dtype=np.float64) * (2.0**BITS / parts)).astype(np.uint64))
         out = [(p, pack_sorted(x), pack(y.astype(np.int32))) for p, (x, y) in enumerate(zip(np.split(g, at), np.split(c, at), strict=True)) if len(x)]
         block = table["block"][0].as_py()
@@ -158,11 +190,10 @@ def scores(docs: DataFrame, *, order: int = 3, alpha: float = 0.4, block_bytes:
         return pa.table({"block": table["block"], "part": table["part"], "totals": pa.array(told, pa.binary())})
 
     def judge(texts: pa.Table, told: pa.Table) -> pa.Table:
-        words = [word_hashes(t.as_py()) for t in texts["text"]]
-        known, _ = block_counts(words, order)
+        own = texts["text"].to_pylist()
+        known, _ = block_counts(own, order)
         total = np.concatenate([unpack(told["totals"][i].as_py(), np.int64) for i in np.argsort(told["part"].to_numpy(), kind="stable").tolist()])
-        n_words = [len(h) for h in words]
-        sums = [score(h, order, alpha, known, total) if len(h) else 0.0 for h in words]
+        n_words, sums = map(np.concatenate, zip(*(log_scores(part, order, alpha, known, total) for part in sliced(own)), strict=True))
         return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(n_words, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
     asked = rows.groupBy("block").applyInArrow(request, "part int, block int, grams binary, counts binary")
