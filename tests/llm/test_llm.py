@@ -293,6 +293,42 @@ def test_quotation_links(spark):
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
+def test_short_quotes_of_whole_messages_link(spark):
+    rows = [(1, 0, "u", "How old?"), (1, 1, "a", "Nine\nYes, please"), (1, 2, "u", "> How old?\nas said"), (1, 3, "u", ">yes, PLEASE"), (1, 4, "u", "ok"), (1, 5, "a", ">\n> \nempty quotes"), (1, 6, "a", "> OK\n>> How old?")]
+    got = {r.turn: r.parent_turn for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: None, 1: None, 2: 0, 3: None, 4: None, 5: None, 6: 4}  # one line of a message is no whole message
+
+
+def random_thread(rng: random.Random, conv: int, turns: int) -> list[tuple]:
+    """Messages that quote earlier ones, quotes and all, whole or in part."""
+    words = ("yes", "no", "well", "the box was opened", "Nobody knew", "and then?", "écrit", "à bientôt")
+    rows = []
+    for turn in range(turns):
+        lines = []
+        for _ in range(rng.randint(0, 3)):
+            if rows and rng.random() < 0.7:
+                old = (rng.choice(rows)[3] or "").split("\n")
+                part = old if rng.random() < 0.5 else old[rng.randrange(len(old)) :][: rng.randint(1, 3)]
+                if rng.random() < 0.3:
+                    lines.append("Ann wrote:")
+                lines += [rng.choice((">", "> ", " > ")) + x for x in part]
+            else:
+                lines.append(" ".join(rng.choice(words) for _ in range(rng.randint(1, 6))))
+            if rng.random() < 0.2:
+                lines.append("")
+        rows.append((conv, turn, rng.choice(("user", "assistant")), None if rng.random() < 0.03 else "\n".join(lines)))
+    return rows
+
+
+def test_nested_quotes_equal_sql(spark):
+    rng = random.Random(9)
+    rows = [r for c in range(60) for r in random_thread(rng, c, rng.randint(1, 25))]
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas()
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    same(got, duckdb.sql(chat.ORACLE).df())
+    assert len(conversations) == len(got) and got.parent_turn.notna().sum() > 150 and got.depth.max() >= 3
+
+
 def test_neighbours_recall_and_order(spark, sf_dir):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     got = ann.search(e).toPandas()

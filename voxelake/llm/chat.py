@@ -18,7 +18,8 @@ Defined results: null text is a message without text or quotes (clean text null)
 an empty text stays empty; a null conversation or turn takes part in no link;
 messages of equal turn share one place in the thread; repeated rows are all
 returned; a quote of nothing known, or only of later messages, links nothing;
-passages under ``least_chars`` characters are too common to link; texts of any
+single lines and paragraphs under ``least_chars`` characters are too common to link,
+but whole quotes of any length link to whole messages; texts of any
 length are read whole; an empty table gives an empty result; other columns are
 not read.
 """
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from voxelake.llm.common import materialize
 
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+QUOTES = r"(?:^|\n)[ \t]*>"
 WROTE = r"(?i)(wrote|writes|schrieb|écrit|escribió)[ \t]*:[ \t]*$"
 EDGES = r"^\s+|\s+$"
 
@@ -40,17 +42,16 @@ def normal(x: Column) -> Column:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """Adds own (clean text), said and quoted (passages: level, grain, text)."""
-    lines = F.split(F.coalesce("text", F.lit("")), r"\r?\n")
-    rows = messages.withColumn("ls", lines)
+    """Adds own (clean text), said and quoted (passages: level, grain, text); texts without quotes are not taken apart."""
+    quotes = F.coalesce(F.col("text").rlike(QUOTES), F.lit(False))
+    rows = messages.withColumn("ls", F.when(quotes, F.split("text", r"\r?\n")).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn("lv", F.transform("ls", lambda x: F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 1), "[^>]", ""))))
     rows = rows.withColumn("bs", F.transform("ls", lambda x: F.regexp_replace(x, MARKS, "")))
     # a line such as "Ann wrote:" before a quote belongs to the quote
     credit = lambda i: F.get("bs", i).rlike(WROTE) & (F.coalesce(F.get("lv", i + 1), F.lit(0)) > F.get("lv", i))
-    places = F.sequence(F.lit(0), F.size("ls") - 1)
+    places = F.when(F.size("ls") > 0, F.sequence(F.lit(0), F.size("ls") - 1)).otherwise(F.array().cast("array<int>"))
     own = F.transform(F.filter(places, lambda i: (F.get("lv", i) == 0) & ~credit(i)), lambda i: F.get("bs", i))
-    quotes = F.exists("lv", lambda x: x > 0)
-    rows = rows.withColumn("own", F.when(F.col("text").isNull(), None).when(~quotes, F.col("text")).otherwise(F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), EDGES, ""), r"\n{3,}", "\n\n")))
+    rows = rows.withColumn("own", F.when(F.size("ls") == 0, F.col("text")).otherwise(F.regexp_replace(F.regexp_replace(F.array_join(own, "\n"), EDGES, ""), r"\n{3,}", "\n\n")))
     starts = F.filter(places, lambda i: (i == 0) | (F.get("lv", i) != F.get("lv", i - 1)))
     rows = rows.withColumn("starts", starts)
     runs = F.transform("starts", lambda s, k: F.struct(F.get("lv", s).alias("level"), F.array_join(F.slice("bs", s + 1, F.coalesce(F.get("starts", k + 1), F.size("ls")) - s), "\n").alias("body")))
@@ -79,10 +80,17 @@ def _jump(links: DataFrame) -> DataFrame:
 def format_chat(messages: DataFrame, *, least_chars: int = 12) -> DataFrame:
     """conv_id, turn, role, text (without quotes), n_quotes, parent_turn, root_turn, depth, formatted; in reply order."""
     rows = parse(messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), "text"))
-    exploded = lambda c: rows.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(c).alias("p")).select("conv_id", "turn", "p.level", "p.grain", "p.passage").filter(F.length("passage") >= least_chars).withColumn("h", F.sha2("passage", 256)).drop("passage")
-    quoted = materialize(exploded("quoted"), "quoted")
+    placed = rows.filter("conv_id is not null and turn is not null")
+
+    def exploded(some: DataFrame, column: str) -> DataFrame:
+        each = some.select("conv_id", "turn", F.explode(column).alias("p")).select("conv_id", "turn", "p.level", "p.grain", "p.passage")
+        return each.filter(F.length("passage") >= F.when(F.col("grain") == 0, 1).otherwise(least_chars)).withColumn("h", F.sha2("passage", 256)).drop("passage")
+
+    quoted = materialize(exploded(placed, "quoted"), "quoted")
     wanted = quoted.select("conv_id", "h").distinct()
-    first = exploded("said").select("conv_id", "turn", "h").join(wanted, ["conv_id", "h"], "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("parent_turn"))
+    # only conversations with quotes are asked what they said
+    said = exploded(placed.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi"), "said").select("conv_id", "turn", "h")
+    first = said.join(wanted, ["conv_id", "h"], "left_semi").groupBy("conv_id", "h").agg(F.min("turn").alias("parent_turn"))
     near = F.min(F.struct("level", "grain", (-F.col("parent_turn")).alias("back")))
     links = materialize(quoted.join(first, ["conv_id", "h"]).filter("parent_turn < turn").groupBy("conv_id", "turn").agg(near.alias("b")).select("conv_id", "turn", (-F.col("b.back")).alias("parent_turn")), "links")
     threads = links.join(_jump(links), ["conv_id", "turn"])
@@ -104,8 +112,8 @@ runs AS (SELECT id, run, lv, string_agg(b, chr(10) ORDER BY i) AS b FROM z WHERE
 parts AS (SELECT id, lv, b, 'q' AS k FROM runs UNION ALL SELECT id, 0, coalesce(text, ''), 's' FROM o),
 grains AS (SELECT id, k, lv, 0 AS g, b AS p FROM parts UNION ALL SELECT id, k, lv, 1, unnest(string_split_regex(b, '\r?\n[ \t]*\r?\n')) FROM parts UNION ALL SELECT id, k, lv, 2, unnest(string_split_regex(b, '\r?\n')) FROM parts),
 n AS (SELECT conv_id, turn, k, lv, g, lower(regexp_replace(regexp_replace(p, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS p FROM grains JOIN m USING (id) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-f AS (SELECT conv_id, p, min(turn) AS up FROM n WHERE k = 's' AND length(p) >= 12 GROUP BY conv_id, p),
-links AS (SELECT n.conv_id, n.turn, -(min({'lv': lv, 'g': g, 'b': -up}).b) AS parent_turn FROM n JOIN f ON f.conv_id = n.conv_id AND f.p = n.p WHERE k = 'q' AND up < n.turn GROUP BY n.conv_id, n.turn),
+f AS (SELECT conv_id, p, min(turn) AS up FROM n WHERE k = 's' AND length(p) >= CASE WHEN g = 0 THEN 1 ELSE 12 END GROUP BY conv_id, p),
+links AS (SELECT n.conv_id, n.turn, -(min({'lv': lv, 'g': g, 'b': -up}).b) AS parent_turn FROM n JOIN f ON f.conv_id = n.conv_id AND f.p = n.p WHERE k = 'q' AND length(n.p) >= CASE WHEN g = 0 THEN 1 ELSE 12 END AND up < n.turn GROUP BY n.conv_id, n.turn),
 walk AS (SELECT conv_id, turn, parent_turn AS up, 1 AS depth FROM links UNION ALL SELECT w.conv_id, w.turn, l.parent_turn, w.depth + 1 FROM walk w JOIN links l ON l.conv_id = w.conv_id AND l.turn = w.up),
 ends AS (SELECT conv_id, turn, min(up) AS root_turn, max(depth) AS depth FROM walk GROUP BY conv_id, turn),
 q AS (SELECT id, count(*) AS n FROM runs GROUP BY id)
