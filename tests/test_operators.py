@@ -1,6 +1,7 @@
 """Operators on small literal inputs, with known answers."""
 
 import itertools
+import json
 import struct
 
 import numpy as np
@@ -186,16 +187,62 @@ def test_walk_stops(spark):
     assert {r.walk_id: (r.kept, r.stop) for r in walk.walks(s).collect()} == {1: (1, "leaked"), 2: (1, "edge")}
 
 
+def do(s: dict, action: str, **args) -> dict:
+    return session.apply(s, action, args)
+
+
+PLACE = dict(series="a", plane="axial", depth=3.0, thickness=3.3)
+
+
 def test_session_undo_and_depth():
     s = session.empty()
     for _ in range(40):
-        s = session.apply(s, "add", 0)
+        s = do(s, "add")
     assert (len(s["past"]), s["counter"], s["active"]) == (32, 40, 40)
-    s = session.apply(session.apply(s, "undo", 0), "add", 0)
-    assert s["active"] == 41  # an id is never reused
-    s = session.apply(session.apply(session.apply(s, "point", 1), "box", 1), "box", 2)
-    assert session.summary(1, s)[3] == 2
-    assert session.apply(session.apply(session.empty(), "undo", 0), "point", 1)["objects"] == []
+    s = do(do(s, "undo"), "add")
+    assert s["active"] == 41  # an id is never used again
+    s = do(do(do(s, "point", **PLACE, at=[0, 0, 3], positive=True), "box", **PLACE, start=[0, 0, 3], end=[1, 1, 3]), "box", **PLACE, start=[0, 0, 3], end=[2, 2, 3])
+    assert session.summary(1, s)[3:6] == (1, 2, 0)
+    before = do(do(session.empty(), "add"), "add")
+    picked = do(before, "select", object=1)
+    assert picked["active"] == 1 and do(picked, "undo")["active"] == 2  # a selection is taken back too
+    assert do(before, "select", object=9)["past"] == before["past"]
+
+
+def test_session_actions():
+    s = do(session.empty(), "point", **PLACE, at=[1, 2, 3], positive=True)  # makes its object; one undo takes both back
+    assert (s["active"], len(s["past"]), s["pending"]) == (1, 1, ["1", "a|axial|3.000"]) and do(s, "undo")["objects"] == []
+    key = s["pending"][1]
+    with_mask = do(s, "attach", object=1, key=key, part="m")
+    assert with_mask["pending"] is None and len(with_mask["past"]) == 1 and with_mask["objects"][0]["cuts"][0]["part"] == "m"
+    s = do(with_mask, "point", **{**PLACE, "depth": 4.6}, at=[1, 2, 4], positive=False)  # within half a slab: the same cut, whose mask goes
+    cut = s["objects"][0]["cuts"][0]
+    assert len(s["objects"][0]["cuts"]) == 1 and len(cut["points"]) == 2 and cut["part"] is None
+    s = do(do(s, "grow", object=1, **{**PLACE, "depth": 6.6}, part="g"), "grow", object=1, **{**PLACE, "depth": 6.6}, part="h")
+    assert session.summary(1, s)[3:6] == (2, 2, 1) and s["objects"][0]["cuts"][1]["part"] == "h"
+    taken = do(s, "point", **{**PLACE, "depth": 6.6}, at=[0, 0, 6], positive=True)  # a click takes a grown slice over
+    assert session.summary(1, taken)[5] == 0 and taken["objects"][0]["cuts"][1]["part"] is None
+    s = do(s, "note_growth", object=1, growth="edge")
+    assert s["objects"][0]["growth"] == "edge" and do(s, "clear_grown", object=1)["objects"][0] == {**s["objects"][0], "growth": None, "cuts": s["objects"][0]["cuts"][:1]}
+    assert do(s, "clear_cut", object=1, key=key)["objects"][0]["cuts"] == s["objects"][0]["cuts"][1:] and do(s, "clear_cut", object=1, key="x")["past"] == s["past"]
+    assert do(s, "rename", object=1, label="  knee ")["objects"][0]["label"] == "knee" and do(s, "rename", object=1, label=" ")["past"] == s["past"]
+    assert do(s, "hide", object=1, hidden=True)["objects"][0]["hidden"]
+    two = do(s, "add")
+    assert [o["colour"] for o in two["objects"]] == [0, 1] and do(two, "remove", object=1)["active"] == 2 and do(two, "remove", object=2)["active"] == 1 and do(do(two, "remove", object=1), "remove", object=2)["active"] is None
+    assert do(s, "sing")["events"] == s["events"] + 1 and session.slice_key("u", "p", -0.0625) == "u|p|-0.063"
+
+
+def test_session_views(spark):
+    rows = [(1, 1, "point", {**PLACE, "at": [1, 2, 3], "positive": True}), (1, 2, "attach", {"object": 1, "key": "a|axial|3.000", "part": "m"}), (1, 3, "add", {}), (1, 4, "box", {**PLACE, "depth": 9.0, "start": [0, 0, 9], "end": [1, 1, 9]}), (1, 5, "hide", {"object": 9}), (2, 1, None, {}), (None, 1, "add", {})]
+    events = spark.createDataFrame([(a, b, c, json.dumps(d)) for a, b, c, d in rows], "session_id long, seq long, action string, args string")
+    states = session.fold(events)
+    assert {r.session_id: (r.n_events, r.n_objects) for r in states.collect()} == {1: (5, 2), 2: (1, 0)}
+    cuts, at = session.cuts(states), (F.lit("axial"), F.lit(3.0), 3.3)
+    assert [(r.object, r.at, r.opacity, r.active) for r in session.prompt_marks(cuts, *at).collect()] == [(1, [1.0, 2.0, 3.0], 1.0, False)]
+    assert [(r.object, r.box[1], round(r.opacity, 6)) for r in session.box_marks(cuts, *at).collect()] == [(2, [1.0, 1.0, 9.0], round(14 / 18.35, 6))]
+    assert [(r.object, r.part) for r in session.visible_parts(cuts, *at).collect()] == [(1, "m")]
+    x, y, z = session.cut_cursor(F.lit("axial"), F.lit(9.0), tuple(map(F.lit, (4.0, 5.0, 6.0))))
+    assert tuple(spark.range(1).select(x, y, z).first()) == (4.0, 5.0, 9.0)
 
 
 def test_hashed_uid_is_the_128_bit_number(spark):

@@ -58,3 +58,9 @@ def next_step(step: Column, n: int) -> tuple[Column, Column]:
 
 def previous_step(step: Column) -> Column:
     return F.greatest(F.lit(0), step - 1)
+
+
+
+def same_cut(a: Column, b: Column, thickness: float) -> Column:
+    """Whether two depths lie in one slab."""
+    return F.abs(a - b) <= thickness / 2 + 1e-9

@@ -156,7 +156,10 @@ def win6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
 
 
-@query("win4_group_by_cut")
+WIN4_SQL = "WITH RECURSIVE f AS (SELECT vec_id, 0 AS i, CAST([] AS DOUBLE[]) AS cuts, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 100) AS e FROM embeddings UNION ALL SELECT vec_id, i + 1, CASE WHEN len(list_filter(cuts, lambda c: abs(c - e[i + 1]) <= 1.65 + 1e-9)) > 0 THEN cuts ELSE list_append(cuts, e[i + 1]) END, e FROM f WHERE i < len(e)) SELECT vec_id, len(cuts) AS n_cuts, round(cuts[1], 6) AS first FROM f WHERE i = len(e)"
+
+
+@query("win4_group_by_cut", WIN4_SQL)
 def win4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy cuts: the first depth that fits no cut so far opens one; order decides."""
     step = lambda acc, d: F.when(F.exists(acc, lambda c: F.abs(c - d) <= 1.65 + 1e-9), acc).otherwise(F.concat(acc, F.array(d)))
@@ -187,15 +190,46 @@ def join11(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sessions ---
 
 
-@query("ses_fold")
+OBJECTS = "STRUCT(id BIGINT, cuts STRUCT(c BIGINT, n BIGINT, b BOOLEAN)[])[]"
+#: The events of each session in order, and the session after each of them: an undo stack of whole states.
+SES_SQL = f"""WITH RECURSIVE ev AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_type AS t, (event_id % 3) * 4 + CAST(floor(abs(value)) AS BIGINT) % 4 AS cut, CAST(floor(abs(value)) AS BIGINT) % 8 + 1 AS pick FROM events),
+st AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST([] AS {OBJECTS}) AS objs, CAST(NULL AS BIGINT) AS active, CAST(0 AS BIGINT) AS counter, CAST([] AS STRUCT(o {OBJECTS}, a BIGINT)[]) AS past FROM events
+UNION ALL SELECT user_id, i + 1, CASE WHEN t = 'signup' THEN list_append(objs, {{'id': counter + 1, 'cuts': CAST([] AS STRUCT(c BIGINT, n BIGINT, b BOOLEAN)[])}}) WHEN t = 'error' AND len(past) > 0 THEN past[len(past)].o
+  WHEN t IN ('click', 'purchase') THEN list_transform(base, lambda o: CASE WHEN o.id <> act THEN o WHEN len(list_filter(o.cuts, lambda c: c.c = cut)) > 0
+    THEN {{'id': o.id, 'cuts': list_transform(o.cuts, lambda c: CASE WHEN c.c <> cut THEN c ELSE {{'c': c.c, 'n': c.n + hit, 'b': c.b OR hit = 0}} END)}} ELSE {{'id': o.id, 'cuts': list_append(o.cuts, {{'c': cut, 'n': hit, 'b': hit = 0}})}} END) ELSE objs END,
+  CASE WHEN t = 'signup' THEN counter + 1 WHEN t = 'error' AND len(past) > 0 THEN past[len(past)].a WHEN t IN ('click', 'purchase') THEN act WHEN picks THEN pick ELSE active END,
+  counter + CASE WHEN t = 'signup' OR t IN ('click', 'purchase') AND active IS NULL THEN 1 ELSE 0 END,
+  CASE WHEN t IN ('signup', 'click', 'purchase') OR picks THEN list_append(past, {{'o': objs, 'a': active}})[-32:] WHEN t = 'error' AND len(past) > 0 THEN past[:len(past) - 1] ELSE past END
+  FROM (SELECT st.*, t, cut, pick, CAST(t = 'click' AS BIGINT) AS hit, coalesce(active, counter + 1) AS act, t = 'view' AND len(list_filter(objs, lambda o: o.id = pick)) > 0 AS picks,
+    CASE WHEN active IS NULL THEN list_append(objs, {{'id': counter + 1, 'cuts': CAST([] AS STRUCT(c BIGINT, n BIGINT, b BOOLEAN)[])}}) ELSE objs END AS base FROM st JOIN ev ON ev.user_id = st.user_id AND ev.i = st.i + 1)),
+last AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1)
+SELECT user_id AS session_id, i AS n_events, len(objs) AS n_objects, CAST(coalesce(list_sum(list_transform(objs, lambda o: len(o.cuts))), 0) AS BIGINT) AS n_cuts,
+  CAST(coalesce(list_sum(list_transform(objs, lambda o: coalesce(list_sum(list_transform(o.cuts, lambda c: c.n + CAST(c.b AS BIGINT))), 0))), 0) AS BIGINT) AS n_prompts, CAST(0 AS BIGINT) AS n_grown, active, counter, len(past) AS undo_depth FROM last"""
+
+
+@query("ses_fold", SES_SQL)
 def ses_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session.fold(session.from_events(table(spark, sf_dir, "events")))
+    return session.fold(session.from_events(table(spark, sf_dir, "events"))).drop("state")
 
 
-@query("ses_stream")
+@query("ses_stream", SES_SQL)
 def ses_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fold over the events as a stream; the last summary of each session."""
-    return streams.latest_sessions(spark, f"{sf_dir}/events.parquet")
+    return streams.latest_sessions(spark, f"{sf_dir}/events.parquet").drop("state")
+
+
+MARKS_SQL = SES_SQL[: SES_SQL.rindex("SELECT user_id AS session_id")]
+
+
+@query("ses_marks", MARKS_SQL + "SELECT session_id, object, CAST(sum(n) AS BIGINT) AS clicks, CAST(sum(b) AS BIGINT) AS boxes, round(sum((n + b) * opacity), 6) AS strength, active FROM (SELECT user_id AS session_id, o.id AS object, coalesce(o.id = active, false) AS active, c.n AS n, CAST(c.b AS BIGINT) AS b, CASE WHEN c.c % 4 = 1 THEN 1.0 ELSE 1 - (abs(c.c % 4 - 1) - 0.5) / 19.5 END AS opacity FROM (SELECT user_id, active, o, unnest(o.cuts) AS c FROM (SELECT user_id, active, unnest(objs) AS o FROM last)) WHERE c.c // 4 = 0) GROUP BY ALL")
+def ses_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and boxes to draw on the axial cut at depth 1 in the end of each session."""
+    cuts = session.cuts(session.fold(session.from_events(table(spark, sf_dir, "events"))))
+    at = (F.lit("axial"), F.lit(1.0), 1.0)
+    clicks = session.prompt_marks(cuts, *at).select("session_id", "object", "active", "opacity", F.lit(1).alias("click"))
+    boxes = session.box_marks(cuts, *at).select("session_id", "object", "active", "opacity", F.lit(0).alias("click"))
+    marks = clicks.unionByName(boxes).groupBy("session_id", "object", "active")
+    return marks.agg(F.sum("click").alias("clicks"), F.sum(1 - F.col("click")).alias("boxes"), F.round(F.sum("opacity"), 6).alias("strength"))
 
 
 @query("agg12_prompt_count", "SELECT user_id, count(*) FILTER (WHERE event_type IN ('click', 'purchase')) AS prompts, count(*) FILTER (WHERE event_type = 'view') AS cuts, bool_and(value > 0) AS positive FROM events GROUP BY 1")

@@ -113,14 +113,15 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAST = "least(1.0, greatest(0.0, ({0} - {1}) / {2}))"
 NAME_SQL = f"""WITH {EV_SQL}, r AS (SELECT *, CASE WHEN voxels < 12 OR kind = 'blob' OR agreement < 0.55 THEN 'dark' WHEN kind = 'sheet' THEN CASE WHEN marrow < 0.04 THEN 'dark' ELSE 'cortex' END
 WHEN m0 >= 0.06 AND m2 >= 0.06 AND u0 < 0.1 AND u2 < 0.1 THEN 'ligament' WHEN (u0 >= 0.1 AND m2 >= 0.06) OR (u2 >= 0.1 AND m0 >= 0.06) THEN 'tendon' WHEN m0 < 0.06 AND m2 < 0.06 AND len >= 15 AND fat + muscle >= 0.5 THEN 'vessel' ELSE 'dark' END AS s FROM ev),
-c AS (SELECT id, s, least(1.0, agreement * sc * CASE s WHEN 'cortex' THEN {PAST.format('marrow', 0.04, 0.1)} WHEN 'ligament' THEN {PAST.format('least(m0, m2)', 0.06, 0.1)} WHEN 'tendon' THEN {PAST.format('greatest(u0, u2)', 0.1, 0.2)} WHEN 'vessel' THEN {PAST.format('(fat + muscle)', 0.5, 0.3)} ELSE 0 END) AS c FROM r)
-SELECT id, CASE WHEN c < 0.15 THEN 'dark' ELSE s END AS structure, round(CASE WHEN c < 0.15 THEN 0 ELSE c END, 6) AS confidence FROM c"""
+c AS (SELECT id, s, CASE WHEN voxels < 12 THEN 'few_voxels' WHEN kind = 'none' THEN 'no_shape' WHEN kind = 'blob' THEN 'blob' WHEN agreement < 0.55 THEN 'surroundings_disagree' WHEN kind = 'sheet' THEN CASE WHEN marrow < 0.04 THEN 'sheet_without_marrow' ELSE 'sheet_on_marrow' END
+WHEN s = 'ligament' THEN 'bone_to_bone' WHEN s = 'tendon' THEN 'muscle_to_bone' WHEN s = 'vessel' THEN 'long_in_soft_tissue' ELSE 'ends_undecided' END AS why, least(1.0, agreement * sc * CASE s WHEN 'cortex' THEN {PAST.format('marrow', 0.04, 0.1)} WHEN 'ligament' THEN {PAST.format('least(m0, m2)', 0.06, 0.1)} WHEN 'tendon' THEN {PAST.format('greatest(u0, u2)', 0.1, 0.2)} WHEN 'vessel' THEN {PAST.format('(fat + muscle)', 0.5, 0.3)} ELSE 0 END) AS c FROM r)
+SELECT id, CASE WHEN c < 0.15 THEN 'dark' ELSE s END AS structure, round(CASE WHEN c < 0.15 THEN 0 ELSE c END, 6) AS confidence, CASE WHEN s <> 'dark' THEN why || CASE WHEN c < 0.15 THEN '_unsure' ELSE '' END ELSE why END AS reason FROM c"""
 
 
 @query("rul7_name_component", NAME_SQL)
 def rul7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, c, _ = rules.name_component(graph.evidence_columns())
-    return evidence(spark, sf_dir).select("id", s.alias("structure"), F.round(c, 6).alias("confidence"))
+    s, c, why = rules.name_component(graph.evidence_columns())
+    return evidence(spark, sf_dir).select("id", s.alias("structure"), F.round(c, 6).alias("confidence"), why.alias("reason"))
 
 
 @query("rul9_voxel_fade", f"WITH {EV_SQL} SELECT id, CAST(floor(least(1.0, sc * (0.6 + 0.4 * least(1.0, marrow / 0.25))) * 255 + 0.5) AS BIGINT) AS level FROM ev")
