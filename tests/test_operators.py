@@ -258,7 +258,13 @@ def test_hits_agree_beyond_the_broadcast(spark):
     f = spark.createDataFrame([("secret person",), ("BC",), ("none of it here",), ("",)], "term string")
     want = {(1, "secret person"), (2, "bc")}
     for most in (100, 0):
-        assert {(r.entity, r.term) for r in deid.hits(e, f, most=most).collect()} == want
+        assert {(r.entity, r.term) for r in deid.hits(e, f, most_bytes=most).collect()} == want
+
+
+def test_raw_bytes_in_both_encodings(spark):
+    files = [(1, "xx JOSÉ María".encode("latin-1")), (2, "Ann Smith".encode("utf-16-le")), (3, b"nothing"), (4, "josé".encode("latin-1")), (5, None)]
+    got = deid.byte_hits(spark.createDataFrame(files, "entity int, content binary"), spark.createDataFrame([("José",), ("ann smith",), (" ",), ("maría",)], "term string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "maría"), (2, "ann smith"), (4, "josé")}  # bytes fold A-Z only
 
 
 def picture(syntax, rows=4, cols=5):

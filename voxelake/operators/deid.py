@@ -1,21 +1,42 @@
-"""De-identification of element tables (entity, tag, vr, value) and its verification."""
+"""De-identification of element tables and its verification.
+
+An element table has rows (entity, tag, vr, value) and, for nested elements,
+``seq_path``, the tags of the sequences around them: an element goes with any
+sequence around it that goes, so nesting needs no recursion.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelake.functions.scalar import is_group_length, is_private, tag_group
 
-#: Whole groups that go: curves and overlays.
+#: Whole groups that go: curves and overlays (fixed values of the public format).
 CURVES, OVERLAYS = (0x5000, 0x50FF), (0x6000, 0x60FF)
 KNOWN_ROOTS = ("1.2.840.10008.", "2.25.")
+#: Most tags of a profile; the published table has a few hundred.
+PROFILE = 10_000
+#: Tags of identity stamps (fixed values of the public format).
+NAME, PATIENT, REMOVED, METHOD, CODES = 0x00100010, 0x00100020, 0x00120062, 0x00120063, 0x00120064
+CLASS, INSTANCE, META_CLASS, META_INSTANCE, WRITER = 0x00080016, 0x00080018, 0x00020002, 0x00020003, 0x00020012
+META_GONE = (0x00020013, 0x00020016, 0x00020100, 0x00020102)
+CODE = ((0x00080100, "SH", "113100"), (0x00080102, "SH", "DCM"), (0x00080104, "LO", "Basic Application Confidentiality Profile"))
+
+Masks = list[tuple[int, int, int, int]]
 
 
-def dropped(t: Column) -> Column:
-    """Private, group-length, curve and overlay tags."""
+def dropped(t: Column, masked: Masks = ()) -> Column:
+    """Private, group-length, curve and overlay tags, and those a pattern (group, element, group mask, element mask) meets."""
     g = tag_group(t)
-    return is_private(t) | is_group_length(t) | g.between(*CURVES) | g.between(*OVERLAYS)
+    out = is_private(t) | is_group_length(t) | g.between(*CURVES) | g.between(*OVERLAYS)
+    for group, element, group_mask, element_mask in masked:
+        out = out | (g.cast("long").bitwiseAND(F.lit(group_mask)) == group) & (F.pmod(t, F.lit(65536)).cast("long").bitwiseAND(F.lit(element_mask)) == element)
+    return out
 
 
 def hashed_hex(uid: Column, salt: str) -> Column:
@@ -38,18 +59,70 @@ def hashed_uid(uid: Column, salt: str) -> Column:
     return F.concat(F.lit("2.25."), text)
 
 
-def scrub(elements: DataFrame, remove: DataFrame, remap: DataFrame, masked: list[tuple[int, int, int, int]], salt: str) -> DataFrame:
-    """Elements that stay, UIDs of ``remap`` tags hashed.
+def profile(table: DataFrame, kept: DataFrame, dropped_sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tags to remove and tags to remap, from a published table (tag, action).
 
-    ``remove`` and ``remap``: tag lists, joined; ``masked``: (group, element, group mask,
-    element mask) patterns of a profile, a short fixed list.
+    UIDs (action U) are remapped, everything else goes but what is kept; the dropped
+    sequences go whatever the table says of them.
     """
-    e = elements.filter(~dropped(F.col("tag")))
-    for wg, we, gm, em in masked:
-        e = e.filter(~((tag_group(F.col("tag")).cast("long").bitwiseAND(F.lit(gm)) == wg) & (F.pmod("tag", F.lit(65536)).cast("long").bitwiseAND(F.lit(em)) == we)))
-    e = e.join(remove, "tag", "left_anti").join(remap.withColumn("is_uid", F.lit(True)), "tag", "left")
-    each = F.array_join(F.transform(F.split("value", r"\\"), lambda u: F.when(F.trim(u) == "", u).otherwise(F.concat(F.lit("2.25."), hashed_hex(F.trim(u), salt)))), "\\")
-    return e.withColumn("value", F.when(F.col("is_uid"), each).otherwise(F.col("value"))).drop("is_uid")
+    tags = table.select("tag").distinct()
+    uids = table.filter("action = 'U'").select("tag").distinct()
+    gone = dropped_sequences.select("tag")
+    return tags.exceptAll(uids).join(kept, "tag", "left_anti").union(gone).distinct(), uids.join(gone, "tag", "left_anti")
+
+
+def _tags(df: DataFrame) -> list[int]:
+    tags = [r.tag for r in df.select("tag").distinct().limit(PROFILE + 1).collect()]
+    if len(tags) > PROFILE:
+        raise ValueError(f"a profile of more than {PROFILE} tags")
+    return tags
+
+
+def remapped(value: Column, salt: str) -> Column:
+    """Each part of a UID value hashed; blank parts of several go, a value without any stays as it is."""
+    parts = F.filter(F.transform(F.split(value, r"\\"), lambda u: F.trim(u)), lambda u: u != "")
+    return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda u: hashed_uid(u, salt)), "\\")).otherwise(value)
+
+
+def scrub(elements: DataFrame, remove: DataFrame, remap: DataFrame, masked: Masks, salt: str) -> DataFrame:
+    """Elements that stay, values of ``remap`` tags hashed.
+
+    ``remove`` and ``remap``: tables of tags (see ``profile``), bounded lists; ``masked``:
+    the profile's patterns. What is removed stays removed if it is to be remapped too.
+    """
+    gone = _tags(remove)
+    goes = lambda t: dropped(t, masked) | t.isin(gone)
+    e = elements.filter(~goes(F.col("tag")))
+    if "seq_path" in elements.columns:
+        e = e.filter(~F.exists(F.coalesce("seq_path", F.array().cast("array<long>")), goes))
+    return e.withColumn("value", F.when(F.col("tag").isin(_tags(remap)), remapped(F.col("value"), salt)).otherwise(F.col("value")))
+
+
+def drop_named(elements: DataFrame, names: DataFrame) -> DataFrame:
+    """Elements without the named and the private tags, at any depth."""
+    gone = _tags(names)
+    goes = lambda t: is_private(t) | t.isin(gone)
+    e = elements.filter(~goes(F.col("tag")))
+    return e.filter(~F.exists(F.coalesce("seq_path", F.array().cast("array<long>")), goes)) if "seq_path" in elements.columns else e
+
+
+def stamp(elements: DataFrame, name: str, identity_removed: bool, methods: list[str], writer: str, patient: str = "DEMO", kept_method: str = "name kept") -> DataFrame:
+    """Scrubbed elements with the identity fields of each entity set.
+
+    With a real name the flag says NO, the method list says so, and no code is claimed.
+    The file's own class and instance follow the image's; names of writers and
+    private notes in the file's head go.
+    """
+    fields = [(NAME, "PN", name), (PATIENT, "LO", patient), (REMOVED, "CS", "YES" if identity_removed else "NO"), (METHOD, "LO", "\\".join(methods if identity_removed else [*methods, kept_method])), (WRITER, "UI", writer)]
+    nested = [(t, vr, v, [CODES]) for t, vr, v in CODE] if identity_removed else []
+    put = F.array(*(F.struct(F.lit(t).cast("long").alias("tag"), F.lit(vr).alias("vr"), F.lit(v).alias("value"), F.array(*map(F.lit, path)).cast("array<long>").alias("seq_path")) for t, vr, v, path in [*((t, vr, v, []) for t, vr, v in fields), *nested]))
+    old = elements if "seq_path" in elements.columns else elements.withColumn("seq_path", F.array().cast("array<long>"))
+    top = F.size("seq_path") == 0
+    replaced = [t for t, _, _ in fields] + [META_CLASS, META_INSTANCE, *META_GONE]
+    rest = old.filter(~(top & F.col("tag").isin(replaced)) & ~F.exists("seq_path", lambda t: t == CODES))
+    new = old.groupBy("entity").agg(F.lit(1)).select("entity", F.explode(put).alias("p")).select("entity", "p.*")
+    heads = old.filter(top & F.col("tag").isin(CLASS, INSTANCE)).withColumn("tag", F.when(F.col("tag") == CLASS, META_CLASS).otherwise(META_INSTANCE).cast("long"))
+    return rest.select("entity", "tag", "vr", "value", "seq_path").unionByName(new).unionByName(heads.select("entity", "tag", "vr", "value", "seq_path"))
 
 
 def unmapped(elements: DataFrame, kept_tag: int = 0x00020012) -> DataFrame:
@@ -60,17 +133,20 @@ def unmapped(elements: DataFrame, kept_tag: int = 0x00020012) -> DataFrame:
     return elements.filter((F.col("vr") == "UI") & (F.col("tag") != kept_tag) & (F.col("value") != "") & ~ok)
 
 
-def hits(elements: DataFrame, forbidden: DataFrame, most: int = 2000, prefix: int = 8) -> DataFrame:
-    """entity, tag, term of element texts that contain a forbidden term, case-folded.
+def hits(elements: DataFrame, forbidden: DataFrame, most_bytes: int = 16 << 20, prefix: int = 8, fold: Callable[[Column], Column] = F.lower) -> DataFrame:
+    """entity, tag, term of element texts that contain a forbidden term, both folded.
 
-    A list of up to ``most`` terms, counted before, goes to every task. Longer lists
-    meet the texts through their first ``prefix`` characters: texts are cut into all
-    substrings of that length, and only shared ones are compared.
+    A list of up to ``most_bytes``, counted before, becomes one automaton that reads each
+    text once, whatever the number of terms. Longer lists meet the texts through their
+    first ``prefix`` characters: texts are cut into all substrings of that length, and
+    only shared ones are compared.
     """
-    f = forbidden.select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
-    e = elements.select("entity", "tag", F.lower("value").alias("low"))
-    if f.limit(most + 1).count() <= most:
-        return e.join(F.broadcast(f), F.col("low").contains(F.col("term"))).select("entity", "tag", "term").distinct()
+    f = forbidden.select(fold(F.trim("term")).alias("term")).filter("term <> ''").distinct()
+    e = elements.select("entity", "tag", fold(F.col("value")).alias("low"))
+    if (f.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= most_bytes:
+        terms = elements.sparkSession.sparkContext.broadcast([r.term for r in f.collect()])
+        found = e.mapInArrow(_finder(terms), f"entity {elements.schema['entity'].dataType.simpleString()}, tag {elements.schema['tag'].dataType.simpleString()}, term string")
+        return found.distinct()
 
     def cut(n: int) -> DataFrame:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - n + 1))
@@ -82,6 +158,42 @@ def hits(elements: DataFrame, forbidden: DataFrame, most: int = 2000, prefix: in
     return found.select("entity", "tag", "term").distinct()
 
 
+def _finder(terms):
+    """An Arrow function from (entity, tag, text) to (entity, tag, term) of the terms found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for t in terms.value:
+            automaton.add_word(t, t)
+        automaton.make_automaton()
+        for b in batches:
+            at, found = [], []
+            for i, text in enumerate(b.column(2).to_pylist() if terms.value else ()):
+                own = {t for _, t in automaton.iter(text or "")}
+                at += [i] * len(own)
+                found += own
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.string())], ["entity", "tag", "term"])
+
+    return run
+
+
+def ascii_lower(x: Column) -> Column:
+    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def byte_hits(files: DataFrame, forbidden: DataFrame, **how) -> DataFrame:
+    """entity, term of files (entity, content) whose raw bytes hold a lower-cased term, as Latin-1 or as UTF-16; A-Z of the bytes are folded."""
+    secret = F.lower(F.trim("term"))
+    latin = F.regexp_replace(secret, r"[^\x00-\xff]", "")  # what Latin-1 has no letter for is left out
+    wide = F.decode(F.encode(secret, "UTF-16LE"), "ISO-8859-1")
+    needles = forbidden.filter(secret != "").select(secret.alias("secret"), F.explode(F.array(latin, wide)).alias("needle"))
+    needles = needles.withColumn("term", ascii_lower(F.trim("needle"))).filter("term <> ''").drop("needle").distinct()
+    texts = files.select("entity", F.lit(0).alias("tag"), F.decode("content", "ISO-8859-1").alias("value"))
+    found = hits(texts, needles.select("term"), fold=ascii_lower, **how)
+    return found.join(needles, "term").select("entity", F.col("secret").alias("term")).distinct()
+
+
 def report(elements: DataFrame, forbidden: DataFrame) -> DataFrame:
     """One row: elements, entities, private tags, unmapped UIDs, repeated UIDs, hits."""
     uid = F.col("vr") == "UI"

@@ -62,12 +62,71 @@ def join1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("known").agg(F.count("*").alias("n"), F.count_distinct("tag").alias("tags"))
 
 
-@query("deid2_scrub", f"WITH {ELEM_SQL} SELECT entity, CAST(tag AS BIGINT) AS tag, vr, CASE WHEN tag = 2097165 THEN '2.25.' || substr(sha256('salt' || chr(0) || value), 1, 32) ELSE value END AS value FROM el WHERE tag NOT IN (1048592) AND (tag // 65536) % 2 = 0 AND tag % 65536 <> 0 AND NOT (tag // 65536 BETWEEN 20480 AND 20735) AND NOT (tag // 65536 BETWEEN 24576 AND 24831) AND vr <> 'SH' UNION ALL SELECT entity, CAST(tag AS BIGINT), vr, CAST(CAST(value AS DOUBLE) AS VARCHAR) FROM el WHERE vr = 'SH' AND (tag // 65536) % 2 = 0 AND tag % 65536 <> 0 AND tag NOT IN (1048592)".replace("CAST(CAST(value AS DOUBLE) AS VARCHAR)", "'acct'"))
+UID_SQL = "'2.25.' || CAST(CAST('0x' || substr(sha256('salt' || chr(0) || {0}), 1, 16) AS UHUGEINT) * 18446744073709551616::UHUGEINT + CAST('0x' || substr(sha256('salt' || chr(0) || {0}), 17, 16) AS UHUGEINT) AS VARCHAR)"
+#: The published action table in small: parts' sizes decide what a tag of group 8 is to become.
+TABLE_SQL = "act AS (SELECT DISTINCT 524288 + p_size AS tag, CASE p_size % 4 WHEN 0 THEN 'U' WHEN 1 THEN 'X' WHEN 2 THEN 'Z' ELSE 'D' END AS action FROM part UNION SELECT 2097165, 'U' UNION SELECT 1048592, 'X')"
+NEST_SQL = f"""{TABLE_SQL}, keep AS (SELECT 524288 + p_size AS tag FROM part WHERE p_size % 8 = 5), seqs AS (SELECT 524288 + p_size AS tag FROM part WHERE p_size % 16 = 4),
+rem AS (SELECT tag FROM act WHERE action <> 'U' AND tag NOT IN (SELECT tag FROM keep) UNION SELECT tag FROM seqs), map AS (SELECT tag FROM act WHERE action = 'U' AND tag NOT IN (SELECT tag FROM seqs)),
+ne AS (SELECT p_partkey AS entity, [CAST(x AS BIGINT) for x in CASE p_partkey % 3 WHEN 0 THEN [] WHEN 1 THEN [524288 + p_partkey % 50] ELSE [4194944 + 65536 * (p_partkey % 2), 524288 + p_partkey % 50] END] AS seq_path,
+  CAST(CASE p_partkey % 5 WHEN 0 THEN 2097165 WHEN 1 THEN 1048592 WHEN 2 THEN 1342177280 + p_size WHEN 3 THEN 2686976 + p_size ELSE 524288 + p_size END AS BIGINT) AS tag, CASE p_partkey % 5 WHEN 0 THEN 'UI' ELSE 'LO' END AS vr,
+  CASE p_size % 4 WHEN 0 THEN p_brand || '\\' || ' ' || '\\' || p_name WHEN 1 THEN '' ELSE p_name END AS value FROM part)"""
+#: A tag goes: private, group length, curves, overlays, the pattern (0x0028, 0x00x0 to 0x00x7), or on the list.
+GOES_SQL = "(({0} // 65536) % 2 = 1 OR {0} % 65536 = 0 OR {0} // 65536 BETWEEN 20480 AND 20735 OR {0} // 65536 BETWEEN 24576 AND 24831 OR ({0} // 65536 = 41 AND {0} % 16 < 8) OR {0} IN (SELECT tag FROM rem))"
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as elements within sequences: some private, some of curves, UIDs of one part, several or none."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    path = F.when(k % 3 == 0, F.array()).when(k % 3 == 1, F.array(k % 50 + 524288)).otherwise(F.array(k % 2 * 65536 + 4194944, k % 50 + 524288)).cast("array<long>")
+    tag = F.when(k % 5 == 0, 2097165).when(k % 5 == 1, 1048592).when(k % 5 == 2, size + 1342177280).when(k % 5 == 3, size + 2686976).otherwise(size + 524288).cast("long")
+    value = F.when(size % 4 == 0, F.concat("p_brand", F.lit("\\ \\"), "p_name")).when(size % 4 == 1, "").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select(k.alias("entity"), path.alias("seq_path"), tag.alias("tag"), F.when(k % 5 == 0, "UI").otherwise("LO").alias("vr"), value.alias("value"))
+
+
+def action_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    size = F.col("p_size")
+    parts = table(spark, sf_dir, "part").select("p_size").distinct()
+    action = F.get(F.array(*map(F.lit, "UXZD")), size % 4)
+    acts = parts.select((size + 524288).cast("long").alias("tag"), action.alias("action")).union(spark.createDataFrame([(2097165, "U"), (1048592, "X")], "tag long, action string"))
+    some = lambda when: parts.filter(when).select((size + 524288).cast("long").alias("tag"))
+    return deid.profile(acts, some(size % 8 == 5), some(size % 16 == 4))
+
+
+@query("deid1_profile", f"WITH {NEST_SQL} SELECT tag, 'remove' AS fate FROM rem UNION ALL SELECT tag, 'remap' FROM map")
+def deid1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a published action table makes of each tag."""
+    remove, remap = action_lists(spark, sf_dir)
+    return remove.withColumn("fate", F.lit("remove")).union(remap.withColumn("fate", F.lit("remap")))
+
+
+SCRUB_SQL = f"""{NEST_SQL}, fate AS (SELECT tag, {GOES_SQL.format('tag')} AS goes FROM (SELECT tag FROM ne UNION SELECT unnest(seq_path) FROM ne)),
+sc AS (SELECT entity, seq_path, ne.tag, vr, CASE WHEN ne.tag IN (SELECT tag FROM map) AND len(list_filter(string_split(value, '\\'), lambda u: trim(u) <> '')) > 0
+  THEN array_to_string(list_transform(list_filter(list_transform(string_split(value, '\\'), lambda u: trim(u)), lambda u: u <> ''), lambda u: {UID_SQL.format('u')}), '\\') ELSE value END AS value
+  FROM ne JOIN fate USING (tag) WHERE NOT goes AND NOT list_has_any(seq_path, (SELECT list(tag) FROM fate WHERE goes)))"""
+
+
+def scrubbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deid.scrub(nested(spark, sf_dir), *action_lists(spark, sf_dir), [(0x0029, 0x0000, 0xFFFF, 0x0008)], "salt")
+
+
+@query("deid2_scrub", f"WITH {SCRUB_SQL} SELECT entity, array_to_string(seq_path, '/') AS path, tag, vr, value FROM sc")
 def deid2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    remove = spark.createDataFrame([(1048592,)], "tag long")
-    remap = spark.createDataFrame([(2097165,)], "tag long")
-    e = elements(spark, sf_dir).withColumn("value", F.when(F.col("vr") == "SH", "acct").otherwise(F.col("value")))
-    return deid.scrub(e, F.broadcast(remove), F.broadcast(remap), [], "salt").select("entity", "tag", "vr", "value")
+    """Nested elements under a profile with a pattern; UIDs become hashes in decimals, blank parts go."""
+    return scrubbed(spark, sf_dir).select("entity", F.array_join("seq_path", "/").alias("path"), "tag", "vr", "value")
+
+
+@query("deid5_stamp", f"WITH {SCRUB_SQL}, ids AS (SELECT DISTINCT entity FROM sc), st AS (SELECT entity, path, tag, vr, value FROM ids, (VALUES ('', 1048592, 'PN', 'Doe^Demo'), ('', 1048608, 'LO', 'DEMO'), ('', 1179746, 'CS', 'YES'), ('', 1179747, 'LO', 'a\\b'), ('', 131090, 'UI', '2.25.1'), ('1179748', 524544, 'SH', '113100'), ('1179748', 524546, 'SH', 'DCM'), ('1179748', 524548, 'LO', 'Basic Application Confidentiality Profile')) v(path, tag, vr, value)), old AS (SELECT entity, array_to_string(seq_path, '/') AS path, tag, vr, value FROM sc) SELECT entity, path, CAST(tag AS BIGINT) AS tag, vr, value FROM (SELECT * FROM old UNION ALL SELECT * FROM st UNION ALL SELECT entity, '', CASE tag WHEN 524310 THEN 131074 ELSE 131075 END, vr, value FROM old WHERE path = '' AND tag IN (524310, 524312))")
+def deid5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scrubbed elements with identity fields and file heads set."""
+    e = deid.stamp(scrubbed(spark, sf_dir), "Doe^Demo", True, ["a", "b"], "2.25.1")
+    return e.select("entity", F.array_join("seq_path", "/").alias("path"), "tag", "vr", "value")
+
+
+@query("deid8_drop_named", f"WITH {NEST_SQL}, nm AS (SELECT DISTINCT 524288 + p_size AS tag FROM part WHERE p_size < 20) SELECT entity, array_to_string(seq_path, '/') AS path, tag, value FROM ne WHERE tag NOT IN (SELECT tag FROM nm) AND (tag // 65536) % 2 = 0 AND NOT list_has_any(seq_path, (SELECT list(tag) FROM nm)) AND len(list_filter(seq_path, lambda t: (t // 65536) % 2 = 1)) = 0")
+def deid8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements without a list of named tags and without private ones."""
+    names = table(spark, sf_dir, "part").filter("p_size < 20").select((F.col("p_size") + 524288).cast("long").alias("tag"))
+    return deid.drop_named(nested(spark, sf_dir), names).select("entity", F.array_join("seq_path", "/").alias("path"), "tag", "value")
 
 
 @query("deid3_hash_hex", f"WITH {ELEM_SQL} SELECT entity, substr(sha256('salt' || chr(0) || value), 1, 32) AS hex FROM el WHERE vr = 'UI'")
@@ -85,20 +144,28 @@ def deid7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deid.unmapped(elements(spark, sf_dir)).select("entity", "value")
 
 
-FORBIDDEN = "f AS (SELECT DISTINCT lower(trim(substr(text, 1, 24))) AS term FROM benchmark)"
+FORBIDDEN = "f AS (SELECT DISTINCT lower(trim(text)) AS term FROM benchmark WHERE trim(text) <> '')"
 
 
 def forbidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 24).alias("term"))
+    return table(spark, sf_dir, "benchmark").select(F.col("text").alias("term"))
 
 
-@query("deid6_verify", f"WITH {FORBIDDEN} SELECT doc_id AS entity, term FROM documents JOIN f ON contains(lower(text), term)")
+@query("deid6_verify", f"WITH {FORBIDDEN} SELECT DISTINCT doc_id AS entity, term FROM documents JOIN f ON contains(lower(text), term)")
 def deid6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forbidden terms found in texts."""
+    """Forbidden terms, whole benchmark texts, found in texts."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity"), F.lit(0).cast("long").alias("tag"), F.col("text").alias("value"))
     return deid.hits(d, forbidden(spark, sf_dir)).select("entity", "term")
 
 
+@query("deid6_raw_bytes", "WITH n AS (SELECT DISTINCT lower(string_split(text, ' ')[3]) AS term FROM benchmark WHERE regexp_matches(string_split(text, ' ')[3], '^[A-Za-z]+$')) SELECT DISTINCT page_id AS entity, term FROM pages JOIN n ON contains(translate(html, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), term)")
+def deid6_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forbidden words, each benchmark text's third, in raw bytes: half of the pages are stored as UTF-8, half as UTF-16."""
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("entity"), F.when(F.col("page_id") % 2 == 0, F.encode("html", "UTF-8")).otherwise(F.encode("html", "UTF-16LE")).alias("content"))
+    word = F.get(F.split("text", " "), F.lit(2))
+    return deid.byte_hits(p, table(spark, sf_dir, "benchmark").filter(word.rlike("^[A-Za-z]+$")).select(word.alias("term")))
+
+
 @query("agg19_report", f"WITH {ELEM_SQL}, f AS (SELECT lower(n_name) AS term FROM nation) SELECT count(*) AS elements, count(DISTINCT entity) AS entities, count(*) FILTER (WHERE (tag // 65536) % 2 = 1) AS private_tags, count(*) FILTER (WHERE vr = 'UI') - count(DISTINCT value) FILTER (WHERE vr = 'UI') AS repeated_uids, count(*) FILTER (WHERE vr = 'UI' AND NOT starts_with(value, '1.2.840.10008.') AND value <> '') AS unmapped_uids, (SELECT count(*) FROM (SELECT DISTINCT entity, tag, term FROM el JOIN f ON contains(lower(value), term))) AS hits FROM el")
 def agg19(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deid.report(elements(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_name").alias("term")))
