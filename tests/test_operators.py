@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import geometry as g
 from voxelake.functions import rules, scalar
-from voxelake.operators import deid, graph, histogram, masks, resample, session, shape, walk
+from voxelake.operators import deid, graph, histogram, masks, resample, series, session, shape, walk
 from voxelake.sources import packed, part10
 
 
@@ -275,17 +275,53 @@ def picture(syntax, rows=4, cols=5):
     return part10.write_file(tags, syntax), px
 
 
-@pytest.mark.parametrize("syntax", ["1.2.840.10008.1.2.1", part10.IMPLICIT])
+@pytest.mark.parametrize("syntax", ["1.2.840.10008.1.2.1", part10.IMPLICIT, part10.BIG])
 def test_image_files(spark, tmp_path, syntax):
     data, px = picture(syntax)
     (tmp_path / "a.dcm").write_bytes(data)
     (tmp_path / "b.dcm").write_bytes(b"\0" * 200)
-    (tmp_path / "c.txt").write_bytes(b"\0" * 200)
-    rows, bad = part10.elements(part10.candidates(spark, str(tmp_path)))
+    (tmp_path / "c.txt").write_bytes(b"\0" * 20)
+    files = part10.candidates(spark, str(tmp_path))
+    rows, bad = part10.elements(files)
     assert [r.reason for r in bad.collect()] == ["no magic word"]
-    i = part10.instances(rows).first()
-    assert (i.rows, i.cols, i.series_uid, i.instance_number, i.position, i.modality) == (4, 5, "1.2.3", 7, [1.0, 2.0, 3.5], "OT")
-    assert [r.stored for r in part10.pixels(rows).orderBy("at").collect()] == px.tolist()
+    i = part10.instances(rows)[0].first()
+    assert (i.rows, i.cols, i.series_uid, i.instance_number, i.position, i.modality, i.row_axis, i.between) == (4, 5, "1.2.3", 7, [1.0, 2.0, 3.5], "OT", [1.0, 0.0, 0.0], None)
+    got, none = part10.pixels(files)
+    assert [r.stored for r in got.orderBy("at").collect()] == px.tolist() and [r.reason for r in none.collect()] == ["no magic word"]
+
+
+def test_broken_images_are_rejects(spark):
+    us = lambda v: ("US", struct.pack("<H", v))
+    size = {0x00280010: us(2), 0x00280011: us(2)}
+    deep = b"".join(struct.pack("<HH2sHI", 0x0008, 0x1140, b"SQ", 0, 0xFFFFFFFF) + struct.pack("<HHI", 0xFFFE, 0xE000, 0xFFFFFFFF) for _ in range(3000))
+    made = {
+        "jpeg": part10.write_file(size, "1.2.840.10008.1.2.4.70", [b"xx"]), "short": part10.write_file(size | {0x7FE00010: ("OW", b"1234")}), "none": part10.write_file(size), "sizeless": part10.write_file({0x00080060: ("CS", b"MR")}),
+        "frames": part10.write_file(size | {0x00280008: ("IS", b"2"), 0x7FE00010: ("OW", bytes(8))}), "deep": part10.write_file(size) + deep, "bits": part10.write_file(size | {0x00280100: us(12), 0x7FE00010: ("OW", bytes(8))}), "empty": b"",
+        "signed": part10.write_file(size | {0x00280101: us(12), 0x00280103: us(1), 0x7FE00010: ("OW", struct.pack("<4H", 0xF001, 0x0FFF, 0x0800, 0x07FF))}),
+    }
+    files = spark.createDataFrame(list(made.items()), "path string, content binary")
+    good, bad = part10.pixels(files)
+    why = {(r.path, r.frame): r.reason for r in bad.collect()}
+    assert why == {("jpeg", 0): "needs an image codec: 1.2.840.10008.1.2.4.70", ("short", 0): "truncated pixel data", ("none", 0): "no pixel data", ("sizeless", 0): "no rows or columns", ("frames", 1): "truncated pixel data", ("deep", 0): "nested too deep", ("bits", 0): "12 bits a sample", ("empty", 0): "too short"}
+    assert [r.stored for r in good.filter("path = 'signed'").orderBy("at").collect()] == [1, -1, -2048, 2047] and good.filter("path = 'frames'").count() == 4
+    rows, unread = part10.elements(files)
+    assert {r.path for r in unread.collect()} == {"deep", "empty"} and [r.path for r in part10.instances(rows)[1].collect()] == ["sizeless"]
+
+
+def test_stacks_of_unequal_or_turned_slices(spark):
+    def row(path, key, z, rows=2, x=0.0, axis=(1.0, 0.0, 0.0), number=1, samples=1):
+        return (path, key, rows, 2, [x, 0.0, z], list(axis), [0.0, 1.0, 0.0], number, samples)
+
+    rows = [row("a", "one", 5.0), row("b", "two", 1.0), row("c", "two", 1.0, number=0), row("d", "size", 1.0), row("e", "size", 2.0, rows=3), row("f", "rgb", 1.0, samples=3), row("g", "odd", 0.0), row("h", "odd", 3.0, x=0.6), row("i", "odd", 4.0, axis=(0.0, 0.0, 1.0))]
+    i = spark.createDataFrame(rows, "path string, series_key string, rows int, cols int, position array<double>, row_axis array<double>, col_axis array<double>, instance_number int, samples int")
+    for c in ("row_spacing", "col_spacing", "slope", "intercept", "thickness"):
+        i = i.withColumn(c, F.lit(2.5))
+    i = i.withColumn("between", F.lit(None).cast("double")).withColumns({c: F.lit(0.0) for c in ("center", "width")}).withColumns({c: F.lit("") for c in ("description", "modality", "frame_uid")}).withColumn("series_number", F.lit(1)).withColumn("signed", F.lit(False))
+    volumes, stack, rejected = series.volumes(i)
+    assert {r.series_key: r.reason for r in rejected.collect()} == {"size": "slices differ in size", "rgb": "several samples a pixel"}
+    got = {r.volume_id: (r.dims, r.spacing[2], r.warnings) for r in volumes.collect()}
+    assert got == {"one": ([2, 2, 1], 2.5, []), "two": ([2, 2, 2], 2.5, ["not_advancing"]), "odd": ([2, 2, 3], 2.0, ["mixed_orientation", "sideways", "uneven_spacing"])}
+    assert [r.path for r in stack.filter("series_key = 'two'").orderBy("k").collect()] == ["c", "b"]
 
 
 def test_big_endian_tags_parse():

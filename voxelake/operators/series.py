@@ -69,3 +69,45 @@ def fusion_candidate(volumes: DataFrame, angle: float = 0.9) -> DataFrame:
     angled = known.join(o, ["kind", "frame"]).filter("uid < o_uid").groupBy("kind", "frame").agg(F.bool_or(apart).alias("angled")).filter("angled")
     groups = known.groupBy("kind", "frame").agg(F.count("*").alias("n"), F.min("uid").alias("first"))
     return groups.join(angled, ["kind", "frame"]).filter("n >= 2").orderBy(F.desc("n"), "first").limit(1).select("kind", "frame", "n", "first")
+
+
+# The stack's warnings, by code.
+MIXED, SIDEWAYS, STUCK, UNEVEN_STEPS = "mixed_orientation", "sideways", "not_advancing", "uneven_spacing"
+
+
+def _vec(c: str | Column) -> g.Vec:
+    return tuple(F.get(c, F.lit(n)) for n in range(3))
+
+
+def volumes(images: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Volumes, their ordered slices (with k), and rejected series (series_key, reason), of images with a series_key.
+
+    The image of the smallest path gives a series its normal; slices follow their depth
+    along it (equal to a millionth of a millimetre: the instance number, then the path).
+    The first slice gives geometry and display. The step is the median gap; where slices
+    do not advance or there is one only, the spacing that the image names. A series of
+    unequal sizes or of several samples a pixel is rejected.
+    """
+    head = images.groupBy("series_key").agg(F.min_by(F.struct("row_axis", "col_axis"), "path").alias("h"), F.count_distinct("rows", "cols").alias("sizes"), F.max("samples").alias("most"))
+    head = head.withColumn("normal", F.array(*g.normalize(g.cross(_vec("h.row_axis"), _vec("h.col_axis")))))
+    reason = F.when(F.col("sizes") > 1, "slices differ in size").when(F.col("most") > 1, "several samples a pixel")
+    rejected = head.select("series_key", reason.alias("reason")).filter("reason is not null")
+    placed = images.join(head.filter(reason.isNull()).select("series_key", "normal"), "series_key").withColumn("depth", g.dot(_vec("position"), _vec("normal")))
+    order = Window.partitionBy("series_key").orderBy(F.round("depth", 6), "instance_number", "path")
+    stack = placed.withColumn("k", F.row_number().over(order) - 1).withColumn("gap", F.col("depth") - F.lag("depth").over(order))
+    geometry = ["rows", "cols", "row_axis", "col_axis", "normal", "position", "row_spacing", "col_spacing", "between", "thickness", "slope", "intercept", "center", "width", "description", "modality", "series_number", "frame_uid", "signed"]
+    first = stack.groupBy("series_key").agg(F.count("*").alias("n"), F.median("gap").alias("step"), *(F.min_by(c, "k").alias(c) for c in geometry))
+    own = tuple(F.col("p.position")[n] - F.col("f.position")[n] for n in range(3))
+    along = g.dot(own, _vec("f.normal"))
+    aside = g.length(g.subtract(own, g.scale(_vec("f.normal"), along)))
+    turned = F.abs(g.dot(g.normalize(g.cross(_vec("p.row_axis"), _vec("p.col_axis"))), _vec("f.normal")))
+    seen = stack.alias("p").join(first.alias("f"), "series_key").groupBy("series_key").agg(F.bool_or(turned < TURN).alias("mixed"), F.bool_or(aside > SHEAR).alias("sideways"), F.count_if(F.abs(F.col("p.gap") - F.col("f.step")) > UNEVEN).alias("uneven"))
+    named = F.coalesce("between", "thickness", F.lit(1.0))
+    step = F.when((F.col("n") < 2) | (F.col("step") <= 0), named).otherwise(F.col("step"))
+    stuck = (F.col("n") > 1) & (F.col("step") <= 0)
+    warnings = F.array_compact(F.array(F.when(F.col("mixed"), MIXED), F.when(F.col("sideways"), SIDEWAYS), F.when(stuck, STUCK).when(F.col("uneven") > 0, UNEVEN_STEPS)))
+    out = first.join(seen, "series_key").select(
+        F.col("series_key").alias("volume_id"), F.array("cols", "rows", F.col("n").cast("int")).alias("dims"), F.array("col_spacing", "row_spacing", step).alias("spacing"), F.col("position").alias("origin"), F.array("row_axis", "col_axis", "normal").alias("axes"),
+        "slope", "intercept", "center", "width", "signed", "description", "modality", "series_number", "frame_uid", "uneven", warnings.alias("warnings"),
+    )
+    return out, stack, rejected
