@@ -103,3 +103,26 @@ def luminance(hex_color: Column) -> Column:
 def contrast(a: Column, b: Column) -> Column:
     hi, lo = F.greatest(luminance(a), luminance(b)), F.least(luminance(a), luminance(b))
     return (hi + 0.05) / (lo + 0.05)
+
+
+#: Linear light to cone responses, and their cube roots to lightness and two opponents (fixed values of the public colour space).
+CONES = ((0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005))
+OPPONENTS = ((0.2104542553, 0.793617785, -0.0040720468), (1.9779984951, -2.428592205, 0.4505937099), (0.0259040371, 0.7827717662, -0.808675766))
+
+
+def oklab(hex_color: Column) -> tuple[Column, Column, Column]:
+    """Lightness and the two colour axes of "#rrggbb" where distances are as the eye sees them."""
+    light = [linear_channel(F.conv(F.substring(hex_color, i, 2), 16, 10).cast("double")) for i in (2, 4, 6)]
+    weighed = lambda rows, v: [sum((w * x for w, x in zip(row[1:], v[1:], strict=True)), row[0] * v[0]) for row in rows]
+    return tuple(weighed(OPPONENTS, [F.cbrt(x) for x in weighed(CONES, light)]))
+
+
+def colour_distance(a: Column, b: Column) -> Column:
+    off = [x - y for x, y in zip(oklab(a), oklab(b), strict=True)]
+    return F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2])
+
+
+def progress(done: Column, total: Column) -> tuple[Column, Column]:
+    """Summed progress, and its share of the summed totals; no share while any total is unknown."""
+    known = F.bool_and(total.isNotNull()) & (F.sum(total) > 0)
+    return F.sum(done), F.when(known, F.least(F.lit(1.0), F.sum(done) / F.sum(total)))

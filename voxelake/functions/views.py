@@ -64,3 +64,55 @@ def previous_step(step: Column) -> Column:
 def same_cut(a: Column, b: Column, thickness: float) -> Column:
     """Whether two depths lie in one slab."""
     return F.abs(a - b) <= thickness / 2 + 1e-9
+
+
+def same_frame(a: Column, b: Column) -> Column:
+    """Whether two series share a frame of reference; an empty one is none."""
+    return F.coalesce((a != "") & (a == b), F.lit(False))
+
+
+def outside(p: g.Vec, low: tuple, high: tuple) -> Column:
+    """Whether a point lies outside a box."""
+    return ~(p[0].between(low[0], high[0]) & p[1].between(low[1], high[1]) & p[2].between(low[2], high[2]))
+
+
+def ray_box(origin: g.Vec, direction: g.Vec, dims: tuple) -> tuple[Column, Column, Column]:
+    """Whether a ray meets a grid's box ahead of it, and where along the ray it enters and leaves."""
+    enter, leave = [], []
+    for o, d, n in zip(origin, direction, map(g.col, dims), strict=True):
+        sides = ((F.lit(-0.5) - o) / d, (n - 0.5 - o) / d)
+        enter.append(F.least(*sides))
+        leave.append(F.greatest(*sides))
+    near, far = F.greatest(*enter), F.least(*leave)
+    return far > F.greatest(near, F.lit(0.0)), near, far
+
+
+def mm_per_pixel(span: tuple[Column, Column], pane: tuple) -> tuple[Column, Column]:
+    """Millimetres that a pixel of a pane covers each way."""
+    return tuple(s / F.greatest(g.col(p), F.lit(1)) for s, p in zip(span, pane, strict=True))
+
+
+#: The orientation cube's largest size and its margin, in pixels (fixed values).
+CUBE, CUBE_MARGIN = 132, 12
+
+
+def cube_viewport(x: Column, y: Column, width: Column, height: Column) -> tuple[Column, Column, Column]:
+    """Left, top and size of the orientation cube in the upper right of a pane."""
+    size = F.least(F.lit(CUBE), F.floor(F.least(width, height) * 0.4))
+    return x + width - size - CUBE_MARGIN, y + CUBE_MARGIN, size
+
+
+def step_shown(step: Column, n: int) -> tuple[Column, Column]:
+    """The step to show of ``n``, and the number told to people."""
+    return F.least(F.greatest(step, F.lit(0)), F.lit(n - 1)), step + 1
+
+
+def saved_step(raw: Column) -> tuple[Column, Column]:
+    """Step and whether finished of a saved state; null, broken text and other values than an object are a first visit."""
+    kind = lambda field: F.trim(F.get_json_object(raw, field))
+    known = F.coalesce(raw.rlike(r"^\s*\{"), F.lit(False)) & F.from_json(raw, "step string, finished string", {"mode": "PERMISSIVE"}).isNotNull()
+    step = kind("$.step").try_cast("double")
+    quoted = raw.rlike(r'"step"\s*:\s*"')
+    fine = known & step.isNotNull() & ~F.isnan(step) & ~quoted
+    finished = F.coalesce(known & (kind("$.finished") == "true") & ~raw.rlike(r'"finished"\s*:\s*"'), F.lit(False))
+    return F.when(F.coalesce(fine, F.lit(False)), step).otherwise(0.0), finished

@@ -85,11 +85,23 @@ def shape_groups(shapes: DataFrame, nx: int, ny: int, nz: int, seed: float = 0.2
     own = shapes.filter("kind <> 'none'").select("idx", "k", "j", "i", "kind", "confidence")
     parts = own.join(components(own, adjacency(own, TWENTY_SIX, nx, ny, nz, ["kind"])), "idx")
     first = parts.filter(F.col("confidence") >= seed).groupBy("component").agg(F.min("idx").alias("first"))
-    # ids count groups, which are few next to voxels
-    ids = first.withColumn("component_id", F.row_number().over(Window.orderBy("first")) - 1)
+    ids = numbered(first, "first", "component_id")
     return parts.join(ids.select("component", "component_id"), "component")
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` with their place in the order of the distinct column ``by``, from 0.
+
+    Rows are dealt out by ranges of ``by``; a range starts where the ranges before it
+    end, which is a sum over ranges, not over rows.
+    """
+    ranged = materialize(rows.repartitionByRange(by).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).select("range", F.coalesce("before", F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1
+    return ranged.join(F.broadcast(before), "range").withColumn(name, F.col("before") + own).drop("range", "before")
+
+
 def split_ends(groups: DataFrame, sx: float, sy: float, sz: float) -> DataFrame:
     """Voxels with their end of the long axis (0, 1, 2), and the group's axis and length."""
     p = groups.withColumn("px", F.col("i") * sx).withColumn("py", F.col("j") * sy).withColumn("pz", F.col("k") * sz)

@@ -79,26 +79,45 @@ def plan_fusion(volumes: DataFrame, budget: int = 16_000_000, spacing: float | N
     return {"dims": cells(), "step": step, "origin": low}
 
 
+def _cells(grid: dict) -> tuple[Column, Column, Column]:
+    """Patient coordinates of the cell (x, y, z)."""
+    return tuple(F.lit(o) + F.col(c) * grid["step"] for c, o in zip("xyz", grid["origin"], strict=True))
+
+
+def reached(volumes: DataFrame, grid: dict) -> DataFrame:
+    """A row for each volume and each cell of ``grid`` in the box around it: out, volume_id, nx, ny, nz, inv, x, y, z.
+
+    The box comes from the volume's own corners, so a cell is made only for volumes that can
+    reach it; planes are dealt out before they unfold into cells.
+    """
+    m, n = tuple(F.get("m", F.lit(i)) for i in range(12)), [F.col(c) for c in ("nx", "ny", "nz")]
+    corners = [g.apply_affine(m, tuple(F.when(F.lit(bool(bits >> a & 1)), n[a] - 0.5).otherwise(-0.5) for a in range(3))) for bits in range(8)]
+    box = {}
+    for a, c in enumerate("xyz"):
+        place = [(p[a] - grid["origin"][a]) / grid["step"] for p in corners]
+        box[c] = F.greatest(F.lit(0), F.floor(F.least(*place))), F.least(F.lit(grid["dims"][a] - 1), F.ceil(F.greatest(*place)))
+    own = volumes.select("volume_id", *n, F.array(*g.invert_affine(m)).alias("inv"), *(v.cast("long").alias(f"{e}{c}") for c, ends in box.items() for e, v in zip(("low_", "high_"), ends, strict=True)))
+    along = lambda c: F.explode(F.when(F.col(f"low_{c}") <= F.col(f"high_{c}"), F.sequence(F.col(f"low_{c}"), F.col(f"high_{c}")))).alias(c)
+    planes = own.select("*", along("z")).select("*", along("y")).repartition("volume_id", "z", "y")
+    nx, ny, _ = grid["dims"]
+    return planes.select("*", along("x")).select(((F.col("z") * ny + F.col("y")) * nx + F.col("x")).alias("out"), "volume_id", "nx", "ny", "nz", "inv", "x", "y", "z")
+
+
 def fuse(volumes: DataFrame, voxels: DataFrame, scales: DataFrame, grid: dict) -> DataFrame:
     """idx, value (0..4095), n_sources of every cell of ``grid``; 0 where no series reaches.
 
     ``scales``: volume_id, lo, hi, low, high of each series (muscle scale).
     """
-    (nx, ny, nz), step, (ox, oy, oz) = grid["dims"], grid["step"], grid["origin"]
-    spark = volumes.sparkSession
-    cells = spark.range(nx * ny * nz).select(F.col("id").alias("out"), (F.lit(ox) + (F.col("id") % nx) * step).alias("px"), (F.lit(oy) + F.floor(F.col("id") / nx) % ny * step).alias("py"), (F.lit(oz) + F.floor(F.col("id") / (nx * ny)) * step).alias("pz"))
-    inverse = g.invert_affine(tuple(F.get("m", F.lit(n)) for n in range(12)))
-    sources = volumes.select("volume_id", "nx", "ny", "nz", F.array(*inverse).alias("inv"))
-    # every cell meets every series of the study: one row each, sent out while they are few
-    meet = cells.join(F.broadcast(sources) if sources.count() <= 64 else sources)
-    voxel = g.apply_affine(tuple(F.get("inv", F.lit(n)) for n in range(12)), tuple(F.col(c) for c in ("px", "py", "pz")))
-    points = meet.select("out", "volume_id", "nx", "ny", "nz", *(v.alias(c) for v, c in zip(voxel, "xyz", strict=True)))
+    nx, ny, nz = grid["dims"]
+    voxel = g.apply_affine(tuple(F.get("inv", F.lit(n)) for n in range(12)), _cells(grid))
+    points = reached(volumes, grid).select("out", "volume_id", "nx", "ny", "nz", *(v.alias(c) for v, c in zip(voxel, "xyz", strict=True)))
     reads = fusion_reads(points, voxels, ["out", "volume_id"]).join(scales, "volume_id")
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1)
     offset = F.col("lo") + F.col("low") * span
     signal = (F.col("value") - offset) / F.greatest((F.col("high") - F.col("low")) * span, F.lit(1e-6))
     fused = reads.groupBy("out").agg(F.avg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), signal))).alias("mean"), F.count("*").alias("n_sources"))
-    return cells.select("out").join(fused, "out", "left").select(F.col("out").alias("idx"), F.coalesce(F.floor(F.col("mean") * 4095 + 0.5), F.lit(0)).cast("int").alias("value"), F.coalesce("n_sources", F.lit(0)).cast("int").alias("n_sources"))
+    cells = volumes.sparkSession.range(nx * ny * nz).select(F.col("id").alias("out"))
+    return cells.join(fused, "out", "left").select(F.col("out").alias("idx"), F.coalesce(F.floor(F.col("mean") * 4095 + 0.5), F.lit(0)).cast("int").alias("value"), F.coalesce("n_sources", F.lit(0)).cast("int").alias("n_sources"))
 
 
 def blocks(voxels: DataFrame, bi: int, bj: int, bk: int, nx: Column, ny: Column, nz: Column) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelake.functions import geometry as g
 from voxelake.functions.rules import TISSUES, classify_pair
+from voxelake.operators import resample
 from voxelake.operators.histogram import signals
 
 
@@ -17,6 +19,25 @@ def classify(t1: DataFrame, fatsat: DataFrame) -> DataFrame:
     return a.join(b, "idx", "left").select("k", "j", "i", "idx", "t1", "fs", tissue.alias("tissue"), confidence.alias("confidence"))
 
 
+def classify_grid(points: DataFrame, sequences: dict[str, tuple[DataFrame, DataFrame]], key: list[str]) -> DataFrame:
+    """``key``, t1, fs, tissue, confidence at the patient points (px, py, pz) of any grid.
+
+    ``sequences``: for t1 and fs the voxels and one volume row (volume_id, nx, ny, nz, m: affine).
+    Each is read by eight neighbours on its own muscle scale; where one ends, the other
+    decides alone, where both end, the tissue is unknown.
+    """
+    out = points.select(*key)
+    for name, (voxels, volume) in sequences.items():
+        inverse = g.invert_affine(tuple(F.get("m", F.lit(n)) for n in range(12)))
+        own = volume.select("volume_id", "nx", "ny", "nz", F.array(*inverse).alias("inv"))  # one row
+        voxel = g.apply_affine(tuple(F.get("inv", F.lit(n)) for n in range(12)), tuple(F.col(c) for c in ("px", "py", "pz")))
+        placed = points.join(F.broadcast(own)).select(*key, "volume_id", "nx", "ny", "nz", *(v.alias(c) for v, c in zip(voxel, "xyz", strict=True)))
+        field = signals(voxels).select("volume_id", "idx", F.col("signal").alias("stored"))
+        out = out.join(resample.trilinear(placed, field, key).withColumnRenamed("value", name), key, "left")
+    tissue, confidence = classify_pair(F.col("t1"), F.col("fs"))
+    return out.select(*key, "t1", "fs", tissue.alias("tissue"), confidence.alias("confidence"))
+
+
 def tally(classified: DataFrame) -> DataFrame:
     """tissue, n for every class, absent ones included: one pass, one row of counts."""
     counts = classified.agg(*(F.count_if(F.col("tissue") == t).alias(t) for t in TISSUES))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelake.functions import scalar
 from voxelake.operators import deid
 from voxelake.plans.registry import query, table
+from voxelake.sources import grids, packed
 from voxelake.streaming import streams
 
 TAG_SQL = "tg AS (SELECT p_partkey, (p_partkey * 7 % 65536) * 65536 + (p_size * 1031 % 65536) AS tag FROM part)"
@@ -227,36 +228,81 @@ def agg20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.least(*used).alias("b")).select("user_id", F.concat(F.lit("c"), F.col("b.ordinal").cast("string")).alias("colour"))
 
 
-# --- manifests: the events' JSON stands for sidecars ---
+# --- manifests: events stand for packed series ---
 
+SERIES_SQL = "se AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '' ELSE 'e' || event_id END AS name, CASE WHEN event_id % 13 = 0 THEN NULL ELSE [CAST(event_id % 5 AS INTEGER), 3, 4] END AS dims, CASE WHEN event_id % 7 = 0 THEN 'float' ELSE 'uint16' END AS kind, (event_id % 5) * 24 + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS bytes, value AS step FROM events)"
 
-@query("src14_sidecar", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN json_extract(props, '$.k') IS NULL THEN 'k' WHEN CAST(json_extract(props, '$.k') AS BIGINT) < 10 THEN 'small' END AS problem FROM events")
-def src14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON record read by a fixed schema, with the field that fails."""
-    j = F.from_json("props", "k long")["k"]
-    return table(spark, sf_dir, "events").select("event_id", j.alias("k"), F.when(j.isNull(), "k").when(j < 10, "small").alias("problem"))
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest of one series an event, as JSON text; some names, sizes and types are wrong."""
+    e = F.col("event_id")
+    dims = F.when(e % 13 != 0, F.array((e % 5).cast("int"), F.lit(3), F.lit(4)))
+    side = F.struct(F.lit("x.raw").alias("url"), (e % 5 * 24 + F.when(e % 17 == 0, 1).otherwise(0)).alias("bytes"), F.when(e % 7 == 0, "float").otherwise("uint16").alias("dataType"), dims.alias("dims"), F.array("value", "value", F.lit(2.0)).alias("spacing"), F.array(*(F.lit(0.0),) * 3).alias("origin"))
+    series = F.struct(F.when(e % 11 == 0, "").otherwise(F.concat(F.lit("e"), e.cast("string"))).alias("name"), side.alias("full"), side.alias("preview"))
+    whole = F.struct(F.when(e % 19 == 0, "other").otherwise(packed.FORMAT).alias("format"), F.when(e % 23 != 0, F.array(series)).alias("series"))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(whole).alias("text"))
 
 
-@query("src13_manifest", "SELECT user_id, count(*) AS n, to_json({'user': user_id, 'n': count(*)}) AS manifest FROM events GROUP BY user_id")
+@query("src13_manifest", f"WITH {SERIES_SQL} SELECT event_id, '' AS name, 'format' AS field, 'unknown' AS problem FROM se WHERE event_id % 19 = 0 UNION ALL SELECT event_id, '', 'series', 'no list' FROM se WHERE event_id % 23 = 0 UNION ALL SELECT event_id, name, f, 'missing or wrong' FROM (SELECT event_id, name, unnest(list_filter([CASE WHEN name = '' THEN 'name' END, CASE WHEN dims IS NULL OR dims[1] = 0 THEN 'dims' END, CASE WHEN step <= 0 THEN 'spacing' END, CASE WHEN kind = 'float' THEN 'dataType' END, CASE WHEN dims IS NULL OR bytes <> dims[1] * 24 THEN 'bytes' END], lambda x: x IS NOT NULL)) AS f FROM se WHERE event_id % 23 <> 0)")
 def src13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    return g.select("user_id", "n", F.to_json(F.struct(F.col("user_id").alias("user"), "n")).alias("manifest"))
+    """Everything that is wrong with manifests, field by field."""
+    parsed = manifests(spark, sf_dir).select("event_id", F.from_json("text", packed.MANIFEST).alias("m")).select("event_id", "m.*")
+    return packed.problems(parsed, ["event_id"])
 
 
-@query("src23_size_gate", "SELECT CASE WHEN length(html) > 25000 THEN 'fail' WHEN length(html) > 23000 THEN 'warn' ELSE 'ok' END AS verdict, count(*) AS n, max(length(html)) AS largest FROM pages GROUP BY 1")
+@query("src14_sidecar", "WITH s AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings) SELECT vec_id, round(abs(a) + 0.1, 9) AS spacing, round(b, 12) AS axis, vec_id % 3 > 0 AS has_center, 128 AS bytes FROM s")
+def src14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sidecars written as JSON and read again: rounded, with no window where there is none."""
+    at = lambda n: F.get("embedding", F.lit(n)).cast("double")
+    grid = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("volume_id"), F.array(F.lit(8), F.lit(8), F.lit(1)).alias("dims"), F.array(*((F.abs(at(0)) + 0.1),) * 3).alias("spacing"), F.array(at(2), at(3), at(4)).alias("origin"), F.array(*(F.array(at(1), at(1), at(1)),) * 3).alias("axes"),
+        F.lit(False).alias("signed"), F.lit(0).alias("lo"), F.lit(4095).alias("hi"), F.lit(1.0).alias("slope"), F.lit(0.0).alias("intercept"), F.when(F.col("vec_id") % 3 > 0, 40.0).alias("center"), F.lit(None).cast("double").alias("width"), F.lit("d").alias("description"), F.lit("MR").alias("modality"), F.lit("").alias("frame_uid"), F.array().cast("array<string>").alias("warnings"),
+    )
+    text = grid.select("vec_id", F.to_json(packed.sidecar("x.raw")).alias("t"))
+    back = F.from_json("t", packed.SIDECAR)
+    return text.select("vec_id", back["spacing"][0].alias("spacing"), F.from_json("t", "axes array<array<double>>")["axes"][0][0].alias("axis"), F.col("t").contains("windowCenter").alias("has_center"), back["bytes"].cast("int").alias("bytes"))
+
+
+@query("src17_pack", "WITH v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, embedding FROM embeddings), px AS (SELECT label, k, p // 8 AS j, p % 8 AS i, CAST(floor((CAST(embedding[p + 1] AS DOUBLE) + 1) * 2000 + 0.5) AS BIGINT) AS s FROM v, range(64) r(p)), h AS (SELECT label, k, j // 2 AS j, i // 2 AS i, CAST(floor(avg(s) + 0.5) AS BIGINT) AS s FROM px GROUP BY ALL), f AS (SELECT label, count(*) * 2 AS bytes, sum(s) AS total, max(k) + 1 AS nz FROM px GROUP BY 1), g AS (SELECT label, count(*) * 2 AS preview_bytes, sum(s) AS preview_total FROM h GROUP BY 1) SELECT '1.2.3.' || label AS name, CAST(nz AS INTEGER) AS nz, bytes, CAST(total AS BIGINT) AS total, preview_bytes, CAST(preview_total AS BIGINT) AS preview_total FROM f JOIN g USING (label)")
+def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes packed as slab blobs with previews and a manifest, then read again."""
+    v = table(spark, sf_dir, "embeddings").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    v = v.select("k", F.concat(F.lit("1.2.3."), F.col("label").cast("string")).alias("volume_id"), F.posexplode("embedding").alias("p", "x"))
+    stored = F.floor((F.col("x").cast("double") + 1) * 2000 + 0.5).cast("int")
+    voxels = v.select("volume_id", "k", F.floor(F.col("p") / 8).cast("int").alias("j"), (F.col("p") % 8).cast("int").alias("i"), (F.col("k") * 64 + F.col("p")).cast("long").alias("idx"), stored.alias("stored"))
+    dims = grids.dims(voxels)
+    out = None
+    for name, own, size in (("", voxels, dims), ("preview_", *packed.halved(voxels, dims))):
+        blobs = packed.slab_blobs(own, slab=16).join(size, "volume_id")
+        parts = blobs.select("volume_id", (F.col("slab") * 16).alias("k0"), "nx", "ny", F.least(F.lit(16), F.col("nz") - F.col("slab") * 16).cast("int").alias("nz"), F.lit("uint16").alias("data_type"), "content")
+        back = packed.voxels(parts).groupBy("volume_id").agg((F.count("*") * 2).alias(name + "bytes"), F.sum("stored").alias(name + "total"))
+        out = back if out is None else out.join(back, "volume_id")
+    return out.join(dims, "volume_id").select(F.col("volume_id").alias("name"), F.col("nz").cast("int").alias("nz"), "bytes", "total", "preview_bytes", "preview_total")
+
+
+@query("src23_size_gate", "WITH p AS (SELECT page_id % 10 AS release, octet_length(encode(html)) AS n FROM pages) SELECT release, count(*) AS files, sum(CAST(n > 4000 AS INTEGER)) AS too_large, sum(CAST(n > 3500 AND n <= 4000 AS INTEGER)) AS close, max(n) AS largest, CASE WHEN max(n) > 4000 OR count(*) > 25 THEN 'fail' WHEN max(n) > 3500 THEN 'warn' ELSE 'ok' END AS verdict FROM p GROUP BY 1")
 def src23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.length("html")
-    p = table(spark, sf_dir, "pages").select(n.alias("n"))
-    verdict = F.when(F.col("n") > 25000, "fail").when(F.col("n") > 23000, "warn").otherwise("ok")
-    return p.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"), F.max("n").cast("long").alias("largest"))
+    """Pages as the files of ten releases: limits on a file's bytes and on the number of files."""
+    files = table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("release"), F.octet_length("html").alias("bytes"))
+    return packed.size_gate(files, "release", limit=4000, warn=3500, most_files=25)
+
 
+@query("src4_study_listing", "WITH p AS (SELECT page_id, split_part(url, '/', 3) AS series, 'img' || CAST(page_id % 100 AS VARCHAR) || '.dcm' AS file FROM pages) SELECT series AS name, count(*) AS n, arg_min(file, (page_id % 100, page_id)) AS first FROM p GROUP BY 1")
+def src4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series of a listing by folder, files in the order of their numbers; the pages' hosts stand for folders."""
+    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("root/"), F.split_part("url", F.lit("/"), F.lit(3)), F.lit("/img"), (F.col("page_id") % 100).cast("string"), F.lit(".dcm")).alias("path"))
+    s = packed.listing(p, "root")
+    return s.select("name", F.size("files").cast("long").alias("n"), F.element_at(F.split(F.get("files", F.lit(0)), "/"), -1).alias("first"))
 
-@query("src21_reference_digest", "SELECT label, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS total, sha256(string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS digest FROM embeddings WHERE vec_id < 200 GROUP BY label".replace(" WHERE vec_id < 200", ""))
+
+@query("src21_reference_digest", "WITH b AS (SELECT label, vec_id // 65536 AS block, count(*) AS n, sum(CAST(embedding[1] AS DOUBLE)) AS total, sha256(string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id)) AS h FROM embeddings GROUP BY 1, 2) SELECT label, CAST(sum(n) AS BIGINT) AS n, round(sum(total), 6) AS total, sha256(string_agg(h, ',' ORDER BY block)) AS digest FROM b GROUP BY label")
 def src21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground truth of a set: count, sum and a digest of its members in order."""
-    e = table(spark, sf_dir, "embeddings")
+    """Ground truth of a set: count, sum and a digest of its members in order, by blocks of ids and then of the blocks."""
+    e = table(spark, sf_dir, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 65536))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")), ",")
-    return e.groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.get("embedding", F.lit(0)).cast("double")), 6).alias("total"), F.sha2(ids, 256).alias("digest"))
+    b = e.groupBy("label", "block").agg(F.count("*").alias("n"), F.sum(F.get("embedding", F.lit(0)).cast("double")).alias("total"), F.sha2(ids, 256).alias("h"))
+    hashes = F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda x: x["h"])
+    return b.groupBy("label").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 6).alias("total"), F.sha2(F.array_join(hashes, ","), 256).alias("digest"))
 
 
 @query("stream_activity", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, max(event_id) AS newest FROM events GROUP BY 1, 2")
@@ -265,11 +311,24 @@ def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.activity(spark, f"{sf_dir}/events.parquet")
 
 
-@query("agg18_progress", "SELECT user_id, round(sum(value), 4) AS done, CASE WHEN bool_and(value > 1) THEN round(sum(value) / (count(*) * 500), 6) END AS fraction FROM events GROUP BY 1")
+@query("agg18_progress", "SELECT user_id, round(sum(value), 4) AS done, CASE WHEN bool_and(event_id % 29 > 0) THEN round(least(1.0, sum(value) / sum(500)), 6) END AS fraction FROM events GROUP BY 1")
 def agg18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed progress; no fraction where any part's total is unknown."""
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("value").alias("s"), F.count("*").alias("n"), F.bool_and(F.col("value") > 1).alias("all"))
-    return e.select("user_id", F.round("s", 4).alias("done"), F.when(F.col("all"), F.round(F.col("s") / (F.col("n") * 500), 6)).alias("fraction"))
+    """Summed progress; no fraction where any part's total is unknown, as one in 29 is."""
+    e = table(spark, sf_dir, "events").withColumn("total", F.when(F.col("event_id") % 29 > 0, 500.0))
+    done, fraction = scalar.progress(F.col("value"), F.col("total"))
+    return e.groupBy("user_id").agg(F.round(done, 4).alias("done"), F.round(fraction, 6).alias("fraction"))
+
+
+LAB = "WITH p AS (SELECT p_partkey, p_partkey * 2654435 % 16777216 AS v FROM part), c AS (SELECT p_partkey, {r} AS r, {g} AS g, {b} AS b FROM p), l AS (SELECT p_partkey, cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459929 * b) AS l, cbrt(0.2119034982 * r + 0.6806995451 * g + 0.1073969566 * b) AS m, cbrt(0.0883024619 * r + 0.2817188376 * g + 0.6299787005 * b) AS s FROM c), o AS (SELECT p_partkey, 0.2104542553 * l + 0.793617785 * m - 0.0040720468 * s AS x, 1.9779984951 * l - 2.428592205 * m + 0.4505937099 * s AS y, 0.0259040371 * l + 0.7827717662 * m - 0.808675766 * s AS z FROM l)"
+
+
+@query("fn_oklab", LAB.format(r=LIN.format("(v // 65536)"), g=LIN.format("(v // 256 % 256)"), b=LIN.format("(v % 256)")) + " SELECT p_partkey, round(x, 5) AS light, round(y, 5) + 0.0 AS a, round(z, 5) + 0.0 AS b, round(sqrt((x - 1) * (x - 1) + y * y + z * z), 4) AS from_white FROM o")
+def fn_oklab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours as the eye sees them, and their distance from white."""
+    h = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("p_partkey") * 2654435 % 16777216)), 6, "0"))
+    light, a, b = scalar.oklab(F.col("h"))
+    far = scalar.colour_distance(F.col("h"), F.lit("#ffffff"))
+    return table(spark, sf_dir, "part").select("p_partkey", h.alias("h")).select("p_partkey", F.round(light, 5).alias("light"), (F.round(a, 5) + 0.0).alias("a"), (F.round(b, 5) + 0.0).alias("b"), F.round(far, 4).alias("from_white"))
 
 
 @query("topk_seed", "SELECT user_id, event_id FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -277,6 +336,3 @@ def topk_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest cut with a part of each session, by one aggregation."""
     e = table(spark, sf_dir, "events").filter("event_type = 'click'")
     return e.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("b")).select("user_id", F.col("b.event_id").alias("event_id"))
-
-
-

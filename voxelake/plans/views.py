@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import geometry as g
 from voxelake.functions import rules, scalar, views
-from voxelake.operators import graph, histogram, resample, tissue
+from voxelake.operators import graph, resample, tissue
 from voxelake.plans.geometry import V_SQL, D, P, vectors
 from voxelake.plans.registry import query, table
-from voxelake.plans.volumes import SCALE_SQL, TISSUE_SQL
+from voxelake.plans.volumes import SCALE_SQL, TISSUE_SQL, study
 from voxelake.sources import grids
 from voxelake.sources.grids import T1_SQL, fatsat_voxels, t1_voxels
 
@@ -29,10 +29,14 @@ def geo11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).select("vec_id", w.alias("width"), h.alias("height"), F.round(sx, 4).alias("span_x"), F.round(sy, 4).alias("span_y"))
 
 
-@query("geo20_screen_to_patient", f"WITH {V_SQL} SELECT vec_id, round(((200 + px) / 400 - 0.5) * 80, 6) + 0.0 AS x, round(((150 + py) / 300 - 0.5) * 60, 6) + 0.0 AS y, round(80 / 400.0, 6) AS mm_per_pixel FROM v")
+@query("geo20_screen_to_patient", f"WITH {V_SQL}, s AS (SELECT vec_id, px, py, abs(px) * 20 + 1 AS w, abs(py) * 20 + 1 AS h, 1 + abs(y) AS zoom, 4 / 3.0 AS asp FROM v), f AS (SELECT *, CASE WHEN w / greatest(h, 0.000001) > asp THEN w ELSE h * asp END / zoom AS sx, CASE WHEN w / greatest(h, 0.000001) > asp THEN w / asp ELSE h END / zoom AS sy FROM s) SELECT vec_id, round(((200 + px) / 400 - 0.5) * sx, 6) + 0.0 AS x, round(((150 + py) / 300 - 0.5) * sy, 6) + 0.0 AS y, round(sx / 400, 6) AS mm_x, round(sy / 300, 6) AS mm_y FROM f")
 def geo20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = views.to_patient(200 + P()[0], 150 + P()[1], (400, 300), (80, 60))
-    return vectors(spark, sf_dir).select("vec_id", (F.round(x, 6) + 0.0).alias("x"), (F.round(y, 6) + 0.0).alias("y"), F.lit(0.2).alias("mm_per_pixel"))
+    """A pane's pixel in millimetres, and how many a pixel covers, of a plane fitted into it."""
+    size, pane = (F.abs(P()[0]) * 20 + 1, F.abs(P()[1]) * 20 + 1), (400, 300)
+    span = views.fit_span(size, pane, 1 + F.abs(D()[1]))
+    x, y = views.to_patient(200 + P()[0], 150 + P()[1], pane, span)
+    mm = views.mm_per_pixel(span, pane)
+    return vectors(spark, sf_dir).select("vec_id", (F.round(x, 6) + 0.0).alias("x"), (F.round(y, 6) + 0.0).alias("y"), F.round(mm[0], 6).alias("mm_x"), F.round(mm[1], 6).alias("mm_y"))
 
 
 GRAY_SQL = "p AS (SELECT c * 144 + y * 12 + x AS pixel, c, x * 0.7 - 0.3 AS fx, y * 0.7 - 0.3 AS fy, c * 10.3 AS fz FROM range(0, 12) rx(x), range(0, 12) ry(y), (SELECT DISTINCT k // 11 AS c FROM t1) s)"
@@ -58,20 +62,51 @@ def join12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(labels, "idx", "left").groupBy(F.when(F.col("conf") > 0, F.col("label")).otherwise(F.col("tissue")).alias("shade")).agg(F.count("*").alias("n"))
 
 
-@query("join3_classify_resampled", f"WITH {SCALE_SQL}, r AS (SELECT a.idx, a.s AS t1, f.s AS fs FROM sig a LEFT JOIN sig f ON f.v = 'fs' AND f.idx = a.idx + 64 WHERE a.v = 't1') SELECT count(*) FILTER (WHERE fs IS NULL) AS single, count(*) AS n, round(sum(t1), 4) AS total FROM r")
+#: Points between the voxels of a grid of half the slices, as seen in both sequences.
+GRID_SQL = "gp AS (SELECT idx, i + 0.25 AS px, j * 0.9 + 0.5 AS py, k * 2.0 - 0.25 AS pz FROM t1 WHERE k < (SELECT (max(k) + 1) / 2.0 FROM t1)), seen AS (SELECT idx, 't1' AS v, px AS x, py AS y, pz AS z FROM gp UNION ALL SELECT idx, 'fs', px - 0.5, py - 0.25, (pz - 1) / 1.25 FROM gp)"
+READ_SQL = """lim AS (SELECT seen.*, n FROM seen, (SELECT max(k) + 1 AS n FROM t1) d WHERE x >= -0.5 AND y >= -0.5 AND z >= -0.5 AND x <= 7.5 AND y <= 7.5 AND z <= n - 0.5),
+cl AS (SELECT idx, v, least(greatest(x, 0.0), 7.0) AS x, least(greatest(y, 0.0), 7.0) AS y, least(greatest(z, 0.0), n - 1.0) AS z, n FROM lim),
+cr AS (SELECT idx, v, (least(floor(z) + c, n - 1) * 64 + least(floor(y) + b, 7) * 8 + least(floor(x) + a, 7)) AS at, abs(1 - a - (x - floor(x))) * abs(1 - b - (y - floor(y))) * abs(1 - c - (z - floor(z))) AS w FROM cl, range(2) ra(a), range(2) rb(b), range(2) rc(c)),
+rd AS (SELECT cr.idx, cr.v, sum(w * s) AS s FROM cr JOIN sig ON sig.v = cr.v AND sig.idx = cr.at GROUP BY 1, 2),
+pairs AS (SELECT gp.idx, a.s AS t1, f.s AS fs FROM gp LEFT JOIN rd a ON a.idx = gp.idx AND a.v = 't1' LEFT JOIN rd f ON f.idx = gp.idx AND f.v = 'fs')"""
+ALONE_SQL = f"CASE WHEN fs IS NOT NULL THEN CASE WHEN fs < {rules.FATSAT.noise!r} THEN 'background' WHEN fs >= {rules.FATSAT.high!r} THEN 'fluid' WHEN fs >= {rules.FATSAT.low!r} THEN 'muscle' ELSE 'dark' END WHEN t1 IS NOT NULL THEN CASE WHEN t1 < {rules.T1.noise!r} THEN 'background' WHEN t1 >= {rules.T1.high!r} THEN 'fat' WHEN t1 >= {rules.T1.low!r} THEN 'muscle' ELSE 'dark' END ELSE 'unknown' END"
+
+
+@query("join3_classify_grid", f"WITH {SCALE_SQL}, {GRID_SQL}, {READ_SQL} SELECT idx, round(t1, 6) AS t1, round(fs, 6) AS fs, CASE WHEN t1 IS NOT NULL AND fs IS NOT NULL THEN {rules.sql_pair('t1', 'fs')[0]} ELSE {ALONE_SQL} END AS tissue FROM pairs")
 def join3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The other sequence one slice further on: where it ends, one signal is left."""
-    a = histogram.signals(t1_voxels(spark, sf_dir)).select("idx", F.col("signal").alias("t1"))
-    b = histogram.signals(fatsat_voxels(spark, sf_dir)).select((F.col("idx") - 64).alias("idx"), F.col("signal").alias("fs"))
-    return a.join(b, "idx", "left").agg(F.count_if(F.col("fs").isNull()).alias("single"), F.count("*").alias("n"), F.round(F.sum("t1"), 4).alias("total"))
+    """Tissue at a grid's own points: both sequences read there through patient space."""
+    t1, fs, of = t1_voxels(spark, sf_dir), fatsat_voxels(spark, sf_dir), study(spark, sf_dir)
+    half = grids.dims(t1).select(((F.col("nz")) / 2.0).alias("half"))
+    points = t1.join(F.broadcast(half), F.col("k") < F.col("half")).select("idx", (F.col("i") + 0.25).alias("px"), (F.col("j") * 0.9 + 0.5).alias("py"), (F.col("k") * 2.0 - 0.25).alias("pz"))
+    got = tissue.classify_grid(points.withColumnRenamed("idx", "of"), {"t1": (t1, of.filter("volume_id = 't1'")), "fs": (fs, of.filter("volume_id = 'fs'"))}, ["of"])
+    return got.select(F.col("of").alias("idx"), F.round("t1", 6).alias("t1"), F.round("fs", 6).alias("fs"), "tissue")
 
 
-@query("flt2_same_frame", "SELECT a.c_custkey, b.s_suppkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE CAST(c_custkey % 97 AS VARCHAR) END AS f FROM customer) a JOIN (SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE CAST(s_suppkey % 97 AS VARCHAR) END AS f FROM supplier) b ON a.f = b.f AND a.f <> ''")
+@query("flt2_same_frame", "SELECT l_orderkey, l_linenumber, l_partkey % 4 > 0 AND l_suppkey % 4 > 0 AND l_partkey % 97 = l_suppkey % 97 AS same FROM lineitem")
 def flt2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal frames of reference; a missing one equals nothing, not even itself."""
-    frame = lambda k: F.when(F.col(k) % 4 == 0, "").otherwise((F.col(k) % 97).cast("string")).alias("f")
-    a = table(spark, sf_dir, "customer").select("c_custkey", frame("c_custkey")).filter("f <> ''")
-    return a.join(table(spark, sf_dir, "supplier").select("s_suppkey", frame("s_suppkey")), "f").select("c_custkey", "s_suppkey")
+    frame = lambda k: F.when(F.col(k) % 4 == 0, "").otherwise((F.col(k) % 97).cast("string"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", views.same_frame(frame("l_partkey"), frame("l_suppkey")).alias("same"))
+
+
+@query("flt5_outside_volume", f"WITH {V_SQL} SELECT vec_id, px < -20 OR px > 15 OR py < -10 OR py > 25 OR pz < -30 OR pz > 12.5 AS outside FROM v")
+def flt5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).select("vec_id", views.outside(P(), (-20.0, -10.0, -30.0), (15.0, 25.0, 12.5)).alias("outside"))
+
+
+@query("geo16_ray_box", f"WITH {V_SQL}, r AS (SELECT vec_id, (-0.5 - px) / x AS a0, (7.5 - px) / x AS b0, (-0.5 - py) / y AS a1, (7.5 - py) / y AS b1, (-0.5 - pz) / z AS a2, (9.5 - pz) / z AS b2 FROM v WHERE x <> 0 AND y <> 0 AND z <> 0), t AS (SELECT vec_id, greatest(least(a0, b0), least(a1, b1), least(a2, b2)) AS near, least(greatest(a0, b0), greatest(a1, b1), greatest(a2, b2)) AS far FROM r) SELECT vec_id, far > greatest(near, 0) AS hit, round(near, 4) AS near, round(far, 4) AS far FROM t")
+def geo16_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a ray is within a grid's box, half a voxel around its centres."""
+    hit, near, far = views.ray_box(P(), D(), (8, 8, 10))
+    return vectors(spark, sf_dir).filter("x <> 0 and y <> 0 and z <> 0").select("vec_id", hit.alias("hit"), F.round(near, 4).alias("near"), F.round(far, 4).alias("far"))
+
+
+@query("geo23_cube_viewport", f"WITH {V_SQL}, p AS (SELECT vec_id, floor(abs(px)) AS x, floor(abs(py)) AS y, floor(abs(pz) * 20) + 1 AS w, floor(abs(px) * 10) + 1 AS h FROM v), s AS (SELECT *, least(132, floor(least(w, h) * 0.4)) AS size FROM p) SELECT vec_id, CAST(x + w - size - 12 AS BIGINT) AS x, CAST(y + 12 AS BIGINT) AS y, CAST(size AS BIGINT) AS size FROM s")
+def geo23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the orientation cube sits in its pane."""
+    px, py, pz = map(F.abs, P())
+    x, y, size = views.cube_viewport(F.floor(px), F.floor(py), F.floor(pz * 20) + 1, F.floor(px * 10) + 1)
+    return vectors(spark, sf_dir).select("vec_id", *(c.cast("long").alias(n) for c, n in ((x, "x"), (y, "y"), (size, "size"))))
 
 
 @query("flt4_on_cut", "SELECT event_id, abs(value - 50) <= 1.65 + 0.000000001 AS on_cut FROM events")
@@ -155,10 +190,23 @@ def rul14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", views.gesture(e % 3, e % 5 == 0, e % 7 == 0, F.col("event_type") == "view").alias("gesture"))
 
 
-@query("fn_tutorial_paging", "SELECT p_partkey, CAST(least(p_size + 1, 39) AS INTEGER) AS next, p_size + 1 >= 40 AS finished, CAST(greatest(0, p_size - 1) AS INTEGER) AS previous FROM part")
+@query("fn_tutorial_paging", "SELECT p_partkey, CAST(least(p_size + 1, 39) AS INTEGER) AS next, p_size + 1 >= 40 AS finished, CAST(greatest(0, p_size - 1) AS INTEGER) AS previous, 39 AS skipped, CAST(least(greatest(p_size - 5, 0), 39) AS INTEGER) AS shown, CAST(p_size - 5 + 1 AS INTEGER) AS current FROM part")
 def fn_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt, done = views.next_step(F.col("p_size"), 40)
-    return table(spark, sf_dir, "part").select("p_partkey", nxt.alias("next"), done.alias("finished"), views.previous_step(F.col("p_size")).alias("previous"))
+    shown, current = views.step_shown(F.col("p_size") - 5, 40)
+    return table(spark, sf_dir, "part").select("p_partkey", nxt.alias("next"), done.alias("finished"), views.previous_step(F.col("p_size")).alias("previous"), F.lit(39).alias("skipped"), shown.alias("shown"), current.alias("current"))
+
+
+SAVED_SQL = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"step": ' || CAST(event_id % 40 AS VARCHAR) || ', "finished": true}' WHEN 1 THEN '{"step": "three", "finished": "yes"}' WHEN 2 THEN '[1, 2' WHEN 3 THEN NULL WHEN 4 THEN '17' ELSE '{"finished": true}' END AS raw FROM events"""
+
+
+@query("fn_saved_state", f"WITH r AS ({SAVED_SQL}) SELECT event_id, CASE WHEN event_id % 6 = 0 THEN CAST(event_id % 40 AS DOUBLE) ELSE 0.0 END AS step, event_id % 6 IN (0, 5) AS finished FROM r")
+def fn_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved state read with tolerance: what cannot be read is a first visit."""
+    e = F.col("event_id")
+    raw = F.when(e % 6 == 0, F.concat(F.lit('{"step": '), (e % 40).cast("string"), F.lit(', "finished": true}'))).when(e % 6 == 1, '{"step": "three", "finished": "yes"}').when(e % 6 == 2, "[1, 2").when(e % 6 == 4, "17").when(e % 6 == 5, '{"finished": true}')
+    step, finished = views.saved_step(raw)
+    return table(spark, sf_dir, "events").select("event_id", step.alias("step"), finished.alias("finished"))
 
 
 @query("agg5_median", "SELECT l_suppkey, median(l_extendedprice) AS median, round(avg(l_extendedprice), 4) AS mean FROM lineitem GROUP BY 1")
@@ -172,9 +220,9 @@ def agg21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(top, 6).alias("peak"), F.round(1 / (1 + F.exp(-top)), 6).alias("sigmoid"))
 
 
-@query("grf4_ends", f"WITH {T1_SQL}, gr AS (SELECT *, k // 8 AS comp FROM t1 WHERE stored < 1800), c AS (SELECT comp, avg(i) AS ci, avg(j) AS cj, avg(k) AS ck FROM gr GROUP BY 1), d AS (SELECT gr.*, i - ci AS x, j - cj AS y, k - ck AS z, (i - ci) * (i - ci) + (j - cj) * (j - cj) + (k - ck) * (k - ck) AS d2 FROM gr JOIN c USING (comp)), t AS (SELECT comp, x AS ax, y AS ay, z AS az FROM d QUALIFY row_number() OVER (PARTITION BY comp ORDER BY d2 DESC, idx) = 1), a AS (SELECT d.*, (x * ax + y * ay + z * az) / CASE WHEN ax * ax + ay * ay + az * az = 0 THEN 1 ELSE sqrt(ax * ax + ay * ay + az * az) END AS along FROM d JOIN t USING (comp)), s AS (SELECT comp, min(along) AS low, max(along) AS high FROM a GROUP BY 1) SELECT CAST(comp AS BIGINT) AS component_id, count(*) AS voxels, round(any_value(high - low), 6) AS length_mm FROM a JOIN s USING (comp) GROUP BY comp")
+@query("grf4_ends", f"WITH {T1_SQL}, gr AS (SELECT *, k // 8 AS comp FROM t1 WHERE stored < 1800), c AS (SELECT comp, avg(i) AS ci, avg(j) AS cj, avg(k) AS ck FROM gr GROUP BY 1), d AS (SELECT gr.*, i - ci AS x, j - cj AS y, k - ck AS z, (i - ci) * (i - ci) + (j - cj) * (j - cj) + (k - ck) * (k - ck) AS d2 FROM gr JOIN c USING (comp)), t AS (SELECT comp, x AS ax, y AS ay, z AS az FROM d QUALIFY row_number() OVER (PARTITION BY comp ORDER BY d2 DESC, idx) = 1), a AS (SELECT d.*, (x * ax + y * ay + z * az) / CASE WHEN ax * ax + ay * ay + az * az = 0 THEN 1 ELSE sqrt(ax * ax + ay * ay + az * az) END AS along FROM d JOIN t USING (comp)), s AS (SELECT comp, min(along) AS low, max(along) AS high FROM a GROUP BY 1) SELECT CAST(comp AS BIGINT) AS component_id, count(*) AS voxels, round(any_value(high - low), 6) AS length_mm, count(*) FILTER (WHERE along <= low + (high - low) * 0.3) AS at_start, count(*) FILTER (WHERE along > low + (high - low) * 0.3 AND along >= high - (high - low) * 0.3) AS at_end FROM a JOIN s USING (comp) GROUP BY comp")
 def grf4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length along the long axis of dark voxels, by groups of eight slices."""
+    """Length along the long axis of dark voxels and the voxels at its ends, by groups of eight slices."""
     d = t1_voxels(spark, sf_dir).filter("stored < 1800").select(F.floor(F.col("k") / 8).alias("component_id"), "idx", "k", "j", "i", F.lit("tube").alias("kind"), F.lit(1.0).alias("confidence"))
     e = graph.split_ends(d, 1.0, 1.0, 1.0)
-    return e.groupBy("component_id").agg(F.count("*").alias("voxels"), F.round(F.first("length_mm"), 6).alias("length_mm"))
+    return e.groupBy("component_id").agg(F.count("*").alias("voxels"), F.round(F.first("length_mm"), 6).alias("length_mm"), F.count_if(F.col("bucket") == 0).alias("at_start"), F.count_if(F.col("bucket") == 2).alias("at_end"))

@@ -148,7 +148,7 @@ def geo17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t1_voxels(spark, sf_dir).groupBy("j", "i", F.floor(F.col("k") / 16).alias("slab")).agg(best.alias("b")).select("j", "i", "slab", F.col("b.stored").alias("top"), (-F.col("b.back")).alias("at_k"))
 
 
-@query("geo18_gradient", f"WITH {T1_SQL} SELECT c.idx, (r.stored - l.stored) / 2.0 AS gx, (d.stored - u.stored) / 2.0 AS gy, (b.stored - f.stored) / 2.0 AS gz FROM t1 c JOIN t1 l ON l.idx = c.idx - 1 JOIN t1 r ON r.idx = c.idx + 1 JOIN t1 u ON u.idx = c.idx - 8 JOIN t1 d ON d.idx = c.idx + 8 JOIN t1 f ON f.idx = c.idx - 64 JOIN t1 b ON b.idx = c.idx + 64 WHERE c.i BETWEEN 1 AND 6 AND c.j BETWEEN 1 AND 6")
+@query("geo18_gradient", f"WITH {T1_SQL}, g AS (SELECT idx, i, j, (lead(stored) OVER x - lag(stored) OVER x) / 2.0 AS gx, (lead(stored) OVER y - lag(stored) OVER y) / 2.0 AS gy, (lead(stored) OVER z - lag(stored) OVER z) / 2.0 AS gz FROM t1 WINDOW x AS (PARTITION BY k, j ORDER BY i), y AS (PARTITION BY k, i ORDER BY j), z AS (PARTITION BY j, i ORDER BY k)) SELECT idx, gx, gy, gz FROM g WHERE gx IS NOT NULL AND gy IS NOT NULL AND gz IS NOT NULL")
 def geo18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Central differences: each voxel sends half its value to its six neighbours, signed."""
     v = t1_voxels(spark, sf_dir)
