@@ -54,7 +54,7 @@ def bare_and_shape(word: str) -> tuple[str, str]:
     if word.isalpha():
         return word.lower(), cased(word)
     stem = word[:-1]
-    if stem.isalpha():
+    if stem.isalpha() and not word[-1].isalnum() and word[-1] != "_":
         return stem.lower(), cased(stem) + word[-1]
     return re.sub(r"\W+", "", word.lower()), shape(word)
 
