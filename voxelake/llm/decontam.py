@@ -10,8 +10,8 @@ compared word by word.
 
 Two joins give the same rows. If the windows' size, counted before, is at most
 ``broadcast_bytes``, they go to every task and the corpus is read without a
-shuffle. Beyond that, documents' words and windows are both dealt out by prefix
-word; only candidate starts travel back to the texts.
+shuffle. Beyond that, occurrences of prefix words (with the words around them) and
+windows are both dealt out by prefix word, common ones in portions.
 
 Defined results: null, empty and word-less texts have no words and no hits;
 items without words have no windows; equal items are each listed; repeated
@@ -23,16 +23,19 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from voxelake.llm.common import free_name, slices
+from voxelake.llm.common import Memo, free_name, materialize, slices
 
 #: Everything in ASCII that is not a digit or a lower-case letter separates words.
 _GAPS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -144,10 +147,16 @@ def keep_clean(docs: DataFrame, bench: DataFrame, *, window: int = 10, broadcast
                 yield b.filter(pa.array([not own.hits(words_of(t))[0] for t in b.column(at).to_pylist()], pa.bool_()))
 
         return docs.mapInArrow(run, docs.schema)
-    name = free_name(docs, "key")
-    leaks = _dealt(texts, bench, window, True).filter("contaminated").select(F.col("doc_id").alias(name))
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    return docs.withColumn(name, key).join(leaks, name, "left_anti").select(*docs.columns)
+    leaks = _dealt(texts, bench, window, True)
+    names = [free_name(docs, "k1"), free_name(docs, "k2")]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            keys = [text_key(t) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([k[n] for k in keys], pa.int64()) for n in (0, 1))], [*b.schema.names, *names])
+
+    marked = docs.mapInArrow(keyed, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+    return marked.join(leaks.toDF(*names), names, "left_anti").select(*docs.columns)
 
 
 def _fits(bench: DataFrame, window: int, broadcast_bytes: int) -> bool:
@@ -189,46 +198,97 @@ def _rows(ids: pa.Array, rows: list[tuple[int, int, Iterable]]) -> pa.RecordBatc
     )
 
 
-def _dealt(docs: DataFrame, bench: DataFrame, window: int, by_key: bool = False) -> DataFrame:
-    """The join dealt out by prefix word; with ``by_key`` one row for each text with candidates, doc_id its digest."""
-    windows = _windows(bench, window)
-    terms = windows.select("window", F.explode(F.array_distinct(F.split("window", " "))).alias("word"))
+#: A prefix word's occurrences are dealt out in portions of about this many.
+PORTION = 100_000
+#: Up to so many prefix words are sent to every task (16 bytes each), so that other words never travel.
+SENT = 2_000_000
+
+
+def text_key(text: str | None) -> tuple[int, int]:
+    """128 bits that stand for a text, as two signed longs."""
+    return struct.unpack("<2q", xxhash.xxh128_digest((text or "").encode()))
+
+
+def word_key(word: bytes) -> int:
+    """What Spark's xxhash64 makes of the word."""
+    return struct.unpack(">q", xxhash.xxh64_digest(word, 42))[0]
+
+
+def _prefixes(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """h, place, size, window, window_id, portions: each window under its rarest word, which is somewhere in the corpus."""
+    terms = windows.select("window_id", F.explode(F.array_distinct(F.split("window", " "))).alias("word"))
     counts = _word_counts(docs, terms.select("word").distinct(), None)
-    prefix = terms.join(counts, "word").groupBy("window").agg(F.min(F.struct("n", "word")).alias("least")).select("window", F.col("least.word").alias("word"))
-    prefix = prefix.withColumn("place", F.array_position(F.split("window", " "), F.col("word")) - 1)
+    rarest = terms.join(counts, "word").groupBy("window_id").agg(F.min(F.struct("n", "word")).alias("least"))
+    own = windows.join(rarest, "window_id").select("window_id", "window", F.split("window", " ").alias("ws"), "least.word", "least.n")
+    return own.select(F.xxhash64("word").alias("h"), (F.array_position("ws", F.col("word")) - 1).cast("int").alias("place"), F.size("ws").alias("size"), "window", "window_id", F.ceil(F.col("n") / PORTION).cast("int").alias("portions"))
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 19):
-            for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ws = words_of(t)
-                for i in range(0, len(ws), 100_000):
-                    part = ws[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in part], pa.string()), pa.array([key] * len(part), pa.string()), pa.array(range(i, i + len(part)), pa.int64())], ["word", "key", "at"])
-
-    # equal texts have equal hits: the text's digest is the key, candidates never need the row
-    keyed = docs.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    words = keyed.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(places, "word string, key string, at long")
-    cand = words.join(prefix, "word").select("key", (F.col("at") - F.col("place")).alias("start"), "window").filter("start >= 0")
-    # verified against the texts; a document's candidates are bounded by its own words
-    listed = cand.join(windows, "window").groupBy("key").agg(F.collect_list(F.struct("start", "window", "items")).alias("cand"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+
+def _occurrences(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
+    """h, portion, k1, k2, at, before, around: each occurrence of a prefix word, with the words around it that a window could hold."""
+    known = prefixes.groupBy("h").agg(F.max("portions").alias("portions"))
+    few = known.limit(SENT + 1).count() <= SENT
+    sent = docs.sparkSession.sparkContext.broadcast({r.h: r.portions for r in known.collect()} if few else None)
+    names = ["h", "portion", "k1", "k2", "at", "before", "around"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
+        for b in slices(batches, "text", 1 << 18):
             rows = []
-            for t, cands in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                ws, spans, items = words_of(t), [], set()
-                for c in cands or ():
-                    w = c["window"].encode().split(b" ")
-                    if ws[c["start"] : c["start"] + len(w)] == w:
-                        spans.append((c["start"], c["start"] + len(w)))
-                        items.update(c["items"])
-                rows.append((len(ws), covered(spans), items))
-            yield _rows(b.column(0), rows)
+            for t in b.column(1).to_pylist():
+                ws = words_of(t)
+                memo.room()
+                memo.update((w, word_key(w)) for w in memo.missing(set(ws)))
+                k1, k2 = text_key(t)
+                for at, h in enumerate(map(memo.__getitem__, ws)):
+                    portions = 1 if sent.value is None else sent.value.get(h)
+                    if portions:
+                        low = max(0, at - window + 1)
+                        rows.append((h, (k1 + at) % portions, k1, k2, at, at - low, b" ".join(ws[low : at + window]).decode()))
+                    if len(rows) >= 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    if not few:
+        prefixes = prefixes.withColumn("portions", F.lit(1))
+    found = docs.mapInArrow(run, "h long, portion int, k1 long, k2 long, at long, before int, around string")
+    return found.join(prefixes.withColumn("portion", F.explode(F.sequence(F.lit(0), F.col("portions") - 1))), ["h", "portion"])
+
 
+def _dealt(docs: DataFrame, bench: DataFrame, window: int, by_key: bool = False) -> DataFrame:
+    """The join dealt out by prefix word; with ``by_key`` one row (k1, k2) for each text that holds a window.
+
+    Occurrences carry the words around them, so the join itself verifies: no text is
+    shuffled and no list of candidates is gathered. Common prefix words are split
+    into portions of their occurrences.
+    """
+    windows = materialize(_windows(bench, window).withColumn("window_id", F.monotonically_increasing_id()), "windows")
+    near = _occurrences(docs, _prefixes(docs, windows), window)
+    first = F.col("before") - F.col("place")  # positional bound: where the window would have to begin
+    there = F.array_join(F.slice(F.split("around", " "), first + 1, F.col("size")), " ")
+    hits = near.filter(first >= 0).filter(there == F.col("window")).select("k1", "k2", (F.col("at") - F.col("place")).alias("start"), "size", "window_id").distinct()
+    hits = materialize(hits, "hits")
     if by_key:
-        once = keyed.groupBy("key").agg(F.first("text").alias("text")).join(listed, "key")
-        return once.select("key", "text", "cand").mapInArrow(verify, OUT.replace("doc_id long", "doc_id string"))
-    return keyed.join(listed, "key", "left").select("doc_id", "text", "cand").mapInArrow(verify, OUT)
+        return hits.select("k1", "k2").distinct()
+    spans = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end"))))  # no more than a text has words, a window size each
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("at"))
+    reach = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], acc["at"]))).alias("n"), F.greatest(acc["at"], x["end"]).alias("at"))
+    covers = hits.select("k1", "k2", "start", "size").distinct().groupBy("k1", "k2").agg(F.aggregate(spans, zero, reach)["n"].alias("n_hit"))
+    items = hits.select("k1", "k2", "window_id").distinct().join(windows.select("window_id", F.explode("items").alias("item")), "window_id").select("k1", "k2", F.col("item").cast("string").alias("item")).distinct()
+    listed = items.groupBy("k1", "k2").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts = b.column(1).to_pylist()
+            keys = [text_key(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([k[n] for k in keys], pa.int64()) for n in (0, 1)), pa.array([len(words_of(t)) for t in texts], pa.int64())], ["doc_id", "k1", "k2", "n_words"])
+
+    own = docs.mapInArrow(keyed, "doc_id long, k1 long, k2 long, n_words long")
+    out = own.join(covers.join(listed, ["k1", "k2"], "left"), ["k1", "k2"], "left")
+    zero_long = F.lit(0).cast("long")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", zero_long).alias("n_hit"), F.coalesce("n_items", zero_long).alias("n_items"), F.coalesce("items_sha256", F.lit(digest(()))).alias("items_sha256"), (F.coalesce("n_hit", zero_long) > 0).alias("contaminated"))
 
 
 ORACLE = r"""
