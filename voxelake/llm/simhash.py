@@ -10,7 +10,7 @@ masked key, with 2^(r+1)-1 tables and no pair lost.
 Only distinct fingerprints enter the tables (a group of exact copies is one row,
 pre-aggregated before any shuffle by key). Tasks read keys in sorted order, hold
 one bucket at a time, and emit a spanning forest of each bucket instead of its
-pairs; large buckets are cut again by further masks. Components are found by
+pairs; large buckets are dealt out again by further masks. Components are found by
 distributed star rounds.
 
 Defined results: null, empty and word-less texts have fingerprint zero and link
@@ -36,8 +36,8 @@ from voxelake.llm.common import free_name, materialize, mix64, slices
 from voxelake.llm.components import components
 
 SEED = 42
-#: Buckets up to this size are compared directly, larger ones are cut again.
-DIRECT = 2048
+#: Buckets up to this size are compared directly, larger ones are cut again, so many times.
+DIRECT, CUTS = 2048, 3
 EDGES = "a long, b long"
 
 
@@ -117,21 +117,9 @@ def _close(fp: np.ndarray, sketch: np.ndarray | None, i: np.ndarray, j: np.ndarr
     return ok
 
 
-def forest(fp: np.ndarray, node: np.ndarray, sketch: np.ndarray | None, radius: int, agree: int, depth: int = 0) -> list[np.ndarray]:
-    """Edges (node, node) that connect what links within one bucket, at most one per row and mask."""
+def forest(fp: np.ndarray, node: np.ndarray, sketch: np.ndarray | None, radius: int, agree: int) -> list[np.ndarray]:
+    """Edges (node, node) that connect what links within one bucket, at most one per row; pairs are compared in strips."""
     m = len(fp)
-    if m > DIRECT and depth < 3:
-        out = []
-        for mask in covering_masks(radius, depth + 1):
-            key = fp & np.uint64(mask)
-            order = np.argsort(key, kind="stable")
-            cuts = np.flatnonzero(np.diff(key[order])) + 1
-            for part in np.split(order, cuts):
-                if len(part) > 1:
-                    if len(part) == m:  # this mask cuts nothing: compare directly
-                        return forest(fp, node, sketch, radius, agree, 3)
-                    out += forest(fp[part], node[part], None if sketch is None else sketch[part], radius, agree, depth + 1)
-        return out
     label = np.arange(m)
     left, right = [], []
     for i in range(0, m, 512):
@@ -152,42 +140,60 @@ def forest(fp: np.ndarray, node: np.ndarray, sketch: np.ndarray | None, radius:
     return [np.stack([node[label[linked]], node[linked]], axis=1)] if len(linked) else []
 
 
-def bucket_edges(tables: DataFrame, radius: int, agree: int) -> DataFrame:
-    """Edges between nodes whose rows (t, key, fp, node, sketch), sorted by (t, key), share a bucket and are close."""
+def bucket_edges(tables: DataFrame, radius: int, agree: int, most: int | None) -> DataFrame:
+    """Edges (a, b) between nodes whose rows (of, t, key, fp, node, sketch), sorted by (of, t, key), share a bucket and are close.
+
+    Members of buckets over ``most`` come back as rows (node, fp, sketch, of), a bucket's
+    number in ``of``, to be cut again.
+    """
+    names = ["a", "b", "fp", "sketch", "of"]
 
-    def edges_of(t: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t[1:] != t[:-1])])
+    def edges_of(of: np.ndarray, t: np.ndarray, key: np.ndarray, fp: np.ndarray, node: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (t[1:] != t[:-1]) | (of[1:] != of[:-1])])
         sizes = np.diff(np.r_[starts, len(key)])
         own = sketch if agree else None
         out = []
         small = starts[sizes == 2]
         ok = _close(fp, own, small, small + 1, radius, agree)
         out.append(np.stack([node[small[ok]], node[small[ok] + 1]], axis=1))
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        large = np.repeat((sizes > most) if most else np.zeros(len(sizes), bool), sizes)
+        fit = (sizes > 2) & ~((sizes > most) if most else np.zeros(len(sizes), bool))
+        for s, n in zip(starts[fit].tolist(), sizes[fit].tolist(), strict=True):
             part = slice(s, s + n)
             out += forest(fp[part], node[part], None if own is None else own[part], radius, agree)
-        e = np.concatenate(out)
-        return np.unique(np.sort(e, axis=1), axis=0)
+        return np.unique(np.sort(np.concatenate(out), axis=1), axis=0), large
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, key, fp, node, sketch in prefix.whole_groups(batches, 2):
-            e = edges_of(t, key, fp.view(np.uint64), node, sketch.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+        for of, t, key, fp, node, sketch in prefix.whole_groups(batches, 3):
+            e, large = edges_of(of, t, key, fp.view(np.uint64), node, sketch.view(np.uint64))
+            none = pa.nulls(len(e), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), none, none, none], names)
+            if large.any():
+                number = mix64(of[large].view(np.uint64) + mix64(key[large].view(np.uint64) + t[large].astype(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(fp[large]), pa.array(sketch[large]), pa.array(number)], names)
 
-    return tables.mapInArrow(run, EDGES)
+    return tables.mapInArrow(run, "a long, b long, fp long, sketch long, of long")
 
 
 def links(points: DataFrame, *, radius: int, agree: int = 0) -> DataFrame:
     """Distinct edges (a, b) that connect all ``points`` (node, fp, sketch) within ``radius`` bits.
 
     With ``agree``, linked rows must also agree on that many of the 8 sketch bytes.
+    Buckets over ``DIRECT`` are dealt out again by further masks, up to ``CUTS`` times.
     """
-    masks = covering_masks(radius)
-    keep = F.array(*(F.lit(signed(m)) for m in masks))
-    rows = points.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"), "fp", "node", "sketch")
-    rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.get(keep, F.col("t"))))
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "node").select("t", "key", "fp", "node", "sketch")
-    return bucket_edges(rows, radius, agree).distinct()
+    rows, out, cut = points.withColumn("of", F.lit(0).cast("long")), None, 0
+    while True:
+        masks = covering_masks(radius, cut)
+        keep = F.array(*(F.lit(signed(m)) for m in masks))
+        dealt = rows.select("of", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"), "fp", "node", "sketch")
+        dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.get(keep, F.col("t")))).repartition("of", "t", "key").sortWithinPartitions("of", "t", "key", "node")
+        found = materialize(bucket_edges(dealt.select("of", "t", "key", "fp", "node", "sketch"), radius, agree, DIRECT if cut < CUTS else None), "bucketed")
+        edges = found.filter("b is not null").select("a", "b")
+        out = edges if out is None else out.union(edges)
+        rows = found.filter("b is null").select(F.col("a").alias("node"), "fp", "sketch", "of")
+        if cut == CUTS or not rows.limit(1).count():
+            return out.distinct()
+        cut += 1
 
 
 def classes(docs: DataFrame, *, shingle: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
