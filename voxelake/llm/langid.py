@@ -25,7 +25,7 @@ verdict's name, which ``identify`` replaces.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelake.llm.common import Memo, materialize, mix64, slices
+from voxelake.llm.common import materialize, mix64, slices
 
 UND = "und"
 BEGIN, END = "\x02", "\x03"
@@ -97,15 +97,39 @@ def fit_order(rows: list[tuple[str, int]]) -> Order:
     return Order(grams[order], ((count - d) / total[at])[order], keys, d * types / total)
 
 
+class Rows:
+    """Rows of numbers by key, in two generations of about ``most`` each (as ``Memo`` has them)."""
+
+    def __init__(self, most: int, width: int):
+        self.most, self.at, self.values = most, {}, np.empty((0, width))
+        self.older: tuple[dict, np.ndarray] = {}, self.values
+
+    def places(self, keys: list[str], make: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+        """Where in ``values`` each key's row is; ``make`` gives the rows of new keys."""
+        if len(self.at) > self.most:
+            self.older, self.at, self.values = (self.at, self.values), {}, self.values[:0]
+        found = list(map(self.at.get, keys))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            old, rows = self.older
+            distinct = dict.fromkeys(keys[i] for i in new)
+            known, fresh = [k for k in distinct if k in old], [k for k in distinct if k not in old]
+            first = len(self.at)
+            self.at.update(zip(known + fresh, range(first, first + len(distinct)), strict=True))
+            parts = [self.values, rows[[old[k] for k in known]]] + ([make(fresh)] if fresh else [])
+            self.values = np.vstack(parts)
+            for i in new:
+                found[i] = self.at[keys[i]]
+        return np.array(found, dtype=np.int64)
+
+
 class Models:
     """Kneser-Ney models of several languages; entropies of n-grams and words are kept within bounds."""
 
     def __init__(self, languages: list[str], orders: list[list[Order]], alphabet: int):
         self.languages, self.orders, self.alphabet = languages, orders, alphabet
         self.order = len(orders[0])
-        self.grams, self.words = Memo(200_000), Memo(300_000)
-        self.of_gram = np.empty((0, len(languages)))
-        self.of_word = np.empty((0, len(languages) + 1))
+        self.grams, self.words = Rows(200_000, len(languages)), Rows(400_000, len(languages) + 1)
 
     def __reduce__(self):  # what is kept is the worker's own
         return Models, (self.languages, self.orders, self.alphabet)
@@ -121,40 +145,32 @@ class Models:
             out[:, j] = -np.log(p)
         return out
 
-    def _rows(self, memo: Memo, new: list[str]) -> None:
-        memo.update(zip(new, range(len(memo), len(memo) + len(new)), strict=True))
-
     def word_bits(self, words: list[str]) -> np.ndarray:
         """Negative log probability of each word with its end, and its predicted characters (last column)."""
         k = self.order
         padded = [BEGIN * (k - 1) + w + END for w in words]
-        found = [s[i : i + k] for s in padded for i in range(len(s) - k + 1)]
-        new = list(dict.fromkeys(g for g in found if g not in self.grams))
-        if new:
-            self.of_gram = np.vstack([self.of_gram[: len(self.grams)], self.gram_bits(new)])
-            self._rows(self.grams, new)
-        at = np.fromiter(map(self.grams.__getitem__, found), dtype=np.int64, count=len(found))
+        at = self.grams.places([s[i : i + k] for s in padded for i in range(len(s) - k + 1)], self.gram_bits)
         sizes = np.array([len(w) + 1 for w in words])
-        return np.hstack([np.add.reduceat(self.of_gram[at], np.cumsum(sizes) - sizes, axis=0), sizes[:, None]])
+        return np.hstack([np.add.reduceat(self.grams.values[at], np.cumsum(sizes) - sizes, axis=0), sizes[:, None]])
 
-    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed negative log probability in each language, and predicted characters, of each text."""
-        self.grams.room()
-        self.words.room()
-        parts = [t.split() for t in texts]
-        new = list(dict.fromkeys(w for p in parts for w in p if w not in self.words))
-        rows = np.zeros((len(new), len(self.languages) + 1))
-        for i in range(0, len(new), 20_000):  # n-grams of so many words at once
-            found = [_LETTERS.findall(w.lower()) for w in new[i : i + 20_000]]
+    def chunk_bits(self, chunks: list[str]) -> np.ndarray:
+        """The same, summed over the words of chunks between white space."""
+        rows = np.zeros((len(chunks), len(self.languages) + 1))
+        for i in range(0, len(chunks), 20_000):  # n-grams of so many words at once
+            found = [_LETTERS.findall(c) for c in chunks[i : i + 20_000]]
             flat = [x for f in found for x in f]
             if flat:
                 np.add.at(rows, i + np.repeat(np.arange(len(found)), [len(f) for f in found]), self.word_bits(flat))
-        self.of_word = np.vstack([self.of_word[: len(self.words)], rows])
-        self._rows(self.words, new)
-        total = np.zeros((len(texts), len(self.languages) + 1))
+        return rows
+
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed negative log probability in each language, and predicted characters, of each text."""
+        parts = [t.lower().split() for t in texts]
+        at = self.words.places([w for p in parts for w in p], self.chunk_bits)
+        total, done = np.zeros((len(texts), len(self.languages) + 1)), 0
         for i, p in enumerate(parts):
-            if p:
-                total[i] = self.of_word[np.fromiter(map(self.words.__getitem__, p), dtype=np.int64, count=len(p))].sum(axis=0)
+            total[i] = self.words.values[at[done : done + len(p)]].sum(axis=0)
+            done += len(p)
         return total[:, :-1], total[:, -1]
 
 
