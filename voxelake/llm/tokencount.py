@@ -114,7 +114,7 @@ class Counter:
     def pretokens(self, found: list[list[str]]) -> list[int]:
         """Token count of each list of pre-tokens."""
         self.words.room()
-        new = list({w for ws in found for w in ws if w not in self.words})
+        new = self.words.missing({w for ws in found for w in ws})
         if new:
             self.words.update(zip(new, self.bpe.surviving([w.encode() for w in new]).tolist(), strict=True))
         return [sum(map(self.words.__getitem__, ws)) for ws in found]
@@ -128,7 +128,7 @@ class Counter:
         """
         self.chunks.room()
         parts = [t.split(" ") for t in texts]
-        new = list({c for p in parts for c in p[1:] if c not in self.chunks})
+        new = self.chunks.missing({c for p in parts for c in p[1:]})
         good = [c for c in new if c and not c[0].isspace() and not c[-1].isspace()]
         self.chunks.update(dict.fromkeys(new, -1))
         self.chunks.update(zip(good, self.pretokens([self.bpe.split.findall(" " + c) for c in good]), strict=True))
