@@ -322,7 +322,7 @@ def agg18(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAB = "WITH p AS (SELECT p_partkey, p_partkey * 2654435 % 16777216 AS v FROM part), c AS (SELECT p_partkey, {r} AS r, {g} AS g, {b} AS b FROM p), l AS (SELECT p_partkey, cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459929 * b) AS l, cbrt(0.2119034982 * r + 0.6806995451 * g + 0.1073969566 * b) AS m, cbrt(0.0883024619 * r + 0.2817188376 * g + 0.6299787005 * b) AS s FROM c), o AS (SELECT p_partkey, 0.2104542553 * l + 0.793617785 * m - 0.0040720468 * s AS x, 1.9779984951 * l - 2.428592205 * m + 0.4505937099 * s AS y, 0.0259040371 * l + 0.7827717662 * m - 0.808675766 * s AS z FROM l)"
 
 
-@query("fn_oklab", LAB.format(r=LIN.format("(v // 65536)"), g=LIN.format("(v // 256 % 256)"), b=LIN.format("(v % 256)")) + " SELECT p_partkey, round(x, 5) AS light, round(y, 5) + 0.0 AS a, round(z, 5) + 0.0 AS b, round(sqrt((x - 1) * (x - 1) + y * y + z * z), 4) AS from_white FROM o")
+@query("fn_oklab", LAB.format(r=LIN.format("(v // 65536)"), g=LIN.format("(v // 256 % 256)"), b=LIN.format("(v % 256)")) + ", w AS (SELECT 0.2104542553 * l + 0.793617785 * m - 0.0040720468 * s AS wx, 1.9779984951 * l - 2.428592205 * m + 0.4505937099 * s AS wy, 0.0259040371 * l + 0.7827717662 * m - 0.808675766 * s AS wz FROM (SELECT cbrt(CAST(0.4122214708 AS DOUBLE) + 0.5363325363 + 0.0514459929) AS l, cbrt(CAST(0.2119034982 AS DOUBLE) + 0.6806995451 + 0.1073969566) AS m, cbrt(CAST(0.0883024619 AS DOUBLE) + 0.2817188376 + 0.6299787005) AS s)) SELECT p_partkey, round(x, 5) AS light, round(y, 5) + 0.0 AS a, round(z, 5) + 0.0 AS b, round(sqrt((x - wx) * (x - wx) + (y - wy) * (y - wy) + (z - wz) * (z - wz)), 4) AS from_white FROM o, w")
 def fn_oklab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours as the eye sees them, and their distance from white."""
     h = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(F.col("p_partkey") * 2654435 % 16777216)), 6, "0"))
