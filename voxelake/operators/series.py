@@ -50,6 +50,7 @@ def best_partner(volumes: DataFrame) -> DataFrame:
     """active, partner, oblique: for each T1 or fat-saturated volume the best one of the other kind.
 
     Same non-empty frame; the closest angle wins, then most slices, then the smaller uid.
+    A frame of reference is one study's, so a series meets a handful of others.
     ``volumes``: uid, kind, frame, nx/ny/nz normal columns (ax, ay, az), slices.
     """
     a = volumes.filter("kind in ('t1', 'fatsat') and frame <> ''")
@@ -60,6 +61,15 @@ def best_partner(volumes: DataFrame) -> DataFrame:
     return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("uid").alias("active"), "partner", "agreement", (F.col("agreement") < 0.99).alias("oblique"))
 
 
+def pair_for(volumes: DataFrame, uid: str) -> DataFrame:
+    """t1, fatsat, agreement, oblique: the pair that one series is shown with; no row if it has no partner."""
+    of = volumes.filter(F.col("uid") == uid).select(F.col("frame").alias("f"))
+    own = volumes.join(F.broadcast(of), F.col("frame") == F.col("f"), "left_semi")  # the series' own study only
+    pair = best_partner(own).filter(F.col("active") == uid).join(volumes.select(F.col("uid").alias("active"), "kind"), "active")
+    first, second = F.col("active"), F.col("partner")
+    return pair.select(F.when(F.col("kind") == "t1", first).otherwise(second).alias("t1"), F.when(F.col("kind") == "t1", second).otherwise(first).alias("fatsat"), "agreement", "oblique")
+
+
 def fusion_candidate(volumes: DataFrame, angle: float = 0.9) -> DataFrame:
     """The (kind, frame) group to fuse: two or more members, some pair at an angle, most members first."""
     known = volumes.filter("kind <> 'unknown' and frame <> ''")

@@ -286,6 +286,14 @@ def join5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.best_partner(study_volumes(spark, sf_dir))
 
 
+@query("join6_pair_for", f"WITH {VOL_SQL}, me AS (SELECT min(a.uid) AS uid FROM vol a JOIN vol b ON a.frame = b.frame AND a.kind = 'fatsat' AND b.kind = 't1'), p AS (SELECT b.uid AS t1, a.uid AS fatsat, round(abs(a.ax * b.ax + a.ay * b.ay + a.az * b.az), 9) AS agreement, b.slices FROM me JOIN vol a ON a.uid = me.uid JOIN vol b ON a.frame = b.frame AND b.kind = 't1') SELECT t1, fatsat, agreement, agreement < 0.99 AS oblique FROM p QUALIFY row_number() OVER (ORDER BY agreement DESC, slices DESC, t1) = 1")
+def join6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pair of the first fat-saturated series that has a partner."""
+    v = study_volumes(spark, sf_dir)
+    of = v.filter("kind = 'fatsat'").join(v.filter("kind = 't1'").select("frame"), "frame", "left_semi").agg(F.min("uid")).first()[0]
+    return series.pair_for(v, of or "")
+
+
 @query("agg17_fusion_candidate", f"WITH {VOL_SQL}, a AS (SELECT x.kind, x.frame FROM vol x JOIN vol y ON x.kind = y.kind AND x.frame = y.frame AND x.uid < y.uid WHERE abs(x.ax * y.ax + x.ay * y.ay + x.az * y.az) < 0.9 GROUP BY 1, 2) SELECT kind, frame, count(*) AS n, min(uid) AS first FROM vol JOIN a USING (kind, frame) WHERE kind <> 'unknown' GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n DESC, first LIMIT 1")
 def agg17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.fusion_candidate(study_volumes(spark, sf_dir))

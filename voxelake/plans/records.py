@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxelake.functions import scalar
 from voxelake.operators import deid
 from voxelake.plans.registry import query, table
-from voxelake.sources import grids, packed
+from voxelake.sources import grids, packed, part10
 from voxelake.streaming import streams
 
 TAG_SQL = "tg AS (SELECT p_partkey, (p_partkey * 7 % 65536) * 65536 + (p_size * 1031 % 65536) AS tag FROM part)"
@@ -123,6 +123,13 @@ def deid5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("entity", F.array_join("seq_path", "/").alias("path"), "tag", "vr", "value")
 
 
+@query("prj7_nested_path", f"WITH {NEST_SQL} SELECT entity, value FROM ne WHERE seq_path = [524288 + 5] AND tag = 2097165 UNION ALL SELECT entity, value FROM ne WHERE seq_path = [4194944, 524288 + 6] AND tag = 1048592")
+def prj7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements found by their path: one sequence down, and two."""
+    e = nested(spark, sf_dir)
+    return part10.at_path(e, 0x00080005, 0x0020000D).unionByName(part10.at_path(e, 0x00400280, 0x00080006, 0x00100010)).select("entity", "value")
+
+
 @query("deid8_drop_named", f"WITH {NEST_SQL}, nm AS (SELECT DISTINCT 524288 + p_size AS tag FROM part WHERE p_size < 20) SELECT entity, array_to_string(seq_path, '/') AS path, tag, value FROM ne WHERE tag NOT IN (SELECT tag FROM nm) AND (tag // 65536) % 2 = 0 AND NOT list_has_any(seq_path, (SELECT list(tag) FROM nm)) AND len(list_filter(seq_path, lambda t: (t // 65536) % 2 = 1)) = 0")
 def deid8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements without a list of named tags and without private ones."""
