@@ -91,6 +91,27 @@ def test_best_fit_beats_nothing_smaller():
     assert n == 2 and sorted(np.bincount(bins, [5, 7, 3, 5])) == [10, 10] and offsets.max() <= 7
 
 
+def test_best_fit_equals_a_plain_search():
+    """The tightest open bin by looking at all of them, largest item first."""
+    rng = random.Random(6)
+    for _ in range(60):
+        capacity = rng.randint(5, 60)
+        sizes = np.array([rng.randint(1, capacity) for _ in range(rng.randint(1, 80))])
+        rooms: list[int] = []
+        for size in sorted(sizes.tolist(), reverse=True):
+            fits = [(r, b) for b, r in enumerate(rooms) if r >= size]
+            if fits:
+                rooms[min(fits)[1]] -= size
+            else:
+                rooms.append(capacity - size)
+        bins, offsets, n = packing.best_fit(sizes, capacity)
+        fills = np.bincount(bins, sizes).astype(int)
+        assert n == len(rooms) and sorted(fills) == sorted(capacity - r for r in rooms)
+        for b in range(n):
+            own = np.argsort(offsets[bins == b])
+            assert offsets[bins == b][own].tolist() == [0, *np.cumsum(sizes[bins == b][own])[:-1]]
+
+
 def brute_components(fps: dict, radius: int) -> dict:
     ids = list(fps)
     label = {i: i for i in ids}
@@ -202,7 +223,8 @@ def test_backoff_on_strange_texts(spark, odd, none):
     assert ngram_lm.scores(none).count() == 0
     documents = pd.DataFrame([r[:2] for r in ODD], columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
     want = duckdb.sql(ngram_lm.ORACLE).df()
-    have = ngram_lm.scores(odd).selectExpr("doc_id", "n_words", "round(log_score, 4) as log_score", "round(mean_log_score, 6) as mean_log_score").toPandas()
+    clash = odd.selectExpr("*", "1 as block", "2 as part", "'x' as log_score", "n_tokens as n_words")
+    have = ngram_lm.scores(clash, block_bytes=100_000).selectExpr("doc_id", "n_words", "round(log_score, 4) as log_score", "round(mean_log_score, 6) as mean_log_score").toPandas()
     same(have, want)
     assert len(documents) == len(have)
 
