@@ -20,6 +20,8 @@ HUB = 1000
 
 def _with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
     """``rows`` with the column m of ``least`` (u, m, n), joined by u; at most 2^20 hubs are sent, 16 MB."""
+    if n_rows <= HUB:  # too few for a hub
+        return rows.join(least.select("u", "m"), "u")
     hubs = F.broadcast(least.filter(F.col("n") > max(HUB, n_rows >> 20)).select("u", "m"))
     return rows.join(hubs, "u").unionByName(rows.join(hubs, "u", "left_anti").join(least.select("u", "m"), "u"))
 
