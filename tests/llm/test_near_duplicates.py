@@ -53,6 +53,15 @@ def test_copies_with_an_appended_passage(spark):
     assert len(far) > 20 and found(spark, rows) == want
 
 
+def test_bitmaps_never_differ_by_more_than_the_sets():
+    rng = np.random.default_rng(14)
+    for _ in range(300):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 900)).astype(np.uint64)
+        a, b = (np.unique(np.r_[base[rng.random(len(base)) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 60)).astype(np.uint64)]) for _ in "ab")
+        apart = int(np.bitwise_count((prefix.bitmap(a) ^ prefix.bitmap(b)).view(np.uint64)).sum())
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 @pytest.mark.parametrize("tile", [4, 1024])
 def test_join_proposes_all_pairs_of_a_common_start(spark, monkeypatch, tile):
     """Sets that share their hot elements, in large buckets too, with and without an order by count."""
@@ -63,8 +72,11 @@ def test_join_proposes_all_pairs_of_a_common_start(spark, monkeypatch, tile):
     own = [set(s.tolist()) for s in sets]
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
     for common in ([], [(int(x), 50) for x in hot.view(np.int64)]):
+        words = {i: prefix.bitmap(s).tolist() for i, s in enumerate(sets)}
         rows = [(int(k), i, i, n, at) for i, s in enumerate(sets) for keys, n in [prefix.Order(common).prefix(s, 0.8)] for at, k in enumerate(keys)]
-        buckets = prefix.buckets(spark.createDataFrame(rows, "key long, node long, class long, n int, at int")).cache()
+        buckets = prefix.buckets(spark.createDataFrame(rows, "key long, node long, class long, n int, at int"))
+        bits = spark.createDataFrame([(i, *w) for i, w in words.items()], "node long" + "".join(f", {c} long" for c in prefix.BITS))
+        buckets = buckets.join(bits, "node").cache()
         got, first = set(), 0
         for most in (1, 16, None):
             got |= {tuple(r) for r in prefix.pairs(buckets, 0.8, first, most).collect()}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from voxelake.sources.shared import materialize, shared_dir
 
-__all__ = ["Memo", "free_name", "materialize", "mix64", "shared_dir", "slices", "table"]
+__all__ = ["Memo", "free_name", "in_turn", "materialize", "mix64", "shared_dir", "slices", "table"]
 
 #: Text is handled in slices of about this many characters, so that one Arrow
 #: batch never unfolds into more than a few tens of MB of Python objects.
@@ -84,3 +84,13 @@ class Memo(dict):
             if known:
                 new = [k for k in new if k not in self]
         return new
+
+
+_forget: dict[str, Callable[[], object]] = {}
+
+
+def in_turn(name: str, forget: Callable[[], object]) -> None:
+    """Called as an operator begins in a Python worker: what other operators keep there is forgotten, so that memos don't add up."""
+    for other in [o for o in _forget if o != name]:
+        _forget.pop(other)()
+    _forget[name] = forget

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelake.llm.common import materialize, mix64, slices
+from voxelake.llm.common import in_turn, materialize, mix64, slices
 
 UND = "und"
 BEGIN, END = "\x02", "\x03"
@@ -129,7 +129,10 @@ class Models:
     def __init__(self, languages: list[str], orders: list[list[Order]], alphabet: int):
         self.languages, self.orders, self.alphabet = languages, orders, alphabet
         self.order = len(orders[0])
-        self.grams, self.words = Rows(200_000, len(languages)), Rows(400_000, len(languages) + 1)
+        self.forget()
+
+    def forget(self) -> None:
+        self.grams, self.words = Rows(150_000, len(self.languages)), Rows(300_000, len(self.languages) + 1)
 
     def __reduce__(self):  # what is kept is the worker's own
         return Models, (self.languages, self.orders, self.alphabet)
@@ -191,6 +194,10 @@ class Identifier:
     models: Models | None
     limits: np.ndarray  # highest accepted entropy per character, by language
 
+    def forget(self) -> None:
+        if self.models:
+            self.models.forget()
+
     def predict(self, texts: list[str]) -> list[tuple[str, float, float | None, bool]]:
         """Language, score, entropy per character and rejection of each text."""
         if self.models is None:
@@ -264,6 +271,7 @@ def train(docs: DataFrame, *, sample: int = 3000, order: int = 4, quantile: floa
 
     def entropy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        in_turn("langid calibration", own.forget)
         at = {name: j for j, name in enumerate(own.languages)}
         for b in slices(batches):
             bits, n = own.texts(b.column(1).to_pylist())
@@ -286,6 +294,7 @@ def identify(docs: DataFrame, model: Identifier, *, text: str = "text", into: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        in_turn("langid", own.forget)
         for b in slices(batches, text):
             rows = own.predict([t or "" for t in b.column(at).to_pylist()])
             found = pa.array([dict(zip(("lang_pred", "score", "entropy", "rejected"), r, strict=True)) for r in rows], FOUND)
@@ -301,6 +310,7 @@ def keep_identified(docs: DataFrame, model: Identifier, *, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        in_turn("langid", own.forget)
         for b in slices(batches, text):
             yield b.filter(pa.array([not r[3] for r in own.predict([t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
 

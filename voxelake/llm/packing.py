@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelake.llm.common import Memo, materialize, slices
+from voxelake.llm.common import Memo, in_turn, materialize, slices
 
 #: Letters below this one are lower-cased and normalised one by one, into one letter.
 PLAIN = "\u0130"
@@ -199,6 +199,7 @@ def pack(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_turn("packing", encoder.cache_clear)
         own = encoder(vocabulary)
         held: list[tuple] = []
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxelake.llm.common import Memo, slices
+from voxelake.llm.common import Memo, in_turn, slices
 
 _RUNS = ((re.compile(r"[^\W\d_]+"), lambda m: cased(m[0])), (re.compile(r"\d+"), lambda m: "9"), (re.compile(r"([^\w\s])\1+"), lambda m: m[1]))
 
@@ -63,7 +63,7 @@ class Features:
     """Feature slots of texts; words' slots and shapes stay in a bounded memo."""
 
     def __init__(self, width: int, used: np.ndarray | None = None):
-        self.width, self.used, self.memo = width, used, Memo(300_000)
+        self.width, self.used, self.memo = width, used, Memo(200_000)
 
     def slot(self, name: str) -> int:
         return zlib.crc32(name.encode("utf-8", "surrogatepass")) % self.width
@@ -110,6 +110,9 @@ class Ordinal:
     def features(self) -> Features:
         return Features(self.width, self.weights != 0)
 
+    def forget(self) -> None:
+        self.__dict__.pop("features", None)
+
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1.. (columns) of each score."""
         return sigmoid(scores[:, None] - self.thresholds[None, :])
@@ -171,6 +174,7 @@ def train(rated: DataFrame, *, sample: int = 16_000, width: int = 1 << 18, doc_i
     grades = top + 1
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_turn("quality sample", features.cache_clear)
         for b in slices(batches):
             slots = [features(width).of(t).astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(slots, pa.binary())], ["grade", "slots"])
@@ -205,6 +209,7 @@ def judge(docs: DataFrame, model: Ordinal, *, tail: int | None = None, least: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        in_turn("quality", own.forget)
         for b in slices(batches, text):
             expected, p = own.verdicts(b.column(at).to_pylist(), tail)
             rows = [{"expected_grade": float(e), "tail_prob": float(x), "keep": bool(x >= least)} for e, x in zip(expected, p, strict=True)]
@@ -220,6 +225,7 @@ def keep_good(docs: DataFrame, model: Ordinal, *, tail: int | None = None, least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
+        in_turn("quality", own.forget)
         for b in slices(batches, text):
             yield b.filter(pa.array(own.verdicts(b.column(at).to_pylist(), tail)[1] >= least, pa.bool_()))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelake.llm import prefix
-from voxelake.llm.common import free_name, materialize, mix64, slices
+from voxelake.llm.common import materialize, mix64, slices
 from voxelake.llm.components import components
 
 SEED = 42
@@ -185,9 +185,10 @@ def links(points: DataFrame, *, radius: int, agree: int = 0) -> DataFrame:
     while True:
         masks = covering_masks(radius, cut)
         keep = F.array(*(F.lit(signed(m)) for m in masks))
+        key = F.col("fp").bitwiseAND(F.get(keep, F.col("t")))  # made again after the shuffle
         dealt = rows.select("of", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("t"), "fp", "node", "sketch")
-        dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.get(keep, F.col("t")))).repartition("of", "t", "key").sortWithinPartitions("of", "t", "key", "node")
-        found = materialize(bucket_edges(dealt.select("of", "t", "key", "fp", "node", "sketch"), radius, agree, DIRECT if cut < CUTS else None), "bucketed")
+        dealt = dealt.repartition("of", "t", key).sortWithinPartitions("of", "t", key, "node")
+        found = materialize(bucket_edges(dealt.select("of", "t", key.alias("key"), "fp", "node", "sketch"), radius, agree, DIRECT if cut < CUTS else None), "bucketed")
         edges = found.filter("b is not null").select("a", "b")
         out = edges if out is None else out.union(edges)
         rows = found.filter("b is null").select(F.col("a").alias("node"), "fp", "sketch", "of")
@@ -273,20 +274,22 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
             for t in b.column(1).to_pylist():
                 words = words_of(t)
                 h = hashes(shingles(words, shingle))
-                out.append((xxhash.xxh128_digest(b" ".join(words)), signed(bag_fingerprint(words)), signed(sketch_of(h)), *order.prefix(h, threshold)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32())))], ["doc_id", "same", "fp", "sketch", "keys", "n"])
+                out.append((xxhash.xxh128_digest(b" ".join(words)), signed(bag_fingerprint(words)), signed(sketch_of(h)), *order.prefix(h, threshold), *prefix.bitmap(np.unique(h))))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), *[pa.int64()] * prefix.WORDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], ["doc_id", "same", "fp", "sketch", "keys", "n", *prefix.BITS])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "ta"):
             ok = [similarity(x, y, shingle) >= threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    seen = materialize(rows.mapInArrow(points, "doc_id long, same binary, fp long, sketch long, keys array<long>, n int"), "points")
+    words = "".join(f", {c} long" for c in prefix.BITS)
+    seen = materialize(rows.mapInArrow(points, "doc_id long, same binary, fp long, sketch long, keys array<long>, n int" + words), "points")
     nodes = materialize(seen.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
     edges = materialize(links(nodes.filter("node is not null").select("node", "fp", "sketch"), radius=radius, agree=agree), "proposed")
 
     def texts_of(some: DataFrame) -> DataFrame:
-        wanted = some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct()
+        wanted = sent(materialize(some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct(), "wanted"))
         return materialize(rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
 
     def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
@@ -314,13 +317,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
                 break
 
     # The rest, complete: what shares a prefix shingle and is not of one class yet, hubs first.
-    held = seen.join(nodes.select("same", "node"), "same").filter("doc_id = node").select("node", "keys", "n").join(comp, "node", "left")
+    own = seen.join(nodes.select("same", "node"), "same").filter("doc_id = node")
+    held = own.select("node", "keys", "n").join(comp, "node", "left")
     listed = held.select("node", F.coalesce("component", "node").alias("class"), "n", F.posexplode("keys").alias("at", "key"))
-    buckets = materialize(prefix.buckets(listed.select("key", "node", "class", "n", "at")), "buckets")
+    bits = own.groupBy("node").agg(*(F.first(c).alias(c) for c in prefix.BITS))
+    buckets = materialize(prefix.buckets(listed.select("key", "node", "class", "n", "at")).join(bits, "node"), "buckets")
     tested, first = None, 0
     for most in (1, 16, None):
         now = buckets.drop("class").join(comp, "node", "left").withColumn("class", F.coalesce("component", "node"))
-        some = prefix.pairs(now.select("key", "node", "class", "n", "at", "rank", "m"), threshold, first, most)
+        some = prefix.pairs(now.select("key", "node", "class", "n", "at", "rank", "m", *prefix.BITS), threshold, first, most)
         some = materialize(some if tested is None else some.join(tested, ["a", "b"], "left_anti"), "tested")
         first += most or 0
         tested = some if tested is None else tested.union(some)
@@ -337,9 +342,18 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     Rows without a doc_id can't be told apart by it and stay.
     """
     doc_id = how.get("doc_id", "doc_id")
-    lost = near_duplicates(docs, **how).filter("class_id is not null and class_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    found = materialize(near_duplicates(docs, **how), "classes")
+    lost = sent(found.filter("class_id is not null and class_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct())
+    repeated = sent(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id))
     kept = docs.join(lost, doc_id, "left_anti")
-    # one row of a repeated doc_id
-    copy = free_name(docs, "copy")
-    marked = kept.withColumn(copy, F.when(F.col(doc_id).isNull(), F.monotonically_increasing_id()).otherwise(-1))
-    return marked.dropDuplicates([doc_id, copy]).select(*docs.columns)
+    # one row of a repeated doc_id; only such rows are dealt out by it
+    return kept.join(repeated, doc_id, "left_anti").unionByName(kept.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id])).select(*docs.columns)
+
+
+#: Tables of ids up to this many rows (16 MB) are sent to every task, larger ones are joined by shuffle.
+SENT = 1 << 20
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """``ids``, to be sent to every task if they are counted few enough."""
+    return F.broadcast(ids) if ids.count() <= SENT else ids

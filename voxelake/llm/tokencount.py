@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelake.llm.common import SLICE_CHARS, Memo, slices
+from voxelake.llm.common import SLICE_CHARS, Memo, in_turn, slices
 
 NONE = np.int64(1 << 40)
 
@@ -202,6 +202,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, *, doc_id: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_turn("tokencount", counter.cache_clear)
         own = counter(vocabulary)
         for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
