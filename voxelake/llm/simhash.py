@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelake.llm import prefix
-from voxelake.llm.common import materialize, mix64, slices
+from voxelake.llm.common import in_turn, materialize, mix64, slices
 from voxelake.llm.components import components
 
 SEED = 42
@@ -268,6 +268,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_turn("near duplicates", dict)  # nothing of its own to forget
         order = prefix.Order(common.value)
         for b in slices(batches):
             out = []
