@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelake.llm import ann, chat, decontam, html_extract, langid, ngram_lm, packing, quality, simhash, tokencount
+from voxelake.llm import ann, chat, decontam, html_extract, langid, ngram_lm, packing, quality, repeats, simhash, tokencount
 from voxelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), COUNT_VOCABULARY)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_permutation_search,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Query]:
         op8_decontamination,
         op9_quotation_links,
         op10_token_counts,
+        op12_periodic_runs,
     )
     return {f.__name__: f for f in own}
 
