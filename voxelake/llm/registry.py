@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelake.llm import ann, chat, decontam, html_extract, langid, ngram_lm, packing, quality, repeats, simhash, tokencount
+from voxelake.llm import ann, chat, decontam, exact, html_extract, langid, negatives, ngram_lm, packing, quality, repeats, simhash, tokencount
 from voxelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,10 +60,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), COUNT_VOCABULARY)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=negatives.moved_label()).drop("anchor_row")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.query(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.search(table(spark, sf_dir, "embeddings")).drop("query_row")
+
+
 def queries() -> dict[str, Query]:
     own = (
         op1_permutation_search,
@@ -76,10 +84,18 @@ def queries() -> dict[str, Query]:
         op8_decontamination,
         op9_quotation_links,
         op10_token_counts,
+        op11_hard_negatives,
         op12_periodic_runs,
+        op13_exact_top_k,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_stupid_backoff": ngram_lm.ORACLE, "op8_decontamination": decontam.ORACLE, "op9_quotation_links": chat.ORACLE}
+    return {
+        "op3_stupid_backoff": ngram_lm.ORACLE,
+        "op8_decontamination": decontam.ORACLE,
+        "op9_quotation_links": chat.ORACLE,
+        "op11_hard_negatives": negatives.ORACLE,
+        "op13_exact_top_k": exact.ORACLE,
+    }
