@@ -57,28 +57,62 @@ def test_bitmaps_never_differ_by_more_than_the_sets():
     rng = np.random.default_rng(14)
     for _ in range(300):
         base = rng.integers(0, 1 << 63, rng.integers(1, 900)).astype(np.uint64)
-        a, b = (np.unique(np.r_[base[rng.random(len(base)) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 60)).astype(np.uint64)]) for _ in "ab")
-        apart = int(np.bitwise_count((prefix.bitmap(a) ^ prefix.bitmap(b)).view(np.uint64)).sum())
-        assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+        a, b = (np.unique(np.r_[base[rng.random(len(base)) < rng.choice([0.9, 0.4])], rng.integers(0, 1 << 63, rng.integers(0, 60)).astype(np.uint64)]) for _ in "ab")
+        assert prefix.apart(prefix.bitmap(a), prefix.bitmap(b)) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
 @pytest.mark.parametrize("tile", [4, 1024])
-def test_join_proposes_all_pairs_of_a_common_start(spark, monkeypatch, tile):
-    """Sets that share their hot elements, in large buckets too, with and without an order by count."""
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_join_proposes_all_pairs_of_a_common_start(spark, monkeypatch, tile, partitions):
+    """Sets that share their hot elements, in large buckets that stretch over tasks, with and without an order by count."""
     monkeypatch.setattr(prefix, "TILE", tile)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     rng = np.random.default_rng(13)
     hot = rng.integers(0, 1 << 63, 30).astype(np.uint64)
     sets = [np.unique(np.r_[hot[: rng.integers(20, 31)], rng.integers(0, 1 << 63, rng.integers(0, 9)).astype(np.uint64)]) for _ in range(60)]
     own = [set(s.tolist()) for s in sets]
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
-    for common in ([], [(int(x), 50) for x in hot.view(np.int64)]):
-        words = {i: prefix.bitmap(s).tolist() for i, s in enumerate(sets)}
-        rows = [(int(k), i, i, n, at) for i, s in enumerate(sets) for keys, n in [prefix.Order(common).prefix(s, 0.8)] for at, k in enumerate(keys)]
-        buckets = prefix.buckets(spark.createDataFrame(rows, "key long, node long, class long, n int, at int"))
-        bits = spark.createDataFrame([(i, *w) for i, w in words.items()], "node long" + "".join(f", {c} long" for c in prefix.BITS))
-        buckets = buckets.join(bits, "node").cache()
-        got, first = set(), 0
-        for most in (1, 16, None):
-            got |= {tuple(r) for r in prefix.pairs(buckets, 0.8, first, most).collect()}
-            first += most or 0
-        assert want <= got and len(want) > 100
+    bits = spark.createDataFrame([(i, len(s), bytearray(prefix.bitmap(s))) for i, s in enumerate(sets)], "node long, n int, bits binary")
+    try:
+        for common in ([], [(int(x), 50) for x in hot.view(np.int64)]):
+            rows = [(int(k), i, i, n, at) for i, s in enumerate(sets) for keys, n in [prefix.Order(common).prefix(s, 0.8)] for at, k in enumerate(keys)]
+            found = prefix.buckets(spark.createDataFrame(rows, prefix.ROWS), 0.8).cache()
+            got = {(r.node, r["class"]) for r in found.filter("part = -2").collect()}
+            first = 0
+            for most in (1, 16, None):
+                got |= {tuple(r) for r in prefix.pairs(found.filter("part >= 0" if not first else "part > -2"), 0.8, first, most).collect()}
+                first += most or 0
+            some = prefix.alike(spark.createDataFrame(sorted(got), "a long, b long"), bits, 0.8)
+            assert want <= {tuple(r) for r in some.collect()} <= got and len(want) > 100
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_repeated_ids_lose_no_link_and_no_text(spark):
+    rng = random.Random(15)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*b, "x"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in simhash.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1)]
+    kept = sorted(tuple(r) for r in simhash.deduplicate(df).collect())
+    assert kept == sorted(rows[:2])  # B and B x are one class, A is one of its own
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (2, " ".join([*b, "x"])), (2, " ".join(a)), (3, " ".join(a)), (3, " ".join(a))]
+    found_ = sorted((r.doc_id, r.class_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found_ == [(1, 1), (2, 1), (2, 2), (2, 2), (3, 1), (3, 1)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2] and {" ".join(a)} < {r.text for r in kept}
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    text = " ".join(words(random.Random(16), 50))
+    rows = [(None, text), (None, text), (None, None), (7, None), (5, ""), (6, " "), (8, text + " end"), (9, "short"), (9, "short"), (None, "alone"), (10, "x " * 30_000)]
+    df = spark.createDataFrame([(*r, i, "y") for i, r in enumerate(rows)], "doc_id long, text string, raw int, class string")
+    kept = simhash.deduplicate(df)
+    assert kept.columns == df.columns
+    got = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    assert got == sorted([("8", text + " end"), ("5", ""), ("9", "short"), ("None", "alone"), ("10", "x " * 30_000)])
+    assert simhash.deduplicate(df.limit(0)).count() == 0
+    assert {(r.doc_id, r.class_id) for r in simhash.near_duplicates(df.filter("doc_id is null")).collect()} == {(None, None)}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelake.llm import prefix
-from voxelake.llm.common import in_turn, materialize, mix64, slices
+from voxelake.llm.common import free_name, in_turn, materialize, mix64, slices
 from voxelake.llm.components import components
 
 SEED = 42
@@ -219,17 +219,6 @@ def bag_fingerprint(words: list[bytes]) -> int:
     return majority(hashes(list(n)), np.log1p(np.fromiter(n.values(), dtype=np.float64, count=len(n))))
 
 
-_TURNS = mix64(np.arange(1, 9, dtype=np.uint64))
-
-
-def sketch_of(h: np.ndarray) -> int:
-    """Eight bytes, each the low byte of one minimum hash of the shingle set."""
-    if not len(h):
-        return 0
-    low = np.array([int(mix64(h ^ t).min() >> np.uint64(5)) & 255 for t in _TURNS], dtype=np.uint8)
-    return int(low.view(np.uint64)[0])
-
-
 def similarity(a: str | None, b: str | None, shingle: int) -> float:
     """Jaccard similarity of the sets of word shingles; two texts without words are equal."""
     x, y = (set(shingles(words_of(t), shingle)) for t in (a, b))
@@ -254,17 +243,19 @@ def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
     return np.array(found.orderBy(F.desc("count"), "h").limit(prefix.COMMON).collect(), dtype=np.int64).reshape(-1, 2)
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, radius: int = 6, agree: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id: groups of documents linked by Jaccard >= ``threshold`` over word shingles.
+def classes_of_texts(docs: DataFrame, *, shingle: int, threshold: float, radius: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, raw (digest of the text), class of each row of ``docs``, written: rows of one class are near-duplicates.
 
-    Texts equal in words are one class before anything else. Covering LSH on
-    bag-of-words fingerprints (within ``radius`` bits, with agreeing min-hash bytes)
-    proposes a star for each bucket, which finds most classes cheaply but not every
-    link: two members that miss its hub may be close. A prefix-filtered join on the
-    shingles then proposes every pair of different classes that can reach the
-    threshold. Each proposal is verified exactly on the texts.
+    Texts are known by a digest of their words, never by an id, and numbered by the
+    first row that holds them. Texts equal in words are one class before anything else.
+    Covering LSH on bag-of-words fingerprints (within ``radius`` bits) proposes a star for
+    each bucket, which finds classes of light copies cheaply but not every link: two
+    members that miss its hub may be close. A prefix-filtered join on the shingles then
+    proposes every pair of different classes that can reach the threshold. Each proposal
+    is verified exactly on the texts.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    filled = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), filled.alias("text")).withColumn("raw", F.unhex(F.md5("text")))
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,84 +265,112 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8
             out = []
             for t in b.column(1).to_pylist():
                 words = words_of(t)
-                h = hashes(shingles(words, shingle))
-                out.append((xxhash.xxh128_digest(b" ".join(words)), signed(bag_fingerprint(words)), signed(sketch_of(h)), *order.prefix(h, threshold), *prefix.bitmap(np.unique(h))))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), *[pa.int64()] * prefix.WORDS)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], ["doc_id", "same", "fp", "sketch", "keys", "n", *prefix.BITS])
+                h = np.unique(hashes(shingles(words, shingle)))
+                out.append((xxhash.xxh128_digest(b" ".join(words)), signed(bag_fingerprint(words)), *order.prefix(h, threshold), prefix.bitmap(h)))
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds))], ["doc_id", "raw", "same", "fp", "keys", "n", "bits"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "ta"):
             ok = [similarity(x, y, shingle) >= threshold for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    words = "".join(f", {c} long" for c in prefix.BITS)
-    seen = materialize(rows.mapInArrow(points, "doc_id long, same binary, fp long, sketch long, keys array<long>, n int" + words), "points")
-    nodes = materialize(seen.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")), "nodes")
-    edges = materialize(links(nodes.filter("node is not null").select("node", "fp", "sketch"), radius=radius, agree=agree), "proposed")
+    made = rows.mapInArrow(points, "doc_id long, raw binary, same binary, fp long, keys array<long>, n int, bits binary")
+    seen = materialize(made.withColumn("row", F.monotonically_increasing_id()), "points")
+    texts = materialize(seen.groupBy("same").agg(F.min("row").alias("node"), F.count("*").alias("held")), "nodes")
+    copies = sent(materialize(seen.select("row", "same").join(texts.filter("held > 1"), "same").filter("row <> node").select("row"), "copies"))
+    own = seen.join(copies, "row", "left_anti").withColumnRenamed("row", "node")  # one row for each text
+    edges = materialize(links(own.select("node", "fp", F.lit(0).cast("long").alias("sketch")), radius=radius), "proposed")
 
     def texts_of(some: DataFrame) -> DataFrame:
-        wanted = sent(materialize(some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct(), "wanted"))
-        return materialize(rows.join(wanted, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+        nodes = materialize(some.select(F.col("a").alias("node")).union(some.select("b")).distinct(), "wanted")
+        wanted = sent(materialize(own.select("node", "raw").join(sent(nodes), "node"), "wanted"))
+        return materialize(rows.join(wanted, "raw").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    def verified(some: DataFrame, texts: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
+    def verified(some: DataFrame, of: DataFrame) -> DataFrame:
+        left, right = (of.select(F.col("node").alias(c), F.col("text").alias("t" + c)) for c in "ab")
         return some.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, EDGES)
 
     # Links that classes already imply need no test: the first round tests two partners of each
-    # document, the second sixteen, the last all proposed ones that are left. A document
-    # has no more partners than there are masks.
-    texts = texts_of(edges)
+    # text, the second sixteen, the last all proposed ones that are left. A text has no
+    # more partners than there are masks.
+    of = texts_of(edges)
     sure, comp, pending = None, None, edges
     for most in (2, 16, None):
         some = pending
         if most:
             listed = pending.groupBy("b").agg(F.array_sort(F.collect_list("a")).alias("as"))
             some = materialize(listed.select(F.explode(F.slice("as", 1, most)).alias("a"), "b"), "tested")
-        new = verified(some, texts)
+        new = verified(some, of)
         sure = materialize(new if sure is None else sure.union(new), "links")
         comp = components(sure)
         if most:
-            of = [comp.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
-            rest = pending.join(some, ["a", "b"], "left_anti").join(of[0], "a", "left").join(of[1], "b", "left")
+            ends = [comp.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
+            rest = pending.join(some, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
             pending = materialize(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pending")
             if not pending.limit(1).count():
                 break
 
     # The rest, complete: what shares a prefix shingle and is not of one class yet, hubs first.
-    own = seen.join(nodes.select("same", "node"), "same").filter("doc_id = node")
-    held = own.select("node", "keys", "n").join(comp, "node", "left")
-    listed = held.select("node", F.coalesce("component", "node").alias("class"), "n", F.posexplode("keys").alias("at", "key"))
-    bits = own.groupBy("node").agg(*(F.first(c).alias(c) for c in prefix.BITS))
-    buckets = materialize(prefix.buckets(listed.select("key", "node", "class", "n", "at")).join(bits, "node"), "buckets")
+    classed = lambda some: some.join(sent(comp), "node", "left").withColumn("class", F.coalesce("component", "node"))
+    listed = classed(own.select("node", "keys", "n")).select("node", "class", "n", F.posexplode("keys").alias("at", "key"))
+    found = prefix.buckets(listed.select("key", "node", "class", "n", "at"), threshold)
+    members, bits = found.filter(F.col("part") > prefix.PAIR), own.select("node", "n", "bits")
     tested, first = None, 0
     for most in (1, 16, None):
-        now = buckets.drop("class").join(comp, "node", "left").withColumn("class", F.coalesce("component", "node"))
-        some = prefix.pairs(now.select("key", "node", "class", "n", "at", "rank", "m", *prefix.BITS), threshold, first, most)
-        some = materialize(some if tested is None else some.join(tested, ["a", "b"], "left_anti"), "tested")
-        first += most or 0
+        if most == 1:  # the hubs of buckets that lie within a task are paired already
+            ready = found.filter(F.col("part") == prefix.PAIR).select(F.col("node").alias("a"), F.col("class").alias("b"))
+            some = ready.union(prefix.pairs(members.filter("part >= 0"), threshold, 0, 1)).distinct()
+        else:
+            some = prefix.pairs(classed(members.drop("class")), threshold, first, most)
+        some = some if tested is None else some.join(tested, ["a", "b"], "left_anti")
+        some = materialize(some, "candidates")
         tested = some if tested is None else tested.union(some)
+        first += most or 0
+        some = materialize(prefix.alike(some, bits, threshold), "tested")
         if some.limit(1).count():
             sure = materialize(sure.union(verified(some, texts_of(some))), "links")
             comp = components(sure)
-    of_text = nodes.join(comp, "node", "left").select("same", F.coalesce("component", "node").alias("class_id"))
-    return seen.join(of_text, "same").select("doc_id", "class_id")
+    of_text = classed(texts).select("same", "class")
+    return materialize(seen.select("doc_id", "raw", "same").join(of_text, "same").select("doc_id", "raw", "class"), "classes")
 
 
-def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row (the smallest doc_id) of each near-duplicate class; all columns stay.
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, class_id: groups of rows linked by Jaccard >= ``threshold`` over word shingles.
 
-    Rows without a doc_id can't be told apart by it and stay.
+    A class is called by its smallest doc_id, and by null if it has none. Rows that
+    repeat a doc_id are of one class only if their texts are.
     """
-    doc_id = how.get("doc_id", "doc_id")
-    found = materialize(near_duplicates(docs, **how), "classes")
-    lost = sent(found.filter("class_id is not null and class_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct())
-    repeated = sent(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().filter("count > 1").select(doc_id))
-    kept = docs.join(lost, doc_id, "left_anti")
-    # one row of a repeated doc_id; only such rows are dealt out by it
-    return kept.join(repeated, doc_id, "left_anti").unionByName(kept.join(repeated, doc_id, "left_semi").dropDuplicates([doc_id])).select(*docs.columns)
+    found = classes_of_texts(docs, shingle=shingle, threshold=threshold, radius=radius, doc_id=doc_id, text=text)
+    return found.join(found.groupBy("class").agg(F.min("doc_id").alias("class_id")), "class").select("doc_id", "class_id")
+
+
+def deduplicate(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate class; all columns stay.
+
+    The row of the smallest doc_id stays, or one without a doc_id if the class has none;
+    of several rows with that doc_id the one whose text has the smallest digest, and any
+    one of those that repeat both.
+    """
+    found = classes_of_texts(docs, shingle=shingle, threshold=threshold, radius=radius, doc_id=doc_id, text=text)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw"))
+    best = found.groupBy("class").agg(first.alias("best"), F.count("*").alias("held")).filter("held > 1")
+    judged = found.join(best, "class").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("raw") == F.col("best.raw")))
+    judged = materialize(judged.groupBy("doc_id", "raw", "stays").count(), "judged")
+    raw = free_name(docs, "raw")
+    rows = docs.withColumn(raw, F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+
+    def within(some: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        ids = sent(ids.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")))
+        return some.join(ids, some[doc_id].cast("long").eqNullSafe(ids["_id"]) & (some[raw] == ids["_raw"]), how)
+
+    kept = within(rows, judged.filter("not stays"), "left_anti")
+    repeated = judged.filter("stays and count > 1")  # only such rows are dealt out by their id and text
+    once = within(kept, repeated, "left_semi").dropDuplicates([doc_id, raw])
+    return within(kept, repeated, "left_anti").unionByName(once).select(*docs.columns)
 
 
-#: Tables of ids up to this many rows (16 MB) are sent to every task, larger ones are joined by shuffle.
+#: Tables of ids up to this many rows (32 MB) are sent to every task, larger ones are joined by shuffle.
 SENT = 1 << 20
 
 
