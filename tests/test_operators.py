@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import geometry as g
 from voxelake.functions import rules, scalar
-from voxelake.operators import deid, graph, histogram, masks, resample, series, session, shape, walk
+from voxelake.operators import deid, graph, histogram, masks, resample, series, session, shape, slabs, walk
 from voxelake.sources import packed, part10
 
 
@@ -141,22 +141,23 @@ def shell(hole):
 def test_marrow_is_what_a_wall_encloses(spark, hole, enclosed):
     a = shell(hole)
     k, j, i = (x.ravel() for x in np.indices(a.shape))
-    t = spark.createDataFrame(pd.DataFrame({"idx": np.arange(a.size), "k": k, "j": j, "i": i, "tissue": a.ravel()}))
-    n = graph.mark_marrow(t, 12, 12, 12, least=20).filter("tissue = 'marrow'").count()
+    t = spark.createDataFrame(pd.DataFrame({"volume_id": "v", "idx": np.arange(a.size), "k": k, "j": j, "i": i, "tissue": a.ravel()}))
+    n = graph.mark_marrow(t, slabs.grid_of(t), least=20).filter("tissue = 'marrow'").count()
     assert (n >= 64) == enclosed
 
 
 def test_groups_ends_and_contacts_of_a_rod(spark):
     rows = [(k, "dark" if 2 <= k <= 7 else "muscle" if k < 2 else "marrow") for k in range(10)]
-    t = spark.createDataFrame([(k, k, 0, 0, x) for k, x in rows], "idx long, k int, j int, i int, tissue string")
-    s = t.filter("tissue = 'dark'").selectExpr("idx", "k", "j", "i", "'tube' as kind", "0.9D as confidence")
-    groups = graph.shape_groups(s, 1, 1, 10)
+    t = spark.createDataFrame([("v", k, k, 0, 0, x) for k, x in rows], "volume_id string, idx long, k int, j int, i int, tissue string")
+    g = slabs.one_grid(spark, 1, 1, 10, volume_id="v")
+    s = t.filter("tissue = 'dark'").selectExpr("volume_id", "idx", "k", "j", "i", "'tube' as kind", "0.9D as confidence")
+    groups = graph.shape_groups(s, g)
     assert groups.count() == 6 and groups.select("component_id").distinct().count() == 1
-    ends = graph.split_ends(groups, 1.0, 1.0, 1.0)
+    ends = graph.split_ends(groups, g)
     assert ends.first().length_mm == 5
-    c = graph.contacts(ends, t, 1, 1, 10, 1.0, 1.0, 1.0).first()
+    c = graph.contacts(ends, t, g).first()
     assert sorted([(c.marrow0, c.muscle0), (c.marrow2, c.muscle2)]) == [(0.0, 1.0), (1.0, 0.0)]
-    e = graph.evidence(groups, ends, s, graph.contacts(ends, t, 1, 1, 10, 1.0, 1.0, 1.0)).first()
+    e = graph.evidence(groups, ends, s, graph.contacts(ends, t, g)).first()
     assert (e.voxels, e.agreement, e.kind) == (6, 1.0, "tube")
 
 
@@ -166,19 +167,19 @@ def test_shapes_of_wells(spark, kind):
     k, j, i = np.indices((n, n, n))
     r2 = {"tube": (j - c) ** 2 + (i - c) ** 2, "sheet": (i - c) ** 2, "blob": (k - c) ** 2 + (j - c) ** 2 + (i - c) ** 2}[kind] * 0.36
     v = 1 - np.exp(-r2 / (2 * 1.0))
-    f = spark.createDataFrame(pd.DataFrame({"idx": np.arange(n**3), "k": k.ravel(), "j": j.ravel(), "i": i.ravel(), "value": v.ravel()}))
-    got = shape.shapes(f, (0.6, 0.6, 0.6), n, n, n, scales=(0.7,)).filter(F.col("idx") == (c * n + c) * n + c).first()
+    f = spark.createDataFrame(pd.DataFrame({"volume_id": "v", "idx": np.arange(n**3), "k": k.ravel(), "j": j.ravel(), "i": i.ravel(), "value": v.ravel()}))
+    got = shape.shapes(f, slabs.grid_of(f, (0.6, 0.6, 0.6)), scales=(0.7,)).filter(F.col("idx") == (c * n + c) * n + c).first()
     assert got.kind == kind and got.confidence > 0.5
 
 
 def test_smoothing_over_slabs_equals_numpy(spark):
     a = np.random.default_rng(1).random((9, 4, 5)).astype(np.float32)
     k, j, i = np.indices(a.shape)
-    f = spark.createDataFrame(pd.DataFrame({"k": k.ravel(), "j": j.ravel(), "i": i.ravel(), "value": a.ravel()}))
+    f = spark.createDataFrame(pd.DataFrame({"volume_id": "v", "k": k.ravel(), "j": j.ravel(), "i": i.ravel(), "value": a.ravel()}))
     want = a
     for axis, s in ((2, 1.0), (1, 1.0), (0, 2.0)):
         want = shape._blur(want, axis, np.array(shape.kernel(1.4 / s)))
-    got = shape.smooth(f, 1.4, (1.0, 1.0, 2.0), 5, 4, 9, slab=2).toPandas().sort_values("idx").value.to_numpy().reshape(a.shape)
+    got = shape.smooth(f, 1.4, slabs.one_grid(spark, 5, 4, 9, (1.0, 1.0, 2.0), "v"), depth=2).toPandas().sort_values("idx").value.to_numpy().reshape(a.shape)
     assert np.abs(got - want).max() < 1e-6
 
 

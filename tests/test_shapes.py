@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from voxelake.operators import graph, histogram
+from voxelake.operators import graph, histogram, slabs
 from voxelake.plans import volumes
 from voxelake.sources.grids import t1_voxels
 
@@ -73,7 +73,7 @@ def test_shapes_equal_loops(spark, small):
 
 def test_structures_equal_loops(spark, small):
     folder, a = small
-    dark = {r.idx for r in graph.mark_marrow(volumes.classified(spark, folder).select("idx", "k", "j", "i", "tissue"), 8, 8, 12).filter("tissue = 'dark'").select("idx").collect()}
+    dark = {r.idx for r in graph.mark_marrow(volumes.classified(spark, folder).select("volume_id", "idx", "k", "j", "i", "tissue"), slabs.one_grid(spark, 8, 8, 12, volume_id="t1")).filter("tissue = 'dark'").select("idx").collect()}
     shapes = {x: v for x, v in by_loops(a, 0.0).items() if x in dark and v[0] != "none"}
     groups, seen = [], set()
     for start in sorted(shapes):

@@ -1,20 +1,30 @@
-"""Flood fill, connected components and the evidence of dark structures.
-
-Neighbours are reached by exploding offsets and joining on the voxel index, never
-by a range or cross join. Components come from alternating star rounds, each
-written to the shared folder; the driver only learns whether stars are left.
+"""Flood fill, connected components and the evidence of dark structures, of many volumes at once.
+
+Voxels carry volume_id and idx; sizes come from the grid table (see ``slabs``).
+Components have two levels. Within a slab of slices, union-find joins neighbours in a
+kernel, which sees one slice of the next slab too. The voxels of that slice have a label
+on either side; pairs of labels are the only edges that travel, and are joined by
+alternating star rounds, each written to the shared folder; the driver only learns
+whether stars are left. Nodes with more edges than ``HUB`` and than a millionth of all
+are few by that bound: their minima go to the edges, so that no hub's edges meet in a task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelake.operators import slabs
+from voxelake.operators.slabs import PLACE, Slab
 from voxelake.sources.shared import materialize
 
 SIX = [(1, 0, 0), (0, 1, 0), (0, 0, 1), (-1, 0, 0), (0, -1, 0), (0, 0, -1)]
 TWENTY_SIX = [(i, j, k) for k in (-1, 0, 1) for j in (-1, 0, 1) for i in (-1, 0, 1) if (i, j, k) != (0, 0, 0)]
 END_SHARE, REACH, ALONG = 0.3, 8.0, 0.3  # fixed: share of an end, mm, cosine
+VOXEL, GROUP = ["volume_id", "idx"], ["volume_id", "component_id"]
+HUB = 1000
 
 
 def shifted(voxels: DataFrame, offsets: list[tuple[int, int, int]], nx: int, ny: int, nz: int, keep: list[str]) -> DataFrame:
@@ -32,123 +42,201 @@ def adjacency(members: DataFrame, offsets: list[tuple[int, int, int]], nx: int,
     return shifted(members, half, nx, ny, nz, ["idx", *same]).join(to, ["at", *same]).select(F.col("idx").alias("a"), F.col("at").alias("b"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """idx, component (smallest index reached) of every node."""
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+def _with_least(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
+    """``rows`` with the minimum m of their node (volume_id, u); at most 2^20 hubs are sent to the rows."""
+    key = ["volume_id", "u"]
+    if n_rows <= HUB:
+        return rows.join(least.select(*key, "m"), key)
+    hubs = F.broadcast(least.filter(F.col("n") > max(HUB, n_rows >> 20)).select(*key, "m"))
+    return rows.join(hubs, key).unionByName(rows.join(hubs, key, "left_anti").join(least.select(*key, "m"), key))
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """volume_id, a, b: each node a with the smallest node b that it reaches over ``edges`` (volume_id, a, b)."""
+
+    def tidy(e: DataFrame) -> DataFrame:
+        return materialize(e.filter("a <> b").select("volume_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+
+    now = tidy(edges)
     while True:
-        both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        now = materialize(small.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
         # done when every node has one parent at most and no parent has one
-        ends = now.select(F.col("a").alias("n"), F.lit(1).alias("child")).union(now.select("b", F.lit(0)))
-        if not ends.groupBy("n").agg(F.sum("child").alias("up"), F.min("child").alias("down")).filter("up > 1 or (up = 1 and down = 0)").limit(1).count():
-            break
-    return nodes.select("idx").join(now.select(F.col("a").alias("idx"), F.col("b").alias("c")), "idx", "left").select("idx", F.coalesce("c", "idx").alias("component"))
+        ends = now.select("volume_id", F.col("a").alias("n"), F.lit(1).alias("child")).union(now.select("volume_id", "b", F.lit(0)))
+        if not ends.groupBy("volume_id", "n").agg(F.sum("child").alias("up"), F.min("child").alias("down")).filter("up > 1 or (up = 1 and down = 0)").limit(1).count():
+            return now
+        both = now.union(now.select("volume_id", "b", "a")).toDF("volume_id", "u", "v")
+        least = both.groupBy("volume_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = tidy(_with_least(both.filter("v > u"), least, 2 * now.count()).select("volume_id", F.col("v").alias("a"), F.col("m").alias("b")))
+        down = large.toDF("volume_id", "u", "v")
+        low = down.groupBy("volume_id", "u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(down, low, large.count()).filter("v <> m").select("volume_id", F.col("v").alias("a"), F.col("m").alias("b"))
+        now = tidy(small.union(low.select("volume_id", "u", "m")))
+
+
+def slab_labels(members: DataFrame, grid: DataFrame, offsets: list[tuple[int, int, int]], same: str | None = None, depth: int = slabs.DEPTH) -> DataFrame:
+    """volume_id, idx, label of every member within its slab; ``side`` is 1 on a slab's first slice, 2 for what is seen of the next slab."""
+    half = [o for o in offsets if (o[2], o[1], o[0]) > (0, 0, 0)]
+
+    def kernel(s: Slab) -> pa.Table:
+        seen = slice(s.lo - s.base, s.top - s.base)
+        member = s.present()[seen]
+        found = slabs.labels(member, half, s.dense(same, np.int32)[seen] if same else None) + s.lo * s.ny * s.nx
+        side = np.zeros(member.shape, dtype=np.int8)
+        side[0] = s.lo > 0
+        side[s.hi - s.lo :] = 2
+        t = s.table(member, label=found, side=side)
+        return t.select(["volume_id", "idx", "label", "side"])
+
+    return slabs.over_slabs(members, grid, kernel, "volume_id string, idx long, label long, side byte", fields=[same] if same else [], halo=1, depth=depth)
 
 
-def dark_wall(tissue: DataFrame, nx: int, ny: int, nz: int) -> DataFrame:
+def face_edges(labelled: DataFrame) -> DataFrame:
+    """Distinct pairs (volume_id, a, b) of labels that one voxel has on either side of a slab's face."""
+    below = labelled.filter("side = 2").select(*VOXEL, F.col("label").alias("a"))
+    return below.join(labelled.filter("side = 1").select(*VOXEL, F.col("label").alias("b")), VOXEL).select("volume_id", "a", "b").distinct()
+
+
+def components(members: DataFrame, grid: DataFrame, offsets: list[tuple[int, int, int]], same: str | None = None, depth: int = slabs.DEPTH) -> DataFrame:
+    """volume_id, idx, component (the smallest index reached) of ``members`` (volume_id, idx, k, j, i).
+
+    Neighbours at ``offsets`` are joined if the integer column ``same`` is equal.
+    """
+    labelled = materialize(slab_labels(members, grid, offsets, same, depth), "labels")
+    top = stars(face_edges(labelled)).select("volume_id", F.col("a").alias("label"), F.col("b").alias("component"))
+    return labelled.filter("side < 2").join(top, ["volume_id", "label"], "left").select(*VOXEL, F.coalesce("component", "label").alias("component"))
+
+
+def dark_wall(tissue: DataFrame, grid: DataFrame) -> DataFrame:
     """Voxels of the closed wall: dark ones, and those pinched by dark ones on both sides of an axis."""
-    dark = tissue.filter("tissue = 'dark'").select("idx", "k", "j", "i")
-    near = shifted(dark, SIX, nx, ny, nz, []).select("at", F.when(F.col("o.di") != 0, 0).when(F.col("o.dj") != 0, 1).otherwise(2).alias("axis"))
-    pinched = near.groupBy("at", "axis").agg(F.count("*").alias("n")).filter("n = 2").select(F.col("at").alias("idx"))
-    return dark.select("idx").union(pinched).distinct()
+    return _walled(tissue, grid, True).select(*VOXEL)
+
 
+def _walled(tissue: DataFrame, grid: DataFrame, wall: bool) -> DataFrame:
+    """The voxels (volume_id, idx, k, j, i) of the wall, or those outside of it."""
 
-def mark_marrow(tissue: DataFrame, nx: int, ny: int, nz: int, least: int = 200) -> DataFrame:
+    def kernel(s: Slab) -> pa.Table:
+        dark = s.dense("dark", bool)
+        return s.table(s.own((dark | slabs.pinched(dark)) == wall) & s.own(s.present() | wall))
+
+    coded = tissue.select("volume_id", "k", "j", "i", (F.col("tissue") == "dark").alias("dark"))
+    return slabs.over_slabs(coded, grid, kernel, PLACE, fields=["dark"], halo=1)
+
+
+def mark_marrow(tissue: DataFrame, grid: DataFrame, least: int = 200) -> DataFrame:
     """``tissue`` with enclosed fat renamed marrow.
 
     What the outside reaches without crossing the wall are the open components that
     touch the border. Fat elsewhere, in pockets of at least ``least`` voxels, is marrow.
     """
-    wall = dark_wall(tissue, nx, ny, nz)
-    open_ = tissue.join(wall, "idx", "left_anti").select("idx", "k", "j", "i")
-    parts = materialize(components(open_, adjacency(open_, SIX, nx, ny, nz)), "open")
-    edge = (F.col("i") == 0) | (F.col("j") == 0) | (F.col("k") == 0) | (F.col("i") == nx - 1) | (F.col("j") == ny - 1) | (F.col("k") == nz - 1)
-    outside = open_.filter(edge).join(parts, "idx").select("component").distinct()
-    reached = parts.join(outside, "component", "left_semi").select("idx")
-    fat = tissue.filter("tissue = 'fat'").join(reached, "idx", "left_anti").select("idx", "k", "j", "i")
-    pockets = materialize(components(fat, adjacency(fat, SIX, nx, ny, nz)), "pockets")
-    big = pockets.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    marrow = pockets.join(big, "component", "left_semi").select("idx", F.lit(True).alias("marrow"))
-    return tissue.join(marrow, "idx", "left").withColumn("tissue", F.when(F.col("marrow"), "marrow").otherwise(F.col("tissue"))).drop("marrow")
-
-
-def shape_groups(shapes: DataFrame, nx: int, ny: int, nz: int, seed: float = 0.25) -> DataFrame:
-    """idx, k, j, i, kind, confidence, component, component_id of grouped dark voxels.
+    open_ = materialize(_walled(tissue, grid, False), "open")
+    parts = materialize(components(open_, grid, SIX), "parts")
+    sized = open_.join(grid.select("volume_id", "nx", "ny", "nz"), "volume_id")
+    edge = (F.least("i", "j", "k") == 0) | (F.col("i") == F.col("nx") - 1) | (F.col("j") == F.col("ny") - 1) | (F.col("k") == F.col("nz") - 1)
+    outside = sized.filter(edge).select(*VOXEL).join(parts, VOXEL).select("volume_id", "component").distinct()
+    reached = parts.join(outside, ["volume_id", "component"], "left_semi").select(*VOXEL)
+    fat = tissue.filter("tissue = 'fat'").join(reached, VOXEL, "left_anti").select(*VOXEL, "k", "j", "i")
+    pockets = materialize(components(fat, grid, SIX), "pockets")
+    big = pockets.groupBy("volume_id", "component").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    marrow = pockets.join(big, ["volume_id", "component"], "left_semi").select(*VOXEL, F.lit(True).alias("marrow"))
+    return tissue.join(marrow, VOXEL, "left").withColumn("tissue", F.when(F.col("marrow"), "marrow").otherwise(F.col("tissue"))).drop("marrow")
+
+
+KINDS = ("tube", "sheet", "blob")
+
+
+def shape_groups(shapes: DataFrame, grid: DataFrame, seed: float = 0.25) -> DataFrame:
+    """volume_id, idx, k, j, i, kind, confidence, component, component_id of grouped dark voxels.
 
     Members share their kind with a neighbour of 26; a group needs one voxel as sure as
-    ``seed``; ids follow the first such voxel.
+    ``seed``; ids follow the first such voxel, through all volumes in turn.
     """
-    own = shapes.filter("kind <> 'none'").select("idx", "k", "j", "i", "kind", "confidence")
-    parts = own.join(components(own, adjacency(own, TWENTY_SIX, nx, ny, nz, ["kind"])), "idx")
-    first = parts.filter(F.col("confidence") >= seed).groupBy("component").agg(F.min("idx").alias("first"))
-    ids = numbered(first, "first", "component_id")
-    return parts.join(ids.select("component", "component_id"), "component")
+    own = shapes.filter("kind <> 'none'").select(*VOXEL, "k", "j", "i", "kind", "confidence")
+    coded = own.select(*VOXEL, "k", "j", "i", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("code"))
+    parts = own.join(components(coded, grid, TWENTY_SIX, "code"), VOXEL)
+    first = parts.filter(F.col("confidence") >= seed).groupBy("volume_id", "component").agg(F.min("idx").alias("first"))
+    ids = numbered(first, ["volume_id", "first"], "component_id")
+    return parts.join(ids.select("volume_id", "component", "component_id"), ["volume_id", "component"])
 
 
-def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """``rows`` with their place in the order of the distinct column ``by``, from 0.
+def numbered(rows: DataFrame, by: str | list[str], name: str) -> DataFrame:
+    """``rows`` with their place in the order of the distinct columns ``by``, from 0.
 
     Rows are dealt out by ranges of ``by``; a range starts where the ranges before it
     end, which is a sum over ranges, not over rows.
     """
-    ranged = materialize(rows.repartitionByRange(by).withColumn("range", F.spark_partition_id()), "ranges")
+    by = [by] if isinstance(by, str) else by
+    ranged = materialize(rows.repartitionByRange(*by).withColumn("range", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("range").agg(F.count("*").alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))).select("range", F.coalesce("before", F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("range").orderBy(by)) - 1
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*by)) - 1
     return ranged.join(F.broadcast(before), "range").withColumn(name, F.col("before") + own).drop("range", "before")
 
 
-def split_ends(groups: DataFrame, sx: float, sy: float, sz: float) -> DataFrame:
+def split_ends(groups: DataFrame, grid: DataFrame) -> DataFrame:
     """Voxels with their end of the long axis (0, 1, 2), and the group's axis and length."""
-    p = groups.withColumn("px", F.col("i") * sx).withColumn("py", F.col("j") * sy).withColumn("pz", F.col("k") * sz)
-    centre = p.groupBy("component_id").agg(*(F.avg(c).alias("c" + c) for c in ("px", "py", "pz")))
-    q = p.join(centre, "component_id")
+    sized = groups.join(grid.select("volume_id", "sx", "sy", "sz"), "volume_id")
+    p = sized.withColumns({f"p{a}": F.col(c) * F.col(f"s{a}") for a, c in zip("xyz", "ijk", strict=True)})
+    centre = p.groupBy(*GROUP).agg(*(F.avg(c).alias("c" + c) for c in ("px", "py", "pz")))
+    q = p.join(centre, GROUP)
     d = [F.col(c) - F.col("c" + c) for c in ("px", "py", "pz")]
-    tip = q.withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).groupBy("component_id").agg(F.min(F.struct((-F.col("d2")).alias("d2"), "idx", *(v.alias(n) for v, n in zip(d, ("ax", "ay", "az"), strict=True)))).alias("t"))
+    tip = q.withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).groupBy(*GROUP).agg(F.min(F.struct((-F.col("d2")).alias("d2"), "idx", *(v.alias(n) for v, n in zip(d, ("ax", "ay", "az"), strict=True)))).alias("t"))
     size = F.sqrt(F.col("t.ax") * F.col("t.ax") + F.col("t.ay") * F.col("t.ay") + F.col("t.az") * F.col("t.az"))
-    unit = tip.select("component_id", *((F.col(f"t.{a}") / F.when(size == 0, 1.0).otherwise(size)).alias(a) for a in ("ax", "ay", "az")))
-    along = q.join(unit, "component_id").withColumn("t", d[0] * F.col("ax") + d[1] * F.col("ay") + d[2] * F.col("az"))
-    span = along.groupBy("component_id").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    unit = tip.select(*GROUP, *((F.col(f"t.{a}") / F.when(size == 0, 1.0).otherwise(size)).alias(a) for a in ("ax", "ay", "az")))
+    along = q.join(unit, GROUP).withColumn("t", d[0] * F.col("ax") + d[1] * F.col("ay") + d[2] * F.col("az"))
+    span = along.groupBy(*GROUP).agg(F.min("t").alias("low"), F.max("t").alias("high"))
     edge = (F.col("high") - F.col("low")) * END_SHARE
     bucket = F.when(F.col("t") <= F.col("low") + edge, 0).when(F.col("t") >= F.col("high") - edge, 2).otherwise(1)
-    return along.join(span, "component_id").select("component_id", "idx", "k", "j", "i", "kind", "confidence", "ax", "ay", "az", (F.col("high") - F.col("low")).alias("length_mm"), bucket.alias("bucket"))
+    return along.join(span, GROUP).select(*GROUP, "idx", "k", "j", "i", "kind", "confidence", "ax", "ay", "az", (F.col("high") - F.col("low")).alias("length_mm"), bucket.alias("bucket"))
+
+
+#: What a ray can meet; other tissues end it too.
+MET = ("marrow", "muscle", "fat")
+
+
+def rays_met(tissue: DataFrame, grid: DataFrame, reach: float = REACH, names: tuple[str, ...] = MET) -> DataFrame:
+    """volume_id, idx and r0 to r5 of every dark voxel: what the ray in each of the six directions meets first.
+
+    A number is a place in ``names``, ``len(names)`` another tissue, -1 nothing within ``reach``.
+    """
+
+    def kernel(s: Slab) -> pa.Table:
+        code = s.dense("code", np.int8, -1)
+        dark = code == len(names) + 1
+        limits = [max(1, int(reach // s.spacing[next(a for a, x in enumerate(o) if x)])) for o in SIX]
+        met = {f"r{n}": s.own(slabs.first_met(dark, code, o, limit)) for n, (o, limit) in enumerate(zip(SIX, limits, strict=True))}
+        return s.table(s.own(dark), **met).drop_columns(["k", "j", "i"])
+
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("tissue")).cast("int")
+    code = F.when(F.col("tissue") == "dark", len(names) + 1).when(place > 0, place - 1).otherwise(len(names))
+    coded = tissue.select("volume_id", "k", "j", "i", code.alias("code"))
+    out = "volume_id string, idx long" + "".join(f", r{n} byte" for n in range(6))
+    return slabs.over_slabs(coded, grid, kernel, out, fields=["code"], halo=F.greatest(F.lit(1), F.floor(reach / F.col("sz"))))
 
 
-def contacts(ends: DataFrame, tissue: DataFrame, nx: int, ny: int, nz: int, sx: float, sy: float, sz: float, reach: float = REACH) -> DataFrame:
-    """component_id and shares of marrow, muscle and fat that rays from it meet, whole and by end.
+def contacts(ends: DataFrame, tissue: DataFrame, grid: DataFrame, reach: float = REACH) -> DataFrame:
+    """volume_id, component_id and shares of marrow, muscle and fat that rays from it meet, whole and by end.
 
     Six rays a voxel (at an end only those along the axis), to the first voxel that is
     not dark within reach.
     """
-    rays = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(c).alias("dk"), F.lit(max(1, int(reach // (sx if a else sy if b else sz)))).alias("limit")) for a, b, c in SIX))
+    rays = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(c).alias("dk"), F.col(f"r{n}").alias("met")) for n, (a, b, c) in enumerate(SIX)))
     out = F.when(F.col("bucket") == 2, 1.0).when(F.col("bucket") == 0, -1.0)
-    r = ends.withColumn("r", F.explode(rays))
+    r = ends.select(*GROUP, "idx", "bucket", "ax", "ay", "az").join(rays_met(tissue, grid, reach), VOXEL).withColumn("r", F.explode(rays)).filter("r.met >= 0")
     r = r.filter((F.col("bucket") == 1) | ((F.col("r.di") * F.col("ax") + F.col("r.dj") * F.col("ay") + F.col("r.dk") * F.col("az")) * out >= ALONG))
-    s = r.withColumn("t", F.explode(F.sequence(F.lit(1), F.col("r.limit"))))
-    at = [F.col(c) + F.col(f"r.d{c}") * F.col("t") for c in "ijk"]
-    inside = (at[0] >= 0) & (at[1] >= 0) & (at[2] >= 0) & (at[0] < nx) & (at[1] < ny) & (at[2] < nz)
-    steps = s.filter(inside).select("component_id", "bucket", F.col("idx").alias("of"), F.struct("r.di", "r.dj", "r.dk").alias("ray"), "t", ((at[2] * ny + at[1]) * nx + at[0]).cast("long").alias("idx"))
-    met = steps.join(tissue.filter("tissue <> 'dark'").select("idx", "tissue"), "idx").groupBy("component_id", "bucket", "of", "ray").agg(F.min_by("tissue", "t").alias("tissue"))
-    share = lambda name, where: F.coalesce(F.try_divide(F.count_if((F.col("tissue") == name) & where), F.count_if(where)), F.lit(0.0))
-    every = F.lit(True)
-    cols = [share(n, every).alias(n) for n in ("marrow", "muscle", "fat")] + [share(n, F.col("bucket") == b).alias(f"{n}{b}") for b in (0, 2) for n in ("marrow", "muscle")]
-    return met.groupBy("component_id").agg(*cols)
+    share = lambda name, where: F.coalesce(F.try_divide(F.count_if((F.col("r.met") == MET.index(name)) & where), F.count_if(where)), F.lit(0.0))
+    cols = [share(n, F.lit(True)).alias(n) for n in MET] + [share(n, F.col("bucket") == b).alias(f"{n}{b}") for b in (0, 2) for n in ("marrow", "muscle")]
+    return r.groupBy(*GROUP).agg(*cols)
 
 
 def agreement(groups: DataFrame, dark: DataFrame) -> DataFrame:
-    """component_id, agreement: of the dark voxels next in storage order, the share of the same kind (``dark``: idx, kind)."""
-    near = groups.select("component_id", F.col("kind").alias("own"), F.explode(F.array(F.col("idx") - 1, F.col("idx") + 1)).alias("idx"))
-    return near.join(dark.select("idx", "kind"), "idx").groupBy("component_id").agg((F.count_if(F.col("kind") == F.col("own")) / F.count("*")).alias("agreement"))
+    """volume_id, component_id, agreement: of the dark voxels next in storage order, the share of the same kind (``dark``: volume_id, idx, kind)."""
+    near = groups.select(*GROUP, F.col("kind").alias("own"), F.explode(F.array(F.col("idx") - 1, F.col("idx") + 1)).alias("idx"))
+    return near.join(dark.select(*VOXEL, "kind"), VOXEL).groupBy(*GROUP).agg((F.count_if(F.col("kind") == F.col("own")) / F.count("*")).alias("agreement"))
 
 
 def evidence(groups: DataFrame, ends: DataFrame, dark: DataFrame, touched: DataFrame) -> DataFrame:
     """One row a component with all that the naming rule reads."""
-    base = ends.groupBy("component_id").agg(F.first("kind").alias("kind"), F.count("*").alias("voxels"), F.avg("confidence").alias("shape_confidence"), F.max("length_mm").alias("length_mm"))
-    out = base.join(agreement(groups, dark), "component_id", "left").join(touched, "component_id", "left")
+    base = ends.groupBy(*GROUP).agg(F.first("kind").alias("kind"), F.count("*").alias("voxels"), F.avg("confidence").alias("shape_confidence"), F.max("length_mm").alias("length_mm"))
+    out = base.join(agreement(groups, dark), GROUP, "left").join(touched, GROUP, "left")
     zero = ["agreement", "marrow", "muscle", "fat", "marrow0", "muscle0", "marrow2", "muscle2"]
     return out.fillna(0.0, zero)
 

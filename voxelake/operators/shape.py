@@ -1,9 +1,9 @@
 """Multi-scale shape of dark structures: Gaussian smoothing, Hessians, eigenvalues.
 
-Smoothing is separable and runs as an Arrow kernel over slabs of slices with a
-halo as deep as the kernel, so a task holds one slab whatever the volume's size.
-Everything after it is column arithmetic; the Hessian is one aggregation, to which
-each voxel sends its weighted share of the second differences around it.
+All of it is one kernel over slabs of slices (see ``slabs``), for volumes of any number
+and size: a slab with a halo as deep as the widest scale asks for is averaged in blocks,
+smoothed along each axis, differenced and taken apart into eigenvalues, scale by scale,
+and leaves the task as one row a voxel. Eigenvalues and shape rules exist as columns too.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxelake.operators import slabs
+from voxelake.operators.slabs import PLACE, Slab
+
 SCALES = (0.7, 1.4, 2.8)  # mm
 STRUCTURE_SCALE, MAX_RADIUS, SAMPLES_PER_SIGMA = 0.05, 24, 2
 
@@ -37,59 +40,76 @@ def _blur(a: np.ndarray, axis: int, w: np.ndarray) -> np.ndarray:
     return sum(wt * np.take(b, range(t, t + n), axis=axis) for t, wt in enumerate(w)).astype(np.float32)
 
 
-def smooth(field: DataFrame, sigma: float, spacing: tuple[float, float, float], nx: int, ny: int, nz: int, slab: int = 16) -> DataFrame:
-    """idx, k, j, i, value of a field (k, j, i, value) smoothed by ``sigma`` mm, edges clamped."""
-    weights = [np.array(kernel(sigma / s)) if sigma / s >= 0.05 else None for s in spacing]
-    halo = 0 if weights[2] is None else len(weights[2]) // 2
-    n_slabs = -(-nz // slab)
-    first = F.greatest(F.lit(0), F.floor((F.col("k") - halo) / slab))
-    last = F.least(F.lit(n_slabs - 1), F.floor((F.col("k") + halo) / slab))
-    spread = field.select("k", "j", "i", F.col("value").cast("float").alias("value"), F.explode(F.sequence(first, last)).alias("slab"))
+def radius(sigma: float, spacing: float) -> int:
+    """Voxels by which smoothing reaches out; none where the scale is under a twentieth of a voxel."""
+    return len(kernel(sigma / spacing)) // 2 if sigma / spacing >= 0.05 else 0
+
+
+def blurred(a: np.ndarray, sigma: float, spacing: tuple[float, float, float]) -> np.ndarray:
+    for axis, size in zip((2, 1, 0), spacing, strict=True):
+        if radius(sigma, size):
+            a = _blur(a, axis, np.array(kernel(sigma / size)))
+    return a
+
+
+def _reach(column: str, sigma: float) -> Column:
+    """``radius`` of a grid table's spacing."""
+    own = F.greatest(F.lit(1), F.least(F.lit(MAX_RADIUS), F.ceil(3 * sigma / F.col(column))))
+    return F.when(sigma / F.col(column) >= 0.05, own).otherwise(0)
+
+
+def smooth(field: DataFrame, sigma: float, grid: DataFrame, depth: int = slabs.DEPTH) -> DataFrame:
+    """volume_id, idx, k, j, i, value of a field (volume_id, k, j, i, value) smoothed by ``sigma`` mm, edges clamped."""
 
-    def run(t: pa.Table) -> pa.Table:
-        s = t["slab"][0].as_py()
-        lo, hi = s * slab, min(nz, (s + 1) * slab)
-        base, top = max(0, lo - halo), min(nz, hi + halo)
-        a = np.zeros((top - base, ny, nx), dtype=np.float32)
-        a[t["k"].to_numpy() - base, t["j"].to_numpy(), t["i"].to_numpy()] = t["value"].to_numpy()
-        for axis, w in zip((2, 1, 0), weights, strict=True):
-            if w is not None:
-                a = _blur(a, axis, w)
-        core = a[lo - base : hi - base]
-        k, j, i = (x.ravel() for x in np.indices(core.shape))
-        return pa.table({"idx": ((k + lo) * ny + j) * nx + i, "k": (k + lo).astype(np.int32), "j": j.astype(np.int32), "i": i.astype(np.int32), "value": core.ravel()})
+    def run(s: Slab) -> pa.Table:
+        a = s.own(blurred(s.dense("value", np.float32), sigma, s.spacing))
+        return s.table(np.ones(a.shape, dtype=bool), value=a)
 
-    return spread.groupBy("slab").applyInArrow(run, "idx long, k int, j int, i int, value float")
+    return slabs.over_slabs(field, grid, run, PLACE + ", value float", fields=["value"], halo=_reach("sz", sigma), depth=depth)
 
 
-def _stencil(spacing: tuple[float, float, float]) -> dict[tuple[int, int, int], list[float]]:
-    """Weights by which a neighbour enters xx, yy, zz, xy, xz, yz of a voxel."""
-    out: dict[tuple[int, int, int], list[float]] = {(0, 0, 0): [0.0] * 6}
+SECOND = ("xx", "yy", "zz", "xy", "xz", "yz")
 
-    def put(o: tuple[int, int, int], n: int, w: float) -> None:
-        out.setdefault(o, [0.0] * 6)[n] += w
 
+def differences(a: np.ndarray, spacing: tuple[float, float, float]) -> dict[str, np.ndarray]:
+    """Second differences of the inner voxels (one less on every side) of a slab."""
+    at = lambda i=0, j=0, k=0: a[1 + k : a.shape[0] - 1 + k, 1 + j : a.shape[1] - 1 + j, 1 + i : a.shape[2] - 1 + i]
     unit = ((1, 0, 0), (0, 1, 0), (0, 0, 1))
-    for n in range(3):
-        s = spacing[n] * spacing[n]
-        put((0, 0, 0), n, -2 / s)
-        put(unit[n], n, 1 / s)
-        put(tuple(-x for x in unit[n]), n, 1 / s)
-    for n, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)), 3):
-        for p in (1, -1):
-            for q in (1, -1):
-                put(tuple(p * x + q * y for x, y in zip(unit[a], unit[b], strict=True)), n, p * q / (4 * spacing[a] * spacing[b]))
+    out = {n: (at(*d) - 2 * at() + at(*(-x for x in d))) / (s * s) for n, d, s in zip(SECOND, unit, spacing, strict=False)}
+    for n, (p, q) in zip(SECOND[3:], ((0, 1), (0, 2), (1, 2)), strict=True):
+        both, cross = ([x + f * y for x, y in zip(unit[p], unit[q], strict=True)] for f in (1, -1))
+        out[n] = (at(*both) - at(*cross) - at(*(-x for x in cross)) + at(*(-x for x in both))) / (4 * spacing[p] * spacing[q])
     return out
 
 
-def hessian(field: DataFrame, spacing: tuple[float, float, float], nx: int, ny: int, nz: int) -> DataFrame:
-    """idx and xx, yy, zz, xy, xz, yz of inner voxels (a border voxel has none)."""
-    names = ("xx", "yy", "zz", "xy", "xz", "yz")
-    o = F.array(*(F.struct(F.lit(-d[0]).alias("di"), F.lit(-d[1]).alias("dj"), F.lit(-d[2]).alias("dk"), *(F.lit(float(x)).alias(n) for x, n in zip(w, names, strict=True))) for d, w in sorted(_stencil(spacing).items())))
-    s = field.select("k", "j", "i", F.col("value").cast("double").alias("value"), F.explode(o).alias("o"))
-    t = s.select((F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), (F.col("k") + F.col("o.dk")).alias("k"), *((F.col("value") * F.col(f"o.{n}")).alias(n) for n in names))
-    inner = t.filter((F.col("i") >= 1) & (F.col("j") >= 1) & (F.col("k") >= 1) & (F.col("i") <= nx - 2) & (F.col("j") <= ny - 2) & (F.col("k") <= nz - 2))
-    return inner.groupBy(((F.col("k") * ny + F.col("j")) * nx + F.col("i")).cast("long").alias("idx")).agg(*(F.sum(n).alias(n) for n in names))
+def hessian(field: DataFrame, grid: DataFrame) -> DataFrame:
+    """volume_id, idx and xx, yy, zz, xy, xz, yz of inner voxels (a border voxel has none)."""
+
+    def run(s: Slab) -> pa.Table:
+        inner, found = _inner(s.dense("value"), s.spacing, s.base, s.lo, s.hi)
+        return s.table(inner, **found).drop_columns(["k", "j", "i"])
+
+    return slabs.over_slabs(field, grid, run, "volume_id string, idx long, " + ", ".join(f"{n} double" for n in SECOND), fields=["value"], halo=1)
+
+
+def _inner(a: np.ndarray, spacing: tuple[float, float, float], base: int, lo: int, hi: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which voxels of slices ``lo`` to ``hi`` have all neighbours in ``a`` (from slice ``base`` on), and the differences there (zero elsewhere)."""
+    inner = np.zeros((hi - lo, *a.shape[1:]), dtype=bool)
+    found = {n: np.zeros(inner.shape) for n in SECOND}
+    first, last = max(lo, base + 1), min(hi, base + len(a) - 1)
+    if first < last and min(a.shape[1:]) > 2:
+        where = (slice(first - lo, last - lo), slice(1, -1), slice(1, -1))
+        inner[where] = True
+        for n, d in differences(a[first - 1 - base : last + 1 - base], spacing).items():
+            found[n][where] = d
+    return inner, found
+
+
+def eigen(xx: np.ndarray, yy: np.ndarray, zz: np.ndarray, xy: np.ndarray, xz: np.ndarray, yz: np.ndarray) -> np.ndarray:
+    """The three eigenvalues of symmetric matrices, smallest magnitude first, in the last axis."""
+    m = np.stack([np.stack(row, axis=-1) for row in ((xx, xy, xz), (xy, yy, yz), (xz, yz, zz))], axis=-1)
+    e = np.linalg.eigvalsh(m)
+    return np.take_along_axis(e, np.argsort(np.abs(e), axis=-1, kind="stable"), axis=-1)
 
 
 def eigenvalues(xx: Column, yy: Column, zz: Column, xy: Column, xz: Column, yz: Column) -> Column:
@@ -123,27 +143,67 @@ def shape(small: Column, middle: Column, large: Column) -> tuple[Column, Column]
     return kind, F.when(none, 0.0).otherwise(sure)
 
 
-def at_scale(field: DataFrame, sigma: float, spacing: tuple[float, float, float], nx: int, ny: int, nz: int) -> DataFrame:
-    """idx of the full grid, large: eigenvalues e (array) of one scale, gamma-normalised, at every voxel."""
-    b = block_for(spacing, sigma)
-    n = [max(1, d // s) for d, s in zip((nx, ny, nz), b, strict=True)]
-    cell = [F.floor(F.col(c) / s).cast("int") for c, s in zip("ijk", b, strict=True)]
-    keyed = field.select("idx", "value", *(c.alias("c" + x) for c, x in zip(cell, "ijk", strict=True)))
-    coarse = keyed.filter((F.col("ci") < n[0]) & (F.col("cj") < n[1]) & (F.col("ck") < n[2])).groupBy("ck", "cj", "ci").agg(F.avg("value").alias("value")).toDF("k", "j", "i", "value")
-    wide = tuple(s * x for s, x in zip(spacing, b, strict=True))
-    h = hessian(smooth(coarse, sigma, wide, *n), wide, *n)
-    e = h.select(F.col("idx").alias("cell"), F.transform(eigenvalues(*(F.col(c) for c in ("xx", "yy", "zz", "xy", "xz", "yz"))), lambda x: x * (sigma * sigma)).alias("e"))
-    at = keyed.select("idx", ((F.col("ck") * n[1] + F.col("cj")) * n[0] + F.col("ci")).cast("long").alias("cell"))
-    return at.join(e, "cell").select("idx", F.lit(sigma).alias("sigma"), "e")
-
-
-def shapes(field: DataFrame, spacing: tuple[float, float, float], nx: int, ny: int, nz: int, scales: tuple[float, ...] = SCALES, least: float = 0.08) -> DataFrame:
-    """idx, kind, confidence, sigma of the scale with the largest eigenvalue; faint ones are none."""
-    parts = [at_scale(field, s, spacing, nx, ny, nz) for s in scales]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    best = every.filter(F.get("e", F.lit(2)) > 0).groupBy("idx").agg(F.max(F.struct(F.get("e", F.lit(2)).alias("large"), (-F.col("sigma")).alias("s"), "e")).alias("b"))
-    kind, sure = shape(*(F.get("b.e", F.lit(n)) for n in range(3)))
-    out = best.select("idx", kind.alias("kind"), sure.alias("confidence"), (-F.col("b.s")).alias("sigma")).withColumn("faint", F.col("confidence") < least)
-    return out.select("idx", F.when(F.col("faint"), "none").otherwise(F.col("kind")).alias("kind"), F.when(F.col("faint"), 0.0).otherwise(F.col("confidence")).alias("confidence"), "sigma")
+def named(small: np.ndarray, middle: np.ndarray, large: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in (none, tube, sheet, blob) and confidence, by the rule of ``shape``, for arrays."""
+    safe = np.where(large > 0, large, 1.0)
+    mid, low = np.maximum(middle, 0.0) / safe, np.abs(small) / safe
+    scores = np.stack([mid * (1 - low), 1 - mid, low])
+    ordered = np.sort(scores, axis=0)
+    strength, saddle = 1 - np.exp(-(large * large) / (2 * STRUCTURE_SCALE * STRUCTURE_SCALE)), np.maximum(0.0, -middle) / safe
+    sure = np.clip((ordered[2] - ordered[1]) * strength * (1 - saddle), 0.0, 1.0)
+    sure[large <= 0] = 0.0
+    return np.where(sure > 0, scores.argmax(axis=0) + 1, 0), sure
+
+
+def _at_scale(s: Slab, value: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, gamma-normalised, of the slab's own voxels at one scale, and where there are any."""
+    bx, by, bz = block_for(s.spacing, sigma)
+    n = [max(1, d // b) for d, b in zip((s.nz, s.ny, s.nx), (bz, by, bx), strict=True)]
+    wide = tuple(x * b for x, b in zip(s.spacing, (bx, by, bz), strict=True))
+    out, known = np.zeros((s.hi - s.lo, s.ny, s.nx, 3)), np.zeros((s.hi - s.lo, s.ny, s.nx), dtype=bool)
+    lo, hi = s.lo // bz, min(n[0], (s.hi - 1) // bz + 1)  # cells of the slab's own voxels
+    if lo >= hi:
+        return out, known
+    far = radius(sigma, wide[2]) + 1
+    base, top = max(0, lo - far), min(n[0], hi + far)
+    size = [min(b, d) for b, d in zip((bz, by, bx), (s.nz, s.ny, s.nx), strict=True)]
+    cells = value[base * bz - s.base : base * bz - s.base + (top - base) * size[0], : n[1] * size[1], : n[2] * size[2]]
+    cells = cells.reshape(top - base, size[0], n[1], size[1], n[2], size[2]).mean(axis=(1, 3, 5)).astype(np.float32)
+    inner, found = _inner(blurred(cells, sigma, wide).astype(np.float64), wide, base, lo, hi)
+    e = np.zeros((*inner.shape, 3))
+    e[inner] = eigen(*(found[x][inner] for x in SECOND)) * (sigma * sigma)
+    k, j, i = (np.arange(a, b) // c for a, b, c in ((s.lo, s.hi, bz), (0, s.ny, by), (0, s.nx, bx)))
+    k, j, i = ((x[x < m]) for x, m in zip((k, j, i), n, strict=True))
+    own = np.ix_(k - lo, j, i)
+    out[: len(k), : len(j), : len(i)], known[: len(k), : len(j), : len(i)] = e[own], inner[own]
+    return out, known
+
+
+def shapes(field: DataFrame, grid: DataFrame, scales: tuple[float, ...] = SCALES, least: float = 0.08) -> DataFrame:
+    """volume_id, idx, kind, confidence, sigma of the scale with the largest eigenvalue; faint ones are none.
+
+    ``field`` has volume_id, k, j, i, value for whole volumes.
+    """
+
+    def run(s: Slab) -> pa.Table:
+        value = s.dense("value")
+        best, sigma = np.zeros((s.hi - s.lo, s.ny, s.nx, 3)), np.zeros((s.hi - s.lo, s.ny, s.nx))
+        for x in sorted(scales):  # of equal ones the smallest scale stays
+            e, known = _at_scale(s, value, x)
+            better = known & (e[..., 2] > best[..., 2])
+            best[better], sigma[better] = e[better], x
+        kind, sure = named(*np.moveaxis(best, -1, 0))
+        faint = sure < least
+        kind[faint], sure[faint] = 0, 0.0
+        t = s.table(sigma > 0, kind=kind.astype(np.int8), confidence=sure, sigma=sigma)
+        return t.drop_columns(["k", "j", "i"])
+
+    def halo(sigma: float) -> Column:
+        b = F.greatest(F.lit(1), F.floor(sigma / (SAMPLES_PER_SIGMA * F.col("sz"))))
+        wide = b * F.col("sz")
+        own = F.greatest(F.lit(1), F.least(F.lit(MAX_RADIUS), F.ceil(3 * sigma / wide)))
+        return (F.when(sigma / wide >= 0.05, own).otherwise(0) + 2) * b
+
+    deep = F.greatest(F.lit(0).cast("long"), *(halo(x) for x in scales))
+    found = slabs.over_slabs(field, grid, run, "volume_id string, idx long, kind byte, confidence double, sigma double", fields=["value"], halo=deep)
+    return found.withColumn("kind", F.get(F.array(*map(F.lit, ("none", "tube", "sheet", "blob"))), F.col("kind").cast("int")))

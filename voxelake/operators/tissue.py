@@ -11,12 +11,17 @@ from voxelake.operators import resample
 from voxelake.operators.histogram import signals
 
 
-def classify(t1: DataFrame, fatsat: DataFrame) -> DataFrame:
-    """k, j, i, idx, tissue, confidence of a T1 grid; the other sequence is read at the same voxel."""
-    a = signals(t1).select("k", "j", "i", "idx", F.col("signal").alias("t1"))
-    b = signals(fatsat).select("idx", F.col("signal").alias("fs"))
+def classify(t1: DataFrame, fatsat: DataFrame, study: list[str] = []) -> DataFrame:
+    """``study``, volume_id, k, j, i, idx, tissue, confidence of T1 grids; the other sequence is read at the same voxel.
+
+    ``study`` names the columns by which a T1 volume and its other sequence belong
+    together; without any, either side is one volume.
+    """
+    a = signals(t1).select(*study, "volume_id", "k", "j", "i", "idx", F.col("signal").alias("t1"))
+    b = signals(fatsat).select(*study, "idx", F.col("signal").alias("fs"))
     tissue, confidence = classify_pair(F.col("t1"), F.col("fs"))
-    return a.join(b, "idx", "left").select("k", "j", "i", "idx", "t1", "fs", tissue.alias("tissue"), confidence.alias("confidence"))
+    joined = a.join(b, [*study, "idx"], "left")
+    return joined.select(*study, "volume_id", "k", "j", "i", "idx", "t1", "fs", tissue.alias("tissue"), confidence.alias("confidence"))
 
 
 def classify_grid(points: DataFrame, sequences: dict[str, tuple[DataFrame, DataFrame]], key: list[str]) -> DataFrame:

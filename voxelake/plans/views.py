@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import geometry as g
 from voxelake.functions import rules, scalar, views
-from voxelake.operators import graph, resample, tissue
+from voxelake.operators import graph, resample, slabs, tissue
 from voxelake.plans.geometry import V_SQL, D, P, vectors
 from voxelake.plans.registry import query, table
 from voxelake.plans.volumes import SCALE_SQL, TISSUE_SQL, study
@@ -223,6 +223,7 @@ def agg21(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("grf4_ends", f"WITH {T1_SQL}, gr AS (SELECT *, k // 8 AS comp FROM t1 WHERE stored < 1800), c AS (SELECT comp, avg(i) AS ci, avg(j) AS cj, avg(k) AS ck FROM gr GROUP BY 1), d AS (SELECT gr.*, i - ci AS x, j - cj AS y, k - ck AS z, (i - ci) * (i - ci) + (j - cj) * (j - cj) + (k - ck) * (k - ck) AS d2 FROM gr JOIN c USING (comp)), t AS (SELECT comp, x AS ax, y AS ay, z AS az FROM d QUALIFY row_number() OVER (PARTITION BY comp ORDER BY d2 DESC, idx) = 1), a AS (SELECT d.*, (x * ax + y * ay + z * az) / CASE WHEN ax * ax + ay * ay + az * az = 0 THEN 1 ELSE sqrt(ax * ax + ay * ay + az * az) END AS along FROM d JOIN t USING (comp)), s AS (SELECT comp, min(along) AS low, max(along) AS high FROM a GROUP BY 1) SELECT CAST(comp AS BIGINT) AS component_id, count(*) AS voxels, round(any_value(high - low), 6) AS length_mm, count(*) FILTER (WHERE along <= low + (high - low) * 0.3) AS at_start, count(*) FILTER (WHERE along > low + (high - low) * 0.3 AND along >= high - (high - low) * 0.3) AS at_end FROM a JOIN s USING (comp) GROUP BY comp")
 def grf4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length along the long axis of dark voxels and the voxels at its ends, by groups of eight slices."""
-    d = t1_voxels(spark, sf_dir).filter("stored < 1800").select(F.floor(F.col("k") / 8).alias("component_id"), "idx", "k", "j", "i", F.lit("tube").alias("kind"), F.lit(1.0).alias("confidence"))
-    e = graph.split_ends(d, 1.0, 1.0, 1.0)
+    v = t1_voxels(spark, sf_dir)
+    d = v.filter("stored < 1800").select("volume_id", F.floor(F.col("k") / 8).alias("component_id"), "idx", "k", "j", "i", F.lit("tube").alias("kind"), F.lit(1.0).alias("confidence"))
+    e = graph.split_ends(d, slabs.grid_of(v))
     return e.groupBy("component_id").agg(F.count("*").alias("voxels"), F.round(F.first("length_mm"), 6).alias("length_mm"), F.count_if(F.col("bucket") == 0).alias("at_start"), F.count_if(F.col("bucket") == 2).alias("at_end"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.functions import rules, scalar
-from voxelake.operators import graph, histogram, resample, shape, tissue
+from voxelake.operators import graph, histogram, resample, shape, slabs, tissue
 from voxelake.plans.registry import query
 from voxelake.sources import grids
 from voxelake.sources.grids import FS_SQL, T1_SQL, fatsat_voxels, t1_voxels
@@ -198,16 +198,13 @@ SELECT idx, min(c) AS component FROM r GROUP BY idx"""
 
 @query("grf3_components", GRF3_SQL)
 def grf3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = materialize(t1_voxels(spark, sf_dir).filter(DARK), "dark")
-    nz = d.agg(F.coalesce(F.max("k"), F.lit(0)) + 1).first()[0]
-    return graph.components(d, graph.adjacency(d, graph.SIX, NX, NY, nz))
+    v = t1_voxels(spark, sf_dir)
+    return graph.components(v.filter(DARK), slabs.grid_of(v), graph.SIX).select("idx", "component")
 
 
 @query("grf1_dark_wall", f"WITH {TISSUE_SQL}, d AS (SELECT * FROM tis WHERE tissue = 'dark'), w AS (SELECT idx FROM d UNION SELECT c.idx FROM tis c JOIN d a ON a.idx = c.idx - 1 JOIN d b ON b.idx = c.idx + 1 WHERE c.i BETWEEN 1 AND 6 UNION SELECT c.idx FROM tis c JOIN d a ON a.idx = c.idx - 8 JOIN d b ON b.idx = c.idx + 8 WHERE c.j BETWEEN 1 AND 6 UNION SELECT c.idx FROM tis c JOIN d a ON a.idx = c.idx - 64 JOIN d b ON b.idx = c.idx + 64) SELECT idx FROM w")
 def grf1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = classified(spark, sf_dir)
-    nz = t1_voxels(spark, sf_dir).agg(F.max("k") + 1).first()[0]
-    return graph.dark_wall(t, NX, NY, nz)
+    return graph.dark_wall(classified(spark, sf_dir), slabs.grid_of(t1_voxels(spark, sf_dir))).select("idx")
 
 
 MARROW_SQL = f"""WITH RECURSIVE {TISSUE_SQL}, nz AS (SELECT max(k) + 1 AS n FROM tis), d AS (SELECT idx FROM tis WHERE tissue = 'dark'),
@@ -222,9 +219,8 @@ SELECT CASE WHEN tissue = 'fat' AND r.idx IS NULL THEN 'pocket' ELSE tissue END
 @query("grf2_enclosed_fat", MARROW_SQL)
 def grf2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tissue counts with enclosed fat apart, pockets of any size (the size rule is the tests')."""
-    t = materialize(classified(spark, sf_dir).select("idx", "k", "j", "i", "tissue"), "tissue")
-    nz = t.agg(F.max("k") + 1).first()[0]
-    m = graph.mark_marrow(t, NX, NY, nz, least=1)
+    t = materialize(classified(spark, sf_dir).select("volume_id", "idx", "k", "j", "i", "tissue"), "tissue")
+    m = graph.mark_marrow(t, slabs.grid_of(t), least=1)
     return m.groupBy(F.when(F.col("tissue") == "marrow", "pocket").otherwise(F.col("tissue")).alias("tissue")).agg(F.count("*").alias("n"))
 
 
@@ -237,9 +233,8 @@ SPACING = (1.0, 1.0, 1.0)
 SELECT idx, CAST(sum(CASE WHEN dj = 0 AND dk = 0 THEN CASE di WHEN 0 THEN -2 ELSE 1 END * s ELSE 0 END) AS DOUBLE) AS xx, CAST(sum(CASE WHEN di = 0 AND dk = 0 THEN CASE dj WHEN 0 THEN -2 ELSE 1 END * s ELSE 0 END) AS DOUBLE) AS yy, CAST(sum(CASE WHEN di = 0 AND dj = 0 THEN CASE dk WHEN 0 THEN -2 ELSE 1 END * s ELSE 0 END) AS DOUBLE) AS zz,
 sum(CASE WHEN dk = 0 THEN di * dj * s ELSE 0 END) / 4.0 AS xy, sum(CASE WHEN dj = 0 THEN di * dk * s ELSE 0 END) / 4.0 AS xz, sum(CASE WHEN di = 0 THEN dj * dk * s ELSE 0 END) / 4.0 AS yz FROM g GROUP BY idx""")
 def shp3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = t1_voxels(spark, sf_dir).select("k", "j", "i", F.col("stored").alias("value"))
-    nz = f.agg(F.max("k") + 1).first()[0]
-    return shape.hessian(f, SPACING, NX, NY, nz)
+    f = t1_voxels(spark, sf_dir).withColumnRenamed("stored", "value")
+    return shape.hessian(f, slabs.grid_of(f, SPACING)).drop("volume_id")
 
 
 M6 = [f"CAST(embedding[{n}] AS DOUBLE)" for n in range(1, 7)]
@@ -276,31 +271,32 @@ def shp7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("shp2_smooth")
 def shp2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = t1_voxels(spark, sf_dir).select("k", "j", "i", F.col("stored").alias("value"))
-    nz = f.agg(F.max("k") + 1).first()[0]
-    return shape.smooth(f, 0.7, SPACING, NX, NY, nz)
+    f = t1_voxels(spark, sf_dir).withColumnRenamed("stored", "value")
+    return shape.smooth(f, 0.7, slabs.grid_of(f, SPACING)).drop("volume_id")
 
 
 @query("shp8_shapes")
 def shp8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = histogram.signals(t1_voxels(spark, sf_dir)).select("idx", "k", "j", "i", F.col("signal").alias("value"))
-    nz = f.agg(F.max("k") + 1).first()[0]
-    return shape.shapes(f, SPACING, NX, NY, nz)
+    f = histogram.signals(t1_voxels(spark, sf_dir)).withColumnRenamed("signal", "value")
+    return shape.shapes(f, slabs.grid_of(f, SPACING)).drop("volume_id")
 
 
 def structures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dark structures end to end: tissue, marrow, shape, groups, contacts, evidence, names."""
-    t = materialize(classified(spark, sf_dir).select("idx", "k", "j", "i", "tissue"), "tissue")
-    nz = t.agg(F.max("k") + 1).first()[0]
-    marked = materialize(graph.mark_marrow(t, NX, NY, nz), "marked")
-    field = histogram.signals(t1_voxels(spark, sf_dir)).select("idx", "k", "j", "i", F.col("signal").alias("value"))
+    v = t1_voxels(spark, sf_dir)
+    return structures_of(classified(spark, sf_dir), histogram.signals(v).withColumnRenamed("signal", "value"), slabs.grid_of(v, SPACING))
+
+
+def structures_of(classes: DataFrame, field: DataFrame, grid: DataFrame) -> DataFrame:
+    """Evidence of the structures of every volume of ``grid``, from its tissue and its signal (value)."""
+    t = materialize(classes.select("volume_id", "idx", "k", "j", "i", "tissue"), "tissue")
+    marked = materialize(graph.mark_marrow(t, grid), "marked")
     # the driver's grids are noise without real structures: the bars for shapes are lowered
-    seen = shape.shapes(field, SPACING, NX, NY, nz, least=0.0)
-    dark = materialize(marked.filter("tissue = 'dark'").join(seen, "idx").select("idx", "k", "j", "i", "kind", "confidence"), "shapes")
-    groups = materialize(graph.shape_groups(dark, NX, NY, nz, seed=0.01), "groups")
-    ends = materialize(graph.split_ends(groups, *SPACING), "ends")
-    touched = graph.contacts(ends, marked, NX, NY, nz, *SPACING)
-    return graph.evidence(groups, ends, dark, touched)
+    seen = shape.shapes(field, grid, least=0.0)
+    dark = materialize(marked.filter("tissue = 'dark'").join(seen, ["volume_id", "idx"]).select("volume_id", "idx", "k", "j", "i", "kind", "confidence"), "shapes")
+    groups = materialize(graph.shape_groups(dark, grid, seed=0.01), "groups")
+    ends = materialize(graph.split_ends(groups, grid), "ends")
+    return graph.evidence(groups, ends, dark, graph.contacts(ends, marked, grid))
 
 
 @query("grf11_structures")
@@ -318,11 +314,45 @@ SELECT met AS tissue, count(*) AS n FROM m GROUP BY met"""
 @query("join14_contacts", CONTACT_SQL)
 def join14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What rays from all dark voxels meet first, within 8 mm."""
-    t = classified(spark, sf_dir)
-    nz = t1_voxels(spark, sf_dir).agg(F.max("k") + 1).first()[0]
-    rays = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(c).alias("dk")) for a, b, c in graph.SIX))
-    s = t.filter("tissue = 'dark'").select("idx", "k", "j", "i", F.explode(rays).alias("r")).withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(8))))
-    x, y, z = (F.col(c) + F.col(f"r.d{c}") * F.col("t") for c in "ijk")
-    s = s.filter((x >= 0) & (y >= 0) & (z >= 0) & (x < NX) & (y < NY) & (z < nz)).select(F.col("idx").alias("of"), "r", "t", ((z * NY + y) * NX + x).cast("long").alias("idx"))
-    met = s.join(t.filter("tissue <> 'dark'").select("idx", "tissue"), "idx").groupBy("of", "r").agg(F.min_by("tissue", "t").alias("tissue"))
-    return met.groupBy("tissue").agg(F.count("*").alias("n"))
+    names = tuple(t for t in rules.TISSUES if t != "dark")
+    met = graph.rays_met(classified(spark, sf_dir), slabs.grid_of(t1_voxels(spark, sf_dir)), 8.0, names)
+    codes = met.select(F.explode(F.array(*(f"r{n}" for n in range(6)))).alias("code")).filter("code >= 0")
+    return codes.groupBy(F.get(F.array(*map(F.lit, names)), F.col("code").cast("int")).alias("tissue")).agg(F.count("*").alias("n"))
+
+
+# --- two studies of different size in one call: every third slice is of the second ---
+
+#: Slices of t1 and fs in the order of their own study (s).
+STUDY_SQL = ", ".join(f"{v}2 AS (SELECT CASE WHEN k % 3 = 0 THEN 'b' ELSE 'a' END AS s, CASE WHEN k % 3 = 0 THEN k // 3 ELSE k - k // 3 - 1 END AS k, j, i, stored FROM {v})" for v in ("t1", "fs"))
+
+
+def two_studies(voxels: DataFrame) -> DataFrame:
+    """The voxels with study_id, and with volume_id, k and idx of their own study."""
+    second, whole = F.col("k") % 3 == 0, F.floor(F.col("k") / 3)
+    s = voxels.withColumn("study_id", F.when(second, "b").otherwise("a")).withColumn("k", F.when(second, whole).otherwise(F.col("k") - whole - 1).cast("int"))
+    return s.withColumn("volume_id", F.concat_ws(" ", "study_id", "volume_id")).withColumn("idx", (F.col("k") * (NX * NY) + F.col("j") * NX + F.col("i")).cast("long"))
+
+
+@query(
+    "grf3_two_studies",
+    f"""WITH RECURSIVE {T1_SQL}, {FS_SQL}, {STUDY_SQL}, d AS (SELECT s, k, j, i, k * 64 + j * 8 + i AS idx FROM t12 WHERE {DARK}),
+e AS (SELECT a.s, a.idx AS a, b.idx AS b FROM d a JOIN d b ON a.s = b.s AND ((b.idx = a.idx + 1 AND a.i < 7) OR (b.idx = a.idx + 8 AND a.j < 7) OR b.idx = a.idx + 64)),
+u AS (SELECT s, a, b FROM e UNION ALL SELECT s, b, a FROM e),
+r AS (SELECT s, idx, idx AS c FROM d UNION SELECT u.s, u.b, r.c FROM r JOIN u ON u.s = r.s AND u.a = r.idx WHERE u.b > r.c)
+SELECT s || ' t1' AS volume_id, idx, min(c) AS component FROM r GROUP BY s, idx""",
+)
+def grf3_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = two_studies(t1_voxels(spark, sf_dir))
+    return graph.components(v.filter(DARK), slabs.grid_of(v), graph.SIX)
+
+
+@query(
+    "join1_two_studies",
+    TISSUE_SQL.replace("vox AS (SELECT 't1' AS v, * FROM t1 UNION ALL SELECT 'fs', * FROM fs)", f"{STUDY_SQL}, vox AS (SELECT s || ' t1' AS v, k, j, i, k * 64 + j * 8 + i AS idx, stored FROM t12 UNION ALL SELECT s || ' fs', k, j, i, k * 64 + j * 8 + i, stored FROM fs2)")
+    .replace("a.idx = f.idx AND a.v = 't1' AND f.v = 'fs'", "a.idx = f.idx AND a.v[1] = f.v[1] AND a.v[3:4] = 't1' AND f.v[3:4] = 'fs'")
+    .replace("tis AS (SELECT a.k", "tis AS (SELECT a.v AS volume_id, a.k")
+    .join(("WITH ", " SELECT volume_id, idx, tissue, round(confidence, 6) AS confidence FROM tis")),
+)
+def join1_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tissue.classify(two_studies(t1_voxels(spark, sf_dir)), two_studies(fatsat_voxels(spark, sf_dir)), ["study_id"])
+    return t.select("volume_id", "idx", "tissue", F.round("confidence", 6).alias("confidence"))
