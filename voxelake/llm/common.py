@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -89,8 +91,20 @@ class Memo(dict):
 _forget: dict[str, Callable[[], object]] = {}
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker lives on through many stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def in_turn(name: str, forget: Callable[[], object]) -> None:
     """Called as an operator begins in a Python worker: what other operators keep there is forgotten, so that memos don't add up."""
-    for other in [o for o in _forget if o != name]:
+    others = [o for o in _forget if o != name]
+    for other in others:
         _forget.pop(other)()
+    if others:
+        give_back()
     _forget[name] = forget

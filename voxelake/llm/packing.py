@@ -54,7 +54,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.words, self.stems = Memo(400_000), Memo(250_000)
+        self.words, self.stems = Memo(250_000), Memo(150_000)
         ends = self.tok.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         self.ends_word[[i for t, i in ends.items() if t.endswith("</w>")]] = True
