@@ -81,13 +81,34 @@ def over_slabs(voxels: DataFrame, grid: DataFrame, kernel: Callable[[Slab], pa.T
     ``halo`` may be a column of the grid table. A slice is one row on its way; it is
     bounded by the size of an image.
     """
-    planes = voxels.groupBy("volume_id", "k").agg(F.collect_list(F.struct("j", "i", *fields)).alias("plane"))
     reach = F.lit(halo) if isinstance(halo, int) else halo
+    spread = _spread(voxels, grid, fields, reach, depth)
+    return spread.groupBy("volume_id", "slab").applyInArrow(lambda t: kernel(Slab(t, depth)), out)
+
+
+def _spread(voxels: DataFrame, grid: DataFrame, fields: list[str], reach: Column, depth: int) -> DataFrame:
+    """A row for every slice and slab that it lies in or is in the halo of."""
+    planes = voxels.groupBy("volume_id", "k").agg(F.collect_list(F.struct("j", "i", *fields)).alias("plane"))
     sized = planes.join(grid.withColumn("halo", reach.cast("int")), "volume_id")
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("k") - F.col("halo")) / depth))
     last = F.least(F.floor((F.col("nz") - 1) / depth), F.floor((F.col("k") + F.col("halo")) / depth))
-    spread = sized.withColumn("slab", F.explode(F.sequence(first, last)))
-    return spread.groupBy("volume_id", "slab").applyInArrow(lambda t: kernel(Slab(t, depth)), out)
+    return sized.withColumn("slab", F.explode(F.sequence(first, last)))
+
+
+def read_slabs(readers: DataFrame, voxels: DataFrame, grid: DataFrame, kernel: Callable[[Slab, pa.Table], pa.Table], out: str, *, fields: list[str], halo: int = 0, depth: int = DEPTH) -> DataFrame:
+    """What ``kernel`` makes of every slab and the ``readers`` (volume_id, slab and more) that are sent to it."""
+    spread = _spread(voxels, grid, fields, F.lit(halo), depth)
+    empty = [c.split()[:2] for c in out.split(", ")]
+
+    def both(planes: pa.Table, asked: pa.Table) -> pa.Table:
+        if planes.num_rows and asked.num_rows:
+            return kernel(Slab(planes, depth), asked)
+        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+        return pa.table({n: pa.array([], kinds.get(k) or pa.list_(kinds[k[6:-1]])) for n, k in empty})
+
+    key = ["volume_id", "slab"]
+    readers = readers.select(*(F.col(c).alias(c) for c in readers.columns))  # they may come from the same grid table
+    return spread.groupBy(*key).cogroup(readers.groupBy(*key)).applyInArrow(both, out)
 
 
 # --- kernels ---

@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from voxelake.plans import geometry, images, masks, records, views, volumes  # noqa: F401
+    from voxelake.plans import geometry, images, lines, masks, records, views, volumes  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
