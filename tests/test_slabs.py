@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelake.operators import graph, histogram, lines, shape, slabs, tissue
+from voxelake.sources import layout
 
 SIZES = {"a": (11, 6, 5), "b": (4, 7, 9)}  # nz, ny, nx
 
@@ -253,3 +254,19 @@ def test_oblique_slab_equals_a_loop(spark, field, grid, arrays, depth):
 
 def test_histogram_scale_is_each_volumes_own(field):
     assert histogram.muscle_ranges(field.withColumnRenamed("value", "stored")).count() == 2
+
+
+def test_laid_out_tables_meet_without_a_shuffle(spark, arrays):
+    """Two studies of different size: the same results as by shuffle, and no Exchange under the joins."""
+    t1 = histogram.signals(frame(spark, {v: np.floor(a * 40) for v, a in arrays.items()}, "stored"))
+    fs = histogram.signals(frame(spark, {v: np.floor(a * 33) for v, a in arrays.items()}, "stored"))
+    one, other = (layout.lay_out(slabs.spread(x, slabs.grid_of(x), ["signal"], 1)) for x in (t1, fs))
+    got = tissue.classify_laid_out(one, other)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    plain = tissue.classify(t1.drop("signal").withColumn("study", F.col("volume_id")), fs.drop("signal").withColumn("study", F.col("volume_id")), ["study"])
+    assert {(r.volume_id, r.idx): (r.tissue, r.confidence) for r in got.collect()} == {(r.volume_id, r.idx): (r.tissue, r.confidence) for r in plain.collect()}
+    values = layout.lay_out(slabs.spread(t1.withColumnRenamed("signal", "value"), slabs.grid_of(t1), ["value"], 1))
+    near = shape.hessian_of(values)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    far = shape.hessian(t1.withColumnRenamed("signal", "value"), slabs.grid_of(t1))
+    assert sorted(near.collect()) == sorted(far.collect()) and near.count() > 50

@@ -84,12 +84,17 @@ def differences(a: np.ndarray, spacing: tuple[float, float, float]) -> dict[str,
 
 def hessian(field: DataFrame, grid: DataFrame) -> DataFrame:
     """volume_id, idx and xx, yy, zz, xy, xz, yz of inner voxels (a border voxel has none)."""
+    return hessian_of(slabs.spread(field, grid, ["value"], 1))
+
+
+def hessian_of(rows: DataFrame) -> DataFrame:
+    """``hessian`` of spread rows with a halo of at least one slice."""
 
     def run(s: Slab) -> pa.Table:
         inner, found = _inner(s.dense("value"), s.spacing, s.base, s.lo, s.hi)
         return s.table(inner, **found).drop_columns(["k", "j", "i"])
 
-    return slabs.over_slabs(field, grid, run, "volume_id string, idx long, " + ", ".join(f"{n} double" for n in SECOND), fields=["value"], halo=1)
+    return slabs.over(rows, run, "volume_id string, idx long, " + ", ".join(f"{n} double" for n in SECOND))
 
 
 def _inner(a: np.ndarray, spacing: tuple[float, float, float], base: int, lo: int, hi: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:

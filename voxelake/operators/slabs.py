@@ -81,13 +81,12 @@ def over_slabs(voxels: DataFrame, grid: DataFrame, kernel: Callable[[Slab], pa.T
     ``halo`` may be a column of the grid table. A slice is one row on its way; it is
     bounded by the size of an image.
     """
-    reach = F.lit(halo) if isinstance(halo, int) else halo
-    spread = _spread(voxels, grid, fields, reach, depth)
-    return spread.groupBy("volume_id", "slab").applyInArrow(lambda t: kernel(Slab(t, depth)), out)
+    return over(spread(voxels, grid, fields, halo, depth), kernel, out, depth)
 
 
-def _spread(voxels: DataFrame, grid: DataFrame, fields: list[str], reach: Column, depth: int) -> DataFrame:
-    """A row for every slice and slab that it lies in or is in the halo of."""
+def spread(voxels: DataFrame, grid: DataFrame, fields: list[str], halo: Column | int = 0, depth: int = DEPTH) -> DataFrame:
+    """A row for every slice and slab (volume_id, slab) that it lies in or is in the halo of."""
+    reach = F.lit(halo) if isinstance(halo, int) else halo
     planes = voxels.groupBy("volume_id", "k").agg(F.collect_list(F.struct("j", "i", *fields)).alias("plane"))
     sized = planes.join(grid.withColumn("halo", reach.cast("int")), "volume_id")
     first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("k") - F.col("halo")) / depth))
@@ -95,20 +94,34 @@ def _spread(voxels: DataFrame, grid: DataFrame, fields: list[str], reach: Column
     return sized.withColumn("slab", F.explode(F.sequence(first, last)))
 
 
+def over(rows: DataFrame, kernel: Callable[[Slab], pa.Table], out: str, depth: int = DEPTH) -> DataFrame:
+    """``over_slabs`` of rows that are spread already, such as a table that ``layout`` wrote."""
+    return rows.groupBy("volume_id", "slab").applyInArrow(lambda t: kernel(Slab(t, depth)), out)
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+
+def _none(out: str) -> pa.Table:
+    return pa.table({n: pa.array([], _KINDS.get(k) or pa.list_(_KINDS[k[6:-1]])) for n, k in (c.split()[:2] for c in out.split(", "))})
+
+
 def read_slabs(readers: DataFrame, voxels: DataFrame, grid: DataFrame, kernel: Callable[[Slab, pa.Table], pa.Table], out: str, *, fields: list[str], halo: int = 0, depth: int = DEPTH) -> DataFrame:
     """What ``kernel`` makes of every slab and the ``readers`` (volume_id, slab and more) that are sent to it."""
-    spread = _spread(voxels, grid, fields, F.lit(halo), depth)
-    empty = [c.split()[:2] for c in out.split(", ")]
+    return read(readers, spread(voxels, grid, fields, halo, depth), kernel, out, depth)
 
-    def both(planes: pa.Table, asked: pa.Table) -> pa.Table:
-        if planes.num_rows and asked.num_rows:
-            return kernel(Slab(planes, depth), asked)
-        kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
-        return pa.table({n: pa.array([], kinds.get(k) or pa.list_(kinds[k[6:-1]])) for n, k in empty})
 
-    key = ["volume_id", "slab"]
+def read(readers: DataFrame, rows: DataFrame, kernel: Callable[[Slab, pa.Table], pa.Table], out: str, depth: int = DEPTH) -> DataFrame:
+    """``read_slabs`` of rows that are spread already."""
     readers = readers.select(*(F.col(c).alias(c) for c in readers.columns))  # they may come from the same grid table
-    return spread.groupBy(*key).cogroup(readers.groupBy(*key)).applyInArrow(both, out)
+    run = lambda planes, asked: kernel(Slab(planes, depth), asked) if planes.num_rows and asked.num_rows else _none(out)
+    return rows.groupBy("volume_id", "slab").cogroup(readers.groupBy("volume_id", "slab")).applyInArrow(run, out)
+
+
+def side_by_side(one: DataFrame, other: DataFrame, kernel: Callable[[Slab, Slab | None], pa.Table], out: str, depth: int = DEPTH) -> DataFrame:
+    """What ``kernel`` makes of the same slab of two spread tables (None where the other one has none); slabs of the other one alone are left out."""
+    run = lambda a, b: kernel(Slab(a, depth), Slab(b, depth) if b.num_rows else None) if a.num_rows else _none(out)
+    return one.groupBy("volume_id", "slab").cogroup(other.groupBy("volume_id", "slab")).applyInArrow(run, out)
 
 
 # --- kernels ---

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelake.functions import geometry as g
 from voxelake.functions.rules import TISSUES, classify_pair
-from voxelake.operators import resample
+from voxelake.operators import resample, slabs
 from voxelake.operators.histogram import signals
+from voxelake.operators.slabs import Slab
 
 
 def classify(t1: DataFrame, fatsat: DataFrame, study: list[str] = []) -> DataFrame:
@@ -24,6 +27,28 @@ def classify(t1: DataFrame, fatsat: DataFrame, study: list[str] = []) -> DataFra
     return joined.select(*study, "volume_id", "k", "j", "i", "idx", "t1", "fs", tissue.alias("tissue"), confidence.alias("confidence"))
 
 
+def classify_laid_out(t1: DataFrame, fatsat: DataFrame) -> DataFrame:
+    """volume_id, idx, t1, fs, tissue, confidence of T1 slabs and the other sequence's, which bear the same volume_id.
+
+    Both are spread tables with the field ``signal`` (see ``slabs`` and ``layout``). Tables that
+    are laid out by slab meet without a shuffle.
+    """
+
+    def kernel(a: Slab, b: Slab | None) -> pa.Table:
+        own = a.own(a.dense("signal", np.float64, np.nan))
+        other = np.full(own.shape, np.nan)
+        if b:
+            theirs = b.own(b.dense("signal", np.float64, np.nan))
+            same = tuple(slice(0, min(m, n)) for m, n in zip(own.shape, theirs.shape, strict=True))
+            other[same] = theirs[same]
+        t = a.table(a.own(a.present()), t1=own, fs=other)
+        return t.select(["volume_id", "idx", "t1", "fs"])
+
+    met = slabs.side_by_side(t1, fatsat, kernel, "volume_id string, idx long, t1 double, fs double").withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("t1", "fs")})
+    tissue, confidence = classify_pair(F.col("t1"), F.col("fs"))
+    return met.select("volume_id", "idx", "t1", "fs", tissue.alias("tissue"), confidence.alias("confidence"))
+
+
 def classify_grid(points: DataFrame, sequences: dict[str, tuple[DataFrame, DataFrame]], key: list[str]) -> DataFrame:
     """``key``, t1, fs, tissue, confidence at the patient points (px, py, pz) of any grid.
 

@@ -24,6 +24,11 @@ def query(key: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def registry_sql(key: str) -> str:
+    """The SQL of a query that is registered already."""
+    return _sql[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import rules, scalar
 from voxelake.operators import graph, histogram, resample, shape, slabs, tissue
-from voxelake.plans.registry import query
-from voxelake.sources import grids
+from voxelake.plans.registry import query, registry_sql
+from voxelake.sources import grids, layout
 from voxelake.sources.grids import FS_SQL, T1_SQL, fatsat_voxels, t1_voxels
 from voxelake.sources.shared import materialize
 
@@ -356,3 +356,30 @@ def grf3_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join1_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tissue.classify(two_studies(t1_voxels(spark, sf_dir)), two_studies(fatsat_voxels(spark, sf_dir)), ["study_id"])
     return t.select("volume_id", "idx", "tissue", F.round("confidence", 6).alias("confidence"))
+
+
+def laid_out(spark: SparkSession, voxels: DataFrame, halo: int = 1) -> DataFrame:
+    """Signals of two studies, each a volume of its own name, bucketed by slab."""
+    v = histogram.signals(two_studies(voxels)).withColumn("volume_id", F.col("study_id"))
+    return layout.lay_out(slabs.spread(v, slabs.grid_of(v, SPACING), ["signal"], halo))
+
+
+@query("join1_laid_out", registry_sql("join1_two_studies").replace("SELECT volume_id, idx", "SELECT volume_id[1] AS volume_id, idx"))
+def join1_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sequences of two studies, laid out by slab: their join shuffles nothing."""
+    t = tissue.classify_laid_out(laid_out(spark, t1_voxels(spark, sf_dir)), laid_out(spark, fatsat_voxels(spark, sf_dir)))
+    return t.select("volume_id", "idx", "tissue", F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "join13_laid_out_hessian",
+    f"""WITH {SCALE_SQL.replace("vox AS (SELECT 't1' AS v, * FROM t1 UNION ALL SELECT 'fs', * FROM fs)", f"{STUDY_SQL}, vox AS (SELECT s AS v, k, j, i, k * 64 + j * 8 + i AS idx, stored FROM t12)")},
+n AS (SELECT v, max(k) + 1 AS nz FROM sig GROUP BY v)
+SELECT c.v AS volume_id, c.idx, round(sum(CASE WHEN a.idx = c.idx THEN -6 ELSE 1 END * a.s), 9) AS laplacian FROM sig c JOIN n USING (v) JOIN sig a ON a.v = c.v AND a.idx IN (c.idx, c.idx - 1, c.idx + 1, c.idx - 8, c.idx + 8, c.idx - 64, c.idx + 64)
+WHERE c.i BETWEEN 1 AND 6 AND c.j BETWEEN 1 AND 6 AND c.k BETWEEN 1 AND nz - 2 GROUP BY c.v, c.idx""",
+)
+def join13_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six neighbours of every voxel of two studies, read within their slabs: the sum of the second differences."""
+    rows = laid_out(spark, t1_voxels(spark, sf_dir))
+    h = shape.hessian_of(rows.withColumn("plane", F.transform("plane", lambda x: F.struct(x["j"].alias("j"), x["i"].alias("i"), x["signal"].alias("value")))))
+    return h.select("volume_id", "idx", F.round(F.col("xx") + F.col("yy") + F.col("zz"), 9).alias("laplacian"))
