@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelake.functions import scalar
 from voxelake.operators import deid
 from voxelake.plans.registry import query, table
-from voxelake.sources import grids, packed, part10
+from voxelake.sources import grids, packed, packed_source, part10
+from voxelake.sources.shared import shared_dir
 from voxelake.streaming import streams
 
 TAG_SQL = "tg AS (SELECT p_partkey, (p_partkey * 7 % 65536) * 65536 + (p_size * 1031 % 65536) AS tag FROM part)"
@@ -270,13 +273,21 @@ def src14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("vec_id", back["spacing"][0].alias("spacing"), F.from_json("t", "axes array<array<double>>")["axes"][0][0].alias("axis"), F.col("t").contains("windowCenter").alias("has_center"), back["bytes"].cast("int").alias("bytes"))
 
 
-@query("src17_pack", "WITH v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, embedding FROM embeddings), px AS (SELECT label, k, p // 8 AS j, p % 8 AS i, CAST(floor((CAST(embedding[p + 1] AS DOUBLE) + 1) * 2000 + 0.5) AS BIGINT) AS s FROM v, range(64) r(p)), h AS (SELECT label, k, j // 2 AS j, i // 2 AS i, CAST(floor(avg(s) + 0.5) AS BIGINT) AS s FROM px GROUP BY ALL), f AS (SELECT label, count(*) * 2 AS bytes, sum(s) AS total, max(k) + 1 AS nz FROM px GROUP BY 1), g AS (SELECT label, count(*) * 2 AS preview_bytes, sum(s) AS preview_total FROM h GROUP BY 1) SELECT '1.2.3.' || label AS name, CAST(nz AS INTEGER) AS nz, bytes, CAST(total AS BIGINT) AS total, preview_bytes, CAST(preview_total AS BIGINT) AS preview_total FROM f JOIN g USING (label)")
-def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Volumes packed as slab blobs with previews and a manifest, then read again."""
+SRC17_SQL = "WITH v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, embedding FROM embeddings), px AS (SELECT label, k, p // 8 AS j, p % 8 AS i, CAST(floor((CAST(embedding[p + 1] AS DOUBLE) + 1) * 2000 + 0.5) AS BIGINT) AS s FROM v, range(64) r(p)), h AS (SELECT label, k, j // 2 AS j, i // 2 AS i, CAST(floor(avg(s) + 0.5) AS BIGINT) AS s FROM px GROUP BY ALL), f AS (SELECT label, count(*) * 2 AS bytes, sum(s) AS total, max(k) + 1 AS nz FROM px GROUP BY 1), g AS (SELECT label, count(*) * 2 AS preview_bytes, sum(s) AS preview_total FROM h GROUP BY 1) SELECT '1.2.3.' || label AS name, CAST(nz AS INTEGER) AS nz, bytes, CAST(total AS BIGINT) AS total, preview_bytes, CAST(preview_total AS BIGINT) AS preview_total FROM f JOIN g USING (label)"
+
+
+def label_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A volume for each label: its embeddings are the slices."""
     v = table(spark, sf_dir, "embeddings").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
     v = v.select("k", F.concat(F.lit("1.2.3."), F.col("label").cast("string")).alias("volume_id"), F.posexplode("embedding").alias("p", "x"))
     stored = F.floor((F.col("x").cast("double") + 1) * 2000 + 0.5).cast("int")
-    voxels = v.select("volume_id", "k", F.floor(F.col("p") / 8).cast("int").alias("j"), (F.col("p") % 8).cast("int").alias("i"), (F.col("k") * 64 + F.col("p")).cast("long").alias("idx"), stored.alias("stored"))
+    return v.select("volume_id", "k", F.floor(F.col("p") / 8).cast("int").alias("j"), (F.col("p") % 8).cast("int").alias("i"), (F.col("k") * 64 + F.col("p")).cast("long").alias("idx"), stored.alias("stored"))
+
+
+@query("src17_pack", SRC17_SQL)
+def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes packed as slab blobs with previews and a manifest, then read again."""
+    voxels = label_volumes(spark, sf_dir)
     dims = grids.dims(voxels)
     out = None
     for name, own, size in (("", voxels, dims), ("preview_", *packed.halved(voxels, dims))):
@@ -287,6 +298,21 @@ def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(dims, "volume_id").select(F.col("volume_id").alias("name"), F.col("nz").cast("int").alias("nz"), "bytes", "total", "preview_bytes", "preview_total")
 
 
+@query("src17_written_and_read", SRC17_SQL)
+def src17_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same volumes written to files with previews and a manifest by the data source, and read by it."""
+    voxels = label_volumes(spark, sf_dir)
+    d = grids.dims(voxels).select("volume_id", F.array("nx", "ny", F.col("nz").cast("int")).alias("dims"))
+    unit = F.array(*(F.array(*(F.lit(float(r == a)) for r in range(3))) for a in range(3)))
+    fields = {"series_number": F.substring("volume_id", 7, 9).cast("int"), "spacing": F.array(*(F.lit(x) for x in (0.5, 0.5, 3.0))), "origin": F.array(*(F.lit(0.0),) * 3), "axes": unit, "signed": F.lit(False), "slope": F.lit(1.0), "intercept": F.lit(0.0), "center": F.lit(2000.0), "width": F.lit(None).cast("double"), "description": F.lit("d"), "modality": F.lit("MR"), "frame_uid": F.lit("1.2"), "warnings": F.array().cast("array<string>")}
+    path = f"{shared_dir(spark)}/voxelake-{uuid.uuid4().hex}/packed"
+    packed_source.write(d.withColumns(fields), voxels, path, slab=16)
+    back = packed_source.read(spark, path, splitBytes="4096")
+    own = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c))
+    out = packed_source.voxels_of(back).groupBy(F.col("volume_id").alias("name")).agg((F.max(F.when(F.col("kind") == "full", F.col("k"))) + 1).alias("nz"), (own("full", F.lit(2))).alias("bytes"), own("full", F.col("stored")).alias("total"), own("preview", F.lit(2)).alias("preview_bytes"), own("preview", F.col("stored")).alias("preview_total"))
+    return out
+
+
 @query("src23_size_gate", "WITH p AS (SELECT page_id % 10 AS release, octet_length(encode(html)) AS n FROM pages) SELECT release, count(*) AS files, sum(CAST(n > 4000 AS INTEGER)) AS too_large, sum(CAST(n > 3500 AND n <= 4000 AS INTEGER)) AS close, max(n) AS largest, CASE WHEN max(n) > 4000 OR count(*) > 25 THEN 'fail' WHEN max(n) > 3500 THEN 'warn' ELSE 'ok' END AS verdict FROM p GROUP BY 1")
 def src23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the files of ten releases: limits on a file's bytes and on the number of files."""
