@@ -362,3 +362,33 @@ def test_manifest_problems(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps(good))
     got = {(r.name, r.field) for r in packed.problems(packed.read_manifest(spark, str(tmp_path / "m.json"))).collect()}
     assert got == {("b", "bytes"), ("b", "dataType")}
+
+
+def test_candidates_have_the_magic_word(spark, tmp_path):
+    (tmp_path / "image").write_bytes(picture("1.2.840.10008.1.2.1")[0])
+    (tmp_path / "long.txt").write_bytes(b"x" * 500)
+    (tmp_path / "short.dcm").write_bytes(bytes(128) + b"DICM")
+    assert [r.path.rsplit("/", 1)[-1] for r in part10.candidates(spark, str(tmp_path), magic_only=True).select("path").collect()] == ["image"]
+    assert part10.candidates(spark, str(tmp_path)).count() == 2
+
+
+@pytest.mark.parametrize("syntax", ["1.2.840.10008.1.2.1", part10.BIG])
+def test_tags_as_values(syntax):
+    order = ">" if syntax == part10.BIG else "<"
+    file = part10.Reader(part10.write_file({0x00280009: ("AT", struct.pack(order + "4H", 0x0018, 0x1063, 0x7FE0, 0x0010)), 0x00280004: ("AT", b"")}, syntax))
+    rows = file.parse()
+    got = {r[2]: numbers for r, (_, numbers) in zip(rows, file.values(), strict=True)}
+    assert got[0x00280009] == [float(0x00181063), float(0x7FE00010)] and got[0x00280004] == []
+
+
+def test_long_profiles_and_short_plans(spark):
+    """A profile of any number of tags is a join; a hashed UID is computed once."""
+    rows = [("e", t, "UI", "1.2.3", path) for t, path in ((0x00080018, []), (0x00080020, []), (0x00100010, [0x00400280]), (0x00100020, [0x00081140]), (0x00100030, None))]
+    e = spark.createDataFrame(rows, "entity string, tag long, vr string, value string, seq_path array<long>")
+    remove = spark.range(0x00400000, 0x00400000 + 20_000).toDF("tag").union(spark.range(0x00080020, 0x00080021).toDF("tag"))
+    remap = spark.createDataFrame([(0x00080018,)], "tag long")
+    out = deid.scrub(e, remove, remap, [], "s")
+    got = {r.tag: r.value for r in out.collect()}
+    assert out.columns == e.columns and set(got) == {0x00080018, 0x00100020, 0x00100030}
+    assert got[0x00080018].startswith("2.25.") and got[0x00100020] == "1.2.3"
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("sha2") <= 2

@@ -19,8 +19,6 @@ from voxelake.functions.scalar import is_group_length, is_private, tag_group
 #: Whole groups that go: curves and overlays (fixed values of the public format).
 CURVES, OVERLAYS = (0x5000, 0x50FF), (0x6000, 0x60FF)
 KNOWN_ROOTS = ("1.2.840.10008.", "2.25.")
-#: Most tags of a profile; the published table has a few hundred.
-PROFILE = 10_000
 #: Tags of identity stamps (fixed values of the public format).
 NAME, PATIENT, REMOVED, METHOD, CODES = 0x00100010, 0x00100020, 0x00120062, 0x00120063, 0x00120064
 CLASS, INSTANCE, META_CLASS, META_INSTANCE, WRITER = 0x00080016, 0x00080018, 0x00020002, 0x00020003, 0x00020012
@@ -46,17 +44,21 @@ def hashed_hex(uid: Column, salt: str) -> Column:
 
 def hashed_uid(uid: Column, salt: str) -> Column:
     """A 2.25 UID of 128 hashed bits, by exact decimal limbs (10^18 a limb)."""
-    h = hashed_hex(uid, salt)
-    limb = lambda i: F.conv(F.substring(h, i, 8), 16, 10).cast("decimal(38,0)")
-    base, two32 = F.lit(10**18).cast("decimal(38,0)"), F.lit(2**32).cast("decimal(38,0)")
-    hi, lo = F.lit(0).cast("decimal(38,0)"), limb(1)
-    for i in (9, 17, 25):  # value = hi * 10^18 + lo
-        lo2 = lo * two32 + limb(i)
-        carry = F.floor(lo2 / base).cast("decimal(38,0)")
-        carry = carry - F.when(carry * base > lo2, 1).otherwise(0)
-        hi, lo = (hi * two32 + carry).cast("decimal(38,0)"), (lo2 - carry * base).cast("decimal(38,0)")
-    text = F.when(hi > 0, F.concat(hi.cast("string"), F.lpad(lo.cast("string"), 18, "0"))).otherwise(lo.cast("string"))
-    return F.concat(F.lit("2.25."), text)
+    wide = "decimal(38,0)"
+    base, two32, zero = (F.lit(n).cast(wide) for n in (10**18, 2**32, 0))
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  what is named in a lambda is computed once
+
+    def carried(lo: Column, hi: Column) -> Column:
+        carry = F.floor(lo / base).cast(wide)
+        exact = carry - F.when(carry * base > lo, 1).otherwise(0)
+        return bound(exact, lambda c: F.struct((hi * two32 + c).cast(wide).alias("hi"), (lo - c * base).cast(wide).alias("lo")))
+
+    # value = hi * 10^18 + lo, 32 bits at a time
+    step = lambda acc, limb: bound((acc["lo"] * two32 + limb).cast(wide), lambda lo: carried(lo, acc["hi"]))
+    limbs = lambda h: F.transform(F.array(*map(F.lit, (1, 9, 17, 25))), lambda i: F.conv(F.substr(h, i, F.lit(8)), 16, 10).cast(wide))
+    text = lambda v: F.when(v["hi"] > 0, F.concat(v["hi"].cast("string"), F.lpad(v["lo"].cast("string"), 18, "0"))).otherwise(v["lo"].cast("string"))
+    digits = bound(hashed_hex(uid, salt), lambda h: F.aggregate(limbs(h), F.struct(zero.alias("hi"), zero.alias("lo")), step, text))
+    return F.concat(F.lit("2.25."), digits)
 
 
 def profile(table: DataFrame, kept: DataFrame, dropped_sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,39 +73,41 @@ def profile(table: DataFrame, kept: DataFrame, dropped_sequences: DataFrame) ->
     return tags.exceptAll(uids).join(kept, "tag", "left_anti").union(gone).distinct(), uids.join(gone, "tag", "left_anti")
 
 
-def _tags(df: DataFrame) -> list[int]:
-    tags = [r.tag for r in df.select("tag").distinct().limit(PROFILE + 1).collect()]
-    if len(tags) > PROFILE:
-        raise ValueError(f"a profile of more than {PROFILE} tags")
-    return tags
-
-
 def remapped(value: Column, salt: str) -> Column:
     """Each part of a UID value hashed; blank parts of several go, a value without any stays as it is."""
     parts = F.filter(F.transform(F.split(value, r"\\"), lambda u: F.trim(u)), lambda u: u != "")
     return F.when(F.size(parts) > 0, F.array_join(F.transform(parts, lambda u: hashed_uid(u, salt)), "\\")).otherwise(value)
 
 
+def without(elements: DataFrame, tags: DataFrame, rule: Callable[[Column], Column]) -> DataFrame:
+    """``elements`` but those whose tag, or a tag of a sequence around them, is in the table ``tags`` or meets ``rule``.
+
+    Paths of sequences are few and met once each, whatever the number of elements in them.
+    """
+    tags = tags.select("tag").distinct()
+    e = elements.filter(~rule(F.col("tag"))).join(tags, "tag", "left_anti")
+    if "seq_path" in elements.columns:
+        e = e.filter(~F.exists(F.coalesce("seq_path", F.array().cast("array<long>")), rule))
+        inside = elements.select("seq_path").distinct().withColumn("tag", F.explode("seq_path")).join(tags, "tag", "left_semi")
+        e = e.join(inside.select("seq_path").distinct(), "seq_path", "left_anti")
+    return e.select(*elements.columns)
+
+
 def scrub(elements: DataFrame, remove: DataFrame, remap: DataFrame, masked: Masks, salt: str) -> DataFrame:
     """Elements that stay, values of ``remap`` tags hashed.
 
-    ``remove`` and ``remap``: tables of tags (see ``profile``), bounded lists; ``masked``:
-    the profile's patterns. What is removed stays removed if it is to be remapped too.
+    ``remove`` and ``remap``: tables of tags (see ``profile``), of any size; ``masked``: the
+    profile's patterns. What is removed stays removed if it is to be remapped too.
     """
-    gone = _tags(remove)
-    goes = lambda t: dropped(t, masked) | t.isin(gone)
-    e = elements.filter(~goes(F.col("tag")))
-    if "seq_path" in elements.columns:
-        e = e.filter(~F.exists(F.coalesce("seq_path", F.array().cast("array<long>")), goes))
-    return e.withColumn("value", F.when(F.col("tag").isin(_tags(remap)), remapped(F.col("value"), salt)).otherwise(F.col("value")))
+    e = without(elements, remove, lambda t: dropped(t, masked))
+    hashed = F.when(F.col("hashed"), remapped(F.col("value"), salt)).otherwise(F.col("value"))
+    marked = e.join(remap.select("tag", F.lit(True).alias("hashed")).distinct(), "tag", "left")
+    return marked.withColumn("value", hashed).select(*elements.columns)
 
 
 def drop_named(elements: DataFrame, names: DataFrame) -> DataFrame:
     """Elements without the named and the private tags, at any depth."""
-    gone = _tags(names)
-    goes = lambda t: is_private(t) | t.isin(gone)
-    e = elements.filter(~goes(F.col("tag")))
-    return e.filter(~F.exists(F.coalesce("seq_path", F.array().cast("array<long>")), goes)) if "seq_path" in elements.columns else e
+    return without(elements, names, is_private)
 
 
 def stamp(elements: DataFrame, name: str, identity_removed: bool, methods: list[str], writer: str, patient: str = "DEMO", kept_method: str = "name kept") -> DataFrame:
