@@ -7,14 +7,15 @@ footrule distance of the truncated permutations: a pivot that both hold at place
 i and j brings them 2 * (length - max(i, j)) closer. The nearest by footrule, ties
 included, are reranked on the original vectors in double precision.
 
-The index is sharded by region: a vector's region is the nearest of the first
-pivots, about one region for every ``block`` vectors, at most as many as there are
-pivots; a region larger than that is dealt out to several shards, each with its own
-inverted files. A query visits its nearest regions only. How many is measured: a
-bounded sample of queries is compared with all rows, and as many regions are
-visited as hold ``within`` of their true neighbours. Queries travel in blocks too,
-so that a task holds one block of either side; a query's best of each shard are
-merged. How much is left out is up to the data: unstructured vectors leave little.
+The index is sharded by region: a vector's region is the nearest of the region pivots,
+about one region for every ``block`` vectors, up to ``most_regions``; a larger region is
+dealt out to several shards, each with its own inverted files. A query visits its
+nearest regions only. How many is measured at every size: a bounded sample of queries is
+compared with all rows, and as many regions are visited as hold ``within`` of their true
+neighbours. A row of the index travels once, a query to each shard that it visits; a
+task reads a shard, then streams over the queries that visit it. A query's best of each
+shard are merged. How much is left out is up to the data: unstructured vectors leave little.
+``recall`` measures the final answer against all rows.
 
 Largest inner product is nearest neighbour after one more coordinate brings all
 vectors to the norm of the longest; pivots see vectors that way.
@@ -53,13 +54,14 @@ def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 def choose_pivots(sample: np.ndarray, most: int, alike: float = 0.95) -> np.ndarray:
     """Up to ``most`` rows of a sample of unit vectors, no two of them alike."""
-    chosen = np.empty((0, sample.shape[1]))
+    chosen, n = np.empty((min(most, len(sample)), sample.shape[1])), 0
     for v in sample:
-        if len(chosen) == most:
+        if n == len(chosen):
             break
-        if not len(chosen) or (chosen @ v).max() <= alike:
-            chosen = np.vstack([chosen, v])
-    return chosen
+        if not n or (chosen[:n] @ v).max() <= alike:
+            chosen[n] = v
+            n += 1
+    return chosen[:n]
 
 
 def lift(x: np.ndarray, longest: float) -> np.ndarray:
@@ -106,13 +108,15 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 class Space:
     """What is known of the vectors of one dimension; its size is bounded by the pivots."""
 
-    n: int
     longest: float
     pivots: np.ndarray
-    regions: int = 1
-    queries: int = 0
+    centres: np.ndarray
     visits: int = 1
 
+    @property
+    def regions(self) -> int:
+        return len(self.centres)
+
 
 class InvertedFiles:
     """The pivot inverted files of one block."""
@@ -133,6 +137,31 @@ class InvertedFiles:
         return -2.0 * np.bincount(rows, weights=gain, minlength=self.n)
 
 
+class Shard:
+    """A shard's vectors with their inverted files; ``share`` of them, and no fewer than ``at_least``, are reranked."""
+
+    def __init__(self, data: pa.Table, n_pivots: int, share: float, at_least: int):
+        self.x, self.ids = matrix(data["vec"]), data["vec_id"].to_numpy()
+        self.files = InvertedFiles(_perms(data["perm"]), n_pivots)
+        self.take = min(len(self.x), max(at_least, int(share * len(self.x))))
+
+    def nearest(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        found: list[tuple[np.ndarray, ...]] = []
+        for q_id, q, perm in zip(queries["vec_id"].to_pylist(), matrix(queries["vec"]), _perms(queries["perm"]), strict=True):
+            far = self.files.footrule(perm)
+            cand = np.flatnonzero(far <= np.partition(far, self.take - 1)[self.take - 1])
+            cand = cand[self.ids[cand] != q_id]
+            score = products(self.x[cand], q)
+            at = best(score, self.ids[cand], k)
+            found.append((np.full(len(at), q_id), self.ids[cand[at]], score[at]))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+
+def _perms(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int16).reshape(len(column), -1)
+
+
 def by_dimension(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Batches of (id, vector) taken apart by the vectors' dimension."""
     for b in batches:
@@ -141,20 +170,23 @@ def by_dimension(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Re
             yield d, b.filter(pc.equal(size, d))
 
 
-def spaces(every: DataFrame, *, pivots: int, sample: int, block: int, is_query: str) -> dict[int, Space]:
-    """The dimensions there are, each with pivots from ``sample`` of its rows, drawn by a hash of the id."""
+def spaces(every: DataFrame, *, pivots: int, sample: int, block: int, is_query: str, most_regions: int = 1 << 14) -> dict[int, Space]:
+    """The dimensions that have queries, each with pivots and region pivots from a sample of its rows, drawn by a hash of the id.
+
+    The sample is ``sample`` rows, or two for each region of the largest dimension.
+    """
     squares = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     seen = every.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(squares).alias("top"), F.count_if(F.expr(is_query)).alias("queries")).filter("queries > 0").collect()
+    wanted = {r.dim: min(most_regions, max(1, -(-r.n // block))) for r in seen}
     drawn = F.row_number().over(Window.partitionBy(F.size("vec")).orderBy(F.xxhash64("vec_id"), "vec_id"))
     rows: dict[int, list] = {}
-    for r in every.withColumn("drawn", drawn).filter(F.col("drawn") <= sample).orderBy("drawn").collect():
+    for r in every.withColumn("drawn", drawn).filter(F.col("drawn") <= max([sample, *(2 * n for n in wanted.values())])).orderBy("drawn").collect():
         rows.setdefault(len(r.vec), []).append(r.vec)
     out = {}
     for r in seen:
         longest = float(np.sqrt(r.top)) * (1 + 1e-12)
-        own = choose_pivots(lift(np.array(rows[r.dim], dtype=np.float64), longest), pivots)
-        regions = min(len(own), max(1, -(-r.n // block)))
-        out[r.dim] = Space(r.n, longest, own, regions, r.queries, regions)
+        own = choose_pivots(lift(np.array(rows[r.dim], dtype=np.float64), longest), max(pivots, wanted[r.dim]))
+        out[r.dim] = Space(longest, own[:pivots], own[: wanted[r.dim]], min(wanted[r.dim], len(own)))
     return out
 
 
@@ -172,8 +204,8 @@ def calibrate(every: DataFrame, known: dict[int, Space], *, is_query: str, k: in
             if d not in sent.value:
                 continue
             (q_ids, q), space, ids, x = sent.value[d], held.value[d], b.column(0).to_numpy(), matrix(b.column(1))
-            region = permutations(lift(x, space.longest), space.pivots[: space.regions], 1)[:, 0]
-            visit = permutations(directions(q), space.pivots[: space.regions], space.regions).argsort(axis=1)  # region -> when it is visited
+            region = permutations(lift(x, space.longest), space.centres, 1)[:, 0]
+            visit = permutations(directions(q), space.centres, space.regions).argsort(axis=1)  # region -> when it is visited
             for i, near in enumerate(q @ x.T):
                 near[ids == q_ids[i]] = -np.inf
                 at = best(near, ids, k)
@@ -199,23 +231,22 @@ def search(
     within: float = 0.98,
     tried: int = 256,
     block: int = 8192,
-    query_block: int = 8192,
+    most_regions: int = 1 << 14,
     vec_id: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query row.
 
-    ``pivots`` come from ``sample`` rows of a dimension, the only part fitted on a sample.
-    ``share`` of a shard's rows, and no fewer than ``at_least``, are reranked for each query.
-    Up to eight regions are all visited; of more, as many as ``calibrate`` finds.
+    ``pivots`` and the pivots of regions come from a sample (see ``spaces``), the only part
+    fitted on one. ``share`` of a shard's rows, and no fewer than ``at_least``, are reranked
+    for each query.
     """
     spark = rows.sparkSession
     every = usable(rows, vec_id, vector)
-    known = spaces(every, pivots=pivots, sample=sample, block=block, is_query=is_query)
+    known = spaces(every, pivots=pivots, sample=sample, block=block, most_regions=most_regions, is_query=is_query)
     if not known:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if max(s.regions for s in known.values()) > 8:
-        calibrate(every, known, is_query=is_query, k=k, within=within, tried=tried)
+    calibrate(every, known, is_query=is_query, k=k, within=within, tried=tried)
     held = spark.sparkContext.broadcast(known)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +254,7 @@ def search(
             if space := held.value.get(d):
                 units = lift(matrix(b.column(1)), space.longest)
                 perm = permutations(units, space.pivots, min(length, len(space.pivots)))
-                region = permutations(units, space.pivots[: space.regions], 1)[:, 0]
+                region = permutations(units, space.centres, 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(perm), d, np.int32)), pa.array(region.astype(np.int32)), pa.array([p.tobytes() for p in perm], pa.binary())], ["vec_id", "vec", "dim", "region", "perm"])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,40 +262,45 @@ def search(
             space = held.value[d]
             units = directions(matrix(b.column(1)))
             perm = permutations(units, space.pivots, min(length, len(space.pivots)))
-            visit = permutations(units, space.pivots[: space.regions], space.visits).astype(np.int32)
+            visit = permutations(units, space.centres, space.visits).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(perm), d, np.int32)), pa.array(visit.tolist(), pa.list_(pa.int32())), pa.array([p.tobytes() for p in perm], pa.binary())], ["vec_id", "vec", "dim", "visit", "perm"])
 
-    def nearest(queries: pa.Table, data: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, ...]] = []
-        if len(queries) and len(data):
-            n_pivots = len(held.value[data["dim"][0].as_py()].pivots)
-            x, ids = matrix(data["vec"]), data["vec_id"].to_numpy()
-            posted, own = (np.frombuffer(b"".join(t["perm"].to_pylist()), dtype=np.int16).reshape(len(t), -1) for t in (data, queries))
-            files = InvertedFiles(posted, n_pivots)
-            q, q_ids = matrix(queries["vec"]), queries["vec_id"].to_numpy()
-            take = min(len(x), max(at_least, int(share * len(x))))
-            for i in range(len(q)):
-                far = files.footrule(own[i])
-                cand = np.flatnonzero(far <= np.partition(far, take - 1)[take - 1])
-                cand = cand[ids[cand] != q_ids[i]]
-                score = products(x[cand], q[i])
-                at = best(score, ids[cand], k)
-                found.append((np.full(len(at), q_ids[i]), ids[cand[at]], score[at]))
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    # shards of each region, and blocks of each dimension's queries
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, shard = None, [], None
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy() for c in range(4)], axis=1)  # dim, region, shard, kind
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                *key, kind = keys[lo].tolist()
+                if key != at:
+                    at, parts, shard = key, [], None
+                rows_ = b.slice(lo, hi - lo)
+                if kind == 0:
+                    parts.append(rows_)
+                elif parts or shard:
+                    shard, parts = shard or Shard(pa.Table.from_batches(parts), len(held.value[key[0]].pivots), share, at_least), []
+                    yield shard.nearest(rows_, k)
+
+    # shards of each region, and queries to all shards of the regions that they visit
     posted = materialize(every.mapInArrow(post, "vec_id long, vec array<double>, dim int, region int, perm binary"), "postings")
-    sizes = posted.groupBy("dim", "region").count().collect()  # at most the pivots of each dimension
-    shards = F.create_map(*(F.lit(v) for r in sizes for v in (f"{r.dim} {r.region}", -(-r["count"] // block))))
-    q_blocks = F.create_map(*(F.lit(v) for d, s in known.items() for v in (d, max(1, -(-s.queries // query_block)))))
-    dealt = lambda n, what: F.pmod(F.xxhash64("vec_id", F.lit(what)), n).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
-    own = shards[F.concat_ws(" ", "dim", "region")]
-    data = posted.withColumn("shard", dealt(own, "shard")).withColumn("qb", each(q_blocks[F.col("dim")]))
-    asked = every.filter(is_query).mapInArrow(ask, "vec_id long, vec array<double>, dim int, visit array<int>, perm binary").withColumn("region", F.explode("visit")).drop("visit")
-    asked = asked.withColumn("qb", dealt(q_blocks[F.col("dim")], "query")).filter(own.isNotNull()).withColumn("shard", each(own))
-    key = ["dim", "region", "shard", "qb"]
-    found = asked.groupBy(key).cogroup(data.groupBy(key)).applyInArrow(nearest, OUT)
+    sizes = materialize(posted.groupBy("dim", "region").agg(F.ceil(F.count("*") / block).cast("int").alias("shards")), "regions")  # at most the regions of each dimension
+    index = posted.join(F.broadcast(sizes), ["dim", "region"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit("shard")), "shards").cast("int"))
+    asked = every.filter(is_query).mapInArrow(ask, "vec_id long, vec array<double>, dim int, visit array<int>, perm binary").withColumn("region", F.explode("visit"))
+    asked = asked.join(F.broadcast(sizes), ["dim", "region"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    cols = ["dim", "region", "shard", "kind", "vec_id", "vec", "perm"]
+    both = index.withColumn("kind", F.lit(0)).select(cols).unionByName(asked.withColumn("kind", F.lit(1)).select(cols))
+    found = both.repartition("dim", "region", "shard").sortWithinPartitions("dim", "region", "shard", "kind").mapInArrow(scan, OUT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def recall(found: DataFrame, rows: DataFrame, *, is_query: str = "vec_id % 20 = 0", k: int = 20, tried: int = 256, vec_id: str = "vec_id", vector: str = "embedding") -> float:
+    """The share of true neighbours, by scores, that ``found`` holds for ``tried`` queries drawn by a hash of their ids."""
+    every = usable(rows, vec_id, vector)
+    q = every.filter(is_query).orderBy(F.xxhash64("vec_id", F.lit("recall")), "vec_id").limit(tried).selectExpr("vec_id as query_id", "vec as q")
+    pairs = every.join(F.broadcast(q), (F.col("vec_id") != F.col("query_id")) & (F.size("vec") == F.size("q")))
+    score = F.aggregate(F.zip_with("vec", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    last = pairs.select("query_id", score.alias("score")).withColumn("rank", rank).filter(F.col("rank") <= k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    held = found.join(F.broadcast(last), "query_id").groupBy("query_id").agg(F.count_if(F.col("score") >= F.col("least") - 1e-9).alias("hit"))
+    return last.join(held, "query_id", "left").agg(F.sum(F.least(F.coalesce("hit", F.lit(0)), "n")) / F.sum("n")).first()[0]
