@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from voxelake.operators import masks, session, walk
 from voxelake.plans.registry import query, table
-from voxelake.streaming import streams
+from voxelake.sources.shared import stored
+from voxelake.streaming import streams, walks
 
 W = 8
 DENSE_SQL = "px AS (SELECT user_id AS mask_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos, value > 8 AS bit, value FROM events), dense AS (SELECT mask_id, pos, pos // 8 AS y, pos % 8 AS x, bit, value FROM px), m AS (SELECT mask_id, y, x FROM dense WHERE bit), size AS (SELECT mask_id, 8 AS width, max(y) + 1 AS height FROM dense GROUP BY mask_id)"
@@ -134,9 +135,9 @@ j AS (SELECT *, lag(area) OVER w AS p, first_value(area) OVER w AS seed FROM s W
 c AS (SELECT *, CASE WHEN step = 0 THEN NULL WHEN area = 0 THEN 'vanished' WHEN area < 24 THEN 'collapsed' WHEN p > 0 AND area > p * 2.5 THEN 'leaked' WHEN p > 0 AND area < p * 0.4 THEN 'collapsed' WHEN seed > 0 AND area > seed * 3.0 THEN 'drifted' WHEN score < 0.5 THEN 'low-score' END AS cause FROM j)"""
 
 
-def walk_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+def walk_slices(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     step = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("walk_id"), step.alias("step"), F.floor("value").alias("area"), (F.col("value") / 100).alias("score"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("walk_id"), step.alias("step"), F.floor("value").alias("area"), (F.col("value") / 100).alias("score"), *more)
 
 
 @query("win2_judge", f"WITH {WALK_SQL} SELECT walk_id, step, area, cause FROM c")
@@ -144,11 +145,24 @@ def win2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.judged(walk_slices(spark, sf_dir)).select("walk_id", "step", "area", "cause")
 
 
-@query("win3_walk", f"WITH {WALK_SQL}, e AS (SELECT walk_id, min(step) FILTER (WHERE cause IS NOT NULL AND step <= 32) AS stop_at, max(step) AS last FROM c WHERE step > 0 GROUP BY 1) SELECT e.walk_id, coalesce(stop_at - 1, least(last, 32)) AS kept, coalesce(c.cause, CASE WHEN last < 32 THEN 'edge' ELSE 'limit' END) AS stop FROM e LEFT JOIN c ON c.walk_id = e.walk_id AND c.step = stop_at")
+WIN3_SQL = f"WITH {WALK_SQL}, e AS (SELECT walk_id, min(step) FILTER (WHERE cause IS NOT NULL AND step <= 32) AS stop_at, max(step) AS last FROM c WHERE step > 0 GROUP BY 1) SELECT e.walk_id, coalesce(stop_at - 1, least(last, 32)) AS kept, coalesce(c.cause, CASE WHEN last < 32 THEN 'edge' ELSE 'limit' END) AS stop FROM e LEFT JOIN c ON c.walk_id = e.walk_id AND c.step = stop_at"
+
+
+@query("win3_walk", WIN3_SQL)
 def win3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.walks(walk_slices(spark, sf_dir))
 
 
+@query("win3_stream", WIN3_SQL)
+def win3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same walks from a stream of slices in a shuffled order: each stops as its first cause arrives."""
+    slices = walk_slices(spark, sf_dir, "ts").withColumn("ts", F.col("ts").cast("timestamp")).orderBy(F.xxhash64("walk_id", "step"))
+    path = stored(slices, "slices")
+    arriving = spark.readStream.schema(slices.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    seen = streams.run_to_table(walks.walk_stream(arriving, late="10000 days"), "update", ["walk_id"], "version")
+    return seen.select("walk_id", "kept", "stop")
+
+
 @query("win6_newest_answer", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def win6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest answer of each kind wins; older ones that come late change nothing."""

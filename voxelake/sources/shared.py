@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back: lineage is cut durably."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def stored(df: DataFrame, name: str) -> str:
+    """The path in the shared folder to which ``df`` was written as Parquet."""
     path = f"{shared_dir(df.sparkSession)}/voxelake-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
