@@ -40,8 +40,9 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest doc_id, of each group of exact and near copies.
 
-    Texts without words are copies of each other; of repeated doc_ids one row stays;
-    rows without a doc_id stay.
+    Texts without words are copies of each other. Rows that repeat a doc_id go only if
+    their texts are copies; rows without a doc_id are copies too, and stay where no copy
+    has one.
     """
     return simhash.deduplicate(docs)
 
