@@ -91,6 +91,22 @@ def projected(lines: DataFrame, voxels: DataFrame, grid: DataFrame, key: str, de
     return best.select("volume_id", key, "b.value", (-F.col("b.back")).alias("step"))
 
 
+def read_along(lines: DataFrame, voxels: DataFrame, grid: DataFrame, key: str, depth: int = slabs.DEPTH) -> DataFrame:
+    """volume_id, ``key``, value of every point of lines, whose key is that of their first point plus the step.
+
+    Only points that fusion reads: between the sample centres in a slice, half a slice beyond the last ones.
+    """
+
+    def kernel(s: Slab, t: pa.Table) -> pa.Table:
+        p = Points(s, t, inside=True)
+        ok = (p.x >= 0) & (p.x <= s.nx - 1) & (p.y >= 0) & (p.y <= s.ny - 1)
+        value = trilinear(s, s.dense("value"), p.x[ok], p.y[ok], p.z[ok])
+        return pa.table({"volume_id": pa.array([s.volume_id] * len(value), pa.string()), key: t[key].to_numpy()[p.line[ok]] + p.step[ok], "value": value})
+
+    asked = by_slab(lines, grid, depth).select("volume_id", "slab", key, *LINE)
+    return slabs.read_slabs(asked, voxels, grid, kernel, f"volume_id string, {key} long, value double", fields=["value"], halo=1, depth=depth)
+
+
 def plane_lines(pixels: DataFrame, origin: g.Vec, u: g.Vec, v: g.Vec, thickness: float, steps: int, to_voxel: tuple) -> DataFrame:
     """Lines through the pixels of a plane, along its normal.
 

@@ -1,7 +1,8 @@
 """Reading one grid at the points of another: equi-joins on the voxel index.
 
 A point becomes its two or eight neighbouring voxels with weights; the join is on
-(volume, idx) and the weighted values are summed a point. No grid is collected.
+(volume, idx) and the weighted values are summed a point. No grid is collected. The
+rows of a regular grid are lines in every other one: fusion reads those by slabs.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelake.functions import geometry as g
+from voxelake.operators import lines
 
 
 def _axis(v: Column, n: Column) -> tuple[Column, Column, Column]:
@@ -41,13 +43,6 @@ def trilinear(points: DataFrame, voxels: DataFrame, key: list[str]) -> DataFrame
     return joined.groupBy(*key).agg(F.sum(F.col("w") * F.col("stored")).alias("value"))
 
 
-def fusion_reads(points: DataFrame, voxels: DataFrame, key: list[str]) -> DataFrame:
-    """As :func:`trilinear` with the fusion rule: no reads beyond the sample centres in a slice."""
-    at = (F.col("x"), F.col("y"), F.col("z"))
-    n = tuple(F.col(c) for c in ("nx", "ny", "nz"))
-    return trilinear(points.filter(g.inside_for_fusion(at, n)), voxels, key)
-
-
 def nearest(points: DataFrame, voxels: DataFrame) -> DataFrame:
     """Points with ``stored`` of the voxel their coordinates round to; null outside."""
     i, j, k = (F.floor(F.col(c) + 0.5) for c in ("x", "y", "z"))
@@ -79,16 +74,11 @@ def plan_fusion(volumes: DataFrame, budget: int = 16_000_000, spacing: float | N
     return {"dims": cells(), "step": step, "origin": low}
 
 
-def _cells(grid: dict) -> tuple[Column, Column, Column]:
-    """Patient coordinates of the cell (x, y, z)."""
-    return tuple(F.lit(o) + F.col(c) * grid["step"] for c, o in zip("xyz", grid["origin"], strict=True))
-
-
 def reached(volumes: DataFrame, grid: dict) -> DataFrame:
-    """A row for each volume and each cell of ``grid`` in the box around it: out, volume_id, nx, ny, nz, inv, x, y, z.
+    """A line (see ``lines``) for each volume and row of cells of ``grid`` in the box around it; ``out`` is its first cell.
 
-    The box comes from the volume's own corners, so a cell is made only for volumes that can
-    reach it; planes are dealt out before they unfold into cells.
+    The box comes from the volume's own corners, so a line is made only for volumes that can
+    reach it, and only as long as the box.
     """
     m, n = tuple(F.get("m", F.lit(i)) for i in range(12)), [F.col(c) for c in ("nx", "ny", "nz")]
     corners = [g.apply_affine(m, tuple(F.when(F.lit(bool(bits >> a & 1)), n[a] - 0.5).otherwise(-0.5) for a in range(3))) for bits in range(8)]
@@ -96,11 +86,14 @@ def reached(volumes: DataFrame, grid: dict) -> DataFrame:
     for a, c in enumerate("xyz"):
         place = [(p[a] - grid["origin"][a]) / grid["step"] for p in corners]
         box[c] = F.greatest(F.lit(0), F.floor(F.least(*place))), F.least(F.lit(grid["dims"][a] - 1), F.ceil(F.greatest(*place)))
-    own = volumes.select("volume_id", *n, F.array(*g.invert_affine(m)).alias("inv"), *(v.cast("long").alias(f"{e}{c}") for c, ends in box.items() for e, v in zip(("low_", "high_"), ends, strict=True)))
+    own = volumes.select("volume_id", F.array(*g.invert_affine(m)).alias("inv"), *(v.cast("long").alias(f"{e}{c}") for c, ends in box.items() for e, v in zip(("low_", "high_"), ends, strict=True)))
     along = lambda c: F.explode(F.when(F.col(f"low_{c}") <= F.col(f"high_{c}"), F.sequence(F.col(f"low_{c}"), F.col(f"high_{c}")))).alias(c)
-    planes = own.select("*", along("z")).select("*", along("y")).repartition("volume_id", "z", "y")
-    nx, ny, _ = grid["dims"]
-    return planes.select("*", along("x")).select(((F.col("z") * ny + F.col("y")) * nx + F.col("x")).alias("out"), "volume_id", "nx", "ny", "nz", "inv", "x", "y", "z")
+    rows = own.filter("low_x <= high_x").select("*", along("z")).select("*", along("y"))
+    inverse, step, (nx, ny, _) = tuple(F.get("inv", F.lit(i)) for i in range(12)), grid["step"], grid["dims"]
+    start = g.apply_affine(inverse, tuple(F.lit(o) + F.col(c) * step for c, o in zip(("low_x", "y", "z"), grid["origin"], strict=True)))
+    first = ((F.col("z") * ny + F.col("y")) * nx + F.col("low_x")).alias("out")
+    line = {**dict(zip(("ox", "oy", "oz"), start, strict=True)), "dx": inverse[0] * step, "dy": inverse[4] * step, "dz": inverse[8] * step, "t0": F.lit(0.0), "dt": F.lit(1.0), "n": (F.col("high_x") - F.col("low_x") + 1).cast("int")}
+    return rows.select("volume_id", first, *(c.alias(k) for k, c in line.items()))
 
 
 def fuse(volumes: DataFrame, voxels: DataFrame, scales: DataFrame, grid: dict) -> DataFrame:
@@ -109,9 +102,8 @@ def fuse(volumes: DataFrame, voxels: DataFrame, scales: DataFrame, grid: dict) -
     ``scales``: volume_id, lo, hi, low, high of each series (muscle scale).
     """
     nx, ny, nz = grid["dims"]
-    voxel = g.apply_affine(tuple(F.get("inv", F.lit(n)) for n in range(12)), _cells(grid))
-    points = reached(volumes, grid).select("out", "volume_id", "nx", "ny", "nz", *(v.alias(c) for v, c in zip(voxel, "xyz", strict=True)))
-    reads = fusion_reads(points, voxels, ["out", "volume_id"]).join(scales, "volume_id")
+    sizes = volumes.select("volume_id", "nx", "ny", "nz", *(F.lit(1.0).alias(c) for c in ("sx", "sy", "sz")))
+    reads = lines.read_along(reached(volumes, grid), voxels.withColumnRenamed("stored", "value"), sizes, "out").join(scales, "volume_id")
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1)
     offset = F.col("lo") + F.col("low") * span
     signal = (F.col("value") - offset) / F.greatest((F.col("high") - F.col("low")) * span, F.lit(1e-6))
