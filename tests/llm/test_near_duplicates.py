@@ -79,10 +79,11 @@ def test_join_proposes_all_pairs_of_a_common_start(spark, monkeypatch, tile, par
         for common in ([], [(int(x), 50) for x in hot.view(np.int64)]):
             rows = [(int(k), i, i, n, at) for i, s in enumerate(sets) for keys, n in [prefix.Order(common).prefix(s, 0.8)] for at, k in enumerate(keys)]
             found = prefix.buckets(spark.createDataFrame(rows, prefix.ROWS), 0.8).cache()
+            members = found.join(bits.drop("n"), "node").cache()
             got = {(r.node, r["class"]) for r in found.filter("part = -2").collect()}
             first = 0
             for most in (1, 16, None):
-                got |= {tuple(r) for r in prefix.pairs(found.filter("part >= 0" if not first else "part > -2"), 0.8, first, most).collect()}
+                got |= {tuple(r) for r in prefix.pairs(members.filter("part >= 0" if not first else "part > -2"), 0.8, first, most).collect()}
                 first += most or 0
             some = prefix.alike(spark.createDataFrame(sorted(got), "a long, b long"), bits, 0.8)
             assert want <= {tuple(r) for r in some.collect()} <= got and len(want) > 100

@@ -16,10 +16,10 @@ verified classes imply already, and lets a hub go only then; the last round pair
 that are left. Large buckets are dealt out as tiles of ``TILE`` by ``TILE`` members,
 those tiles only whose lengths can meet.
 
-What is proposed is looked at once more, once for each distinct pair: a set has a
-parity bitmap, about four bits for each element, in which an element flips one bit.
+What is proposed is looked at once more: a set has a parity bitmap, about four bits for each element, in which an element flips one bit.
 Two bitmaps differ in no more bits than their sets differ in elements, and sets that
-reach ``t`` differ in at most (1-t)/(1+t) of their summed sizes.
+reach ``t`` differ in at most (1-t)/(1+t) of their summed sizes. Only what is left of the
+buckets carries bitmaps, so that a group of texts that are not close makes no pairs.
 """
 
 from __future__ import annotations
@@ -78,6 +78,12 @@ class Order:
         return h[: n - int(np.ceil(threshold * n - 1e-9)) + 1 if n else 0].view(np.int64), n
 
 
+def near_enough(a: list[bytes], b: list[bytes], both: np.ndarray, t: float) -> np.ndarray:
+    """Whether bitmaps leave it open that pairs of sets, of ``both`` elements together, reach ``t``."""
+    d = np.fromiter(map(apart, a, b), np.int64, len(a))
+    return (1 + t) * d <= (1 - t) * both + 1e-6
+
+
 def may_reach(c: list[np.ndarray], i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
     """Whether members i and j (i before j) of a bucket are of two classes and may reach ``t``, by lengths and places."""
     _, node, kind, n, at = c[:5]
@@ -165,7 +171,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[
     for b in batches:
         if not b.num_rows:
             continue
-        new = [c.to_numpy() for c in b.columns]
+        new = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         if held and any(c[0] != h[-1] for c, h in zip(new[:keys], held[-1], strict=False)):
             yield joined()
             held = []
@@ -183,7 +189,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[
 def pairs(rows: DataFrame, threshold: float, first: int, most: int | None) -> DataFrame:
     """Distinct pairs (a, b) of different classes that may reach ``threshold``.
 
-    Of each bucket of ``rows`` (key, node, class, n, at, rank, m) the members of rank
+    Of each bucket of ``rows`` (key, node, class, n, at, rank, m, bits) the members of rank
     ``first`` on, ``most`` of them or all, are paired with those after them.
     """
     end = (1 << 31) - 1 if most is None else first + most
@@ -191,7 +197,7 @@ def pairs(rows: DataFrame, threshold: float, first: int, most: int | None) -> Da
     def of(c: list[np.ndarray]) -> pa.RecordBatch:
         starts, sizes = _bounds(c, 3)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        own, rank = [c[0], *c[3:7]], c[7]
+        own, rank, bits = [c[0], *c[3:7]], c[7], c[8]
         for s, size in zip(starts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
             if own[2][s : s + size].min() == own[2][s : s + size].max():
                 continue
@@ -201,6 +207,8 @@ def pairs(rows: DataFrame, threshold: float, first: int, most: int | None) -> Da
                 i, j = np.nonzero(rank[hubs[x : x + 256], None] < rank[others][None, :])
                 i, j = hubs[x + i], others[j]
                 ok = may_reach(own, i, j, threshold)
+                i, j = i[ok], j[ok]
+                ok = near_enough(bits[i].tolist(), bits[j].tolist(), own[3][i].astype(np.int64) + own[3][j], threshold)
                 left.append(i[ok])
                 right.append(j[ok])
         i, j = np.concatenate(left), np.concatenate(right)
@@ -218,7 +226,7 @@ def pairs(rows: DataFrame, threshold: float, first: int, most: int | None) -> Da
     tiles = runs.alias("x").join(runs.alias("y"), (F.col("x.key") == F.col("y.key")) & meet).select("x.key", F.col("x.run").alias("p"), F.col("y.run").alias("q"))
     places = tiles.select("key", "p", "q", F.col("p").alias("run")).union(tiles.filter("p <> q").select("key", "p", "q", "q"))
     dealt = small.unionByName(large.join(places, ["key", "run"])).repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "rank")
-    return dealt.select("key", "p", "q", "node", "class", "n", "at", "rank").mapInArrow(run, EDGES).distinct()
+    return dealt.select("key", "p", "q", "node", "class", "n", "at", "rank", "bits").mapInArrow(run, EDGES).distinct()
 
 
 def alike(some: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
@@ -227,8 +235,7 @@ def alike(some: DataFrame, bits: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
-            d = np.fromiter((apart(x, y) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)), np.int64, b.num_rows)
-            yield b.select(["a", "b"]).filter(pa.array((1 + threshold) * d <= (1 - threshold) * sizes + 1e-6, pa.bool_()))
+            yield b.select(["a", "b"]).filter(pa.array(near_enough(b.column(4).to_pylist(), b.column(5).to_pylist(), sizes, threshold), pa.bool_()))
 
     left, right = (bits.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("bits" + c)) for c in "ab")
     return some.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, EDGES)

@@ -283,54 +283,39 @@ def classes_of_texts(docs: DataFrame, *, shingle: int, threshold: float, radius:
     edges = materialize(links(own.select("node", "fp", F.lit(0).cast("long").alias("sketch")), radius=radius), "proposed")
 
     def texts_of(some: DataFrame) -> DataFrame:
-        nodes = materialize(some.select(F.col("a").alias("node")).union(some.select("b")).distinct(), "wanted")
-        wanted = sent(materialize(own.select("node", "raw").join(sent(nodes), "node"), "wanted"))
+        nodes = some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
+        wanted = sent(materialize(own.select("node", "raw").join(nodes, "node"), "wanted"))
         return materialize(rows.join(wanted, "raw").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def verified(some: DataFrame, of: DataFrame) -> DataFrame:
         left, right = (of.select(F.col("node").alias(c), F.col("text").alias("t" + c)) for c in "ab")
         return some.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, EDGES)
 
-    # Links that classes already imply need no test: the first round tests two partners of each
-    # text, the second sixteen, the last all proposed ones that are left. A text has no
-    # more partners than there are masks.
-    of = texts_of(edges)
-    sure, comp, pending = None, None, edges
-    for most in (2, 16, None):
-        some = pending
-        if most:
-            listed = pending.groupBy("b").agg(F.array_sort(F.collect_list("a")).alias("as"))
-            some = materialize(listed.select(F.explode(F.slice("as", 1, most)).alias("a"), "b"), "tested")
-        new = verified(some, of)
-        sure = materialize(new if sure is None else sure.union(new), "links")
-        comp = components(sure)
-        if most:
-            ends = [comp.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
-            rest = pending.join(some, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-            pending = materialize(rest.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pending")
-            if not pending.limit(1).count():
-                break
+    # All of these are verified at once: a text has no more proposals than there are masks.
+    new = materialize(verified(edges, texts_of(edges)), "links")
+    comp = components(new)
 
     # The rest, complete: what shares a prefix shingle and is not of one class yet, hubs first.
     classed = lambda some: some.join(sent(comp), "node", "left").withColumn("class", F.coalesce("component", "node"))
     listed = classed(own.select("node", "keys", "n")).select("node", "class", "n", F.posexplode("keys").alias("at", "key"))
     found = prefix.buckets(listed.select("key", "node", "class", "n", "at"), threshold)
-    members, bits = found.filter(F.col("part") > prefix.PAIR), own.select("node", "n", "bits")
+    bits = own.select("node", "n", "bits")
+    members = materialize(found.filter(F.col("part") > prefix.PAIR).join(bits.drop("n"), "node"), "members")
     tested, first = None, 0
     for most in (1, 16, None):
         if most == 1:  # the hubs of buckets that lie within a task are paired already
-            ready = found.filter(F.col("part") == prefix.PAIR).select(F.col("node").alias("a"), F.col("class").alias("b"))
-            some = ready.union(prefix.pairs(members.filter("part >= 0"), threshold, 0, 1)).distinct()
+            ready = found.filter(F.col("part") == prefix.PAIR).select(F.col("node").alias("a"), F.col("class").alias("b")).distinct()
+            some = prefix.alike(ready, bits, threshold).union(prefix.pairs(members.filter("part >= 0"), threshold, 0, 1)).distinct()
         else:
             some = prefix.pairs(classed(members.drop("class")), threshold, first, most)
         some = some if tested is None else some.join(tested, ["a", "b"], "left_anti")
-        some = materialize(some, "candidates")
+        some = materialize(some, "tested")
         tested = some if tested is None else tested.union(some)
         first += most or 0
-        some = materialize(prefix.alike(some, bits, threshold), "tested")
         if some.limit(1).count():
-            sure = materialize(sure.union(verified(some, texts_of(some))), "links")
-            comp = components(sure)
+            new = materialize(verified(some, texts_of(some)), "links")
+            if new.limit(1).count():  # classes so far are stars, to which the new links are added
+                comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
     of_text = classed(texts).select("same", "class")
     return materialize(seen.select("doc_id", "raw", "same").join(of_text, "same").select("doc_id", "raw", "class"), "classes")
 
