@@ -392,3 +392,14 @@ def test_long_profiles_and_short_plans(spark):
     assert out.columns == e.columns and set(got) == {0x00080018, 0x00100020, 0x00100030}
     assert got[0x00080018].startswith("2.25.") and got[0x00100020] == "1.2.3"
     assert out._jdf.queryExecution().optimizedPlan().toString().count("sha2") <= 2
+
+
+def test_sequences_of_known_length_in_files_without_vrs():
+    """The dictionary tells a sequence from bytes: its items are read, whatever their lengths."""
+    put = lambda t, v: struct.pack("<HHI", t >> 16, t & 0xFFFF, len(v)) + v
+    inner = put(0x00081155, b"1.2.3\0")
+    seq = put(0x00081140, put(0xFFFEE000, inner) + put(0xFFFEE000, inner))
+    file = part10.Reader(part10.write_file({0x00080020: ("DA", b"20240102")}, part10.IMPLICIT) + seq + put(0x00200010, b"S1"))
+    rows = file.parse()
+    got = [(r[0], r[1], hex(r[2]), r[3], text) for r, (text, _) in zip(rows, file.values(), strict=True) if r[2] >> 16 != 2]
+    assert got == [((), 0, "0x80020", "DA", "20240102"), ((0x00081140,), 0, "0x81155", "UI", "1.2.3"), ((0x00081140,), 1, "0x81155", "UI", "1.2.3"), ((), 0, "0x200010", "SH", "S1")]

@@ -260,6 +260,13 @@ def src13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.problems(parsed, ["event_id"])
 
 
+@query("src16_resolved", f"WITH {SERIES_SQL} SELECT event_id, name, 'base/x.raw' AS path, dims[1] AS nx, kind AS data_type FROM se WHERE event_id % 23 <> 0")
+def src16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the blobs of parsed manifests lie, and how to read them."""
+    parsed = manifests(spark, sf_dir).select("event_id", F.from_json("text", packed.MANIFEST).alias("m")).select("event_id", F.explode("m.series").alias("s"))
+    return packed.resolved("base/", parsed.select("event_id", "s.*"), ["event_id"]).select("event_id", "name", "path", F.get("dims", F.lit(0)).alias("nx"), "data_type")
+
+
 @query("src14_sidecar", "WITH s AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings) SELECT vec_id, round(abs(a) + 0.1, 9) AS spacing, round(b, 12) AS axis, vec_id % 3 > 0 AS has_center, 128 AS bytes FROM s")
 def src14(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sidecars written as JSON and read again: rounded, with no window where there is none."""
@@ -313,6 +320,13 @@ def src17_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@query("src20_codec_sizes", "SELECT '1.2.3.' || label AS volume_id, count(*) * 128 AS raw, true AS gzip_smaller, true AS zstd_smaller FROM embeddings GROUP BY label")
+def src20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each volume's blobs as they are, and whether the codecs at hand shorten them."""
+    sizes = packed.codec_sizes(packed.slab_blobs(label_volumes(spark, sf_dir), slab=16))
+    return sizes.select("volume_id", "raw", (F.col("gzip") < F.col("raw")).alias("gzip_smaller"), (F.col("zstd") < F.col("raw")).alias("zstd_smaller"))
+
+
 @query("src23_size_gate", "WITH p AS (SELECT page_id % 10 AS release, octet_length(encode(html)) AS n FROM pages) SELECT release, count(*) AS files, sum(CAST(n > 4000 AS INTEGER)) AS too_large, sum(CAST(n > 3500 AND n <= 4000 AS INTEGER)) AS close, max(n) AS largest, CASE WHEN max(n) > 4000 OR count(*) > 25 THEN 'fail' WHEN max(n) > 3500 THEN 'warn' ELSE 'ok' END AS verdict FROM p GROUP BY 1")
 def src23(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the files of ten releases: limits on a file's bytes and on the number of files."""

@@ -92,9 +92,9 @@ def listing(paths: DataFrame, root: str) -> DataFrame:
     return split.groupBy(F.when(F.col("name") == "", ".").otherwise(F.col("name")).alias("name")).agg(files.alias("files"))
 
 
-def resolved(base: str, series: DataFrame) -> DataFrame:
-    """name, path, dims, data_type of the full blobs that a parsed manifest's series name, below ``base``."""
-    return series.select("name", F.concat(F.lit(base.rstrip("/") + "/"), F.col("full.url")).alias("path"), F.col("full.dims").alias("dims"), F.col("full.dataType").alias("data_type"))
+def resolved(base: str, series: DataFrame, of: list[str] = ()) -> DataFrame:
+    """``of``, name, path, dims, data_type of the full blobs that a parsed manifest's series name, below ``base``."""
+    return series.select(*of, "name", F.concat(F.lit(base.rstrip("/") + "/"), F.col("full.url")).alias("path"), F.col("full.dims").alias("dims"), F.col("full.dataType").alias("data_type"))
 
 
 def size_gate(files: DataFrame, of: str, limit: int = 25 << 20, warn: int = 23 << 20, most_files: int = 20_000) -> DataFrame:
