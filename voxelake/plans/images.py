@@ -8,6 +8,7 @@ and every fiftieth file is cut short.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelake.plans.registry import query, table
-from voxelake.sources import part10
+from voxelake.sources import image_source, part10
+from voxelake.sources.packed_source import located
+from voxelake.sources.shared import shared_dir
 
 FORMS = ("1.2.840.10008.1.2.1", part10.IMPLICIT, part10.BIG, part10.RLE, "1.2.840.10008.1.2.1")
 #: A description in each character set, and the set's name and codec.
@@ -101,7 +104,34 @@ def prj10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("path", "modality", "series_number", "instance_number", "frames", F.round(F.get("position", F.lit(2)), 6).alias("z"), "col_spacing", "slope", "photometric", "center")
 
 
-@query("src6_elements", "SELECT tag, vr, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT CAST(t AS BIGINT) AS tag, v AS vr, vec_id AS path FROM embeddings, (VALUES (131088, 'UI'), (524312, 'UI'), (524384, 'CS'), (528446, 'LO'), (1572944, 'DS'), (2097166, 'UI'), (2097169, 'IS'), (2097171, 'IS'), (2097202, 'DS'), (2621448, 'IS'), (2621456, 'US'), (2621457, 'US'), (2621488, 'DS'), (2621696, 'US'), (2621697, 'US'), (2621698, 'US'), (2621699, 'US')) x(t, v) UNION ALL SELECT 524293, 'CS', vec_id FROM embeddings WHERE vec_id % 5 > 0 UNION ALL SELECT 2097207, 'DS', vec_id FROM embeddings WHERE label % 2 = 1 UNION ALL SELECT 2145386512, CASE WHEN vec_id % 5 = 3 THEN 'OB' ELSE 'OW' END, vec_id FROM embeddings) GROUP BY 1, 2")
+SRC6_SQL = "SELECT tag, vr, count(*) AS n, count(DISTINCT path) AS files FROM (SELECT CAST(t AS BIGINT) AS tag, v AS vr, vec_id AS path FROM embeddings, (VALUES (131088, 'UI'), (524312, 'UI'), (524384, 'CS'), (528446, 'LO'), (1572944, 'DS'), (2097166, 'UI'), (2097169, 'IS'), (2097171, 'IS'), (2097202, 'DS'), (2621448, 'IS'), (2621456, 'US'), (2621457, 'US'), (2621488, 'DS'), (2621696, 'US'), (2621697, 'US'), (2621698, 'US'), (2621699, 'US')) x(t, v) UNION ALL SELECT 524293, 'CS', vec_id FROM embeddings WHERE vec_id % 5 > 0 UNION ALL SELECT 2097207, 'DS', vec_id FROM embeddings WHERE label % 2 = 1 UNION ALL SELECT 2145386512, CASE WHEN vec_id % 5 = 3 THEN 'OB' ELSE 'OW' END, vec_id FROM embeddings) GROUP BY 1, 2"
+
+
+@query("src6_elements", SRC6_SQL)
 def src6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements by tag and representation, whatever the files' form."""
     return part10.elements(files(spark, sf_dir))[0].groupBy("tag", "vr").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
+
+
+def written(df: DataFrame) -> str:
+    """The folder in the shared one to which the files (path, content) were written, by tasks."""
+    folder = f"{shared_dir(df.sparkSession)}/voxelake-{uuid.uuid4().hex}/images"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = located(folder)
+        store.create_dir(root)
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{name}.dcm") as f:
+                    f.write(data)
+            yield b.select(["path"])
+
+    df.mapInArrow(run, "path string").count()
+    return folder
+
+
+@query("src5_headers_by_source", f"SELECT * FROM ({SRC6_SQL}) WHERE tag <> {0x7FE00010}")
+def src5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of files on disk, read by the data source without their pixels."""
+    rows = image_source.read(spark, written(files(spark, sf_dir)), pixels="false").filter("reason is null")
+    return rows.groupBy("tag", "vr").agg(F.count("*").alias("n"), F.count_distinct("path").alias("files"))
