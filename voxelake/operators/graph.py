@@ -59,16 +59,17 @@ def stars(edges: DataFrame) -> DataFrame:
 
     now = tidy(edges)
     while True:
-        # done when every node has one parent at most and no parent has one
+        # done when every node has one parent at most and no parent has one; the same pass counts the edges
         ends = now.select("volume_id", F.col("a").alias("n"), F.lit(1).alias("child")).union(now.select("volume_id", "b", F.lit(0)))
-        if not ends.groupBy("volume_id", "n").agg(F.sum("child").alias("up"), F.min("child").alias("down")).filter("up > 1 or (up = 1 and down = 0)").limit(1).count():
+        seen = ends.groupBy("volume_id", "n").agg(F.sum("child").alias("up"), F.min("child").alias("down")).agg(F.sum("up").alias("edges"), F.bool_or((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 0)).alias("left")).first()
+        if not seen.left:
             return now
         both = now.union(now.select("volume_id", "b", "a")).toDF("volume_id", "u", "v")
         least = both.groupBy("volume_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = tidy(_with_least(both.filter("v > u"), least, 2 * now.count()).select("volume_id", F.col("v").alias("a"), F.col("m").alias("b")))
+        large = tidy(_with_least(both.filter("v > u"), least, 2 * seen.edges).select("volume_id", F.col("v").alias("a"), F.col("m").alias("b")))
         down = large.toDF("volume_id", "u", "v")
         low = down.groupBy("volume_id", "u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _with_least(down, low, large.count()).filter("v <> m").select("volume_id", F.col("v").alias("a"), F.col("m").alias("b"))
+        small = _with_least(down, low, 2 * seen.edges).filter("v <> m").select("volume_id", F.col("v").alias("a"), F.col("m").alias("b"))
         now = tidy(small.union(low.select("volume_id", "u", "m")))
 
 
