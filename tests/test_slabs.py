@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelake.operators import graph, histogram, lines, shape, slabs, tissue
+from voxelake.plans import registry
 from voxelake.sources import layout
 
 SIZES = {"a": (11, 6, 5), "b": (4, 7, 9)}  # nz, ny, nx
@@ -270,3 +271,9 @@ def test_laid_out_tables_meet_without_a_shuffle(spark, arrays):
     assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
     far = shape.hessian(t1.withColumnRenamed("signal", "value"), slabs.grid_of(t1))
     assert sorted(near.collect()) == sorted(far.collect()) and near.count() > 50
+
+
+def test_oblique_slab_sends_no_lines_to_the_driver(spark, sf_dir):
+    # lines made of one grid row look small in the plan, whatever their number: they must not be a side of a join
+    plan = registry.queries()["geo17_oblique_slab"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "pixel" in x]

@@ -44,12 +44,12 @@ def geo17_oblique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plane leaning along the stack, one for every slice: greatest value of seven samples across 9 mm, and where in the patient."""
     v = t1_voxels(spark, sf_dir).withColumnRenamed("stored", "value")
     grid = slabs.grid_of(v)
-    pixels = grid.select("volume_id", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)).alias("k")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    pixels = grid.select("volume_id", F.explode(F.sequence(F.lit(0), F.col("nz") - 1)).alias("k")).repartition("volume_id", "k").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(63))))
     pixels = pixels.select("volume_id", (F.col("k") * 64 + F.col("p")).cast("long").alias("pixel"), "k", (F.col("p") % 8 - 3.5).cast("double").alias("a"), (F.floor(F.col("p") / 8) - 3.5).cast("double").alias("b"))
     origin = (F.lit(ORIGIN[0]), F.lit(ORIGIN[1]), F.lit(4.0171) + F.col("k") * 1.25)
     own = lines.plane_lines(pixels, origin, U, V, 9.0, 7, W)
-    best = lines.projected(own, v, grid, "pixel").join(own, ["volume_id", "pixel"])
-    at = g.apply_affine(M, lines.on_line({c: F.col(c) for c in lines.LINE}, F.col("step")))
+    best = lines.projected(own, v, grid, "pixel")
+    at = g.apply_affine(M, tuple(F.col(c) for c in "xyz"))
     return best.select("pixel", F.round("value", 5).alias("top"), *(F.round(x, 5).alias("p" + c) for c, x in zip("xyz", at, strict=True)))
 
 
