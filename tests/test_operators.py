@@ -161,6 +161,13 @@ def test_groups_ends_and_contacts_of_a_rod(spark):
     assert (e.voxels, e.agreement, e.kind) == (6, 1.0, "tube")
 
 
+def test_voxels_on_the_line_of_an_end_belong_to_it(spark):
+    # eleven voxels along (1, 2, 1): the fourth from either tip lies at 0.3 of the length exactly
+    rod = spark.createDataFrame([("v", 0, n * 100, n, 2 * n, n, "tube", 1.0) for n in range(11)], "volume_id string, component_id int, idx int, k int, j int, i int, kind string, confidence double")
+    buckets = [r.bucket for r in graph.split_ends(rod, slabs.one_grid(spark, 11, 21, 11, volume_id="v")).orderBy("idx").collect()]
+    assert buckets == [2, 2, 2, 2, 1, 1, 1, 0, 0, 0, 0]
+
+
 @pytest.mark.parametrize("kind", ["tube", "sheet", "blob"])
 def test_shapes_of_wells(spark, kind):
     n, c = 15, 7
