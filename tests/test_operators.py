@@ -410,3 +410,44 @@ def test_sequences_of_known_length_in_files_without_vrs():
     rows = file.parse()
     got = [(r[0], r[1], hex(r[2]), r[3], text) for r, (text, _) in zip(rows, file.values(), strict=True) if r[2] >> 16 != 2]
     assert got == [((), 0, "0x80020", "DA", "20240102"), ((0x00081140,), 0, "0x81155", "UI", "1.2.3"), ((0x00081140,), 1, "0x81155", "UI", "1.2.3"), ((), 0, "0x200010", "SH", "S1")]
+
+
+def test_partners_and_angles_of_many_series_of_one_direction(spark):
+    """Against all pairs; as many series of one direction as there are meet no more rows than a few."""
+    rng, axes = np.random.default_rng(3), [(1.0, 0.0, 0.0), (0.6, 0.8, 0.0), (0.8, 0.6, 0.0), (0.0, 0.3, 0.0), (None, 0.0, 0.0)]
+    rows = [(f"u{n // 2 if n < 20 else n}", ("t1", "fatsat", "pd", "unknown")[rng.integers(4)], "fg"[rng.integers(2)], int(rng.integers(4)), *axes[rng.integers(5)]) for n in range(120)]
+    v = spark.createDataFrame(rows, "uid string, kind string, frame string, slices int, ax double, ay double, az double")
+    dot = lambda a, b: None if a[4] is None or b[4] is None else sum(x * y for x, y in zip(a[4:], b[4:], strict=True))
+    want, angled = {}, set()
+    for a, b in itertools.product(rows, rows):
+        if a[2] == b[2] and a[0] != b[0]:
+            d = dot(a, b)
+            if {a[1], b[1]} == {"t1", "fatsat"}:
+                key = (1, 0) if d is None else (0, -round(abs(d), 9))
+                want[a[0]] = min(want.get(a[0], ((9,), 0, "")), (key, -b[3], b[0]))
+            if a[1] == b[1] != "unknown" and d is not None and abs(d) < 0.9:
+                angled.add((a[1], a[2]))
+    got = series.best_partner(v)
+    assert {r.active: (r.partner, r.agreement) for r in got.collect()} == {u: (p, None if k[0] else -k[1]) for u, (k, _, p) in want.items()}
+    c = series.fusion_candidate(v).first()
+    sizes = {k: sum((r[1], r[2]) == k for r in rows) for k in angled}
+    assert c.n == max(sizes.values()) and sizes[c.kind, c.frame] == c.n
+    alike = spark.range(4000).selectExpr("cast(id as string) uid", "if(id % 2 = 0, 't1', 'fatsat') kind", "'f' frame", "1 slices", "1.0D ax", "0.0D ay", "0.0D az")
+
+    def most(df):
+        """The greatest number of rows that a join of the plan that ran gave."""
+        df.collect()
+        seen, todo = [], [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            p = todo.pop()
+            if p.nodeName() == "AdaptiveSparkPlan":
+                p = p.executedPlan()
+            if hasattr(p, "plan") and "QueryStage" in p.nodeName():
+                p = p.plan()
+            if "Join" in p.nodeName():
+                seen.append(p.metrics().apply("numOutputRows").value())
+            kids = p.children()
+            todo += [kids.apply(n) for n in range(kids.size())]
+        return max(seen, default=0)
+
+    assert most(series.best_partner(alike)) <= 8000 and most(series.fusion_candidate(alike)) <= 8000

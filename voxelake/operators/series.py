@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from voxelake.functions import geometry as g
 
+AXES = ("ax", "ay", "az")
 UNEVEN, SHEAR, TURN = 0.01, 0.5, 0.999  # fixed limits: mm, mm, cosine
 
 
@@ -50,15 +51,28 @@ def best_partner(volumes: DataFrame) -> DataFrame:
     """active, partner, oblique: for each T1 or fat-saturated volume the best one of the other kind.
 
     Same non-empty frame; the closest angle wins, then most slices, then the smaller uid.
-    A frame of reference is one study's, so a series meets a handful of others.
     ``volumes``: uid, kind, frame, nx/ny/nz normal columns (ax, ay, az), slices.
     """
     a = volumes.filter("kind in ('t1', 'fatsat') and frame <> ''")
-    b = a.select(F.col("uid").alias("partner"), F.when(F.col("kind") == "t1", "fatsat").otherwise("t1").alias("kind"), "frame", *(F.col(c).alias("b" + c) for c in ("ax", "ay", "az")), F.col("slices").alias("b_slices"))
-    agree = F.round(F.abs(g.dot(tuple(F.col(c) for c in ("ax", "ay", "az")), tuple(F.col(c) for c in ("bax", "bay", "baz")))), 9)
-    pairs = a.join(b, ["kind", "frame"]).filter("uid <> partner").withColumn("agreement", agree)
-    w = Window.partitionBy("uid").orderBy(F.desc("agreement"), F.desc("b_slices"), "partner")
-    return pairs.withColumn("r", F.row_number().over(w)).filter("r = 1").select(F.col("uid").alias("active"), "partner", "agreement", (F.col("agreement") < 0.99).alias("oblique"))
+    # series of one direction agree alike with any other: directions meet, each with the two series that come first
+    face, order = ["kind", "frame", *AXES], [F.desc("slices"), "uid"]
+    heads = first_of(a.groupBy(*face, "uid").agg(F.max("slices").alias("slices")), face, order, 2)
+    b = heads.select(F.col("uid").alias("partner"), F.when(F.col("kind") == "t1", "fatsat").otherwise("t1").alias("kind"), "frame", *(F.col(c).alias("b" + c) for c in AXES), F.col("slices").alias("b_slices"))
+    agree = F.round(F.abs(g.dot(tuple(F.col(c) for c in AXES), tuple(F.col("b" + c) for c in AXES))), 9)
+    met = a.select(*face).distinct().join(b, ["kind", "frame"]).withColumn("agreement", agree)
+    best = met.groupBy(*face, "partner").agg(F.max(F.struct("agreement", "b_slices")).alias("m")).select(*face, "partner", "m.*")
+    order = [F.desc("agreement"), F.desc("b_slices"), "partner"]
+    best = first_of(best, face, order, 2).select(*(F.col(c).alias("of_" + c) for c in face), "partner", "agreement", "b_slices")
+    own = (a["kind"] == F.col("of_kind")) & (a["frame"] == F.col("of_frame"))
+    for c in AXES:
+        own = own & a[c].eqNullSafe(F.col("of_" + c))
+    pairs = a.join(best, own).filter("uid <> partner")
+    return first_of(pairs, ["uid"], order, 1).select(F.col("uid").alias("active"), "partner", "agreement", (F.col("agreement") < 0.99).alias("oblique"))
+
+
+def first_of(rows: DataFrame, key: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each key."""
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("r") <= n).drop("r")
 
 
 def pair_for(volumes: DataFrame, uid: str) -> DataFrame:
@@ -73,10 +87,12 @@ def pair_for(volumes: DataFrame, uid: str) -> DataFrame:
 def fusion_candidate(volumes: DataFrame, angle: float = 0.9) -> DataFrame:
     """The (kind, frame) group to fuse: two or more members, some pair at an angle, most members first."""
     known = volumes.filter("kind <> 'unknown' and frame <> ''")
-    # a frame of reference holds one study's series, a handful
-    o = known.select("kind", "frame", F.col("uid").alias("o_uid"), *(F.col(c).alias("o_" + c) for c in ("ax", "ay", "az")))
-    apart = F.abs(g.dot(tuple(F.col(c) for c in ("ax", "ay", "az")), tuple(F.col("o_" + c) for c in ("ax", "ay", "az")))) < angle
-    angled = known.join(o, ["kind", "frame"]).filter("uid < o_uid").groupBy("kind", "frame").agg(F.bool_or(apart).alias("angled")).filter("angled")
+    # series of one direction are at one angle to any other: directions meet, with the uids at either end
+    one = known.groupBy("kind", "frame", *AXES).agg(F.min("uid").alias("low"), F.max("uid").alias("high"))
+    other = one.select("kind", "frame", *(F.col(c).alias("o_" + c) for c in (*AXES, "low", "high")))
+    apart = F.abs(g.dot(tuple(F.col(c) for c in AXES), tuple(F.col("o_" + c) for c in AXES))) < angle
+    several = (F.col("low") != F.col("o_high")) | (F.col("high") != F.col("o_low"))  # not one series met with itself
+    angled = one.join(other, ["kind", "frame"]).filter(apart & several).select("kind", "frame").distinct()
     groups = known.groupBy("kind", "frame").agg(F.count("*").alias("n"), F.min("uid").alias("first"))
     return groups.join(angled, ["kind", "frame"]).filter("n >= 2").orderBy(F.desc("n"), "first").limit(1).select("kind", "frame", "n", "first")
 
