@@ -451,3 +451,17 @@ def test_partners_and_angles_of_many_series_of_one_direction(spark):
         return max(seen, default=0)
 
     assert most(series.best_partner(alike)) <= 8000 and most(series.fusion_candidate(alike)) <= 8000
+
+
+def test_hits_leave_without_their_texts():
+    """A text of 1 MB that holds 300 terms: the memory of its hits is that of the terms."""
+    import pyarrow as pa
+
+    terms = [f"t{n:03}" for n in range(300)]
+    batch = pa.RecordBatch.from_pydict({"entity": list(range(600)), "tag": [0] * 600, "low": [" ".join(terms) + " " * (1 << 20 if n == 7 else 1) for n in range(600)]})
+    pool = pa.default_memory_pool()
+    before, most, got = pool.bytes_allocated(), 0, 0
+    for b in deid._finder(type("T", (), {"value": terms}))(iter([batch])):
+        most, got = max(most, pool.bytes_allocated() - before), got + b.num_rows
+        assert b.num_rows <= 300 * deid.ROWS
+    assert got == 600 * 300 and most < 16 << 20

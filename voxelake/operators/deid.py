@@ -25,6 +25,8 @@ CLASS, INSTANCE, META_CLASS, META_INSTANCE, WRITER = 0x00080016, 0x00080018, 0x0
 META_GONE = (0x00020013, 0x00020016, 0x00020100, 0x00020102)
 CODE = ((0x00080100, "SH", "113100"), (0x00080102, "SH", "DCM"), (0x00080104, "LO", "Basic Application Confidentiality Profile"))
 
+ROWS = 512  # texts whose hits leave a task at once
+
 Masks = list[tuple[int, int, int, int]]
 
 
@@ -171,13 +173,15 @@ def _finder(terms):
             automaton.add_word(t, t)
         automaton.make_automaton()
         for b in batches:
-            at, found = [], []
-            for i, text in enumerate(b.column(2).to_pylist() if terms.value else ()):
-                own = {t for _, t in automaton.iter(text or "")}
-                at += [i] * len(own)
-                found += own
-            rows = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.string())], ["entity", "tag", "term"])
+            # texts one by one, hits in slices without the texts, however many terms a text holds
+            for start in range(0, b.num_rows if terms.value else 0, ROWS):
+                texts, at, found = b.column(2).slice(start, ROWS), [], []
+                for i, text in enumerate(texts):
+                    own = {t for _, t in automaton.iter(text.as_py() or "")}
+                    at += [i] * len(own)
+                    found += own
+                rows = [b.column(n).slice(start, ROWS).take(pa.array(at, pa.int64())) for n in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(found, pa.string())], ["entity", "tag", "term"])
 
     return run
 
