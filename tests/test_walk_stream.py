@@ -57,3 +57,25 @@ def test_scalar_rule_equals_the_column_rule(spark):
     df = spark.createDataFrame(rows, "p double, a double, s double, seed double")
     got = df.select(walk.cause(*(F.col(c) for c in ("p", "a", "s", "seed")))).collect()
     assert [r[0] for r in got] == [walks.cause(*r, walk.Limits()) for r in rows]
+
+
+def test_long_logs_arrive_in_no_more_batches(spark, tmp_path, monkeypatch):
+    """Many files of slices: the query takes each walk up as often as for few files."""
+    import pandas as pd
+
+    from voxelake.plans import masks, registry
+
+    n = 40 * 300
+    pd.DataFrame({"event_id": range(n), "ts": pd.Timestamp("2024-01-01") + pd.to_timedelta(range(n), "s"), "user_id": [i % 3 for i in range(n)], "event_type": "view", "value": 60.0, "props": "{}"}).to_parquet(tmp_path / "events.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
+    put = masks.stored
+    monkeypatch.setattr(masks, "stored", lambda df, name: put(df.repartition(40), name))
+    batches = []
+    run = streams.run_to_table
+    monkeypatch.setattr(masks.streams, "run_to_table", lambda s, *how: (batches.append(s), run(s, *how))[1])
+    monkeypatch.setattr(streams.uuid, "uuid4", lambda: type("U", (), {"hex": f"arrivals-{n}-{len(batches)}"})())
+    got = registry.queries()["win3_stream"](spark, str(tmp_path)).collect()
+    assert {(r.walk_id, r.kept, r.stop) for r in got} == {(w, 32, "limit") for w in range(3)}
+    base = streams.shared_dir(spark).removeprefix("file://")
+    from pathlib import Path
+
+    assert 1 < len([p for p in Path(base).glob(f"voxelake-arrivals-{n}-1/state/commits/*") if p.name.isdigit()]) <= masks.ARRIVALS + 1

@@ -153,12 +153,18 @@ def win3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.walks(walk_slices(spark, sf_dir))
 
 
+#: Most micro-batches in which the slices of all walks arrive; four files are one at least.
+ARRIVALS = 4
+
+
 @query("win3_stream", WIN3_SQL)
 def win3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same walks from a stream of slices in a shuffled order: each stops as its first cause arrives."""
     slices = walk_slices(spark, sf_dir, "ts").withColumn("ts", F.col("ts").cast("timestamp")).orderBy(F.xxhash64("walk_id", "step"))
     path = stored(slices, "slices")
-    arriving = spark.readStream.schema(slices.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    # as many arrivals for long logs as for short ones: a walk is taken up once for each
+    files = -(-len(spark.read.schema(slices.schema).parquet(path).inputFiles()) // ARRIVALS)
+    arriving = spark.readStream.schema(slices.schema).option("maxFilesPerTrigger", max(4, files)).parquet(path)
     seen = streams.run_to_table(walks.walk_stream(arriving, late="10000 days"), "update", ["walk_id"], "version")
     return seen.select("walk_id", "kept", "stop")
 

@@ -74,7 +74,7 @@ def walk_stream(slices: DataFrame, limits: Limits = Limits(), late: str = "1 hou
             state.remove()
         else:
             newest = state.getCurrentWatermarkMs()
-            for step, area, score, at in (r for b in batches for r in b[["step", "area", "score", "at"]].itertuples(index=False)):
+            for step, area, score, at in (r for b in batches for r in zip(*(b[c].tolist() for c in ("step", "area", "score", "at")), strict=True)):
                 newest = max(newest, int(at))
                 if w["stop"] is None and step >= w["next"] and step <= limits.max_slices:
                     w["waiting"].setdefault(str(int(step)), (float(area), float(score)))
