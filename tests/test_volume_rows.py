@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxelake.operators import histogram
+from voxelake.operators import histogram, slabs
 
 
 def sent(df):
@@ -21,3 +21,9 @@ def test_ranges_go_to_voxels(spark):
     assert sent(histogram.histogram(voxels(spark)))[0]
     assert sent(histogram.signals(voxels(spark)))[0]
     assert histogram.signals(voxels(spark)).count() == 256
+
+
+def test_sizes_go_to_slices(spark):
+    v = voxels(spark)
+    assert sent(slabs.spread(v, slabs.grid_of(v), ["stored"]))[0]
+    assert slabs.spread(v, slabs.grid_of(v), ["stored"]).count() == 16
