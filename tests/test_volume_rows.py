@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voxelake.operators import histogram, slabs
+from voxelake.operators import histogram, resample, slabs
 
 
 def sent(df):
@@ -27,3 +27,12 @@ def test_sizes_go_to_slices(spark):
     v = voxels(spark)
     assert sent(slabs.spread(v, slabs.grid_of(v), ["stored"]))[0]
     assert slabs.spread(v, slabs.grid_of(v), ["stored"]).count() == 16
+
+
+def test_scales_go_to_reads(spark):
+    v = voxels(spark)
+    one = F.array(*(F.lit(float(x)) for x in (1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0)))
+    volumes = slabs.grid_of(v).select("volume_id", "nx", "ny", "nz", one.alias("m"), F.array("sx", "sy", "sz").alias("spacing"))
+    fused = resample.fuse(volumes, v, histogram.muscle_ranges(v), resample.plan_fusion(volumes))
+    assert sent(fused)[:2] == [False, True]  # cells meet their reads by cell
+    assert fused.agg(F.max("n_sources")).first()[0] == 4
