@@ -26,6 +26,10 @@ FORMS = ("1.2.840.10008.1.2.1", part10.IMPLICIT, part10.BIG, part10.RLE, "1.2.84
 WORDS = (("Größe", "", "cp1252"), ("knie ü例", "ISO_IR 192", "utf-8"), ("колено", "ISO_IR 144", "iso8859-5"), ("膝盖", "GB18030", "gb18030"), ("žaba", "ISO_IR 101", "iso8859-2"))
 
 
+#: Files that are made at once.
+PIECE = 500
+
+
 def image(n: int, label: int, x: np.ndarray) -> bytes:
     """The file of one embedding."""
     form, (word, charset, codec) = FORMS[n % 5], WORDS[n % 5]
@@ -52,7 +56,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content of all files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, PIECE) for whole in batches for at in range(0, whole.num_rows, PIECE)):
             made = [image(n, label, np.array(x)) for n, label, x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([f"{n:09d}" for n in b.column(0).to_pylist()], pa.string()), pa.array(made, pa.binary())], ["path", "content"])
 
