@@ -1,7 +1,7 @@
 """Image files as a data source: ``spark.read.format("image_elements").load(folder)``.
 
 Partitions are planned by bytes: files, in the order of their paths, are put together up to
-``splitBytes``; a file is never cut. With ``pixels`` false a task reads a file's first bytes
+``splitBytes``, each with ``OPEN`` for its opening; a file is never cut. With ``pixels`` false a task reads a file's first bytes
 only, more of them until the pixel data begins, and never what comes from there on; it
 then counts with the bytes that it is expected to read. ``tags`` (hex, comma-separated)
 keeps the elements of those tags, at any depth. Broken files are rows with a reason.
@@ -28,6 +28,8 @@ NAME = "image_elements"
 SCHEMA = part10.ELEMENT + ", reason string, bytes_read long"
 #: What is read first of a file whose pixels are not asked for.
 HEAD = 1 << 16
+#: Bytes that opening a file counts as: a task of small files is bounded by their number.
+OPEN = 1 << 15
 
 
 @dataclass
@@ -47,7 +49,7 @@ class ImageReader(DataSourceReader):
         found = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.size >= 136)
         out, held = [[]], 0
         for path, size in found:
-            size = size if self.pixels else min(size, HEAD)
+            size = (size if self.pixels else min(size, HEAD)) + OPEN
             if out[-1] and held + size > self.split:
                 out.append([])
                 held = 0
