@@ -86,6 +86,14 @@ def test_packing_words_on_random_texts():
     assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packing_takes_latin_words_at_once():
+    tok, own = Tokenizer.from_file(registry.PACK_VOCABULARY), packing.Encoder(registry.PACK_VOCABULARY)
+    texts = ["Ärger, été! Été... Ōsaka naïve## naïve ×× µ½ it's", "", "x9 Łódź\tŁódź İx ÷a a÷ Σ. \u0130 \u012f?", "été! Ärger, " * 50]
+    assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    # only what is not letters below U+0130 and marks is looked at word by word
+    assert set(own.words) == {"", "Ōsaka", "××", "µ½", "it's", "x9", "Łódź\tŁódź", "İx", "÷a", "a÷", "Σ.", "\u0130"}
+
+
 def test_best_fit_beats_nothing_smaller():
     bins, offsets, n = packing.best_fit(np.array([5, 7, 3, 5]), 10)
     assert n == 2 and sorted(np.bincount(bins, [5, 7, 3, 5])) == [10, 10] and offsets.max() <= 7

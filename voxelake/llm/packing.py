@@ -21,9 +21,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ from voxelake.llm.common import Memo, in_turn, materialize, slices
 PLAIN = "\u0130"
 #: Letters with ASCII marks after them (no apostrophe: the vocabulary has rules for it).
 STEM_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: The same for the Latin letters below ``PLAIN``, marks or not, as Arrow reads it.
+STEM_AND_MARKS = r"^(?P<stem>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 #: One piece as it travels: ids are gone by then, only their checksum stays.
 MEMBER = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("piece", "<i8"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4"), ("offset", "<i4")])
 BIN = pa.schema([("fill", pa.int32()), ("members", pa.binary())])
@@ -44,7 +48,8 @@ class Encoder:
 
     The vocabulary drops white space and never joins over it, so a text's ids are
     its words' ids in a row. Nor does it join letters with an ASCII mark after them,
-    so most words are a stem of letters and a mark. New stems are encoded as one long
+    so most words are a stem of letters and a mark. Arrow finds the distinct words of
+    the texts and tells stem and marks apart. New stems are encoded as one long
     text, whose ids are cut where a token ends a word.
     """
 
@@ -54,7 +59,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.words, self.stems = Memo(250_000), Memo(150_000)
+        self.words, self.stems = Memo(150_000), Memo(300_000)
         ends = self.tok.get_vocab(with_added_tokens=False)
         self.ends_word = np.zeros(self.tok.get_vocab_size(), dtype=bool)
         self.ends_word[[i for t, i in ends.items() if t.endswith("</w>")]] = True
@@ -95,19 +100,35 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         self.words.room()
         self.stems.room()
-        out: list[bytes] = []
-        parts = [lowered(t).replace("\n", " ").split(" ") for t in texts]
-        words = [w for ws in parts for w in ws]
-        ids = list(map(self.words.get, words))
-        new = [i for i, x in enumerate(ids) if x is None]
-        self.learn(self.words.missing({words[i] for i in new}))
-        for i in new:
-            ids[i] = self.words[words[i]]
-        at = 0
-        for ws in parts:
-            out.append(b"".join(ids[at : at + len(ws)]))
-            at += len(ws)
-        return out
+        parts = pc.split_pattern(pa.array([lowered(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        known = self.ids_of(coded.dictionary).take(coded.indices)
+        _, ends, data = known.buffers()
+        at = np.frombuffer(ends, dtype=np.int64)[parts.offsets.to_numpy()].tolist() if texts else []
+        held = memoryview(data or b"")
+        return [bytes(held[a:b]) for a, b in pairwise(at)]
+
+    def ids_of(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct words: known letters and marks are told apart at once, other words one by one."""
+        cut = pc.extract_regex(words, STEM_AND_MARKS)
+        plain = pc.is_valid(cut)
+        cut, other = cut.filter(plain), listed(words.filter(pc.invert(plain)))
+        stems, marks = (pc.dictionary_encode(cut.field(n)) for n in ("stem", "marks"))
+        stems = pa.DictionaryArray.from_arrays(stems.indices, pc.utf8_lower(stems.dictionary))
+        self.learn_stems(self.stems.missing(set(filter(None, listed(stems.dictionary)))))
+        self.stems.update((m, self.single(m)) for m in self.stems.missing(listed(marks.dictionary)))
+        self.learn(self.words.missing(other))
+        halves = (pa.array([self.stems[x] for x in listed(d.dictionary)], pa.large_binary()).take(d.indices) for d in (stems, marks))
+        joined = pc.binary_join_element_wise(*halves, pa.scalar(b"", pa.large_binary()))
+        rest = pa.array([self.words[w] for w in other], pa.large_binary())
+        mask = plain.to_numpy(zero_copy_only=False)
+        place = np.where(mask, np.cumsum(mask) - 1, len(joined) + np.cumsum(~mask) - 1)
+        return pa.concat_arrays([joined, rest]).take(pa.array(place))
+
+
+def listed(texts: pa.Array) -> list[str]:
+    """The strings of an array without nulls, by way of numpy, which is faster."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
 
 def lowered(text: str) -> str:
