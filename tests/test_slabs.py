@@ -1,6 +1,7 @@
 """Slab kernels over volumes of different size: components, shapes, rays and lines against whole arrays."""
 
 import itertools
+import random
 
 import numpy as np
 import pandas as pd
@@ -277,3 +278,29 @@ def test_oblique_slab_sends_no_lines_to_the_driver(spark, sf_dir):
     # lines made of one grid row look small in the plan, whatever their number: they must not be a side of a join
     plan = registry.queries()["geo17_oblique_slab"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Join" in x and "pixel" in x]
+
+
+def test_faces_are_joined_in_groups_of_slabs(spark):
+    """Random grids of one slice a slab, groups of three slabs (four levels): brute-force components, and a bounded number of jobs."""
+    rng = random.Random(5)
+    cells = [(v, k, j, i) for v in "ab" for k in range(60 if v == "a" else 7) for j in range(3) for i in range(3) if rng.random() < 0.62]
+    v = spark.createDataFrame([(v, (k * 3 + j) * 3 + i, k, j, i) for v, k, j, i in cells], "volume_id string, idx long, k int, j int, i int")
+    grid = spark.createDataFrame([("a", 3, 3, 60, 1.0, 1.0, 1.0), ("b", 3, 3, 7, 1.0, 1.0, 1.0)], "volume_id string, nx int, ny int, nz int, sx double, sy double, sz double")
+    want, left = {}, set(cells)
+    for c in sorted(cells, key=lambda c: (c[0], (c[1] * 3 + c[2]) * 3 + c[3])):
+        todo = [c]
+        while todo:
+            at = todo.pop()
+            if at in left:
+                left.discard(at)
+                want[at] = (c[1] * 3 + c[2]) * 3 + c[3]
+                todo += [(at[0], at[1] + dk, at[2] + dj, at[3] + di) for di, dj, dk in graph.SIX]
+    want = {(v, (k * 3 + j) * 3 + i): n for (v, k, j, i), n in want.items()}
+    labelled = graph.slab_labels(v, grid, graph.SIX, depth=1).filter("side < 2").cache()
+    top = {(r.volume_id, r.label): r.component for r in graph.face_roots(graph.face_edges(graph.slab_labels(v, grid, graph.SIX, depth=1)), 3).collect()}
+    assert {(r.volume_id, r.idx): top.get((r.volume_id, r.label), r.label) for r in labelled.collect()} == want
+    spark.sparkContext.setJobGroup("faces", "")
+    assert {(r.volume_id, r.idx): r.component for r in graph.components(v, grid, graph.SIX, depth=1).collect()} == want
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("faces"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 20, jobs
