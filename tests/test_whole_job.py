@@ -69,3 +69,8 @@ def bright_sevenths(tmp_path_factory, spark):
 def test_laid_out_scales_count_every_voxel(spark, bright_sevenths):
     folder, want = bright_sevenths
     assert {(r.volume_id, r.idx): (r.tissue, r.confidence) for r in volumes.join1_laid_out(spark, folder).collect()} == want
+
+
+def test_scales_of_two_studies_count_every_voxel(spark, bright_sevenths):
+    folder, want = bright_sevenths
+    assert {(r.volume_id.removesuffix(" t1"), r.idx): (r.tissue, r.confidence) for r in volumes.join1_two(spark, folder).collect()} == want
